@@ -29,7 +29,9 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 8192
 #: Pieces in a cell, about.
 CELL = 4096
 #: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
+#: Texts with one of these go through the tokenizer whole: odd white space, a letter whose lower case is two, special tokens.
+ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u0130", "<|")
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -51,39 +53,55 @@ class WordTokenizer:
         letters = re.escape("".join(c for c in low if unicodedata.category(c)[0] == "L"))
         digits = re.escape("".join(c for c in low if unicodedata.category(c)[0] == "N"))
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\\s{letters}{digits}]+").findall
-        self.odd = re.compile("[^\x00-˿]|[\x1c-\x1f\x85\xa0İ]|<\\|").search
+        self.far = re.compile("[^\x00-\u02ff]").search
         self.known: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(size)])
 
+    def odd(self, text: str) -> bool:
+        """Whether a text has to go through the tokenizer whole."""
+        if any(map(text.__contains__, ODD)):
+            return True
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.far(text) is not None
+        return False
+
     def learn(self, words: list[str]) -> None:
         """The ids of new words, which the tokenizer sees in one line; a word's last token is marked as such."""
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
         for at in range(0, len(words), 20_000):
             some = words[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some):
                 raise ValueError("a word has no last token")
-            raw, a = ids.tobytes(), 0
-            for word, b in zip(some, (stops * 4).tolist(), strict=True):
-                self.known[word] = raw[a:b]
-                a = b
+            raw, stops = ids.tobytes(), (stops * 4).tolist()
+            self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=False))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        split = {i: self.words(t.lower()) for i, t in enumerate(texts) if not self.odd(t)}
-        new = {w for ws in split.values() for w in ws}.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
+        """The ids of each text.  Words that are not known yet are learnt together."""
+        if len(self.known) > REMEMBERED:
             self.known.clear()
-            new = {w for ws in split.values() for w in ws}
-        self.learn(list(new))
-        for i, ws in split.items():
-            out[i] = b"".join(map(self.known.__getitem__, ws))
+        out: list = [None] * len(texts)
+        split, new, get = {}, set(), self.known.get
         for i, t in enumerate(texts):
-            if out[i] is None:
+            if self.odd(t):
                 out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
+            words = self.words(t.lower())
+            ids = list(map(get, words))
+            gaps = []
+            if None in ids:
+                gaps = [k for k, x in enumerate(ids) if x is None]
+                words = [words[k] for k in gaps]
+                new.update(words)
+            split[i] = ids, gaps, words
+        self.learn(list(new))
+        for i, (ids, gaps, words) in split.items():
+            for k, w in zip(gaps, words, strict=False):
+                ids[k] = self.known[w]
+            out[i] = b"".join(ids)
         return out
 
 

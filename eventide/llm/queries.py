@@ -1,12 +1,14 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import exact_dedup, license_scan, minhash, packing, quality, toxicity
+from . import decontaminate, exact_dedup, html_extract, license_scan, minhash, packing, quality, toxicity
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_packing": packing.op4_packing,
     "op5_minhash": minhash.op5_minhash,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_html_extract": html_extract.op7_html_extract,
     "op9_quality": quality.op9_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
