@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import decontaminate, exact_dedup, html_extract, license_scan, minhash, packing, quality, toxicity
+from . import decontaminate, exact_dedup, html_extract, license_scan, minhash, packing, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_minhash": minhash.op5_minhash,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_html_extract": html_extract.op7_html_extract,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_quality": quality.op9_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
