@@ -198,7 +198,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     at least LENGTH bytes lose all bytes in every row, also where whole rows are repeated.
     """
     runs = written(map_texts(docs, _rank_runs, RUNS), "runs")
-    shared = runs.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    shared = written(runs.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "ranks")
     alive = written(runs.join(shared, "h", "left_semi"), "runs")
     dropped(runs)
     firsts = [F.first(c).alias(c) for c in ("k1", "k2", "s", "n", "d")]
