@@ -1,10 +1,11 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import decontaminate, exact_dedup, html_extract, license_scan, minhash, packing, quality, suffix_dedup, toxicity
+from . import decontaminate, exact_dedup, html_extract, license_scan, minhash, packing, passage_chains, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_passage_chains": passage_chains.op3_passage_chains,
     "op4_packing": packing.op4_packing,
     "op5_minhash": minhash.op5_minhash,
     "op6_decontaminate": decontaminate.op6_decontaminate,
