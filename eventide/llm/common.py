@@ -89,6 +89,25 @@ def map_texts(
     return df.select(*keys, text).mapInArrow(run, from_arrow_schema(schema))
 
 
+def keep_rows(df: DataFrame, keep: Callable[[list[bytes]], list[bool]], text: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, whose texts ``keep`` accepts; no row moves."""
+    place = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, kept, at = byte_texts(batch.column(place)), [], 0
+            while at < len(texts):
+                to, size = at, 0
+                while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK_BYTES):
+                    size += len(texts[to])
+                    to += 1
+                kept += [bool(x) for x in keep(texts[at:to])]
+                at = to
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of unsigned 64-bit numbers that scatters all bits (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import keep_rows, map_texts, table
 from .license_scan import WORD_BYTES
 
 #: Characters of a q-gram; they fill one 64-bit number.
@@ -206,5 +206,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
     return out
 
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with all their columns."""
+    for index in _blocks(benchmark, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        docs = keep_rows(docs, lambda texts, shared=shared: [not x for x in shared.value.matches([normalised(t) for t in texts])])
+    return docs
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

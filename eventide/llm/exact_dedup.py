@@ -220,6 +220,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; of a row that is repeated, one."""
+    body = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    kept = text_owners(docs).select(F.col("keep_id").alias("__id"), F.lower(F.hex("sha")).alias("__sha"))
+    keyed = docs.withColumn("__key", F.sha2(body, 256))
+    out = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["__id"]) & (keyed["__key"] == kept["__sha"]), "left_semi")
+    if out.groupBy("doc_id", "__key").count().where("count > 1").head(1):
+        out = out.dropDuplicates(["doc_id", "__key"])
+    return out.drop("__key")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

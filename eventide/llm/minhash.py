@@ -35,7 +35,7 @@ _A = _RANDOM.randint(0, 1 << 62, BANDS * ROWS).astype(np.uint64) * np.uint64(4)
 _B = _RANDOM.randint(0, 1 << 62, BANDS * ROWS).astype(np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
 SETS = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("sketch", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
 #: Numbers of a sketch: eight bits of each minimum.
 SKETCH = BANDS * ROWS // 8
@@ -82,6 +82,7 @@ def _signed(_, ids, texts):
     sets = [shingle_set(t) for t in texts]
     return {
         "doc_id": ids,
+        "text_hash": np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64),
         "n_shingles": [len(s) for s in sets],
         "node": [set_digest(s) for s in sets],
         "bands": [band_keys(minima(s)) if len(s) else None for s in sets],
@@ -160,7 +161,7 @@ def _resolve(members: DataFrame, sets: DataFrame) -> DataFrame | None:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept, text_hash (Spark's xxhash64).
 
     Null texts and texts without words have an empty set and stand alone; so does a null doc_id's
     row unless its set is shared, and a null id is the smallest of a component only if it has no
@@ -184,10 +185,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rooted = classes.join(stars, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
         least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
         roots = rooted.join(least, "root").select("node", "component_id")
-    return signed.select("doc_id", "n_shingles", "node").join(roots, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept")
+    return signed.select("doc_id", "n_shingles", "node", "text_hash").join(roots, "node", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash"
     )
 
 
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id stands for its component, with all their columns."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(kept["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == kept["__hash"])
+    return docs.join(kept, same, "left_semi")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
