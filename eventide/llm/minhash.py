@@ -1,12 +1,15 @@
 """MinHash near-dedup: universal hash minima, banding, verification and components.
 
 Equal shingle sets form one class, so copies cost nothing further.  Classes that share a band
-are candidates.  In a bucket, every member may be compared with the bucket's centre; it takes
-the centre that it meets in most buckets, so a round compares each node once.  Confirmed links
-are contracted, and buckets that still hold several components go on with other centres.  What
-is then left between different components is compared pair by pair.  A pair inside one component
-needs no comparison, so no link between different texts is lost and no bucket is expanded into
-all its pairs.  Signatures rule out most pairs; every link is confirmed on the full sets.
+are candidates.  How many shingles of a class stand in any other candidate bounds its
+similarity to every one of them; pairs beyond the bound are no candidates.  In a bucket, members
+are compared with a centre, first the one with the smallest share of shingles of its own; a
+member takes the centre that it meets in most buckets, so a round compares each node once.
+Confirmed links are contracted, and buckets that still hold several components go on with other
+centres.  What is then left between different components is compared pair by pair.  A pair inside
+one component needs no comparison, so no link between different texts is lost and no bucket
+is expanded into all its pairs.  Signatures rule out most pairs; every link is confirmed on
+the full sets.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ WORDS, PERCENT = 5, 75
 #: Bands and minima of a band; a pair at 0.75 shares no band once in 190,000 times.
 BANDS, ROWS = 32, 4
 #: Rounds with centres at most, and open pairs for each member at which the pairs are compared at once.
-ROUNDS, OPEN = 6, 1
+ROUNDS, OPEN = 4, 1
 #: Similarity that the signatures must suggest; a pair at 0.75 falls below it about once in ten million times.
 SUGGESTED = 0.53
 
@@ -112,27 +115,38 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(common * 100 >= (F.size("s") + F.size("t") - common) * PERCENT).select("u", "v")
 
 
-def _alike(a: str, b: str):
-    """Sizes that a similar pair can have."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+def _possible(n: str, r: str, m: str, q: str):
+    """Whether sets of n and m shingles, of which r and q stand in other candidates, can be similar enough."""
+    common = F.least(n, r, m, q)
+    return common * 100 >= (F.col(n) + F.col(m) - common) * PERCENT
+
+
+def _shared_counts(sets: DataFrame) -> DataFrame:
+    """(node, r): how many shingles of a node stand in other nodes too; hash collisions only add."""
+    each = sets.select(F.xxhash64("node").alias("id"), F.explode("shingles").alias("s"))
+    common = each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
+    counts = each.join(common, "s", "left_semi").groupBy("id").agg(F.count("*").alias("r"))
+    return sets.select("node", F.xxhash64("node").alias("id")).join(counts, "id").select("node", "r")
 
 
 def _resolve(members: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Links (u, v) that connect every component, or None if there are no candidates.
 
-    ``members``: bucket, node, n; each bucket has two nodes at least.  A root is a node of the
-    same component; a round moves roots to ones of smaller hash, so that no cycle can arise.
+    ``members``: bucket, node, n, r.  A root is a node of the same component; a round moves
+    roots to ones that are smaller in one order of all roots, so that no cycle can arise.
     """
     labels = members.select("node", F.col("node").alias("root")).distinct()
     rooted = members.withColumn("root", F.col("node"))
     total = members.count()
     links: DataFrame | None = None
     for k in range(ROUNDS + 1):
-        order = F.xxhash64("root", F.lit(k))
-        by_root = rooted.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.min("node").alias("node"))
+        one = F.struct("node", "n", "r")
+        by_root = rooted.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.min_by(one, F.xxhash64("node", F.lit(k))).alias("one"))
+        own = F.when(F.lit(k) == 0, 1 - F.col("one.r") / F.col("one.n")).otherwise(0.0)
+        order = F.struct(own.alias("own"), F.xxhash64("root", F.lit(k)).alias("h"))
         buckets = by_root.groupBy("bucket").agg(
             F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count("*").alias("roots"),
-            F.min_by(F.struct("node", "root", order.alias("h")), order).alias("centre"),
+            F.min_by(F.struct("one.node", "one.n", "one.r", "root", order.alias("order")), order).alias("centre"),
         ).where("roots > 1")
         buckets = written(buckets, "buckets")
         open_pairs = buckets.agg(F.sum((F.col("size") * F.col("size") - F.col("squares")) / 2)).first()[0] or 0
@@ -141,11 +155,12 @@ def _resolve(members: DataFrame, sets: DataFrame) -> DataFrame | None:
         last = k == ROUNDS or open_pairs <= OPEN * total
         live = rooted.join(buckets.select("bucket", "centre"), "bucket")
         if last:
-            other = live.select("bucket", F.col("node").alias("v"), F.col("root").alias("root_v"), F.col("n").alias("n_v"))
-            pairs = live.join(other, "bucket").where((F.col("node") < F.col("v")) & (F.col("root") != F.col("root_v")) & _alike("n", "n_v")).select(F.col("node").alias("u"), "v").distinct()
+            left = live.select("bucket", "node", "n", "r", "root")
+            right = live.select("bucket", F.col("node").alias("v"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("root").alias("to"))
+            pairs = left.join(right, "bucket").where((F.col("node") < F.col("v")) & (F.col("root") != F.col("to")) & _possible("n", "r", "m", "q")).select(F.col("node").alias("u"), "v").distinct()
         else:
-            met = live.where(F.col("root") != F.col("centre.root")).groupBy("node", "root", "centre").agg(F.count("*").alias("c"))
-            pairs = met.groupBy("node", "root").agg(F.max_by("centre", F.struct("c", "centre.h")).alias("centre")).select(F.col("node").alias("u"), F.col("centre.node").alias("v"), "root", F.col("centre.root").alias("to"))
+            met = live.where((F.col("root") != F.col("centre.root")) & _possible("n", "r", "centre.n", "centre.r")).groupBy("node", "root", "centre").agg(F.count("*").alias("c"))
+            pairs = met.groupBy("node", "root").agg(F.max_by("centre", F.struct("c", "centre.order")).alias("centre")).select(F.col("node").alias("u"), F.col("centre.node").alias("v"), "root", F.col("centre.root").alias("to"))
         found = _verified(pairs.select("u", "v"), sets)
         if last:
             found = written(found, "links")
@@ -177,7 +192,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     chosen = members.select("node").distinct().join(one, "node").select("doc_id", "node")
     texts = docs.select("doc_id", "text").join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = written(map_texts(texts, _sets, SETS).join(chosen, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "sketch", "shingles"), "sets")
-    links = _resolve(members, sets)
+    shared = members.join(_shared_counts(sets), "node").where(F.col("r") * 100 >= F.col("n") * PERCENT)
+    links = _resolve(written(shared, "members"), sets)
     if links is None:
         roots = classes.select("node", F.col("least").alias("component_id"))
     else:
