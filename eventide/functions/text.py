@@ -110,7 +110,7 @@ def _decimal_references(c: Column) -> Column:
 
 def _character(code: Column) -> Column:
     """A code point as text: its UTF-32 bytes, decoded."""
-    return F.decode(F.unhex(F.lpad(F.hex(code.try_cast("bigint")), 8, "0")), "UTF-32BE")
+    return F.decode(F.unhex(F.lpad(F.hex(code.try_cast("bigint")), 8, "0")), "UTF-32")
 
 
 def humanize(slug: Column) -> Column:
