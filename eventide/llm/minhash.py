@@ -20,15 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, map_texts, mix64, table, written
+from .common import map_texts, mix64, table, written
 from .components import connected_components
 
 #: Words of a shingle, and the similarity in percent from which two sets are linked.
 WORDS, PERCENT = 5, 75
 #: Bands and minima of a band; a pair at 0.75 shares no band once in 190,000 times.
 BANDS, ROWS = 32, 4
-#: Rounds with centres at most, and open pairs for each member at which the pairs are compared at once.
-ROUNDS, OPEN = 4, 1
+#: Rounds with centres before the pairs that are left are compared.
+ROUNDS = 2
 #: Similarity that the signatures must suggest; a pair at 0.75 falls below it about once in ten million times.
 SUGGESTED = 0.53
 
@@ -39,7 +39,7 @@ _B = _RANDOM.randint(0, 1 << 62, BANDS * ROWS).astype(np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
-SETS = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("sketch", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
+SETS = pa.schema([("node", pa.int64()), ("sketch", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
 #: Numbers of a sketch: eight bits of each minimum.
 SKETCH = BANDS * ROWS // 8
 
@@ -92,25 +92,32 @@ def _signed(_, ids, texts):
     }
 
 
-def _sets(_, ids, texts):
+def _sets(_, nodes, digests, texts):
+    """Sets of the texts that have the digest of their class; others share only the doc_id."""
     sets = [shingle_set(t) for t in texts]
-    sketches = [(minima(s) >> np.uint64(24)).astype(np.uint8).view(np.int64) for s in sets]
-    return {"doc_id": ids, "node": [set_digest(s) for s in sets], "sketch": sketches, "shingles": [s.view(np.int64) for s in sets]}
+    rows = [(n, s) for n, d, s in zip(nodes, digests, sets, strict=True) if set_digest(s) == d]
+    return {
+        "node": [n for n, _ in rows],
+        "sketch": [(minima(s) >> np.uint64(24)).astype(np.uint8).view(np.int64) for _, s in rows],
+        "shingles": [s.view(np.int64) for _, s in rows],
+    }
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (u, v) whose sets are similar enough: 100 * intersection >= PERCENT * union.
+def _likely(a: str, b: str):
+    """Whether two sketches suggest similar sets.
 
     Of two different minima, each bit differs with a chance of one half; so the differing bits
-    of two sketches estimate the similarity, and only likely pairs fetch their sets.
+    estimate the similarity.
     """
-    brief = sets.select("node", "sketch")
-    likely = pairs.join(brief.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u").join(brief.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v")
-    apart = sum((F.bit_count(F.col("a")[i].bitwiseXOR(F.col("b")[i])) for i in range(SKETCH)), F.lit(0))
-    likely = likely.where(apart <= int((1 - SUGGESTED) * SKETCH * 32)).select("u", "v")
+    apart = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH)), F.lit(0))
+    return apart <= int((1 - SUGGESTED) * SKETCH * 32)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (u, v) whose sets are similar enough: 100 * intersection >= PERCENT * union."""
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("s"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("t"))
-    both = likely.join(left, "u").join(right, "v")
+    both = pairs.join(left, "u").join(right, "v")
     common = F.size(F.array_intersect("s", "t"))
     return both.where(common * 100 >= (F.size("s") + F.size("t") - common) * PERCENT).select("u", "v")
 
@@ -123,56 +130,42 @@ def _possible(n: str, r: str, m: str, q: str):
 
 def _shared_counts(sets: DataFrame) -> DataFrame:
     """(node, r): how many shingles of a node stand in other nodes too; hash collisions only add."""
-    each = sets.select(F.xxhash64("node").alias("id"), F.explode("shingles").alias("s"))
-    common = each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
-    counts = each.join(common, "s", "left_semi").groupBy("id").agg(F.count("*").alias("r"))
-    return sets.select("node", F.xxhash64("node").alias("id")).join(counts, "id").select("node", "r")
+    each = sets.select("node", F.explode("shingles").alias("s")).select("node", F.hash("s").alias("s"))
+    common = written(each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s"), "common")
+    return each.join(common, "s", "left_semi").groupBy("node").agg(F.count("*").alias("r"))
 
 
-def _resolve(members: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Links (u, v) that connect every component, or None if there are no candidates.
+def _resolve(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) that connect every component.
 
-    ``members``: bucket, node, n, r.  A root is a node of the same component; a round moves
-    roots to ones that are smaller in one order of all roots, so that no cycle can arise.
+    ``members``: bucket, node, n, r, sketch.  A root is a node of the same component; a round
+    moves roots to ones that are smaller in one order of all roots, so that no cycle can arise.
     """
     labels = members.select("node", F.col("node").alias("root")).distinct()
-    rooted = members.withColumn("root", F.col("node"))
-    total = members.count()
     links: DataFrame | None = None
     for k in range(ROUNDS + 1):
-        one = F.struct("node", "n", "r")
-        by_root = rooted.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.min_by(one, F.xxhash64("node", F.lit(k))).alias("one"))
+        rooted = members.join(labels, "node")
+        one = F.struct("node", "n", "r", "sketch")
+        by_root = rooted.groupBy("bucket", "root").agg(F.min_by(one, F.xxhash64("node", F.lit(k))).alias("one"))
         own = F.when(F.lit(k) == 0, 1 - F.col("one.r") / F.col("one.n")).otherwise(0.0)
         order = F.struct(own.alias("own"), F.xxhash64("root", F.lit(k)).alias("h"))
-        buckets = by_root.groupBy("bucket").agg(
-            F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count("*").alias("roots"),
-            F.min_by(F.struct("one.node", "one.n", "one.r", "root", order.alias("order")), order).alias("centre"),
-        ).where("roots > 1")
-        buckets = written(buckets, "buckets")
-        open_pairs = buckets.agg(F.sum((F.col("size") * F.col("size") - F.col("squares")) / 2)).first()[0] or 0
-        if not open_pairs:
-            break
-        last = k == ROUNDS or open_pairs <= OPEN * total
-        live = rooted.join(buckets.select("bucket", "centre"), "bucket")
-        if last:
-            left = live.select("bucket", "node", "n", "r", "root")
-            right = live.select("bucket", F.col("node").alias("v"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("root").alias("to"))
-            pairs = left.join(right, "bucket").where((F.col("node") < F.col("v")) & (F.col("root") != F.col("to")) & _possible("n", "r", "m", "q")).select(F.col("node").alias("u"), "v").distinct()
-        else:
-            met = live.where((F.col("root") != F.col("centre.root")) & _possible("n", "r", "centre.n", "centre.r")).groupBy("node", "root", "centre").agg(F.count("*").alias("c"))
-            pairs = met.groupBy("node", "root").agg(F.max_by("centre", F.struct("c", "centre.order")).alias("centre")).select(F.col("node").alias("u"), F.col("centre.node").alias("v"), "root", F.col("centre.root").alias("to"))
-        found = _verified(pairs.select("u", "v"), sets)
-        if last:
-            found = written(found, "links")
-            links = found if links is None else links.union(found)
-            break
-        found = written(found.join(pairs, ["u", "v"]), "links")
+        buckets = by_root.groupBy("bucket").agg(F.count("*").alias("roots"), F.min_by(F.struct("one.*", "root", order.alias("order")), order).alias("centre")).where("roots > 1")
+        live = rooted.join(written(buckets.select("bucket", "centre"), "buckets"), "bucket")
+        if k == ROUNDS:
+            left = live.select("bucket", "node", "n", "r", "root", "sketch")
+            right = live.select("bucket", F.col("node").alias("v"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("root").alias("to"), F.col("sketch").alias("other"))
+            apart = (F.col("node") < F.col("v")) & (F.col("root") != F.col("to"))
+            pairs = left.join(right, "bucket").where(apart & _possible("n", "r", "m", "q") & _likely("sketch", "other")).select(F.col("node").alias("u"), "v").distinct()
+            return links.union(written(_verified(pairs, sets), "links")) if links is not None else _verified(pairs, sets)
+        centre = {c: F.col(f"centre.{c}") for c in ("node", "n", "r", "sketch", "root", "order")}
+        rows = live.select("node", "n", "r", "sketch", "root", centre["node"].alias("v"), centre["n"].alias("m"), centre["r"].alias("q"), centre["sketch"].alias("other"), centre["root"].alias("to"), centre["order"].alias("order"))
+        met = rows.where((F.col("root") != F.col("to")) & _possible("n", "r", "m", "q") & _likely("sketch", "other")).groupBy("node", "root", "v", "to", "order").agg(F.count("*").alias("c"))
+        pairs = met.groupBy("node", "root").agg(F.max_by(F.struct("v", "to"), F.struct("c", "order")).alias("x")).select(F.col("node").alias("u"), "x.v", "root", "x.to")
+        pairs = written(pairs, "pairs")
+        found = written(_verified(pairs.select("u", "v"), sets).join(pairs, ["u", "v"]), "links")
         links = found.select("u", "v") if links is None else links.union(found.select("u", "v"))
         moved = found.groupBy("root").agg(F.min_by("to", F.xxhash64("to", F.lit(k))).alias("to"))
         labels = written(labels.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
-        rooted = written(members.join(labels, "node"), "rooted")
-        dropped(buckets)
-    return links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -184,23 +177,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     signed = written(map_texts(docs, _signed, SIGNED), "signed")
     full = signed.where("n_shingles > 0")
-    classes = written(full.groupBy("node", "n_shingles").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
-    one = classes.select("node", F.col("least").alias("doc_id"))
-    bands = full.join(one, ["node", "doc_id"], "left_semi").select(F.explode("bands").alias("bucket"), "node", F.col("n_shingles").alias("n"))
-    shared = bands.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("bucket")
+    classes = full.groupBy(F.col("node").alias("digest"), F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("least"))
+    classes = written(classes.withColumn("node", F.xxhash64("digest")), "classes")
+    first = (full["node"] == classes["digest"]) & full["doc_id"].eqNullSafe(classes["least"])
+    bands = full.join(classes.select("digest", "least"), first, "left_semi").select(F.explode("bands").alias("bucket"), F.xxhash64("node").alias("node"))
+    shared = written(bands.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "shared")
     members = written(bands.join(shared, "bucket", "left_semi").distinct(), "members")
-    chosen = members.select("node").distinct().join(one, "node").select("doc_id", "node")
-    texts = docs.select("doc_id", "text").join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = written(map_texts(texts, _sets, SETS).join(chosen, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "sketch", "shingles"), "sets")
-    shared = members.join(_shared_counts(sets), "node").where(F.col("r") * 100 >= F.col("n") * PERCENT)
-    links = _resolve(written(shared, "members"), sets)
-    if links is None:
-        roots = classes.select("node", F.col("least").alias("component_id"))
-    else:
-        stars = connected_components(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
-        rooted = classes.join(stars, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-        least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-        roots = rooted.join(least, "root").select("node", "component_id")
+    chosen = written(members.select("node").distinct().join(classes, "node").select(F.col("least").alias("doc_id"), "node", "digest"), "chosen")
+    chosen = chosen.withColumnRenamed("doc_id", "__id")
+    texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "digest", "text")
+    sets = written(map_texts(texts, _sets, SETS, keys=["node", "digest"]), "sets")
+    if sets.count() > chosen.count():
+        sets = written(sets.dropDuplicates(["node"]), "sets")
+    counted = _shared_counts(sets).join(sets.select("node", F.size("shingles").alias("n"), "sketch"), "node").where(F.col("r") * 100 >= F.col("n") * PERCENT)
+    links = written(_resolve(written(members.join(counted, "node"), "members"), sets), "links")
+    stars = connected_components(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    rooted = classes.join(stars, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    roots = rooted.join(least, "root").select(F.col("digest").alias("node"), "component_id")
     return signed.select("doc_id", "n_shingles", "node", "text_hash").join(roots, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash"
     )
