@@ -18,6 +18,8 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 #: Bytes of text that one call of an operator's function gets at most, unless one text is longer.
 CHUNK_BYTES = 4 << 20
+#: Rows of an Arrow batch of texts; the default of 10,000 can be gigabytes where texts are long.
+BATCH_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +52,12 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session has been told to send texts to Python in small batches."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """A string column's UTF-8 bytes, null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
@@ -86,7 +94,7 @@ def map_texts(
                 )
                 at = to
 
-    return df.select(*keys, text).mapInArrow(run, from_arrow_schema(schema))
+    return small_batches(df).select(*keys, text).mapInArrow(run, from_arrow_schema(schema))
 
 
 def keep_rows(df: DataFrame, keep: Callable[[list[bytes]], list[bool]], text: str = "text") -> DataFrame:
@@ -105,7 +113,7 @@ def keep_rows(df: DataFrame, keep: Callable[[list[bytes]], list[bool]], text: st
                 at = to
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -29,19 +29,20 @@ WORDS, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 #: Rounds with centres before the pairs that are left are compared.
 ROUNDS = 2
-#: Similarity that the signatures must suggest; a pair at 0.75 falls below it about once in ten million times.
-SUGGESTED = 0.53
+#: Bits of a candidate's sketch, one for each of as many other minima, and the similarity that they must suggest;
+#: a pair at 0.75 falls below it (4.8 standard deviations) about once in 500,000 times.
+SKETCH_BITS, SUGGESTED = 1024, 0.65
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RANDOM = np.random.RandomState(20240229)
 _A = _RANDOM.randint(0, 1 << 62, BANDS * ROWS).astype(np.uint64) * np.uint64(4) + np.uint64(1)
 _B = _RANDOM.randint(0, 1 << 62, BANDS * ROWS).astype(np.uint64)
+_C = _RANDOM.randint(0, 1 << 62, SKETCH_BITS).astype(np.uint64) * np.uint64(4) + np.uint64(3)
+_D = _RANDOM.randint(0, 1 << 62, SKETCH_BITS).astype(np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
-SETS = pa.schema([("node", pa.int64()), ("sketch", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
-#: Numbers of a sketch: eight bits of each minimum.
-SKETCH = BANDS * ROWS // 8
+SETS = pa.schema([("node", pa.int64()), ("keys", pa.list_(pa.int32())), ("sketch", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
 
 
 def shingle_set(text: bytes, size: int = WORDS) -> np.ndarray:
@@ -64,16 +65,22 @@ def set_digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
     """The least value of each universal hash function over the set."""
-    out = np.full(len(_A), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 1024):
-        block = shingles[None, at : at + 1024] * _A[:, None]
-        block += _B[:, None]
+    out = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+    wide = (1 << 17) // len(a)
+    for at in range(0, len(shingles), wide):
+        block = shingles[None, at : at + wide] * a[:, None]
+        block += b[:, None]
         np.minimum(out, block.min(1), out=out)
     return out
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """One bit of each of many minima."""
+    return np.packbits((minima(shingles, _C, _D) >> np.uint64(24)).astype(np.uint8) & 1).view(np.int64)
+
+
 def band_keys(lows: np.ndarray) -> np.ndarray:
     out = np.arange(BANDS, dtype=np.uint64)
     for k in range(ROWS):
@@ -98,19 +105,21 @@ def _sets(_, nodes, digests, texts):
     rows = [(n, s) for n, d, s in zip(nodes, digests, sets, strict=True) if set_digest(s) == d]
     return {
         "node": [n for n, _ in rows],
-        "sketch": [(minima(s) >> np.uint64(24)).astype(np.uint8).view(np.int64) for _, s in rows],
+        "keys": [band_keys(minima(s)).astype(np.int32) for _, s in rows],
+        "sketch": [sketch(s) for _, s in rows],
         "shingles": [s.view(np.int64) for _, s in rows],
     }
 
 
 def _likely(a: str, b: str):
-    """Whether two sketches suggest similar sets.
+    """Whether two sketches suggest similar sets: of two different minima, bits differ with a chance of one half."""
+    apart = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    return apart <= int((1 - SUGGESTED) * SKETCH_BITS / 2)
 
-    Of two different minima, each bit differs with a chance of one half; so the differing bits
-    estimate the similarity.
-    """
-    apart = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH)), F.lit(0))
-    return apart <= int((1 - SUGGESTED) * SKETCH * 32)
+
+def _first_common(a: str, b: str):
+    """The first band whose keys are equal; a pair is compared in that bucket alone."""
+    return F.coalesce(*(F.when(F.col(a)[i] == F.col(b)[i], i) for i in range(BANDS)))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -138,7 +147,7 @@ def _shared_counts(sets: DataFrame) -> DataFrame:
 def _resolve(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) that connect every component.
 
-    ``members``: bucket, node, n, r, sketch.  A root is a node of the same component; a round
+    ``members``: bucket, band, node, n, r, sketch, keys.  A root is a node of the same component; a round
     moves roots to ones that are smaller in one order of all roots, so that no cycle can arise.
     """
     labels = members.select("node", F.col("node").alias("root")).distinct()
@@ -152,10 +161,11 @@ def _resolve(members: DataFrame, sets: DataFrame) -> DataFrame:
         buckets = by_root.groupBy("bucket").agg(F.count("*").alias("roots"), F.min_by(F.struct("one.*", "root", order.alias("order")), order).alias("centre")).where("roots > 1")
         live = rooted.join(written(buckets.select("bucket", "centre"), "buckets"), "bucket")
         if k == ROUNDS:
-            left = live.select("bucket", "node", "n", "r", "root", "sketch")
-            right = live.select("bucket", F.col("node").alias("v"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("root").alias("to"), F.col("sketch").alias("other"))
+            left = live.select("bucket", "band", "node", "n", "r", "root", "sketch", "keys")
+            right = live.select("bucket", F.col("node").alias("v"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("root").alias("to"), F.col("sketch").alias("other"), F.col("keys").alias("others"))
             apart = (F.col("node") < F.col("v")) & (F.col("root") != F.col("to"))
-            pairs = left.join(right, "bucket").where(apart & _possible("n", "r", "m", "q") & _likely("sketch", "other")).select(F.col("node").alias("u"), "v").distinct()
+            pairs = left.join(right, "bucket").where(apart & _possible("n", "r", "m", "q") & _likely("sketch", "other") & (_first_common("keys", "others") == F.col("band")))
+            pairs = pairs.select(F.col("node").alias("u"), "v")
             return links.union(written(_verified(pairs, sets), "links")) if links is not None else _verified(pairs, sets)
         centre = {c: F.col(f"centre.{c}") for c in ("node", "n", "r", "sketch", "root", "order")}
         rows = live.select("node", "n", "r", "sketch", "root", centre["node"].alias("v"), centre["n"].alias("m"), centre["r"].alias("q"), centre["sketch"].alias("other"), centre["root"].alias("to"), centre["order"].alias("order"))
@@ -180,7 +190,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = full.groupBy(F.col("node").alias("digest"), F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("least"))
     classes = written(classes.withColumn("node", F.xxhash64("digest")), "classes")
     first = (full["node"] == classes["digest"]) & full["doc_id"].eqNullSafe(classes["least"])
-    bands = full.join(classes.select("digest", "least"), first, "left_semi").select(F.explode("bands").alias("bucket"), F.xxhash64("node").alias("node"))
+    bands = full.join(classes.select("digest", "least"), first, "left_semi").select(F.posexplode("bands").alias("band", "bucket"), F.xxhash64("node").alias("node"))
     shared = written(bands.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "shared")
     members = written(bands.join(shared, "bucket", "left_semi").distinct(), "members")
     chosen = written(members.select("node").distinct().join(classes, "node").select(F.col("least").alias("doc_id"), "node", "digest"), "chosen")
@@ -189,7 +199,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = written(map_texts(texts, _sets, SETS, keys=["node", "digest"]), "sets")
     if sets.count() > chosen.count():
         sets = written(sets.dropDuplicates(["node"]), "sets")
-    counted = _shared_counts(sets).join(sets.select("node", F.size("shingles").alias("n"), "sketch"), "node").where(F.col("r") * 100 >= F.col("n") * PERCENT)
+    counted = _shared_counts(sets).join(sets.select("node", F.size("shingles").alias("n"), "sketch", "keys"), "node").where(F.col("r") * 100 >= F.col("n") * PERCENT)
     links = written(_resolve(written(members.join(counted, "node"), "members"), sets), "links")
     stars = connected_components(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
     rooted = classes.join(stars, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root"))
