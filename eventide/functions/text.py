@@ -89,6 +89,11 @@ def coordinate(c: Column, low: float, high: float) -> Column:
     return F.when(number.between(low, high), number)
 
 
+def _with(c: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def strip_html(c: Column) -> Column:
     """Text without tags; the references that occur in feeds are decoded, white space folded; null if blank."""
     steps = [
@@ -97,7 +102,7 @@ def strip_html(c: Column) -> Column:
     ]
     for pattern, new in steps:
         c = F.regexp_replace(c, pattern, new)
-    return nonempty(F.regexp_replace(F.regexp_replace(_decimal_references(c), r"(?U)\s+", " "), "^ | $", ""))
+    return nonempty(F.regexp_replace(F.regexp_replace(_with(c, _decimal_references), r"(?U)\s+", " "), "^ | $", ""))
 
 
 def _decimal_references(c: Column) -> Column:
@@ -115,6 +120,10 @@ def _character(code: Column) -> Column:
 
 def humanize(slug: Column) -> Column:
     """A slug as a name: words capitalised but for particles, D and L elided before a vowel or H."""
+    return _with(slug, _named)
+
+
+def _named(slug: Column) -> Column:
     words = F.split(F.coalesce(F.try_url_decode(slug), slug), "-")
     named = F.transform(words, lambda w, i: F.when((i > 0) & w.isin(PARTICLES), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))))
     return nonempty(F.regexp_replace(F.array_join(named, " "), r"\b([DL]) (?=[AEIOUH])", "$1'"))

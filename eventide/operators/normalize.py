@@ -112,8 +112,11 @@ def without_restricted_images(records: DataFrame) -> DataFrame:
     return out
 
 
-def agenda_plans(records: DataFrame) -> DataFrame:
-    """Agenda records (all text) to plans with ``category_slugs``; records without code or title are left out."""
+def agenda_plans(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Agenda records (all text) to plans with ``category_slugs``; records without code or title are left out.
+
+    ``keep`` names further columns of the records to carry along.
+    """
     c = F.col
     tag = F.coalesce(c("municipi"), c("comarca_i_municipi"))
     place, region = location_tag(tag), location_tag(c("comarca"))
@@ -121,7 +124,7 @@ def agenda_plans(records: DataFrame) -> DataFrame:
     slugs = agenda_categories(c("tags_mbits"), c("tags_categor_es"), c("tags_altres_categor_es"))
     null = F.lit(None).cast("string")
     rows = rows.select(
-        c("codi").alias("code"), F.lit("event").alias("kind"), F.lit("ca").alias("original_language"), c("denominaci").alias("original_title"),
+        *keep, c("codi").alias("code"), F.lit("event").alias("kind"), F.lit("ca").alias("original_language"), c("denominaci").alias("original_title"),
         filled(c("descripcio")).alias("original_description"), c("denominaci").alias("title_ca"), null.alias("title_es"), strip_html(c("subt_tol")).alias("subtitle_ca"),
         null.alias("subtitle_es"), filled(c("descripcio")).alias("description_ca"), null.alias("description_es"), iso_prefix(c("data_inici")).alias("start_date"),
         iso_prefix(c("data_fi")).alias("end_date"), strip_html(c("horari")).alias("schedule_text"), F.coalesce(yes_no(c("permanent")), F.lit(0)).alias("permanent"),

@@ -19,7 +19,7 @@ NEVER_FILLED = ("id", "fingerprint", "quality_score", "status", "inactive_at", "
 
 
 def upsert_outcomes(incoming: DataFrame, provenance: DataFrame, plans: DataFrame, source_id: int) -> DataFrame:
-    """``incoming`` (pos, record_id, fingerprint, payload, optionally target_id) with plan_id and outcome.
+    """``incoming`` (pos, record_id, fingerprint, payload, optionally target_id) with plan_id, outcome and known.
 
     skipped: known with equal payload; updated: known with another payload, or new but attached to
     a plan with this fingerprint, of the catalogue or of an earlier record of the batch; inserted: the
@@ -41,7 +41,8 @@ def upsert_outcomes(incoming: DataFrame, provenance: DataFrame, plans: DataFrame
     rows = rows.withColumn("outcome", F.when(same, "skipped").when(F.col("opens"), "inserted").otherwise("updated"))
     ids = numbered(rows.where("opens").select("fingerprint", "pos"), plans, "pos").select("fingerprint", F.col("id").alias("new_plan"))
     rows = rows.join(ids, "fingerprint", "left")
-    return rows.withColumn("plan_id", F.coalesce("attached", "new_plan")).drop("turn", "previous", "opens", "known_plan", "old_payload", "print_plan", "attached", "new_plan")
+    rows = rows.withColumns({"plan_id": F.coalesce("attached", "new_plan"), "known": F.col("known_plan").isNotNull() | (F.col("turn") > 1)})
+    return rows.drop("turn", "previous", "opens", "known_plan", "old_payload", "print_plan", "attached", "new_plan")
 
 
 def numbered(rows: DataFrame, existing: DataFrame, by: str) -> DataFrame:
@@ -100,6 +101,33 @@ def reactivate(plans: DataFrame, seen: DataFrame, now: str) -> DataFrame:
     ).select(*plans.columns)
 
 
+def apply_batch(state: dict[str, DataFrame], rows: DataFrame, source_id: int, now: str, preserve: bool = False) -> dict[str, DataFrame]:
+    """State after a batch: ``rows`` are those of ``upsert_outcomes`` with the columns of plans and ``category_slugs``.
+
+    New plans come first; records known with another payload overwrite their plan (the last counts;
+    with ``preserve`` they fill it), records attached to a plan fill it in order of arrival.
+    """
+    plans = state["plans"]
+    taken = [c for c in plans.columns if c in rows.columns and c != "id"]
+    new = rows.where("outcome = 'inserted'").select(F.col("plan_id").alias("id"), *taken)
+    stamps = {"created_at": F.lit(now), "updated_at": F.lit(now)}
+    absent = {c: F.lit(None).cast(plans.schema[c].dataType) for c in plans.columns if c not in new.columns}
+    plans = plans.unionByName(new.withColumns(absent | stamps).select(*(F.col(c).cast(plans.schema[c].dataType) for c in plans.columns)))
+    changed = rows.where("outcome = 'updated'").drop("id").withColumn("id", F.col("plan_id"))
+    filling = changed if preserve else changed.where(~F.col("known"))
+    plans = fill(plans, fold_fills(filling, "id", "pos", [c for c in taken if c not in NEVER_FILLED]), now)
+    if not preserve:
+        last = changed.where("known").withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.col("pos").desc()))).where("_n = 1")
+        plans = overwrite(plans, last.select("id", *taken), now)
+    plans = reactivate(plans, rows.where((F.col("outcome") == "skipped") & (F.col("status") == "active")).select(F.col("plan_id").alias("id")), now)
+    slugs = rows.where("outcome <> 'skipped'").select("plan_id", F.explode("category_slugs").alias("slug"))
+    return state | {
+        "plans": plans,
+        "plan_sources": merge_provenance(state["plan_sources"], rows, source_id, now),
+        "plan_categories": link_categories(state["plan_categories"], slugs, state["categories"]),
+    }
+
+
 def merge_provenance(provenance: DataFrame, rows: DataFrame, source_id: int, now: str) -> DataFrame:
     """Provenance after a batch of ``upsert_outcomes``: new links, new payloads, and last-seen times of all."""
     last = rows.withColumn("_r", F.row_number().over(Window.partitionBy("record_id").orderBy(F.col("pos").desc()))).where("_r = 1")
