@@ -185,6 +185,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     row unless its set is shared, and a null id is the smallest of a component only if it has no
     other.  Rows with equal sets are always linked, rows with equal ids only through their sets.
     """
+    spark = docs.sparkSession
     signed = written(map_texts(docs, _signed, SIGNED), "signed")
     full = signed.where("n_shingles > 0")
     classes = full.groupBy(F.col("node").alias("digest"), F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("least"))
@@ -199,8 +200,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = written(map_texts(texts, _sets, SETS, keys=["node", "digest"]), "sets")
     if sets.count() > chosen.count():
         sets = written(sets.dropDuplicates(["node"]), "sets")
+    # Dealt once by node and kept; a lost part is made anew from the stored table.
+    sets = sets.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").persist()
     counted = _shared_counts(sets).join(sets.select("node", F.size("shingles").alias("n"), "sketch", "keys"), "node").where(F.col("r") * 100 >= F.col("n") * PERCENT)
     links = written(_resolve(written(members.join(counted, "node"), "members"), sets), "links")
+    sets.unpersist()
     stars = connected_components(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
     rooted = classes.join(stars, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
