@@ -195,7 +195,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = written(bands.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "shared")
     members = written(bands.join(shared, "bucket", "left_semi").distinct(), "members")
     chosen = written(members.select("node").distinct().join(classes, "node").select(F.col("least").alias("doc_id"), "node", "digest"), "chosen")
-    chosen = chosen.withColumnRenamed("doc_id", "__id")
+    # What is chosen grows with the input, so the texts go to it in the same way at every size.
+    chosen = chosen.withColumnRenamed("doc_id", "__id").hint("merge")
     texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "digest", "text")
     sets = written(map_texts(texts, _sets, SETS, keys=["node", "digest"]), "sets")
     if sets.count() > chosen.count():
