@@ -91,6 +91,22 @@ def test_fuzzy_passages(spark):
     assert passage_chains.fuzzy_passages(documents(spark, [])).count() == 0
 
 
+def test_two_passages_near_each_other(spark):
+    """Both of two exact passages with other words between them are found, however short the gap."""
+    rows, expected = [], {}
+    for i, (first, gap, second) in enumerate([(55, 40, 55), (60, 50, 60), (80, 60, 80), (45, 40, 90), (55, 40, 20)] * 6):
+        one, two = prose(1000 + i, first), prose(2000 + i, second)
+        for side in (0, 1):
+            rows.append((2 * i + side, " ".join([prose(3000 + 2 * i + side, 30), one, prose(4000 + 2 * i + side, gap), two, prose(5000 + 2 * i + side, 30)])))
+        expected[2 * i] = [(30, first)] + [(30 + first + gap, second)] * (second >= passage_chains.MIN_WORDS)
+    got = passage_chains.fuzzy_passages(documents(spark, rows)).collect()
+    assert all({r["doc_id"] // 2, r["owner_id"] // 2} == {r["doc_id"] // 2} and r["similarity"] >= 0.75 for r in got)
+    for doc, parts in expected.items():
+        found = [r for r in got if r["doc_id"] == doc]
+        for start, n in parts:
+            assert any(r["start_word"] <= start + 3 and r["start_word"] + r["n_words"] >= start + n - 3 for r in found), (doc, start, n, found)
+
+
 def edit(text, r, n):
     out = bytearray(text)
     for _ in range(n):
