@@ -107,6 +107,21 @@ def test_two_passages_near_each_other(spark):
             assert any(r["start_word"] <= start + 3 and r["start_word"] + r["n_words"] >= start + n - 3 for r in found), (doc, start, n, found)
 
 
+def test_passages_whose_parts_have_other_owners(spark):
+    """Two documents share two lines that each also stand in smaller and larger documents, but never together."""
+    rows, pairs = [], []
+    for g in range(12):
+        one, two = prose(100 + g, 30), prose(200 + g, 30)
+        a, b = 1000 + 2 * g, 5000 + 2 * g
+        for doc, text in ((a, one + " " + two), (b, one + " " + two), (10 + g, one), (9000 + g, one), (50 + g, two), (9100 + g, two)):
+            rows.append((doc, " ".join([prose(10_000 + doc, 40), text, prose(30_000 + doc, 40)])))
+        pairs.append((a, b))
+    got = passage_chains.fuzzy_passages(documents(spark, rows)).collect()
+    found = {(r["doc_id"], r["owner_id"]): r for r in got if r["n_words"] >= 60}
+    assert all((a, b) in found and (b, a) in found for a, b in pairs)
+    assert {x for pair in found for x in pair} == {x for pair in pairs for x in pair}
+
+
 def edit(text, r, n):
     out = bytearray(text)
     for _ in range(n):
