@@ -122,6 +122,39 @@ def test_passages_whose_parts_have_other_owners(spark):
     assert {x for pair in found for x in pair} == {x for pair in pairs for x in pair}
 
 
+def similarity(x, y):
+    """By plain edit distance of words."""
+    row = list(range(len(y) + 1))
+    for i, w in enumerate(x, 1):
+        new = [i]
+        for j, v in enumerate(y, 1):
+            new.append(min(row[j - 1] + (v != w), row[j] + 1, new[-1] + 1))
+        row = new
+    return 1 - row[-1] / max(len(x), len(y))
+
+
+def test_edited_passages_are_found(spark):
+    """Of passages with one word in nine changed, or some changed, left out and put in, nearly all have a row."""
+    r, rows, kinds = random.Random(5), [], {}
+    for i in range(120):
+        x = prose(40_000 + i, 60).split()
+        if i % 3 == 0:
+            y = [w if j % 9 != 4 else f"new{j}" for j, w in enumerate(x)]
+        elif i % 3 == 1:
+            y = [f"new{j}" if r.random() < 0.15 else w for j, w in enumerate(x)]
+        else:
+            y = [v for j, w in enumerate(x) if (u := r.random()) >= 0.05 for v in ([w, f"new{j}"] if u < 0.1 else [w])]
+        if similarity(x, y) >= 0.8:
+            kinds[i] = i % 3
+            rows += [(2 * i, " ".join([prose(50_000 + i, 40), *x, prose(60_000 + i, 40)])), (2 * i + 1, " ".join([prose(70_000 + i, 40), *y, prose(80_000 + i, 40)]))]
+    got = passage_chains.fuzzy_passages(documents(spark, rows)).collect()
+    assert all(r["doc_id"] // 2 == r["owner_id"] // 2 for r in got)
+    found = {r["doc_id"] // 2 for r in got if r["start_word"] < 100 and r["start_word"] + r["n_words"] > 40}
+    for kind in range(3):
+        of = [i for i, k in kinds.items() if k == kind]
+        assert len(of) >= 25 and len(found & set(of)) >= 0.9 * len(of), (kind, len(of), len(found & set(of)))
+
+
 def edit(text, r, n):
     out = bytearray(text)
     for _ in range(n):
