@@ -41,6 +41,9 @@ SIBLINGS = {
     "body": ({"head"}, {"html"}),
 }
 
+#: Start tags that may stand in a head; any other, or text, ends an open one.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+
 SCOPES = frozenset("article main nav aside header footer form section td body".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
@@ -91,6 +94,8 @@ def leaf_blocks(page: str) -> list[Block]:
 
     def add(text: str):
         nonlocal held
+        if stack and stack[-1][0] == "head" and text.strip(" \t\n\f\r"):
+            shut(len(stack) - 1)
         if text and not unseen:
             if held is None or not parts:
                 held = tuple(stack)
@@ -124,6 +129,8 @@ def leaf_blocks(page: str) -> list[Block]:
                     shut(depth)
                     break
             continue
+        if stack and stack[-1][0] == "head" and name not in IN_HEAD:
+            shut(len(stack) - 1)
         if name == "br":
             add(" ")
         if name in CLOSES_P and any(n == "p" for n, _, _ in stack):

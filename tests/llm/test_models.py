@@ -172,6 +172,14 @@ def test_blocks_of_broken_html():
     assert texts("<p title='a>b'>x</p>") == ["x"]
 
 
+def test_head_without_end_tag():
+    texts = lambda h: [b.text for b in html_extract.leaf_blocks(h)]
+    assert texts("<html><head><title>x</title><p>a<p>b") == ["a", "b"]
+    assert texts("<head><meta charset=utf-8><link href=y>\n<style>z</style><script>s</script>a<div>b") == ["a", "b"]
+    assert texts("<head><template><p>x</p></template><noscript><p>y</p></noscript><span>a</span>b") == ["ab"]
+    assert texts("<head><title>x</title></head><body>a") == ["a"]
+
+
 def test_field_on_unseen_pages_and_viterbi():
     field = html_extract.default_field()
     right = total = 0
