@@ -1,4 +1,4 @@
-"""Suffix-array dedup: rank doubling over sparse positions.
+"""Substring dedup by content hashes of anchored positions, in place of a suffix array by rank doubling.
 
 A byte is removed if a string of LENGTH bytes covers it that also starts elsewhere.  Sorting all
 suffixes by doubling moves every position several times, so positions are thinned first: every
