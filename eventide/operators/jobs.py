@@ -98,9 +98,11 @@ def import_feed(feed: DataFrame, st: State, now: datetime, days: int = 90, sourc
     first, last = clock.horizon(now, days)
     rows = settled(feeds.funnel(feed, first, last, list(denied), brand))
     seen = rows.where("seen").select("event_id")
-    kept = rows.where("reason is null").drop("province").withColumn("province", F.col("place.province"))
+    named = "coalesce(cast(event_id as string), '') <> '' and coalesce(title, '') <> ''"
+    #: Denied rows leave only after inventory and variants are found: they count in a group and can be a main event.
+    kept = rows.where(f"(reason is null or reason = 'denied') and {named}").drop("province").withColumn("province", F.col("place.province"))
     kept = settled(feeds.without_recurring(kept, feeds.recurring_inventory(kept)))
-    kept = settled(kept.join(feeds.product_variants(kept).select("event_id"), "event_id", "left_anti"))
+    kept = settled(kept.join(feeds.product_variants(kept).select("event_id"), "event_id", "left_anti").where("reason is null"))
     plans = settled(normalize.feed_plans(kept))
     foreign = st["plan_sources"].join(st["sources"].where(F.col("key") == other).select(F.col("id").alias("source_id")), "source_id", "left_semi")
     others = st["plans"].join(foreign.select(F.col("plan_id").alias("id")), "id", "left_semi")

@@ -78,6 +78,12 @@ def test_feed_import_merges_repeats_and_reconciles(spark, empty, tmp_path):
     assert lost["plan_sources"].count() == 2
 
 
+def test_variant_of_a_denied_event_and_rows_without_a_name(spark, empty, tmp_path):
+    records = feed(spark, tmp_path, "f.json", {}, {"eventName": "Concert | Paquetes VIP"}, {"eventName": ""}, {"eventName": "Ball"})
+    after, _, _ = jobs.import_feed(records, empty, NOW, denied=("e0",))
+    assert [r["original_title"] for r in after["plans"].collect()] == ["Ball"]
+
+
 def test_image_sync(spark, empty, tmp_path):
     st = stored(spark, jobs.import_feed(feed(spark, tmp_path, "f.json", {}), empty, NOW)[0], tmp_path / "a")
     offered = spark.createDataFrame([("e0", "https://i/1", "16_9", 640, 360, 0, None), ("e0", "https://i/2", "16_9", 1136, 639, 0, "by")], "event_id string, url string, ratio string, width int, height int, is_fallback int, attribution string")
