@@ -6,6 +6,7 @@ Everything that is kept between jobs lies in the folder that the session's
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,8 +19,8 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 #: Bytes of text that one call of an operator's function gets at most, unless one text is longer.
 CHUNK_BYTES = 4 << 20
-#: Rows of an Arrow batch of texts; the default of 10,000 can be gigabytes where texts are long.
-BATCH_ROWS = 512
+#: Bytes of an Arrow batch of texts.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only if the session names none, as in tests."""
+    """The shared folder that the session names.
+
+    Only a local session, whose tasks run in the driver, gets a temporary one if it names none.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="eventide-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -53,11 +59,24 @@ def dropped(df: DataFrame) -> None:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after its session has been told to send texts to Python in small batches."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """``df``, after its session has been told to send at most BATCH_BYTES to Python at once.
+
+    Spark has no such setting for one query alone; it changes no result, and a lower one is kept.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) != str(BATCH_BYTES) and int(re.match(r"\d+", conf.get(name))[0]) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
     return df
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, in any case of letters, and that does not begin one."""
+    taken = [c.lower() for df in frames for c in df.columns]
+    while any(c.startswith(name) for c in taken):
+        name = "_" + name
+    return name
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """A string column's UTF-8 bytes, null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -3,8 +3,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from eventide.llm import components, exact_dedup, minhash
 
@@ -37,16 +40,65 @@ def test_drop_copies_leaves_one_row(spark):
     assert kept.columns == documents(spark, []).columns
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.binary(max_size=6), st.integers(0, 9)), max_size=40), st.sampled_from([1, 8, 1 << 20]))
+KEYS = st.one_of(st.binary(max_size=6), st.builds(lambda n, m, end: b"p" * n + b"q" * m + end, st.sampled_from([0, 3, 900, 901]), st.integers(0, 700), st.binary(max_size=3)))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(KEYS, st.integers(0, 9)), max_size=40), st.sampled_from([1, 8, 200, 1500, 1 << 20]))
 def test_trie_equals_dict(items, most):
     trie, want = exact_dedup.PatriciaTrie(most), {}
     for key, i in items:
-        trie.insert(key, (i, 1, key))
+        trie.insert(key, (i, 1, key, 1))
         low, n = want.get(key, (i, 0))
         want[key] = (min(low, i), n + 1)
     got = [(k, v[0], v[1]) for k, v in trie.items()]
     assert sorted(got) == sorted((k, *v) for k, v in want.items())
+    assert trie.folder is None
+
+
+@pytest.mark.parametrize("shared", [0, 3_000, 100_000])
+def test_trie_spills_long_keys_and_long_shared_heads(shared):
+    r = random.Random(shared)
+    head = r.randbytes(shared)
+    keys = [head + r.randbytes(r.choice([0, 1, 40, 6_000, 50_000])) for _ in range(60)] + [head[: i * 1_000] for i in range(shared // 1_000)]
+    trie = exact_dedup.PatriciaTrie(2_000)
+    for turn in range(3):
+        for i, key in enumerate(keys):
+            trie.insert(key, (i - turn, 1, None, 1))
+    want = {}
+    for i, key in enumerate(keys):
+        want[key] = (min(i - 2, want.get(key, (i, 0))[0]), want.get(key, (i, 0))[1] + 3)
+    got = {k: v[:2] for k, v in trie.items()}
+    assert got == want
+
+
+def test_trie_of_one_key_beyond_its_memory():
+    trie = exact_dedup.PatriciaTrie(2_000)
+    for i in range(4):
+        trie.insert(b"x" * 6_000, (i, 1, None, 1))
+    assert [(k, v) for k, v in trie.items()] == [(b"x" * 6_000, (0, 4, None, 1))]
+
+
+def test_spilled_partitions_give_the_same_result(spark, monkeypatch):
+    """Workers read the module anew, so the limits reach them through the trie's default."""
+    rows = [(i, prose(1, 800) + prose(2 + i % 5, 30 * (i % 7))) for i in range(60)]
+    real = exact_dedup.PatriciaTrie.__init__
+    monkeypatch.setattr(exact_dedup.PatriciaTrie, "__init__", lambda self, most=2_000: real(self, most))
+    parts = list(exact_dedup._fold(iter([pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})])))
+    picked = [p.select(["sha", "body", "least", "n", "same"]) for p in parts]
+    got = {r["sha"]: (r["keep_id"], r["group_size"]) for b in exact_dedup._own(iter(picked)) for r in b.to_pylist()}
+    want = defaultdict(list)
+    for i, t in rows:
+        want[hashlib.sha256(t.encode()).digest()].append(i)
+    assert got == {k: (min(v), len(v)) for k, v in want.items()}
+
+
+def test_drop_copies_keeps_columns_with_its_own_names(spark):
+    docs = documents(spark, EDGES)
+    for name in ("__key", "key", "_key", "owner", "__id", "__sha", "same", "KEEP_ID"):
+        docs = docs.withColumn(name, F.lit(name))
+    rows = exact_dedup.drop_copies(docs)
+    assert rows.columns == docs.columns and {r["__key"] for r in rows.collect()} == {"__key"}
 
 
 def brute_near(rows):
