@@ -46,9 +46,13 @@ IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript
 
 SCOPES = frozenset("article main nav aside header footer form section td body".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: Where a tag's attributes end, or a quoted value begins.
+_STOP = re.compile(r"""=\s*(["'])|>""")
 _MARK = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]{2,}")
+#: Zeros before a numeric reference's number, and numbers beyond any character.
+_ZEROS, _HUGE = re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])"), re.compile(r"&#(?:[xX][0-9a-fA-F]{7,}|[0-9]{8,});?")
 
 PAGES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
@@ -67,38 +71,121 @@ def _marks(attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+class Element:
+    """An open element: its name and marks with those of all elements around it, as far as ``known`` has their features."""
+
+    __slots__ = ("inner", "marks", "name", "parent", "scope", "tags")
+
+    def __init__(self, name: str, marks: tuple[str, ...], around: Element | None, known: dict | None):
+        self.name = name
+        tags, held = (around.tags, around.marks) if around else (frozenset(), frozenset())
+        new = {m for m in marks if m not in held and (known is None or f"c:{m}" in known)}
+        self.marks = held | new if new else held
+        self.tags = tags if name in tags or known is not None and f"t:{name}" not in known else tags | {name}
+        inline = name in INLINE
+        self.parent = (around.parent if around else "") if inline else name
+        self.scope = name if name in SCOPES else around.scope if around else ""
+        #: How many of it and the elements around it are no inline elements.
+        self.inner = (around.inner if around else 0) + (not inline)
+
+
+#: What stands around all elements of a page.
+_PAGE = Element("", (), None, {})
+
+
 class Block:
-    __slots__ = ("linked", "marks", "tags", "text")
+    __slots__ = ("linked", "marks", "parent", "scope", "tags", "text")
+
+    def __init__(self, text: str, inside: Element, linked: int):
+        self.text, self.linked = text, linked
+        self.tags, self.marks, self.parent, self.scope = inside.tags, inside.marks, inside.parent, inside.scope
 
-    def __init__(self, text: str, tags: tuple, marks: frozenset, linked: int):
-        self.text, self.tags, self.marks, self.linked = text, tags, marks, linked
 
+def _decoded(text: str) -> str:
+    """Character references decoded and white space folded."""
+    if "&#" in text:
+        text = _HUGE.sub("\ufffd", _ZEROS.sub(r"&#\1", text))
+    return " ".join(html.unescape(text).split())
 
-def leaf_blocks(page: str) -> list[Block]:
-    """The blocks of a page in order, with character references decoded and white space folded."""
+
+class _Tags:
+    """Finds the tags of a page from left to right.
+
+    Every character is passed a bounded number of times.  A quoted value that is never closed ends its tag
+    at the next '>'; where there is none, '<' is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.closed = page, True
+        #: Places of quotation marks from which no tag ends.
+        self.open_quotes: set[int] = set()
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """The next one from ``at`` on: (start, end, closing, name, attributes); comments have no name."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith(("<!--", "<![CDATA[", "<!", "<?"), start):
+                mark, size = ("-->", 4) if page.startswith("--", start + 2) else ("]]>", 9) if page.startswith("[CDATA[", start + 2) else (">", 2)
+                end = page.find(mark, start + size)
+                return start, end + len(mark) if end >= 0 else len(page), False, "", ""
+            first = page.find(">", start) if self.closed else -1
+            self.closed = first >= 0
+            if self.closed and (found := _NAME.match(page, start)):
+                end = self._end(found.end(), first)
+                return start, end + 1, bool(found[1]), found[2].lower(), page[found.end() : end]
+            at = start + 1
+        return None
+
+    def _end(self, at: int, first: int) -> int:
+        """Where the tag's '>' stands: the first one outside of quoted values, else the ``first`` of all."""
+        passed = []
+        while True:
+            stop = _STOP.search(self.page, at)
+            if not stop:
+                break
+            if not stop[1]:
+                return stop.start()
+            quote = stop.end() - 1
+            if quote in self.open_quotes:
+                break
+            passed.append(quote)
+            close = self.page.find(stop[1], quote + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.open_quotes.update(passed)
+        return first
+
+
+def leaf_blocks(page: str, known: dict | None = None) -> list[Block]:
+    """The blocks of a page in order, with character references decoded and white space folded.
+
+    ``known`` are the names of the features that matter; all do by default.  Time grows with the page's length,
+    however its elements nest or stay open.
+    """
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple, bool]] = []
+    stack: list[Element] = [_PAGE]
+    places: dict[str, list[int]] = {}
     parts: list[str] = []
     links: list[str] = []
     links_open = unseen = at = 0
-    held: tuple | None = None
+    held = _PAGE
 
     def flush():
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = _decoded("".join(parts))
             if text:
-                tags = tuple(n for n, _, _ in held)
-                blocks.append(Block(text, tags, frozenset(m for _, ms, _ in held for m in ms), len(" ".join(html.unescape("".join(links)).split()))))
+                blocks.append(Block(text, held, len(_decoded("".join(links)))))
             parts.clear()
             links.clear()
 
     def add(text: str):
         nonlocal held
-        if stack and stack[-1][0] == "head" and text.strip(" \t\n\f\r"):
+        if stack[-1].name == "head" and text.strip(" \t\n\f\r"):
             shut(len(stack) - 1)
         if text and not unseen:
-            if held is None or not parts:
-                held = tuple(stack)
+            if not parts:
+                held = stack[-1]
             parts.append(text)
             if links_open:
                 links.append(text)
@@ -106,57 +193,52 @@ def leaf_blocks(page: str) -> list[Block]:
     def shut(depth: int):
         nonlocal unseen, links_open
         while len(stack) > depth:
-            name, _, _ = stack.pop()
+            name = stack.pop().name
+            places[name].pop()
             unseen -= name in UNSEEN
             links_open -= name == "a"
 
-    while True:
-        tag = _TAG.search(page, at)
-        if not tag:
-            add(page[at:])
-            break
-        add(page[at : tag.start()])
-        at = tag.end()
-        name = tag[2]
+    def deepest(names) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+    tags = _Tags(page)
+    while tag := tags.after(at):
+        start, end, closing, name, attributes = tag
+        add(page[at:start])
+        at = end
         if not name:
             continue
-        name = name.lower()
         if name not in INLINE:
             flush()
-        if tag[1]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    shut(depth)
-                    break
+        if closing:
+            if places.get(name):
+                shut(places[name][-1])
             continue
-        if stack and stack[-1][0] == "head" and name not in IN_HEAD:
+        if stack[-1].name == "head" and name not in IN_HEAD:
             shut(len(stack) - 1)
         if name == "br":
             add(" ")
-        if name in CLOSES_P and any(n == "p" for n, _, _ in stack):
-            depth = max(i for i, x in enumerate(stack) if x[0] == "p")
-            if all(n in INLINE for n, _, _ in stack[depth + 1 :]):
-                shut(depth)
+        if name in CLOSES_P and (p := deepest(("p",))) and stack[-1].inner == stack[p].inner:
+            shut(p)
         if name in SIBLINGS:
             ends, bounds = SIBLINGS[name]
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in bounds:
-                    break
-                if stack[depth][0] in ends:
-                    shut(depth)
-                    break
-        if name in VOID or tag[3].rstrip().endswith("/") and name not in INLINE and name not in CLOSES_P:
+            bound = deepest(bounds)
+            while (depth := deepest(ends)) > bound:
+                shut(depth)
+        if name in VOID or attributes.rstrip().endswith("/") and name not in INLINE and name not in CLOSES_P:
             continue
-        stack.append((name, _marks(tag[3]), False))
+        places.setdefault(name, []).append(len(stack))
+        stack.append(Element(name, _marks(attributes), stack[-1], known))
         unseen += name in UNSEEN
         links_open += name == "a"
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*/?>", re.I).search(page, at)
+            last = re.compile(rf"</{name}\s*/?>", re.I).search(page, at)
             if name == "textarea" and not unseen:
-                add(page[at : end.start() if end else len(page)])
+                add(page[at : last.start() if last else len(page)])
                 flush()
-            at = end.end() if end else len(page)
+            at = last.end() if last else len(page)
             shut(len(stack) - 1)
+    add(page[at:])
     flush()
     return blocks
 
@@ -164,10 +246,9 @@ def leaf_blocks(page: str) -> list[Block]:
 def features(block: Block, number: int) -> list[str]:
     """Names of a block's features."""
     text, words = block.text, block.text.count(" ") + 1
-    out = [f"t:{t}" for t in set(block.tags)] + [f"c:{m}" for m in block.marks]
-    parent = next((t for t in reversed(block.tags) if t not in INLINE), "")
-    out.append(f"p:{parent}")
-    out.append(f"scope:{next((t for t in reversed(block.tags) if t in SCOPES), '')}")
+    out = [f"t:{t}" for t in block.tags] + [f"c:{m}" for m in block.marks]
+    out.append(f"p:{block.parent}")
+    out.append(f"scope:{block.scope}")
     out.append(f"words:{min(6, words.bit_length())}")
     out.append(f"links:{min(3, 4 * block.linked // max(1, len(text)))}")
     out.append(f"stops:{min(3, sum(map(text.count, '.!?')))}")
@@ -319,7 +400,7 @@ class ChainField:
         return out[::-1]
 
     def extract(self, page: str) -> str:
-        blocks = leaf_blocks(page)
+        blocks = leaf_blocks(page, self.plain)
         return " ".join(b.text for b, main in zip(blocks, self.label(blocks), strict=True) if main)
 
 
@@ -341,33 +422,10 @@ def train(pages: list[tuple[str, list[bool]]], rounds: int = 250, ridge: float =
         for t, row in enumerate(fs):
             x[i, t, [names[f] for f in row if f in names]] = 1
     weights, links = np.zeros(len(names)), np.zeros((2, 2))
-    gold = np.zeros((2, 2))
-    both = mask[:, 1:]
-    for a in (0, 1):
-        for b in (0, 1):
-            gold[a, b] = ((y[:, :-1] == a) & (y[:, 1:] == b) & both).sum()
     moments = [np.zeros(len(names) + 4), np.zeros(len(names) + 4)]
     for step in range(1, rounds + 1):
-        s = np.zeros((n, most, 2))
-        s[..., 1] = x @ weights
-        forward, backward = np.zeros_like(s), np.zeros_like(s)
-        forward[:, 0] = s[:, 0]
-        for t in range(1, most):
-            new = np.logaddexp(forward[:, t - 1, :1] + links[0], forward[:, t - 1, 1:] + links[1]) + s[:, t]
-            forward[:, t] = np.where(mask[:, t, None], new, forward[:, t - 1])
-        for t in range(most - 2, -1, -1):
-            v = s[:, t + 1] + backward[:, t + 1]
-            new = np.stack([np.logaddexp(links[a, 0] + v[:, 0], links[a, 1] + v[:, 1]) for a in (0, 1)], 1)
-            backward[:, t] = np.where(mask[:, t + 1, None], new, backward[:, t])
-        whole = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
-        p = np.exp(forward[..., 1] + backward[..., 1] - whole[:, None]) * mask
-        grad = np.einsum("nt,ntf->f", (y * mask - p), x) - ridge * n / 10 * weights
-        pair = np.zeros((2, 2))
-        for a in (0, 1):
-            for b in (0, 1):
-                z = forward[:, :-1, a] + links[a, b] + s[:, 1:, b] + backward[:, 1:, b] - whole[:, None]
-                pair[a, b] = np.exp(np.where(both, z, -np.inf)).sum()
-        g = np.concatenate([grad, (gold - pair - ridge * links).ravel()]) / n
+        _, grad, pair = likelihood(x, y, mask, weights, links)
+        g = np.concatenate([grad - ridge * n / 10 * weights, (pair - ridge * links).ravel()]) / n
         moments[0] = 0.9 * moments[0] + 0.1 * g
         moments[1] = 0.99 * moments[1] + 0.01 * g * g
         move = rate * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
@@ -376,6 +434,36 @@ def train(pages: list[tuple[str, list[bool]]], rounds: int = 250, ridge: float =
     return ChainField(names, weights, links)
 
 
+def likelihood(x: np.ndarray, y: np.ndarray, mask: np.ndarray, weights: np.ndarray, links: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood of the labels y of all chains, and its gradients by weights and by links.
+
+    ``x`` has the features of each page's blocks, ``mask`` tells which blocks there are.
+    """
+    n, most = mask.shape
+    both = mask[:, 1:]
+    s = np.zeros((n, most, 2))
+    s[..., 1] = x @ weights
+    forward, backward = np.zeros_like(s), np.zeros_like(s)
+    forward[:, 0] = s[:, 0]
+    for t in range(1, most):
+        new = np.logaddexp(forward[:, t - 1, :1] + links[0], forward[:, t - 1, 1:] + links[1]) + s[:, t]
+        forward[:, t] = np.where(mask[:, t, None], new, forward[:, t - 1])
+    for t in range(most - 2, -1, -1):
+        v = s[:, t + 1] + backward[:, t + 1]
+        new = np.stack([np.logaddexp(links[a, 0] + v[:, 0], links[a, 1] + v[:, 1]) for a in (0, 1)], 1)
+        backward[:, t] = np.where(mask[:, t + 1, None], new, backward[:, t])
+    whole = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
+    p = np.exp(forward[..., 1] + backward[..., 1] - whole[:, None]) * mask
+    pair, gold = np.zeros((2, 2)), np.zeros((2, 2))
+    for a in (0, 1):
+        for b in (0, 1):
+            gold[a, b] = ((y[:, :-1] == a) & (y[:, 1:] == b) & both).sum()
+            z = forward[:, :-1, a] + links[a, b] + s[:, 1:, b] + backward[:, 1:, b] - whole[:, None]
+            pair[a, b] = np.exp(np.where(both, z, -np.inf)).sum()
+    value = float((s[..., 1] * y * mask).sum() + (gold * links).sum() - whole.sum())
+    return value, np.einsum("nt,ntf->f", y * mask - p, x), gold - pair
+
+
 @lru_cache(1)
 def default_field() -> ChainField:
     """The field trained on ``training_pages``; its size doesn't depend on the data it is used on."""
@@ -385,7 +473,8 @@ def default_field() -> ChainField:
 def extract_pages(pages: DataFrame, field: ChainField | None = None) -> DataFrame:
     """One row for each row of ``pages``: page_id, url, text, n_chars (code points).
 
-    A null or empty page has the text ''.  Nothing is dropped or capped; repeated rows repeat.
+    A null or empty page has the text ''.  Nothing is dropped or capped; repeated rows repeat.  Bytes that are
+    no UTF-8 become U+FFFD.  Time is proportional to the length of a page, whatever it holds.
     """
     shared = pages.sparkSession.sparkContext.broadcast(field or default_field())
 

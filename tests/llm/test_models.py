@@ -1,8 +1,11 @@
+import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -197,3 +200,65 @@ def test_field_on_unseen_pages_and_viterbi():
 
     best = max((tuple(n >> i & 1 for i in range(len(blocks))) for n in range(1 << len(blocks))), key=value)
     assert abs(value([int(x) for x in field.label(blocks)]) - value(best)) < 1e-9
+
+
+HEAVY = {
+    "open tags": lambda n: "<a " * (n // 3), "open tags and one end": lambda n: "<a " * (n // 3) + ">x", "nested": lambda n: "<div>x" * (n // 6), "open quotes": lambda n: '<a href="' * (n // 9),
+    "ends in quotes": lambda n: '<a t=">" ' * (n // 9) + '"', "both quotes": lambda n: """<a b='>" c="'>""" * (n // 14), "paragraphs": lambda n: "<p><b>" * (n // 6), "blocks in a paragraph": lambda n: "<p><object>" + "<div>" * (n // 5),
+    "unknown ends": lambda n: "<div>" * (n // 11) + "</span>" * (n // 11), "rows": lambda n: "<table>" + "<tr><td>" * (n // 8), "items": lambda n: "<ul><li>" * (n // 8), "comments": lambda n: "<!--" * (n // 4),
+    "classes": lambda n: "".join(f"<div class=w{'abcdefghij'[i % 10]}{chr(97 + i // 10 % 26)}{chr(97 + i // 260 % 26)}>x" for i in range(n // 16)), "scripts": lambda n: "<script>" * (n // 8), "number": lambda n: "&#" + "9" * n + ";", "zeros": lambda n: "&#" + "0" * n + "65;",
+}
+
+
+@pytest.mark.parametrize("kind", HEAVY)
+def test_a_page_of_a_megabyte_ends_soon(kind):
+    field = html_extract.default_field()
+    page, took = HEAVY[kind](1_000_000), []
+    for _ in range(2):
+        began = time.process_time()
+        field.extract(page)
+        took.append(time.process_time() - began)
+    assert min(took) < 4
+
+
+def test_numeric_references_of_any_length():
+    texts = [b.text for b in html_extract.leaf_blocks("a&#" + "0" * 9000 + "66;<p>&#x" + "0" * 9000 + "43;<p>&#" + "9" * 9000 + ";")]
+    assert texts == ["aB", "C", "\ufffd"]
+
+
+def test_known_features_alone_give_the_same_labels():
+    field = html_extract.default_field()
+    for page, _ in html_extract.training_pages(40, 5):
+        assert field.label(html_extract.leaf_blocks(page)) == field.label(html_extract.leaf_blocks(page, field.plain))
+
+
+def test_likelihood_and_gradient_of_the_field():
+    r = np.random.RandomState(2)
+    x, mask = (r.rand(3, 4, 5) < 0.5).astype(float), np.array([[1, 1, 1, 1], [1, 1, 1, 0], [1, 0, 0, 0]], bool)
+    y, w, links = r.randint(0, 2, (3, 4)) * mask, r.randn(5), r.randn(2, 2)
+
+    def brute(w, links):
+        total = 0.0
+        for i in range(3):
+            n = int(mask[i].sum())
+            value = lambda bits: sum(x[i, t] @ w * bits[t] for t in range(n)) + sum(links[a, b] for a, b in zip(bits, bits[1:]))  # noqa: B023, E731
+            total += value(y[i, :n].tolist()) - np.logaddexp.reduce([value(bits) for bits in itertools.product((0, 1), repeat=n)])
+        return total
+
+    value, grad, pair = html_extract.likelihood(x, y, mask, w, links)
+    assert abs(value - brute(w, links)) < 1e-9
+    step = 1e-6
+    for k in range(5):
+        e = np.eye(5)[k] * step
+        assert abs((brute(w + e, links) - brute(w - e, links)) / (2 * step) - grad[k]) < 1e-5
+    for k in range(4):
+        e = (np.eye(4)[k] * step).reshape(2, 2)
+        assert abs((brute(w, links + e) - brute(w, links - e)) / (2 * step) - pair.ravel()[k]) < 1e-5
+
+
+def test_articles_of_unseen_pages_come_out_whole(spark):
+    made = html_extract.training_pages(150, 1234)
+    want = [" ".join(b.text for b, main in zip(html_extract.leaf_blocks(p), labels, strict=True) if main) for p, labels in made]
+    pages = spark.createDataFrame([(i, f"u{i}", p) for i, (p, _) in enumerate(made)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(pages).collect()}
+    assert sum(got[i] == t for i, t in enumerate(want)) >= 0.93 * len(want)
