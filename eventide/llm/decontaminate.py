@@ -27,6 +27,12 @@ RATE = 0.1
 BLOCK_BYTES = 8 << 20
 #: log2 of the filter's bits.
 FILTER = 20
+#: A q-gram that stands more often is left out where the bound can spare it; so many are always needed.
+FREQUENT, NEEDED = 256, 4
+#: A q-gram that more patterns have at the same place is counted for groups of them.
+SHARED = 32
+#: Hits that are counted at once, about.
+HITS = 1 << 20
 
 MATCHES = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("windows", pa.int64()), ("matched", pa.int64()), ("errors", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
@@ -51,6 +57,13 @@ def grams(text: np.ndarray) -> np.ndarray:
     return np.ndarray((n,), "<u8", text, strides=(1,)).copy()
 
 
+def _pieces(rows: np.ndarray) -> np.ndarray:
+    """16-bit hashes of all three characters that follow each other in each row."""
+    x = rows.astype(np.uint32)
+    x = x[:, :-2] | x[:, 1:-1] << np.uint32(8) | x[:, 2:] << np.uint32(16)
+    return (x * np.uint32(2654435761) >> np.uint32(16)).astype(np.uint16)
+
+
 def align(patterns: np.ndarray, sizes: np.ndarray, budgets: np.ndarray, text: np.ndarray, lows: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(errors, start, end) of each pattern's best place on the ``band`` diagonals from ``lows`` on.
 
@@ -90,11 +103,18 @@ def align(patterns: np.ndarray, sizes: np.ndarray, budgets: np.ndarray, text: np
 
 
 class Index:
-    """q-grams of all windows of a block of items."""
+    """q-grams of all windows of a block of items.
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    Two things keep common q-grams from multiplying with the patterns that have them.  A pattern leaves out its
+    most frequent q-grams, as many as its bound can spare, and its bound falls by as many.
+    Patterns that share frequent q-grams at the same places, such as the opening of a question,
+    count these once, as a group.
+    """
+
+    def __init__(self, items: list[tuple[int, bytes]], frequent: int = FREQUENT, shared: int = SHARED):
         self.items = [i for i, _ in items]
-        self.counts, self.patterns, self.owner, self.short = [], [], [], []
+        self.counts, self.short = [], []
+        owners: dict[bytes, dict[int, int]] = {}
         for at, (_, text) in enumerate(items):
             parts = windows(normalised(text))
             self.counts.append(len(parts))
@@ -102,28 +122,80 @@ class Index:
                 if len(part) < Q:
                     self.short.append((at, b" " + part + b" "))
                 else:
-                    self.owner.append(at)
-                    self.patterns.append(part)
+                    mine = owners.setdefault(part, {})
+                    mine[at] = mine.get(at, 0) + 1
+        self.patterns, self.owners = list(owners), list(owners.values())
         self.sizes = sizes = np.array([len(p) for p in self.patterns], np.int64)
         self.matrix = np.array([list(p.ljust(WINDOW, b"\0")) for p in self.patterns], np.uint8).reshape(-1, WINDOW)
         self.budget = np.minimum((sizes * RATE).astype(np.int64), (sizes - Q) // Q)
         self.least = sizes - Q + 1 - self.budget * Q
         g = [grams(np.frombuffer(p, np.uint8)) for p in self.patterns]
         keys = np.concatenate([np.zeros(0, np.uint64), *g])
+        owner = np.repeat(np.arange(len(g)), [len(x) for x in g])
+        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(x)) for x in g)])
+        keys, owner, place = self._spare(keys, owner, place, frequent)
+        keys, owner, place = self._merge(keys, owner, place, shared)
         order = np.argsort(keys, kind="stable")
         self.keys, self.starts = np.unique(keys[order], return_index=True)
         self.starts = np.append(self.starts, len(keys))
-        self.pattern = np.repeat(np.arange(len(g)), [len(x) for x in g])[order]
-        self.place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(x)) for x in g)])[order]
+        self.owner, self.place = owner[order].astype(np.int32), place[order].astype(np.int16)
         self.filter = np.zeros(1 << FILTER, bool)
         self.filter[self._slot(self.keys)] = True
 
+    def _spare(self, keys: np.ndarray, owner: np.ndarray, place: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Leaves out frequent q-grams; what a pattern still needs of the others is ``need``."""
+        _, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
+        often = count[inverse] if len(keys) else count
+        order = np.lexsort((place, keys, -often, owner))
+        first = np.searchsorted(owner[order], np.arange(len(self.sizes)))
+        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        spared = np.zeros(len(keys), bool)
+        spared[order] = (often[order] > frequent) & (rank < self.least[owner[order]] - NEEDED)
+        self.need = self.least - np.bincount(owner[spared], minlength=len(self.sizes))
+        return keys[~spared], owner[~spared], place[~spared]
+
+    def _merge(self, keys: np.ndarray, owner: np.ndarray, place: np.ndarray, shared: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Makes groups of patterns with the same q-grams at the same places, of those that many patterns have; groups count as further owners."""
+        wide = self.budget[owner]
+        order = np.lexsort((wide, place, keys))
+        new = np.concatenate(([True], (np.diff(keys[order]) != 0) | (np.diff(place[order]) != 0) | (np.diff(wide[order]) != 0)))[: len(order)]
+        number = np.empty(len(keys), np.int64)
+        number[order] = np.cumsum(new) - 1
+        common = np.bincount(number, minlength=1)[number] > shared if len(keys) else np.zeros(0, bool)
+        held = np.flatnonzero(common)
+        held = held[np.lexsort((number[held], owner[held]))]
+        cuts = np.flatnonzero(np.diff(owner[held])) + 1
+        profiles: dict[bytes, list[np.ndarray]] = {}
+        for part in np.split(held, cuts) if len(held) else []:
+            profiles.setdefault(number[part].tobytes(), []).append(part)
+        n, alone = len(self.sizes), ~common
+        self.group = np.full(n, -1)
+        self.members: list[np.ndarray] = []
+        added = []
+        for parts in profiles.values():
+            if len(parts) < 2:
+                alone[parts[0]] = True
+                continue
+            mine = owner[[p[0] for p in parts]]
+            self.group[mine] = len(self.members)
+            added.append((keys[parts[0]], np.full(len(parts[0]), n + len(self.members)), place[parts[0]]))
+            self.members.append(mine)
+        self.wide = np.concatenate([self.budget, [self.budget[m[0]] for m in self.members]]).astype(np.int64) + 1
+        self.fewest = np.array([self.need[m].min() for m in self.members], np.int64)
+        grouped = np.flatnonzero(self.group >= 0)
+        self.row = np.full(n, -1)
+        self.row[grouped] = np.arange(len(grouped))
+        self.pieces = _pieces(self.matrix[grouped])
+        self.whole = np.arange(WINDOW - 2) < self.sizes[grouped, None] - 2
+        parts = [(keys[alone], owner[alone], place[alone]), *added]
+        return tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
+
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER)
 
-    def regions(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pattern and first diagonal of each pair of bands that reaches its bound."""
+    def _hits(self, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted numbers of (owner, band) and how many q-grams are shared there; a bounded number of hits at a time."""
         g = grams(text)
         at = np.flatnonzero(self.filter[self._slot(g)])
         if not len(at) or not len(self.keys):
@@ -132,18 +204,66 @@ class Index:
         true = self.keys[slot] == g[at]
         at, slot = at[true], slot[true]
         n = self.starts[slot + 1] - self.starts[slot]
-        each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[slot], n)
-        pattern = self.pattern[each]
-        diagonal = np.repeat(at, n) - self.place[each] + WINDOW
-        wide = self.budget[pattern] + 1
-        size = (len(text) + 2 * WINDOW) + 2
-        key, count = np.unique(pattern * size + diagonal // wide, return_counts=True)
-        near = np.zeros_like(count)
-        joined = key[1:] == key[:-1] + 1
-        near[:-1][joined] = count[1:][joined]
-        good = count + near >= self.least[key // size]
-        p = key[good] // size
-        return p, key[good] % size * (self.budget[p] + 1) - WINDOW
+        turns = np.cumsum(n) // HITS
+        found, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for turn in np.unique(turns):
+            mine = turns == turn
+            few, some = n[mine], slot[mine]
+            each = np.arange(few.sum()) - np.repeat(np.cumsum(few) - few, few) + np.repeat(self.starts[some], few)
+            owner = self.owner[each].astype(np.int64)
+            diagonal = np.repeat(at[mine], few) - self.place[each] + WINDOW
+            key, count = np.unique(owner * size + diagonal // self.wide[owner] + 1, return_counts=True)
+            both, inverse = np.unique(np.concatenate([found, key]), return_inverse=True)
+            found, counts = both, np.bincount(inverse, np.concatenate([counts, count])).astype(np.int64)
+        return found, counts
+
+    def regions(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pattern and first diagonal of each pair of bands that reaches its bound."""
+        size = len(text) + 2 * WINDOW + 4
+        keys, counts = self._hits(text, size)
+
+        def of(key: np.ndarray) -> np.ndarray:
+            i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            return np.where(keys[i] == key, counts[i], 0)
+
+        if not len(keys):
+            return keys, keys
+        n = len(self.sizes)
+        own = keys[keys < n * size]
+        grouped = self.group[own // size] >= 0
+        start = np.unique(np.concatenate([own, own[grouped] - 1]))
+        pattern, band = start // size, start % size
+        total = of(start) + of(start + 1)
+        held = self.group[pattern] >= 0
+        both = (n + self.group[pattern[held]]) * size + band[held]
+        total[held] += of(both) + of(both + 1)
+        good = total >= self.need[pattern]
+        pairs = [(pattern[good], band[good])]
+        theirs = keys[keys >= n * size]
+        start = np.unique(np.concatenate([theirs, theirs - 1]))
+        total = of(start) + of(start + 1)
+        enough = total >= self.fewest[start // size - n]
+        near: dict[tuple[int, int], list[np.ndarray]] = {}
+        for key, count in zip(start[enough].tolist(), total[enough].tolist(), strict=True):
+            mine = self.members[key // size - n]
+            near.setdefault((int(self.wide[key // size]), key % size), []).append(mine[self.need[mine] <= count])
+        for (_, band), mine in near.items():
+            mine = self._likely(np.concatenate(mine), text, band)
+            pairs.append((mine, np.full(len(mine), band)))
+        found = np.unique(np.concatenate([p * size + b for p, b in pairs]))
+        p = found // size
+        return p, (found % size - 1) * self.wide[p] - WINDOW
+
+    def _likely(self, patterns: np.ndarray, text: np.ndarray, band: int) -> np.ndarray:
+        """Those, all of one budget, whose pieces of three characters stand near the band as often as the budget demands."""
+        if not len(patterns):
+            return patterns
+        wide, k = int(self.wide[patterns[0]]), int(self.budget[patterns[0]])
+        low = (band - 1) * wide - WINDOW
+        there = np.zeros(1 << 16, bool)
+        there[_pieces(text[None, max(0, low - k) : max(0, low + 2 * wide + int(self.sizes[patterns].max()) + k)])] = True
+        rows = self.row[patterns]
+        return patterns[(there[self.pieces[rows]] & self.whole[rows]).sum(1) >= self.sizes[patterns] - 2 - 3 * k]
 
     def matches(self, texts: list[bytes]) -> list[dict[int, list]]:
         """For each normalised text: item -> [windows that match, fewest errors, start, stop]."""
@@ -159,12 +279,14 @@ class Index:
             for i in np.flatnonzero(errors <= k).tolist():
                 where = int(np.searchsorted(starts, (lows[i] + highs[i]) // 2, "right")) - 1
                 base, q = int(starts[where]), int(p[i])
-                item = out[where].setdefault(self.owner[q], [0, int(errors[i]), int(lows[i]) - base, 0])
-                item[0] += (where, q) not in seen
+                new = (where, q) not in seen
                 seen.add((where, q))
-                item[1] = min(item[1], int(errors[i]))
-                item[2] = max(0, min(item[2], int(lows[i]) - base))
-                item[3] = max(item[3], min(int(highs[i]) - base, len(texts[where])))
+                for owner, times in self.owners[q].items():
+                    item = out[where].setdefault(owner, [0, int(errors[i]), int(lows[i]) - base, 0])
+                    item[0] += times * new
+                    item[1] = min(item[1], int(errors[i]))
+                    item[2] = max(0, min(item[2], int(lows[i]) - base))
+                    item[3] = max(item[3], min(int(highs[i]) - base, len(texts[where])))
         for at, word in self.short:
             for where, text in enumerate(texts):
                 i = (b" " + text + b" ").find(word)
@@ -188,7 +310,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
 
     The span counts bytes of the normalised text.  Null and empty texts and items match nothing;
     items shorter than a q-gram must stand there exactly, as whole words.  Repeated rows and ids
-    of documents repeat in the result.  An empty benchmark gives no rows.
+    of documents repeat in the result.  An empty benchmark gives no rows.  An item that is repeated
+    under one item_id counts each time.  Texts may be of any length; items that share an opening
+    cost no more than those that don't until a text has what distinguishes them.
     """
     out = None
     for index in _blocks(benchmark, block_bytes):

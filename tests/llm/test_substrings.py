@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 from hypothesis import given, settings
@@ -190,12 +191,12 @@ def test_windows_within_the_budget_are_found():
     texts.append(b"")
     found = index.matches(texts)
     for n, text in enumerate(texts):
-        for at, (pattern, owner) in enumerate(zip(index.patterns, index.owner, strict=True)):
+        for at, (pattern, owner) in enumerate(zip(index.patterns, [next(iter(o)) for o in index.owners], strict=True)):
             errors = brute_errors(pattern, text)
             if errors <= index.budget[at]:
                 assert owner in found[n] and found[n][owner][1] <= errors
         for owner, hit in found[n].items():
-            mine = [p for p, o in zip(index.patterns, index.owner, strict=True) if o == owner]
+            mine = [p for p, o in zip(index.patterns, [next(iter(o)) for o in index.owners], strict=True) if o == owner]
             assert min(brute_errors(p, text) for p in mine) <= hit[1]
 
 
@@ -209,3 +210,37 @@ def test_leaks(spark):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, _ in EDGES) + Counter([10, 14])
     assert decontaminate.find_leaks(documents(spark, []), benchmark).count() == 0
     assert decontaminate.find_leaks(documents(spark, rows), benchmark.limit(0)).count() == 0
+
+
+def stems(n):
+    """Items that share their first 60 characters."""
+    stem = prose(77, 20)[:60]
+    return stem, [(i, f"{stem} {prose(10_000 + i, 9)}".encode()) for i in range(n)]
+
+
+def test_items_of_one_stem_equal_brute_force():
+    """Sparing frequent q-grams and counting for groups changes no result."""
+    stem, items = stems(90)
+    items += [(200 + i, f"{prose(300 + i, 6)} {stem} {prose(400 + i, 4)}".encode()) for i in range(60)] + [(300, items[0][1]), (301, stem.encode())]
+    r = random.Random(8)
+    texts = []
+    for i in range(0, 150, 15):
+        budget = len(decontaminate.normalised(items[i][1])) // 10
+        texts.append(decontaminate.normalised(prose(i, 20).encode() + b" " + edit(items[i][1], r, budget - i % 3) + b" " + stem.encode() * 3 + b" " + prose(500 + i, 8).encode()))
+    plain, tight = decontaminate.Index(items, 1 << 30, 1 << 30), decontaminate.Index(items, 8, 4)
+    assert len(tight.members) and (tight.need < tight.least).any()
+    found = tight.matches(texts)
+    assert found == plain.matches(texts)
+    for text, hits in zip(texts[:3], found):
+        for pattern, owners, k in zip(tight.patterns, tight.owners, tight.budget, strict=True):
+            assert (brute_errors(pattern, text) <= k) == all(o in hits for o in owners)
+
+
+def test_thousands_of_items_of_one_stem():
+    stem, items = stems(5_000)
+    index = decontaminate.Index(items)
+    text = b" ".join([decontaminate.normalised((stem + " ").encode() + prose(i, 1).encode()) for i in range(150)] + [decontaminate.normalised(items[7][1])])
+    began = time.process_time()
+    found = index.matches([text])
+    assert time.process_time() - began < 20
+    assert list(found[0]) == [7]
