@@ -1,7 +1,7 @@
 """Cost-balanced packing of documents into token sequences.
 
-A document's ids are cut into pieces of at most the capacity.  Pieces are dealt into cells by
-hash; in a cell, the cost of a piece is estimated as linear plus quadratic (attention), and
+A document's ids are cut into pieces of at most the capacity.  Pieces are dealt into cells by a
+hash of what they are and of how often that has come before, so that repeated rows spread too; in a cell, the cost of a piece is estimated as linear plus quadratic (attention), and
 pieces, longest first, go to the sequence of lowest cost that still has room for them.
 Cells hold thousands of pieces, so no task sees all of them.
 """
@@ -33,7 +33,10 @@ REMEMBERED = 800_000
 #: Texts with one of these go through the tokenizer whole: odd white space, a letter whose lower case is two, special tokens.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u0130", "<|")
 
-PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
+#: Kinds of pieces whose repetitions a task counts before it begins anew.
+COUNTED = 200_000
+
+PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("turn", pa.int64())])
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -118,18 +121,23 @@ def _tokenizer(name: str) -> WordTokenizer:
 def tokenized_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Cuts each document's ids and its end id at multiples of the capacity; one row for each piece."""
 
-    def run(coder, ids, texts):
+    def run(state, ids, texts):
+        coder, seen = state
         out = {f.name: [] for f in PIECES}
-        for doc, raw in zip(ids, coder.encode([t.decode() for t in texts]), strict=True):
+        for doc, raw in zip(ids, coder.encode([t.decode("utf-8", "replace") for t in texts]), strict=True):
             raw += end_id.to_bytes(4, "little")
             n = len(raw) // 4
             for start in range(0, n, capacity):
                 part = raw[start * 4 : (start + capacity) * 4]
-                for name, x in zip(out, (doc, start, len(part) // 4, zlib.crc32(part), n), strict=True):
+                crc = zlib.crc32(part)
+                if len(seen) >= COUNTED:
+                    seen.clear()
+                turn = seen[doc, start, crc] = seen.get((doc, start, crc), -1) + 1
+                for name, x in zip(out, (doc, start, len(part) // 4, crc, n, turn), strict=True):
                     out[name].append(x)
         return out
 
-    return map_texts(docs, run, PIECES, setup=lambda: _tokenizer(tokenizer))
+    return map_texts(docs, run, PIECES, setup=lambda: (_tokenizer(tokenizer), {}))
 
 
 def assign(lengths: np.ndarray, capacity: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> np.ndarray:
@@ -151,6 +159,11 @@ def assign(lengths: np.ndarray, capacity: int, linear: float = LINEAR, quadratic
     return out
 
 
+def dealt(pieces: DataFrame, cells: int) -> DataFrame:
+    """``pieces`` with the cell of each."""
+    return pieces.withColumn("cell", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "turn"), F.lit(cells)))
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, cell: int = CELL, linear: float = LINEAR, quadratic: float = QUADRATIC) -> DataFrame:
     """Gives every piece a sequence and its offset there.  ``pieces`` must be a stored table."""
     cells = max(1, round(pieces.count() / cell))
@@ -163,15 +176,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, cell: int = CELL, linear:
         frame["sequence_id"] += number << 32
         return frame[[x.split()[0] for x in PACKED.split(", ")]]
 
-    placed = pieces.withColumn("cell", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(cells)))
-    return placed.groupBy("cell").applyInPandas(run, PACKED)
+    return dealt(pieces, cells).groupBy("cell").applyInPandas(run, PACKED)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
     """One row for each piece of each row of ``docs``.
 
     A null text counts as empty: its document is the end id alone.  Repeated rows are packed as
-    often as they stand there.  A null doc_id stays null.  No documents: no rows.
+    often as they stand there.  A null doc_id stays null.  No documents: no rows.  Bytes that are no
+    UTF-8 count as U+FFFD.
     """
     return pack(written(tokenized_pieces(docs, tokenizer, capacity), "pieces"), capacity)
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from eventide.llm import decontaminate, exact_dedup, minhash, packing, toxicity
@@ -58,9 +59,39 @@ def test_assignment_fits_and_wastes_little(lengths):
     where = packing.assign(lengths, 20)
     sums = np.bincount(where, lengths, minlength=1) if len(lengths) else np.zeros(1)
     assert (sums <= 20).all()
-    used = sums[sums > 0]
-    if len(used) > -(-lengths.sum() // 20):
-        assert sorted(used)[0] + sorted(used)[1] > 0
+    cost = lambda n: n + n * n / 8192
+    room, costs = [20] * max(1, -(-int(lengths.sum()) // 20)), [0.0] * max(1, -(-int(lengths.sum()) // 20))
+    for n, at in zip(lengths.tolist(), where.tolist(), strict=True):
+        open_ = [(costs[i], i) for i in range(len(room)) if room[i] >= n]
+        if not open_:
+            room.append(20)
+            costs.append(0.0)
+            open_ = [(0.0, len(room) - 1)]
+        assert at == min(open_)[1]
+        room[at] -= n
+        costs[at] += cost(n)
+    least = -(-int(lengths.sum()) // 20)
+    assert len(sums[sums > 0]) <= max(1, least + (lengths > 10).sum()) and (len(sums) <= max(1, 2 * least))
+
+
+def test_little_padding_on_the_test_tables(spark):
+    rows = packing.pack_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    used = sum(r["n"] for r in rows)
+    assert max(r["n"] for r in rows) <= packing.CAPACITY and len(rows) * packing.CAPACITY <= 1.02 * used
+
+
+def test_repeated_rows_use_all_cells(spark):
+    one = spark.range(40_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    pieces = packing.tokenized_pieces(one.repartition(4))
+    sizes = [r["count"] for r in packing.dealt(pieces, 10).groupBy("cell").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 1.2 * 4_000
+
+
+def test_bytes_that_are_no_text_and_very_long_texts(spark):
+    rows = documents(spark, [(1, "ok")]).select("doc_id", F.expr("cast(x'61ff62' as string)").alias("text")).union(documents(spark, [(2, "word " * 300_000)]).select("doc_id", "text"))
+    got = packing.pack_documents(rows).collect()
+    assert sum(r["length"] for r in got if r["doc_id"] == 1) == len(tokens("a\ufffdb"))
+    assert sum(r["length"] for r in got if r["doc_id"] == 2) == len(tokens("word " * 300_000)) == next(r["doc_tokens"] for r in got if r["doc_id"] == 2)
 
 
 @pytest.fixture(scope="module")
