@@ -57,6 +57,11 @@ def grams(text: np.ndarray) -> np.ndarray:
     return np.ndarray((n,), "<u8", text, strides=(1,)).copy()
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], np.diff(x) != 0))[: len(x)]]
+
+
 def _pieces(rows: np.ndarray) -> np.ndarray:
     """16-bit hashes of all three characters that follow each other in each row."""
     x = rows.astype(np.uint32)
@@ -205,16 +210,18 @@ class Index:
         at, slot = at[true], slot[true]
         n = self.starts[slot + 1] - self.starts[slot]
         turns = np.cumsum(n) // HITS
+        cuts = [0, *(np.flatnonzero(np.diff(turns)) + 1).tolist(), len(n)]
         found, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for turn in np.unique(turns):
-            mine = turns == turn
-            few, some = n[mine], slot[mine]
+        for low, high in zip(cuts, cuts[1:]):
+            few, some = n[low:high], slot[low:high]
             each = np.arange(few.sum()) - np.repeat(np.cumsum(few) - few, few) + np.repeat(self.starts[some], few)
             owner = self.owner[each].astype(np.int64)
-            diagonal = np.repeat(at[mine], few) - self.place[each] + WINDOW
+            diagonal = np.repeat(at[low:high], few) - self.place[each] + WINDOW
             key, count = np.unique(owner * size + diagonal // self.wide[owner] + 1, return_counts=True)
-            both, inverse = np.unique(np.concatenate([found, key]), return_inverse=True)
-            found, counts = both, np.bincount(inverse, np.concatenate([counts, count])).astype(np.int64)
+            if len(found):
+                key, inverse = np.unique(np.concatenate([found, key]), return_inverse=True)
+                count = np.bincount(inverse, np.concatenate([counts, count])).astype(np.int64)
+            found, counts = key, count
         return found, counts
 
     def regions(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,28 +236,31 @@ class Index:
         if not len(keys):
             return keys, keys
         n = len(self.sizes)
-        own = keys[keys < n * size]
-        grouped = self.group[own // size] >= 0
-        start = np.unique(np.concatenate([own, own[grouped] - 1]))
+        end = int(np.searchsorted(keys, n * size))
+        near = np.zeros_like(counts)
+        joined = np.flatnonzero(keys[1:] == keys[:-1] + 1)
+        near[joined] = counts[joined + 1]
+        pattern = keys[:end] // size
+        alone = self.group[pattern] < 0
+        good = alone & (counts[:end] + near[:end] >= self.need[pattern])
+        pairs = [(pattern[good], keys[:end][good] % size)]
+        own = keys[:end][~alone]
+        start = _distinct(np.concatenate([own, own - 1]))
         pattern, band = start // size, start % size
-        total = of(start) + of(start + 1)
-        held = self.group[pattern] >= 0
-        both = (n + self.group[pattern[held]]) * size + band[held]
-        total[held] += of(both) + of(both + 1)
-        good = total >= self.need[pattern]
-        pairs = [(pattern[good], band[good])]
-        theirs = keys[keys >= n * size]
-        start = np.unique(np.concatenate([theirs, theirs - 1]))
+        both = (n + self.group[pattern]) * size + band
+        good = of(start) + of(start + 1) + of(both) + of(both + 1) >= self.need[pattern]
+        pairs.append((pattern[good], band[good]))
+        start = _distinct(np.concatenate([keys[end:], keys[end:] - 1]))
         total = of(start) + of(start + 1)
         enough = total >= self.fewest[start // size - n]
-        near: dict[tuple[int, int], list[np.ndarray]] = {}
+        places: dict[tuple[int, int], list[np.ndarray]] = {}
         for key, count in zip(start[enough].tolist(), total[enough].tolist(), strict=True):
             mine = self.members[key // size - n]
-            near.setdefault((int(self.wide[key // size]), key % size), []).append(mine[self.need[mine] <= count])
-        for (_, band), mine in near.items():
+            places.setdefault((int(self.wide[key // size]), key % size), []).append(mine[self.need[mine] <= count])
+        for (_, band), mine in places.items():
             mine = self._likely(np.concatenate(mine), text, band)
             pairs.append((mine, np.full(len(mine), band)))
-        found = np.unique(np.concatenate([p * size + b for p, b in pairs]))
+        found = _distinct(np.concatenate([p * size + b for p, b in pairs]))
         p = found // size
         return p, (found % size - 1) * self.wide[p] - WINDOW
 
