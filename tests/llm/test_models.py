@@ -3,11 +3,13 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from eventide.llm import html_extract, license_scan, quality, toxicity
 
@@ -66,13 +68,114 @@ def test_classifiers_without_labels_or_documents(spark):
 
 
 def test_evidence_is_a_difference_of_distributions():
-    from collections import Counter
-
     e = toxicity.fit_evidence({0: Counter({b"abc": 5, b"abd": 2, b"xyz": 1}), 1: Counter({b"abd": 4, b"bad": 3})})
     assert e[b"bad"] > 0 > e[b"xyz"] and e[b"qqq"] == e[b"qqq"]
     assert abs(toxicity.fit_evidence({0: Counter({b"abc": 2}), 1: Counter({b"abc": 2})})[b"abc"]) < 1e-9
 
 
+def brute_spelling(texts, k, word, chance):
+    """-> log-likelihood of a word by its letters in class k (0.75 off each count, 5 letters before); ``chance`` of the lowest order."""
+    spell = lambda w: "<" + w + ">"
+    own = [Counter(), Counter()]
+    for c in (0, 1):
+        for t in texts[c]:
+            for w in set(t.split()):
+                for i in range(1, len(spell(w))):
+                    own[c][spell(w)[max(0, i - 5) : i + 1]] += 1
+    levels = [set(own[0]) | set(own[1])]
+    while any(len(g) > 1 for g in levels[-1]):
+        levels.append({g[1:] for g in levels[-1] if len(g) > 1})
+
+    def shared(g, depth):
+        if not g or depth == len(levels):
+            return chance
+        n = Counter(x[1:] for x in levels[depth - 1] if len(x) > 1)
+        after = {x: c for x, c in n.items() if x[:-1] == g[:-1]}
+        low = shared(g[1:], depth + 1)
+        return (max(n[g] - 0.75, 0) + 0.75 * len(after) * low) / sum(after.values()) if after else low
+
+    total, s = 0.0, spell(word)
+    for i in range(1, len(s)):
+        g = s[max(0, i - 5) : i + 1]
+        after = {x: c for x, c in own[k].items() if x[:-1] == g[:-1]}
+        low = shared(g[1:], 1)
+        total += np.log((max(own[k][g] - 0.75, 0) + 0.75 * len(after) * low) / sum(after.values()) if after else low)
+    return total
+
+
+def test_evidence_equals_brute_force(spark):
+    """The fit, through Spark's counts, against likelihoods that are computed anew from the texts."""
+    r = random.Random(6)
+    vocabulary = words(r, 12)
+    rows = [(i, " ".join(r.choice(vocabulary[: 9 if i % 2 else 12]) for _ in range(r.randint(3, 9)))) for i in range(60)]
+    labels = spark.createDataFrame([(i, 0, i % 2, 0.0) for i, _ in rows], LABELS)
+    evidence, _ = toxicity.fit(documents(spark, rows), labels)
+    half = spark.createDataFrame([(i,) for i, _ in rows], "doc_id long").where("pmod(xxhash64(doc_id), 2) = 0")
+    fitted, texts, seen = {r[0] for r in half.collect()}, [[], []], set()
+    for i, t in rows:
+        if i in fitted and crc(i) % 4 != 2 and t not in seen:
+            seen.add(t)
+            texts[i % 2].append(t)
+    docs = [[set(t.split()) for t in ts] for ts in texts]
+    rows_of = [[set(zip(t.split(), t.split()[1:])) for t in ts] for ts in texts]
+    n = [Counter(w for d in ds for w in d) for ds in docs]
+    m = [Counter(p for d in ds for p in d) for ds in rows_of]
+    pool, kinds = set(n[0]) | set(n[1]), set(m[0]) | set(m[1])
+    together = [texts[0] + texts[1], []]
+    before = {w: len({u for u, v in kinds if v == w}) for w in pool}
+    whole = len(pool) + sum(before.values())
+
+    def word(k, w, own=True):
+        shared = (max(before[w] + 1 - 0.75, 0) + 0.75 * len(pool) * np.exp(brute_spelling(together, 0, w, 1 / 256))) / whole
+        return own * max(n[k][w] - 1, 0) / sum(n[k].values()) + len(n[k]) / sum(n[k].values()) * shared
+
+    def pair(k, u, w, own=True):
+        after = {p: c for p, c in m[k].items() if p[0] == u}
+        total = sum(after.values())
+        return (own * max(m[k][u, w] - 1, 0) + len(after) * word(k, w)) / total if total else word(k, w)
+
+    difference = lambda f, *a: np.log(f(1, *a) / f(0, *a)) - np.log(f(1, *a, False) / f(0, *a, False))
+    for w in pool:
+        spelled = brute_spelling(texts, 1, w, 1 / 256) - brute_spelling(texts, 0, w, 1 / 256)
+        assert abs(evidence[w.encode()] - spelled - difference(word, w)) < 1e-6
+    for u, w in kinds:
+        assert abs(evidence.pairs.get((u.encode(), w.encode()), 0.0) - difference(pair, u, w)) < 1e-6
+    assert len(evidence.pairs) > 3 and len(evidence.words) > 3
+
+
+def test_likelihoods_are_distributions():
+    counts = {0: Counter({b"a": 3, b"b": 2, b"ab": 1}), 1: Counter({b"a": 1, b"b": 5})}
+    pairs = {0: Counter({(b"a", b"b"): 2, (b"a", b"a"): 1}), 1: Counter({(b"a", b"b"): 1})}
+    before = {0: {b"a": (3, 2)}, 1: {b"a": (1, 1)}}
+    model = toxicity.WordModel(counts, Counter({b"b": 1, b"a": 1}), pairs, before)
+    spelled = {w: model.letters.word(0, w) for w in model.pool}
+    unseen = 1 - sum(spelled.values())
+    rest = 0.75 * len(model.pool) * unseen / model.total
+    assert abs(sum(model.backoff(w) for w in model.pool) + rest - 1) < 1e-9
+    for k in (0, 1):
+        assert abs(sum(model.word(k, w) for w in model.pool) + model.weight(k) * rest - 1) < 1e-9
+        everything = sum(model.pair(k, b"a", w) for w in model.pool) + model.pair_weight(k, b"a") * model.weight(k) * rest
+        assert abs(everything - 1) < 1e-9
+
+
+def test_very_long_texts_and_bytes_that_are_no_text(spark):
+    rows, labels = corpus()
+    odd = spark.range(1).select(F.lit(900).cast("long").alias("doc_id"), F.expr("cast(x'61ff62fe20' as string)").alias("text"))
+    docs = documents(spark, rows + [(901, prose(3, 40) * 3000)]).select("doc_id", "text").union(odd)
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, spark.createDataFrame(labels + [(900, 1, 1, 0.0), (901, 1, 0, 0.0)], LABELS)).collect()}
+    assert len(scored) == len(rows) + 2 and all(0 <= x <= 1 for x in scored.values())
+    assert quality.score_quality(docs, spark.createDataFrame(labels, LABELS)).count() == len(rows) + 2
+    assert license_scan.scan_licenses(docs).count() == len(rows) + 2
+
+
+def test_a_document_with_both_labels_counts_in_one_way(spark):
+    rows, labels = corpus()
+    both = labels + [(i, q, 1 - t, 0.0) for i, q, t, _ in labels[:40]]
+    docs = documents(spark, rows)
+    scores = [sorted((r["doc_id"], round(r["score"], 9)) for r in toxicity.score_toxicity(docs, spark.createDataFrame(x, LABELS)).collect()) for x in (both, both[::-1])]
+    assert scores[0] == scores[1]
+
+
 def test_quality_on_held_out_documents(spark):
     rows, labels = corpus(240)
     out = quality.score_quality(documents(spark, rows), spark.createDataFrame(labels, LABELS)).collect()
