@@ -1,17 +1,21 @@
-"""Substring dedup by content hashes of anchored positions, in place of a suffix array by rank doubling.
+"""Substring dedup by distributed prefix doubling over thinned positions.
 
-A byte is removed if a string of LENGTH bytes covers it that also starts elsewhere.  Sorting all
-suffixes by doubling moves every position several times, so positions are thinned first: every
-string of LENGTH bytes has one anchor, the leftmost place with the least hash of ANCHOR bytes
+A byte is removed if a string of LENGTH bytes covers it that also starts elsewhere.  Doubling the
+ranks of all positions would sort every byte of the corpus several times, so positions are thinned first:
+every string of LENGTH bytes has one anchor, the leftmost place with the least hash of ANCHOR bytes
 in it, and equal strings have equal anchors at equal offsets.  Consecutive strings with one
-anchor form a run.  Ranks then grow with the length of what is compared: rows are grouped by
-the rank of ANCHOR bytes, then by the rank of the whole run, then, at offsets of STEP, by the
-rank of the LENGTH - STEP + 1 bytes that the strings of one offset share, and at last by LENGTH
-bytes.  After every rank, positions that have become unique leave, and runs that are already
-known to stand elsewhere are settled.  Ranks are content hashes of 64 bits within 64 bits, or 128.
-
-Group counts are taken before rows move; groups of more than GROUP rows in the last step are
-counted string by string with partial sums instead of in one task.
+anchor form a run.  Runs whose anchor stands once leave, and of runs that stand elsewhere as a whole
+only one goes on.
+
+What the strings of up to STEP offsets of a run share is a core of BLOCK << DOUBLINGS bytes.  Cores get
+their ranks by prefix doubling: the first rank of a position is the hash of BLOCK bytes; then Spark
+sorts the pairs of ranks at a position and at BLOCK, 2 * BLOCK and 4 * BLOCK bytes behind it, and a
+pair's place in this order is the rank of twice the length.  After every sort, cores
+with a position whose rank is unique leave.  At last, cores of equal rank compare the bytes on either side.
+
+Equal pairs may fill any number of sorted partitions; a row for each partition tells where its first
+pair began.  Groups of more than GROUP rows in the last step are counted string by string with
+partial sums instead of in one task.
 """
 
 from __future__ import annotations
@@ -31,7 +35,11 @@ from .common import dropped, map_texts, mix64, table, written
 
 LENGTH = 400
 ANCHOR = 48
-STEP = 64
+#: Bytes of a position's first rank, and how often the length of ranks is doubled.
+BLOCK, DOUBLINGS = 43, 3
+CORE = BLOCK << DOUBLINGS
+#: Offsets at which strings of LENGTH bytes share a core.
+STEP = LENGTH - CORE + 1
 #: Rows of one group that a task compares at most.
 GROUP = 512
 #: Positions of a text that are read at once.
@@ -44,7 +52,9 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 RUNS = pa.schema([("h", pa.int64()), ("v", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("d", pa.int32())])
 TEXTS = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("body", pa.binary())])
-PARTS = pa.schema([("core", pa.binary()), ("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("left", pa.binary()), ("right", pa.binary()), ("single", pa.bool_())])
+PARTS = pa.schema([("blocks", pa.list_(pa.int64())), ("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("left", pa.binary()), ("right", pa.binary()), ("single", pa.bool_())])
+MEMBERS = ["core", "k1", "k2", "at", "low", "high", "left", "right", "single"]
+RANKED = pa.schema([("id", pa.int64()), ("i", pa.int32()), ("part", pa.int32()), ("head", pa.int64()), ("alone", pa.bool_()), ("edge", pa.list_(pa.int64()))])
 FOUND = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("s", pa.int64()), ("n", pa.int32())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -117,13 +127,97 @@ def _split_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     anchor, most, least = unit["s"] + unit["d"], unit["d"], unit["d"] - unit["n"] + 1
                     for j in range(least // STEP, most // STEP + 1):
                         low, high = max(0, least - j * STEP), min(STEP - 1, most - j * STEP)
-                        at, end = anchor - j * STEP, anchor - j * STEP + LENGTH - STEP + 1
-                        core = xxhash.xxh3_128_digest(text[at:end] + bytes([j]))
-                        rows.append((core, k1, k2, at, low, high, text[at - high : at], text[end : end + STEP - 1 - low], unit["c"] == 1))
+                        at, end = anchor - j * STEP, anchor - j * STEP + CORE
+                        #: Ranks of different offsets must differ.
+                        blocks = [xxhash.xxh3_64_intdigest(text[x : x + BLOCK], j) - (1 << 63) for x in range(at, end, BLOCK)]
+                        rows.append((blocks, k1, k2, at, low, high, text[at - high : at], text[end : end + STEP - 1 - low], unit["c"] == 1))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PARTS, strict=True)], schema=PARTS)
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (a, b, id, i, part) to the place in this partition where each one's pair begins, and whether the pair stands here once.
+
+    ``edge`` is (a, b, rows before) in the first row of a partition, and in the last one.
+    """
+    held: list[np.ndarray] = []
+    seen = head = 0
+
+    def rows(a, b, i, at, part, heads, alone, edges):
+        edge = [None] * len(a)
+        for x in edges:
+            edge[x] = [int(a[x]), int(b[x]), seen + x]
+        columns = (i, at, part, heads, alone, edge)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RANKED, strict=True)], schema=RANKED)
+
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+        a, b, i, at, part = (np.concatenate(x) for x in zip(held, new, strict=True)) if held else new
+        begins = np.concatenate(([last is None or last != (a[0], b[0])], (np.diff(a) != 0) | (np.diff(b) != 0)))
+        heads = np.maximum.accumulate(np.where(begins, np.arange(seen, seen + len(a)), head))
+        n = len(a) - 1
+        if n:
+            yield rows(a[:n], b[:n], i[:n], at[:n], part[:n], heads[:n], begins[:n] & begins[1:], [0] * (seen == 0))
+            last, head = (a[n - 1], b[n - 1]), int(heads[n - 1])
+        seen += n
+        held = [x[n:] for x in (a, b, i, at, part)]
+    if held:
+        a, b, i, at, part = held
+        begins = last is None or last != (a[0], b[0])
+        yield rows(a, b, i, at, part, np.array([seen if begins else head]), np.array([begins]), [0])
+
+
+def _joined_edges(edges: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, bool, bool]]:
+    """(part, a, b, rows before, head) of first and last rows to (part, offset, head of the first pair, whether the pair goes on before, and behind)."""
+    ends: dict[int, list] = {}
+    for part, *edge in sorted(edges, key=lambda e: (e[0], e[3])):
+        ends.setdefault(part, []).append(edge)
+    out, offset, before, top = [], 0, None, 0
+    parts = sorted(ends)
+    for k, part in enumerate(parts):
+        first, last = ends[part][0], ends[part][-1]
+        behind = ends[parts[k + 1]][0][:2] if k + 1 < len(parts) else None
+        joins = before == first[:2]
+        begin = top if joins else offset
+        out.append((part, offset, begin, joins, behind == last[:2]))
+        top = begin if last[3] == 0 else offset + last[3]
+        offset, before = offset + last[2] + 1, last[:2]
+    return out
+
+
+def reranked(pairs: DataFrame) -> DataFrame:
+    """(id, i, rank, alone) of a stored table (id, i, a, b): the place of each row's pair (a, b) among all pairs in order.
+
+    Rows are sorted by pair and position, so equal pairs may fill several partitions.
+    """
+    keys = ["a", "b", "id", "i"]
+    ordered = pairs.repartitionByRange(*keys).sortWithinPartitions(*keys).select("a", "b", "id", "i", F.spark_partition_id().alias("part"))
+    placed = written(ordered.mapInArrow(_places, from_arrow_schema(RANKED)), "placed")
+    edges = placed.where("edge is not null").select("part", F.col("edge")[0], F.col("edge")[1], F.col("edge")[2], "head").collect()
+    shape = "part int, offset long, begin long, before boolean, behind boolean, final long"
+    last = {e[0]: e[3] for e in sorted(map(tuple, edges), key=lambda e: (e[0], e[3]))}
+    joined = pairs.sparkSession.createDataFrame([(*e, last[e[0]]) for e in _joined_edges([tuple(e) for e in edges])], shape)
+    first, final = F.col("head") == 0, F.col("edge").isNotNull() & (F.col("edge")[2] == F.col("final"))
+    rank = F.when(first, F.col("begin")).otherwise(F.col("offset") + F.col("head"))
+    alone = F.col("alone") & ~(first & F.col("before")) & ~(F.coalesce(final, F.lit(False)) & F.col("behind"))
+    return placed.join(F.broadcast(joined), "part").select("id", "i", rank.alias("rank"), alone.alias("alone"))
+
+
+def core_ranks(parts: DataFrame) -> DataFrame:
+    """(id, core): equal for parts (id, blocks) with equal cores; parts whose core stands once are left out."""
+    pieces = parts.select("id", F.col("blocks").alias("ranks"))
+    for _ in range(DOUBLINGS):
+        two = F.transform(F.sequence(F.lit(0), F.size("ranks") - 1, F.lit(2)), lambda x: F.struct(F.col("ranks")[x].alias("a"), F.col("ranks")[x + 1].alias("b")))
+        pairs = written(pieces.select("id", F.posexplode(two).alias("i", "p")).select("id", "i", "p.a", "p.b"), "pairs")
+        found = reranked(pairs)
+        whole = found.groupBy("id").agg(F.max("alone").alias("alone"), F.array_sort(F.collect_list(F.struct("i", "rank"))).alias("r"))
+        pieces = whole.where("not alone").select("id", F.transform("r", lambda x: x["rank"]).alias("ranks"))
+    return pieces.select("id", F.col("ranks")[0].alias("core"))
+
+
 def repeated_strings(members: list[tuple[int, int, bytes, bytes]]) -> list[list[int]]:
     """For each member (low, high, left, right) of a group, the offsets in low..high at which another one has the same string.
 
@@ -158,7 +252,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     group, found = [], []
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(len(PARTS))), strict=True):
+        for row in zip(*(batch.column(i).to_pylist() for i in range(len(MEMBERS))), strict=True):
             if group and group[0][0] != row[0]:
                 found += settle(group)
                 group = []
@@ -207,10 +301,13 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     several = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).where("kinds > 1 and least = 1").select("h")
     units = kinds.join(several, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "n", "d", "c")).alias("runs"))
     texts = map_texts(docs, _pack_texts, TEXTS, setup=lambda: zstandard.ZstdCompressor(level=1))
-    parts = written(texts.select("k1", "k2", "body").join(units, ["k1", "k2"]).select("k1", "k2", "body", "runs").mapInArrow(_split_runs, from_arrow_schema(PARTS)), "parts")
-    cores = parts.groupBy("core").agg(F.count("*").alias("m"), F.max(F.col("single").cast("int")).alias("open")).where("m > 1 and open = 1").select("core", "m")
-    grouped = written(parts.join(cores, "core"), "parts")
+    parts = texts.select("k1", "k2", "body").join(units, ["k1", "k2"]).select("k1", "k2", "body", "runs").mapInArrow(_split_runs, from_arrow_schema(PARTS))
+    parts = written(parts.withColumn("id", F.monotonically_increasing_id()), "parts")
+    ranked = written(parts.drop("blocks").join(core_ranks(parts.select("id", "blocks")), "id").select(*MEMBERS), "ranked")
+    cores = ranked.groupBy("core").agg(F.count("*").alias("m"), F.max(F.col("single").cast("int")).alias("open")).where("open = 1").select("core", "m")
+    grouped = written(ranked.join(cores, "core").select(*MEMBERS, "m"), "grouped")
     dropped(parts)
+    dropped(ranked)
     small = grouped.where(F.col("m") <= GROUP).drop("m").repartition("core").sortWithinPartitions("core").mapInArrow(_compare, from_arrow_schema(FOUND))
     middle = F.length("left")
     strings = grouped.where(F.col("m") > GROUP).select("core", "k1", "k2", "at", "single", F.concat("left", "right").alias("both"), middle.alias("middle"), F.explode(F.sequence("low", "high")).alias("x"))

@@ -47,6 +47,34 @@ def test_suffix_dedup_of_a_large_group(spark, monkeypatch):
     assert Counter(map(tuple, got)) == brute_removed(rows)
 
 
+def test_ranks_equal_those_of_one_sorted_list(spark):
+    """Pairs that fill several partitions keep one rank; a pair that stands once is alone."""
+    r = random.Random(11)
+    rows = [(i, 0, 5, 5) for i in range(900)] + [(1000 + i, i % 3, r.randrange(12), r.randrange(12)) for i in range(300)] + [(5000, 1, -(1 << 63), 7), (5001, 0, (1 << 63) - 1, 7)]
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        pairs = suffix_dedup.written(spark.createDataFrame(rows, "id long, i int, a long, b long"), "test")
+        got = {(x["id"], x["i"]): (x["rank"], x["alone"]) for x in suffix_dedup.reranked(pairs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    order = sorted((a, b) for _, _, a, b in rows)
+    first, n = {p: order.index(p) for p in set(order)}, Counter(order)
+    assert got == {(i, k): (first[a, b], n[a, b] == 1) for i, k, a, b in rows}
+    assert suffix_dedup.reranked(suffix_dedup.written(pairs.limit(0), "test")).count() == 0
+
+
+def test_edges_of_partitions():
+    pairs = [(1, 1), (1, 2), (1, 2), (1, 2), (1, 2), (2, 0), (3, 0), (3, 0), (4, 4)]
+    for cuts in ([2, 3, 7], [1, 4], [5, 6], [3, 8], [1, 2, 3, 4, 5, 6, 7, 8]):
+        edges, expected = [], []
+        for part, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(pairs)])):
+            mine = pairs[a:b]
+            head = lambda x: mine.index(mine[x])  # noqa: B023, E731
+            edges += [(part, *mine[0], 0, 0)] * (len(mine) > 1) + [(part, *mine[-1], len(mine) - 1, head(-1))]
+            expected.append((part, a, pairs.index(mine[0]), a > 0 and pairs[a - 1] == mine[0], b < len(pairs) and pairs[b] == mine[-1]))
+        assert suffix_dedup._joined_edges(edges) == expected
+
+
 def test_segments_do_not_change_the_result(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 300)
     rows = [(1, prose(1, 300)), (2, "x" + prose(1, 300)), (3, prose(1, 150))]
