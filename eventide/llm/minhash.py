@@ -6,10 +6,11 @@ similarity to every one of them; pairs beyond the bound are no candidates.  In a
 are compared with a centre, first the one with the smallest share of shingles of its own; a
 member takes the centre that it meets in most buckets, so a round compares each node once.
 Confirmed links are contracted, and buckets that still hold several components go on with other
-centres.  What is then left between different components is compared pair by pair.  A pair inside
-one component needs no comparison, so no link between different texts is lost and no bucket
-is expanded into all its pairs.  Signatures rule out most pairs; every link is confirmed on
-the full sets.
+centres.  What is then still open is not compared by bucket, since unlike documents with one
+common part can fill a bucket: of two similar sets, each has one of the other's shingles among its
+rarest quarter, so members are joined on their rarest shingles alone.  A pair inside one component
+needs no comparison, so no link between different texts is lost and no bucket is expanded into
+all its pairs.  Signatures rule out most pairs; every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .components import connected_components
 WORDS, PERCENT = 5, 75
 #: Bands and minima of a band; a pair at 0.75 shares no band once in 190,000 times.
 BANDS, ROWS = 32, 4
-#: Rounds with centres before the pairs that are left are compared.
+#: Rounds with centres before what is left is joined on rare shingles.
 ROUNDS = 2
 #: Bits of a candidate's sketch, one for each of as many other minima, and the similarity that they must suggest;
 #: a pair at 0.75 falls below it (4.8 standard deviations) about once in 500,000 times.
@@ -42,7 +43,7 @@ _D = _RANDOM.randint(0, 1 << 62, SKETCH_BITS).astype(np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
-SETS = pa.schema([("node", pa.int64()), ("keys", pa.list_(pa.int32())), ("sketch", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
+SETS = pa.schema([("node", pa.binary()), ("sketch", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
 
 
 def shingle_set(text: bytes, size: int = WORDS) -> np.ndarray:
@@ -99,16 +100,11 @@ def _signed(_, ids, texts):
     }
 
 
-def _sets(_, nodes, digests, texts):
+def _sets(_, nodes, texts):
     """Sets of the texts that have the digest of their class; others share only the doc_id."""
     sets = [shingle_set(t) for t in texts]
-    rows = [(n, s) for n, d, s in zip(nodes, digests, sets, strict=True) if set_digest(s) == d]
-    return {
-        "node": [n for n, _ in rows],
-        "keys": [band_keys(minima(s)).astype(np.int32) for _, s in rows],
-        "sketch": [sketch(s) for _, s in rows],
-        "shingles": [s.view(np.int64) for _, s in rows],
-    }
+    rows = [(n, s) for n, s in zip(nodes, sets, strict=True) if set_digest(s) == n]
+    return {"node": [n for n, _ in rows], "sketch": [sketch(s) for _, s in rows], "shingles": [s.view(np.int64) for _, s in rows]}
 
 
 def _likely(a: str, b: str):
@@ -117,16 +113,11 @@ def _likely(a: str, b: str):
     return apart <= int((1 - SUGGESTED) * SKETCH_BITS / 2)
 
 
-def _first_common(a: str, b: str):
-    """The first band whose keys are equal; a pair is compared in that bucket alone."""
-    return F.coalesce(*(F.when(F.col(a)[i] == F.col(b)[i], i) for i in range(BANDS)))
-
-
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (u, v) whose sets are similar enough: 100 * intersection >= PERCENT * union."""
-    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("s"))
-    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("t"))
-    both = pairs.join(left, "u").join(right, "v")
+    """Those pairs (u, v) whose sketches suggest it and whose sets are similar enough: 100 * intersection >= PERCENT * union."""
+    left = sets.select(F.col("node").alias("u"), F.col("sketch").alias("su"), F.col("shingles").alias("s"))
+    right = sets.select(F.col("node").alias("v"), F.col("sketch").alias("sv"), F.col("shingles").alias("t"))
+    both = pairs.join(left, "u").join(right, "v").where(_likely("su", "sv"))
     common = F.size(F.array_intersect("s", "t"))
     return both.where(common * 100 >= (F.size("s") + F.size("t") - common) * PERCENT).select("u", "v")
 
@@ -144,10 +135,27 @@ def _shared_counts(sets: DataFrame) -> DataFrame:
     return each.join(common, "s", "left_semi").groupBy("node").agg(F.count("*").alias("r"))
 
 
+def _rare_pairs(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of ``open_`` (node, root, n) with different roots that share one of the rarest shingles of each.
+
+    In one order of all shingles, the rarest first, sets of which common shingles make up PERCENT
+    have one in common among the first 100 - PERCENT percent and one more of each.
+    """
+    each = sets.join(open_.select("node"), "node", "left_semi").select("node", F.explode("shingles").alias("s"))
+    known = written(each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "rare")
+    held = each.join(known, "s").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("x")).join(open_, "node")
+    #: Shingles that no other one has come first of all, and need no comparison.
+    first = F.floor(F.col("n") * (100 - PERCENT) / 100).cast("int") + 1 - (F.col("n") - F.size("x"))
+    rare = written(held.where(first > 0).select("node", "root", "n", F.explode(F.slice("x", F.lit(1), first)).alias("x")).select("x.s", "node", "root", "n"), "rare")
+    right = rare.select("s", F.col("node").alias("v"), F.col("root").alias("to"), F.col("n").alias("m"))
+    size = (F.col("n") * 100 >= F.col("m") * PERCENT) & (F.col("m") * 100 >= F.col("n") * PERCENT)
+    return rare.join(right, "s").where((F.col("node") < F.col("v")) & (F.col("root") != F.col("to")) & size).select(F.col("node").alias("u"), "v").distinct()
+
+
 def _resolve(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) that connect every component.
 
-    ``members``: bucket, band, node, n, r, sketch, keys.  A root is a node of the same component; a round
+    ``members``: bucket, node, n, r, sketch.  A root is a node of the same component; a round
     moves roots to ones that are smaller in one order of all roots, so that no cycle can arise.
     """
     labels = members.select("node", F.col("node").alias("root")).distinct()
@@ -161,12 +169,8 @@ def _resolve(members: DataFrame, sets: DataFrame) -> DataFrame:
         buckets = by_root.groupBy("bucket").agg(F.count("*").alias("roots"), F.min_by(F.struct("one.*", "root", order.alias("order")), order).alias("centre")).where("roots > 1")
         live = rooted.join(written(buckets.select("bucket", "centre"), "buckets"), "bucket")
         if k == ROUNDS:
-            left = live.select("bucket", "band", "node", "n", "r", "root", "sketch", "keys")
-            right = live.select("bucket", F.col("node").alias("v"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("root").alias("to"), F.col("sketch").alias("other"), F.col("keys").alias("others"))
-            apart = (F.col("node") < F.col("v")) & (F.col("root") != F.col("to"))
-            pairs = left.join(right, "bucket").where(apart & _possible("n", "r", "m", "q") & _likely("sketch", "other") & (_first_common("keys", "others") == F.col("band")))
-            pairs = pairs.select(F.col("node").alias("u"), "v")
-            return links.union(written(_verified(pairs, sets), "links")) if links is not None else _verified(pairs, sets)
+            found = _verified(_rare_pairs(written(live.select("node", "root", "n").distinct(), "open"), sets), sets)
+            return links.union(written(found, "links")) if links is not None else found
         centre = {c: F.col(f"centre.{c}") for c in ("node", "n", "r", "sketch", "root", "order")}
         rows = live.select("node", "n", "r", "sketch", "root", centre["node"].alias("v"), centre["n"].alias("m"), centre["r"].alias("q"), centre["sketch"].alias("other"), centre["root"].alias("to"), centre["order"].alias("order"))
         met = rows.where((F.col("root") != F.col("to")) & _possible("n", "r", "m", "q") & _likely("sketch", "other")).groupBy("node", "root", "v", "to", "order").agg(F.count("*").alias("c"))
@@ -188,28 +192,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     signed = written(map_texts(docs, _signed, SIGNED), "signed")
     full = signed.where("n_shingles > 0")
-    classes = full.groupBy(F.col("node").alias("digest"), F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("least"))
-    classes = written(classes.withColumn("node", F.xxhash64("digest")), "classes")
-    first = (full["node"] == classes["digest"]) & full["doc_id"].eqNullSafe(classes["least"])
-    bands = full.join(classes.select("digest", "least"), first, "left_semi").select(F.posexplode("bands").alias("band", "bucket"), F.xxhash64("node").alias("node"))
+    classes = written(full.groupBy("node").agg(F.min("doc_id").alias("least")), "classes")
+    first = (full["node"] == classes["node"]) & full["doc_id"].eqNullSafe(classes["least"])
+    bands = full.join(classes, first, "left_semi").select(F.explode("bands").alias("bucket"), "node")
     shared = written(bands.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "shared")
     members = written(bands.join(shared, "bucket", "left_semi").distinct(), "members")
-    chosen = written(members.select("node").distinct().join(classes, "node").select(F.col("least").alias("doc_id"), "node", "digest"), "chosen")
+    chosen = written(members.select("node").distinct().join(classes, "node").select(F.col("least").alias("doc_id"), "node"), "chosen")
     # What is chosen grows with the input, so the texts go to it in the same way at every size.
     chosen = chosen.withColumnRenamed("doc_id", "__id").hint("merge")
-    texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "digest", "text")
-    sets = written(map_texts(texts, _sets, SETS, keys=["node", "digest"]), "sets")
+    texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "text")
+    sets = written(map_texts(texts, _sets, SETS, keys=["node"]), "sets")
     if sets.count() > chosen.count():
         sets = written(sets.dropDuplicates(["node"]), "sets")
     # Dealt once by node and kept; a lost part is made anew from the stored table.
     sets = sets.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").persist()
-    counted = _shared_counts(sets).join(sets.select("node", F.size("shingles").alias("n"), "sketch", "keys"), "node").where(F.col("r") * 100 >= F.col("n") * PERCENT)
+    counted = _shared_counts(sets).join(sets.select("node", F.size("shingles").alias("n"), "sketch"), "node").where(F.col("r") * 100 >= F.col("n") * PERCENT)
     links = written(_resolve(written(members.join(counted, "node"), "members"), sets), "links")
     sets.unpersist()
     stars = connected_components(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    rooted = classes.join(stars, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root"))
+    rooted = classes.join(stars, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    roots = rooted.join(least, "root").select(F.col("digest").alias("node"), "component_id")
+    roots = rooted.join(least, "root").select("node", "component_id")
     return signed.select("doc_id", "n_shingles", "node", "text_hash").join(roots, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash"
     )

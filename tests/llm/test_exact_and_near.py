@@ -159,3 +159,29 @@ def test_components(spark):
         edges = spark.createDataFrame(pairs, "u long, v long")
         want = {a: b for a, b in union(pairs, range(n)).items() if a != b}
         assert {x["u"]: x["v"] for x in components.connected_components(edges).collect()} == want
+
+
+def test_unlike_sets_with_a_common_part_are_no_pairs(spark):
+    """Of 5,000 sets that share half their shingles, only those that share a rare one too are compared."""
+    r = random.Random(12)
+    common = [r.getrandbits(62) for _ in range(60)]
+    sets, open_ = [], []
+    for i in range(2_500):
+        own = [r.getrandbits(62) for _ in range(40)]
+        for j in (0, 1):
+            shingles = common + own + [r.getrandbits(62) for _ in range(j * 3)]
+            node = f"{i}-{j}".encode()
+            sets.append((node, [0] * 16, sorted(shingles)))
+            open_.append((node, node, len(shingles)))
+    sets = spark.createDataFrame(sets, "node binary, sketch array<long>, shingles array<long>")
+    pairs = minhash._rare_pairs(spark.createDataFrame(open_, "node binary, root binary, n int"), sets)
+    assert sorted((bytes(p["u"]).decode(), bytes(p["v"]).decode()) for p in pairs.collect()) == sorted((f"{i}-0", f"{i}-1") for i in range(2_500))
+
+
+def test_documents_with_a_common_half(spark):
+    half, rows = prose(900, 60), []
+    for i in range(120):
+        own = prose(1000 + i, 60)
+        rows += [(2 * i, f"{half} {own}"), (2 * i + 1, f"{half} {own} {prose(5000 + i, i % 50)}")]
+    got = minhash.near_duplicates(documents(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == brute_near(rows)
