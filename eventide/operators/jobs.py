@@ -2,7 +2,7 @@
 
 A job takes the state and returns the new one with a report; ``sources.snapshot`` stores it.
 What several results are made of is checkpointed in the folder of ``spark.checkpoint.dir``, which
-keeps plans short and survives lost executors; without such a folder it is persisted.
+keeps plans short and survives lost executors; without such a folder it is computed again.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from ..functions.text import canonical_json, nocase
 from . import feed as feeds
 from . import normalize, search, state
 from . import predicates as P
+from .state import settled
 
 State = dict[str, DataFrame]
 
@@ -28,18 +29,12 @@ class NotApproved(ValueError):
 
 def approved(sources: DataFrame, source: int | str) -> int:
     """The id of a source by id or key, if its licence allows an import."""
-    where = F.col("id") == source if isinstance(source, int) else F.col("key") == source
-    row = sources.where(where).select("id", P.license_reason().alias("reason")).head(1)
+    row = find_source(sources, source).orderBy("id").select("id", "reason").head(1)
     if not row or row[0]["reason"]:
         raise NotApproved(row[0]["reason"] if row else "missing")
     return row[0]["id"]
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, if the session has a checkpoint folder; else persisted."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def iso(now: datetime) -> str:
     return clock.inactive_cutoff(now, 0)
 
@@ -89,6 +84,64 @@ def import_agenda(records: DataFrame, st: State, now: datetime, retention_days:
     return AgendaImporter(source).run(records, st, now, retention_days)
 
 
+def feed_parts(feed: DataFrame, st: State, first: str, last: str, other: str = "agenda", denied: tuple[str, ...] = (), brand: str | None = None) -> State:
+    """What an import makes of a feed: rows, inventory, recurring, variants, kept, plans and matches."""
+    rows = settled(feeds.funnel(feed, first, last, list(denied), brand))
+    named = "coalesce(cast(event_id as string), '') <> '' and coalesce(title, '') <> ''"
+    #: Denied rows leave only after inventory and variants are found: they count in a group and can be a main event.
+    candidates = rows.where(f"(reason is null or reason = 'denied') and {named}").drop("province").withColumn("province", F.col("place.province"))
+    inventory = settled(feeds.recurring_inventory(candidates))
+    rest = settled(feeds.without_recurring(candidates, inventory))
+    variants = settled(feeds.product_variants(rest))
+    kept = settled(rest.join(variants.select("event_id"), "event_id", "left_anti").where("reason is null"))
+    plans = settled(normalize.feed_plans(kept))
+    foreign = st["plan_sources"].join(st["sources"].where(F.col("key") == other).select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    others = st["plans"].join(foreign.select(F.col("plan_id").alias("id")), "id", "left_semi")
+    matches = settled(feeds.cross_source_matches(plans.withColumn("id", F.col("fingerprint")), others).withColumnRenamed("id", "fingerprint"))
+    return {"rows": rows, "candidates": candidates, "inventory": inventory, "rest": rest, "variants": variants, "kept": kept, "plans": plans, "matches": matches}
+
+
+def feed_report(feed: DataFrame, st: State, now: datetime, days: int = 90, source: int | str = "feed", other: str = "agenda", denied: tuple[str, ...] = (), brand: str | None = None) -> tuple[DataFrame, State]:
+    """What an import of the feed would do: one row of counters, and the details of inventory, variants, possible merges and removals."""
+    source_id = approved(st["sources"], source)
+    first, last = clock.horizon(now, days)
+    parts = feed_parts(feed, st, first, last, other, denied, brand)
+    rows, rest = parts["rows"], parts["rest"]
+    lost = state.missing_links(state.reconciliation_candidates(st["plan_sources"], st["plans"], source_id, first, last), rows.where("seen").select("event_id"))
+    known = st["plan_sources"].where(F.col("source_id") == source_id).select(F.col("source_record_id").alias("record_id"))
+    #: Groups of other venues can have one fingerprint, so a group is named by its first record.
+    named = parts["plans"].withColumn("first", F.col("event_ids")[0])
+    held = named.select("first", F.explode("event_ids").alias("record_id")).join(known, "record_id", "left_semi").select("first").distinct().withColumn("held", F.lit(True))
+    groups = named.select("first", "fingerprint").join(parts["matches"], "fingerprint", "left").join(held, "first", "left")
+    is_, bucket = (lambda c: F.count_if(F.coalesce(c, F.lit(False)))), feeds.source_bucket(brand=brand)
+    reason, seen = F.col("reason"), F.col("seen")
+    unnamed = (F.coalesce(F.col("event_id").cast("string"), F.lit("")) == "") | (F.coalesce("title", F.lit("")) == "")
+    faulty = seen & ((reason == "dates:invalid") | unnamed)
+    good = seen & ~F.coalesce(faulty, F.lit(False))
+    inside = good & (reason.isNull() | reason.isin("territory", "denied"))
+    counters = rows.agg(
+        F.count("*").alias("records"), is_(seen).alias("accepted"), is_(seen & (F.col("source") == "trium")).alias("accepted_trium"), is_(seen & (F.col("source") == "mfx-es")).alias("accepted_mfx_es"),
+        is_(bucket == "universe").alias("excluded_universe"), is_(bucket == "mfx-external").alias("excluded_mfx_external"), is_(bucket == "other").alias("excluded_other"),
+        is_(inside).alias("within_horizon"), is_(inside & (reason.isNull() | (reason == "denied"))).alias("candidates"), is_(good & (reason == "territory")).alias("outside"),
+        is_(good & (reason == "dates:out")).alias("out_of_horizon"), is_(faulty).alias("invalid"),
+    )
+    left = rest.agg(F.count("*").alias("left"), is_(reason == "denied").alias("denied"))
+    variant = parts["variants"].join(rest.where("reason is null").select("event_id"), "event_id", "left_semi").agg(F.count("*").alias("variants"))
+    merged = groups.agg(
+        is_(F.col("held")).alias("updates"), is_(F.col("held").isNull() & F.col("confirmed").isNull()).alias("new_plans"),
+        is_(F.col("confirmed").isNotNull()).alias("confirmed_merges"), is_(F.size("possible") > 0).alias("possible_merges"),
+    )
+    removed = lost.agg(F.count("*").alias("removals"))
+    out = counters.crossJoin(F.broadcast(left)).crossJoin(F.broadcast(variant)).crossJoin(F.broadcast(merged)).crossJoin(F.broadcast(removed))
+    out = out.withColumn("recurring", F.col("candidates") - F.col("left")).withColumn("unchanged", F.lit(0).cast("long")).drop("left")
+    details = {
+        "recurring": parts["inventory"], "variants": parts["variants"],
+        "possible_merges": parts["matches"].where(F.size("possible") > 0).join(parts["plans"].select("fingerprint", "original_title"), "fingerprint").select("original_title", "possible"),
+        "removals": lost.select("source_record_id", "plan_id"),
+    }
+    return out, details
+
+
 def import_feed(feed: DataFrame, st: State, now: datetime, days: int = 90, source: int | str = "feed", other: str = "agenda", denied: tuple[str, ...] = (), brand: str | None = None, dry_run: bool = False):
     """Imports a complete feed; returns the state (unchanged in a dry run), the funnel's and the outcomes' counts.
 
@@ -96,17 +149,10 @@ def import_feed(feed: DataFrame, st: State, now: datetime, days: int = 90, sourc
     """
     source_id = approved(st["sources"], source)
     first, last = clock.horizon(now, days)
-    rows = settled(feeds.funnel(feed, first, last, list(denied), brand))
+    parts = feed_parts(feed, st, first, last, other, denied, brand)
+    rows, plans, kept = parts["rows"], parts["plans"], parts["kept"]
     seen = rows.where("seen").select("event_id")
-    named = "coalesce(cast(event_id as string), '') <> '' and coalesce(title, '') <> ''"
-    #: Denied rows leave only after inventory and variants are found: they count in a group and can be a main event.
-    kept = rows.where(f"(reason is null or reason = 'denied') and {named}").drop("province").withColumn("province", F.col("place.province"))
-    kept = settled(feeds.without_recurring(kept, feeds.recurring_inventory(kept)))
-    kept = settled(kept.join(feeds.product_variants(kept).select("event_id"), "event_id", "left_anti").where("reason is null"))
-    plans = settled(normalize.feed_plans(kept))
-    foreign = st["plan_sources"].join(st["sources"].where(F.col("key") == other).select(F.col("id").alias("source_id")), "source_id", "left_semi")
-    others = st["plans"].join(foreign.select(F.col("plan_id").alias("id")), "id", "left_semi")
-    matches = feeds.cross_source_matches(plans.withColumn("id", F.col("fingerprint")), others).select(F.col("id").alias("fingerprint"), F.col("confirmed").alias("target_id"))
+    matches = parts["matches"].select("fingerprint", F.col("confirmed").alias("target_id"))
     records = kept.select("event_id", "pos", canonical_json(F.to_json(F.struct("event_id", "title", "start_date", "end_date", "start_time", "venue_name", "url", "event_status"))).alias("payload"))
     incoming = plans.join(matches, "fingerprint", "left").withColumn("event_id", F.explode("event_ids")).join(records, "event_id").withColumnRenamed("event_id", "record_id").drop("event_ids")
     outcomes = settled(state.upsert_outcomes(settled(incoming), st["plan_sources"], st["plans"], source_id))
@@ -155,6 +201,16 @@ def home(st: State, today: date, now: datetime, lang: str = "ca", weekend_limit:
     }
 
 
+def find_source(sources: DataFrame, source: int | str) -> DataFrame:
+    """The source with this id or key, and why it may not be imported."""
+    where = F.col("id") == source if isinstance(source, int) else F.col("key") == source
+    return sources.where(where).withColumn("reason", P.license_reason())
+
+
+def categories_listed(categories: DataFrame) -> DataFrame:
+    return categories.orderBy("slug")
+
+
 def sources_listed(sources: DataFrame) -> DataFrame:
     """Enabled sources by name without regard to ASCII case."""
     return sources.where("enabled = 1").orderBy(nocase(F.col("name")), "id")

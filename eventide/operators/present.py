@@ -88,6 +88,11 @@ def attribution_date() -> Column:
     return F.substring(F.coalesce("source_updated_at", "imported_at"), 1, 10)
 
 
+def list_meta(filtered: bool, site: str, title: str) -> dict[str, str]:
+    """Title, robots and canonical URL of the list's page; a filtered list is not indexed."""
+    return {"title": title, "robots": "noindex,follow" if filtered else "index,follow", "canonical": f"{site}/plans"}
+
+
 def page_meta(title: Column, site: str, suffix: str) -> Column:
     """Struct of title, robots and canonical URL of a plan's page; only events are indexed."""
     heading = F.concat_ws(" | ", F.concat_ws(" · ", title, nonempty(F.col("municipality"))), F.lit(suffix))

@@ -215,6 +215,14 @@ def source_lists(rows: DataFrame, provenance: DataFrame, sources: DataFrame) ->
     return rows.join(lists, "id", "left")
 
 
+def servable_images(images: DataFrame, provenance: DataFrame, sources: DataFrame, plans: DataFrame, controlled: str) -> DataFrame:
+    """(id, url) of the images that may be served: of the controlled source, if it is enabled, and of an active plan."""
+    allowed = sources.where((F.col("key") == controlled) & (F.col("enabled") == 1)).select(F.col("id").alias("source_id"))
+    active = plans.where(F.col("status") == "active").select(F.col("id").alias("plan_id"))
+    links = provenance.join(allowed, "source_id", "left_semi").join(active, "plan_id", "left_semi").select(F.col("id").alias("plan_source_id"))
+    return images.join(links, "plan_source_id", "left_semi").select("id", "url")
+
+
 def best_images(images: DataFrame, provenance: DataFrame, sources: DataFrame, role: str, controlled: str, url_prefix: str = "/api/media/") -> DataFrame:
     """(id, image): of a plan's images in this role from the controlled, enabled source the best one."""
     allowed = sources.where((F.col("key") == controlled) & (F.col("enabled") == 1)).select(F.col("id").alias("source_id"))

@@ -18,6 +18,11 @@ from . import predicates as P
 NEVER_FILLED = ("id", "fingerprint", "quality_score", "status", "inactive_at", "created_at", "updated_at")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut, if the session has a checkpoint folder; else it is computed anew where it is used."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def upsert_outcomes(incoming: DataFrame, provenance: DataFrame, plans: DataFrame, source_id: int) -> DataFrame:
     """``incoming`` (pos, record_id, fingerprint, payload, optionally target_id) with plan_id, outcome and known.
 
@@ -170,14 +175,27 @@ def purge(state: dict[str, DataFrame], where: Column) -> tuple[dict[str, DataFra
 
 
 def purge_old(state: dict[str, DataFrame], now: datetime, retention_days: int = 0) -> tuple[dict[str, DataFrame], DataFrame]:
-    """The three purges one after another: faulty dates, expired, outside the territory."""
-    steps = {"invalid": P.coherence_issue(clock.local_date(now).year).isNotNull(), "expired": P.expired(clock.retention_cutoff(now, retention_days)), "outside": P.outside_territory()}
-    report = None
-    for name, where in steps.items():
-        state, counts = purge(state, F.coalesce(where, F.lit(False)))
-        counts = counts.select(F.lit(name).alias("policy"), "relation", "n")
-        report = counts if report is None else report.union(counts)
-    return state, report
+    """The three purges one after another: faulty dates, expired, outside the territory.
+
+    A plan goes by the first that applies, which is found once for all relations; the report has each policy and relation.
+    """
+    invalid, old = P.coherence_issue(clock.local_date(now).year).isNotNull(), P.expired(clock.retention_cutoff(now, retention_days))
+    policy = F.when(invalid, "invalid").when(old, "expired").when(P.outside_territory(), "outside")
+    gone = settled(state["plans"].select(F.col("id").alias("plan_id"), policy.alias("policy")).where("policy is not null"))
+    out = dict(state)
+    out["plans"] = state["plans"].join(gone.select(F.col("plan_id").alias("id")), "id", "left_anti")
+    lost = {"plans": gone}
+    for name in ("plan_sources", "plan_categories"):
+        lost[name] = state[name].join(gone, "plan_id")
+        out[name] = state[name].join(gone, "plan_id", "left_anti")
+    if "images" in state:
+        out["images"] = state["images"].join(lost["plan_sources"].select(F.col("id").alias("plan_source_id")), "plan_source_id", "left_anti")
+    counts = None
+    for name, rows in lost.items():
+        each = rows.groupBy("policy").agg(F.count("*").alias("c")).withColumn("relation", F.lit(name))
+        counts = each if counts is None else counts.unionByName(each)
+    every = gone.sparkSession.createDataFrame([(p, n) for p in ("invalid", "expired", "outside") for n in lost], "policy string, relation string")
+    return out, every.join(counts, ["policy", "relation"], "left").select("policy", "relation", F.coalesce("c", F.lit(0)).alias("n"))
 
 
 def reconciliation_candidates(provenance: DataFrame, plans: DataFrame, source_id: int, today: str, last: str) -> DataFrame:
@@ -213,6 +231,13 @@ def remove_links(state: dict[str, DataFrame], lost: DataFrame, now: str) -> dict
     return out
 
 
+def find_record(provenance: DataFrame, plans: DataFrame, source_id: int) -> DataFrame:
+    """(source_link_id, source_record_id, plan_id, plan_title, plan_status) of each of a source's records."""
+    titled = plans.select(F.col("id").alias("plan_id"), F.coalesce("title_ca", "title_es", "original_title").alias("plan_title"), F.col("status").alias("plan_status"))
+    mine = provenance.where(F.col("source_id") == source_id).select(F.col("id").alias("source_link_id"), "source_record_id", "plan_id")
+    return mine.join(titled, "plan_id").select("source_link_id", "source_record_id", "plan_id", "plan_title", "plan_status")
+
+
 def remove_event(state: dict[str, DataFrame], source_id: int, event_id: str, now: str, purge_plan: bool = False, dry_run: bool = False) -> tuple[dict[str, DataFrame], str]:
     """Removes one record's provenance; with ``purge_plan`` also a plan that nothing else supports.
 
@@ -240,8 +265,23 @@ def inactive_audit(plans: DataFrame, provenance: DataFrame, now: datetime, days:
     return rows.select("id", "inactive_at", "n_sources", age.alias("days"), reason.alias("reason"))
 
 
+#: Relations whose rows hang on a plan and that ``purge_inactive`` takes into account.
+DEPENDENT = ("plan_sources", "plan_categories")
+
+
+def check_dependencies(state: dict[str, DataFrame]) -> None:
+    """Raises unless plans can be deleted without leaving rows that refer to them."""
+    missing = {"id", "status", "inactive_at"} - set(state["plans"].columns)
+    if missing:
+        raise ValueError(f"plans lacks {', '.join(sorted(missing))}")
+    unknown = sorted(n for n, df in state.items() if n not in ("plans", *DEPENDENT) and "plan_id" in df.columns)
+    if unknown:
+        raise ValueError(f"{', '.join(unknown)} depends on plans in a way that is not handled")
+
+
 def purge_inactive(state: dict[str, DataFrame], now: datetime, days: int = 7, dry_run: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
     """Deletes what the audit finds eligible; a dry run only reports."""
+    check_dependencies(state)
     audit = inactive_audit(state["plans"], state["plan_sources"], now, days)
     if dry_run:
         return state, audit
@@ -288,17 +328,48 @@ def cache_evictions(files: DataFrame, now: str, ttl_hours: int, max_bytes: int,
     old = F.to_timestamp("fetched_at") < F.to_timestamp(F.lit(now)) - F.expr(f"INTERVAL {ttl_hours} HOURS")
     state = F.when(F.col("_valid").isNull(), "orphan").when(old, "expired")
     rows = known.select("image_id", "size", "fetched_at", state.alias("gone"))
-    newer = F.sum("size").over(Window.partitionBy(F.lit(1)).orderBy(F.col("fetched_at").desc(), F.col("image_id").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    kept = rows.where("gone is null").withColumn("action", F.when(newer > max_bytes, "evicted").otherwise("kept"))
+    kept = _running_sum(rows.where("gone is null"), "size", [F.col("fetched_at").desc(), F.col("image_id").desc()], "newer")
+    kept = kept.withColumn("action", F.when(F.col("newer") > max_bytes, "evicted").otherwise("kept"))
     return kept.select("image_id", "size", "fetched_at", "action").union(rows.where("gone is not null").select("image_id", "size", "fetched_at", F.col("gone").alias("action")))
 
 
+def _running_sum(rows: DataFrame, value: str, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` up to each row: within range partitions, plus the sums of those before."""
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ordered = ordered.withColumn("_own", F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    sums = ordered.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = sums.withColumn("_before", F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).select("_part", "_before")
+    return ordered.join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+
+
+def cache_summary(actions: DataFrame) -> DataFrame:
+    """One row of what ``cache_evictions`` did: orphaned, expired, evicted, and the bytes that stay."""
+    is_ = lambda x: F.count_if(F.col("action") == x)
+    left = F.coalesce(F.sum(F.when(F.col("action") == "kept", F.col("size"))), F.lit(0))
+    return actions.agg(is_("orphan").alias("orphaned"), is_("expired").alias("expired"), is_("evicted").alias("evicted"), left.alias("bytes"))
+
+
+def cache_hits(files: DataFrame, images: DataFrame, now: str, ttl_hours: int) -> DataFrame:
+    """Cached files (image_id, source_hash, fetched_at) that may still be served: of the image's present URL, and younger than the limit."""
+    current = images.select(F.col("id").alias("image_id"), F.sha2("url", 256).alias("_hash"))
+    fresh = F.to_timestamp("fetched_at") > F.to_timestamp(F.lit(now)) - F.expr(f"INTERVAL {ttl_hours} HOURS")
+    return files.join(current, "image_id").where((F.col("source_hash") == F.col("_hash")) & fresh).drop("_hash")
+
+
 def run_counts(outcomes: DataFrame) -> DataFrame:
     """One row of a run's counters; ``outcome`` invalid counts as skipped too."""
     is_ = lambda x: F.count_if(F.col("outcome") == x)
     return outcomes.agg(F.count("*").alias("fetched"), is_("inserted").alias("inserted"), is_("updated").alias("updated"), (is_("skipped") + is_("invalid")).alias("skipped"), is_("invalid").alias("invalid"), is_("error").alias("errors"))
 
 
+def started_run(spark, run_id: int, source_id: int, started: str) -> DataFrame:
+    """The ledger's row of a run that has begun."""
+    row = spark.range(1).select(F.lit(run_id).cast("long").alias("id"), F.lit(source_id).cast("long").alias("source_id"), F.lit(started).alias("started_at"))
+    none = {"finished_at": "string", "status": "string", "fetched": "long", "inserted": "long", "updated": "long", "skipped": "long", "invalid": "long", "errors": "long", "invalid_details": "string"}
+    counts = {n: (F.lit(0) if t == "long" else F.lit(None)).cast(t) for n, t in none.items()}
+    return row.withColumns(counts | {"status": F.lit("running")})
+
+
 def ledger_row(counts: DataFrame, invalid: DataFrame, run_id: int, source_id: int, started: str, finished: str) -> DataFrame:
     """A finished run with its counters and, as JSON, the first hundred invalid records."""
     some = invalid.orderBy("record_id").limit(100).agg(F.to_json(F.array_sort(F.collect_list(F.struct("record_id", "reason")))).alias("invalid_details"))

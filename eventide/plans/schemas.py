@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PLANS = (
     "id long, kind string, fingerprint string, original_language string, original_title string, original_description string, title_ca string, title_es string, "
@@ -44,14 +45,35 @@ FEED = (
     f"primaryEventUrl string, segmentName string, eventInfo string, eventStatus string, countryCode string, venue {VENUE}"
 )
 
-# The categories that rules assign, with their names.
-CATEGORY_NAMES = {
-    "familia": ("Família", "Familia"), "musica": ("Música", "Música"), "espectacles": ("Espectacles", "Espectáculos"), "festes": ("Festes", "Fiestas"),
-    "fires-mercats": ("Fires i mercats", "Ferias y mercados"), "gastronomia": ("Gastronomia", "Gastronomía"), "museus": ("Museus", "Museos"),
-    "patrimoni": ("Patrimoni", "Patrimonio"), "cultura": ("Cultura", "Cultura"),
-}
+# All categories with their names, group and icon.
+CATEGORY_ROWS = [
+    ("festes", "Festes", "Fiestas", "cultura", "party-popper"),
+    ("musica", "Música", "Música", "cultura", "music"),
+    ("espectacles", "Espectacles", "Espectáculos", "cultura", "theater"),
+    ("fires-mercats", "Fires i mercats", "Ferias y mercados", "cultura", "store"),
+    ("gastronomia", "Gastronomia", "Gastronomía", "cultura", "utensils"),
+    ("cultura", "Cultura", "Cultura", "cultura", "book-open"),
+    ("familia", "Família", "Familia", "caracteristica", "family"),
+    ("natura", "Natura", "Naturaleza", "natura", "tree"),
+    ("senderisme", "Senderisme", "Senderismo", "natura", "walking"),
+    ("muntanya", "Muntanya", "Montaña", "natura", "mountain"),
+    ("platges", "Platges", "Playas", "natura", "umbrella-beach"),
+    ("bicicleta", "Bicicleta", "Bicicleta", "natura", "bike"),
+    ("miradors", "Miradors", "Miradores", "natura", "binoculars"),
+    ("patrimoni", "Patrimoni", "Patrimonio", "patrimoni", "landmark"),
+    ("museus", "Museus", "Museos", "patrimoni", "museum"),
+    ("monuments", "Monuments", "Monumentos", "patrimoni", "monument"),
+    ("pobles", "Pobles", "Pueblos", "patrimoni", "houses"),
+    ("parcs-jardins", "Parcs i jardins", "Parques y jardines", "patrimoni", "trees"),
+]
 
 
-def seeded_categories(spark: SparkSession) -> DataFrame:
-    rows = [(i, slug, ca, es, "general", slug) for i, (slug, (ca, es)) in enumerate(CATEGORY_NAMES.items(), 1)]
-    return spark.createDataFrame(rows, CATEGORIES)
+def seeded_categories(spark: SparkSession, stored: DataFrame | None = None) -> DataFrame:
+    """The categories above; those of ``stored`` with the same slug keep their id and take the rest, others follow."""
+    seed = spark.createDataFrame([(i, *row) for i, row in enumerate(CATEGORY_ROWS, 1)], CATEGORIES)
+    if stored is None:
+        return seed
+    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    known = stored.select("slug", F.col("id").alias("_id"))
+    merged = seed.join(known, "slug", "left").crossJoin(F.broadcast(top)).withColumn("id", F.coalesce("_id", F.col("_top") + F.col("id")))
+    return stored.join(seed.select("slug"), "slug", "left_anti").select(*seed.columns).unionByName(merged.select(*seed.columns))

@@ -113,6 +113,30 @@ FROM events
 }
 
 
+_SQL["agenda"] = """
+SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 37 = 0 THEN '' ELSE concat('c', CAST(o_orderkey AS STRING)) END AS codi, CASE WHEN o_orderkey % 31 = 0 THEN '  ' WHEN o_orderkey % 29 = 0 THEN NULL ELSE concat(n_name, ' de la ', CAST(o_orderkey % 900 AS STRING)) END AS denominaci,
+  CASE WHEN o_orderkey % 19 = 0 THEN ' ' WHEN o_orderkey % 3 = 0 THEN concat('Text of ', o_orderpriority) END AS descripcio, concat('<b>', c_name, '</b> &amp; ', o_orderpriority) AS subt_tol,
+  CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 97 = 0 THEN 'soon' ELSE {day_start} || 'T00:00:00.000' END AS data_inici,
+  CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 101 = 0 THEN '2031-02-30' WHEN o_orderkey % 103 = 0 THEN '2031-01-31' ELSE {day_end} || 'T00:00:00.000' END AS data_fi,
+  CASE WHEN o_orderkey % 9 = 0 THEN 'De 10 a&nbsp;12 <br/> h' WHEN o_orderkey % 9 = 1 THEN '<p> </p>' END AS horari,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'agenda:ambits/Jazz' WHEN o_orderkey % 4 = 1 THEN 'Dansa, Familiar' END AS tags_mbits, CASE WHEN o_orderkey % 6 = 0 THEN 'agenda:categories/museus' END AS tags_categor_es,
+  concat('agenda:ubicacions/', lower(replace(r_name, ' ', '-')), '/', lower(replace(n_name, ' ', '-')), CASE WHEN o_orderkey % 7 = 0 THEN '' WHEN o_orderkey % 7 = 1 THEN '/l-hospitalet-de-llobregat' WHEN o_orderkey % 7 = 2 THEN '/castell-d-aro' ELSE concat('/sant-', lower(c_mktsegment), '-de-les-abadesses') END) AS municipi,
+  CASE WHEN o_orderkey % 23 = 0 THEN 'x' WHEN o_orderkey % 23 = 1 THEN '95.5' WHEN o_orderkey % 23 = 2 THEN '' ELSE concat('41.', CAST(o_orderkey % 100 AS STRING)) END AS latitud, CASE WHEN o_orderkey % 17 = 0 THEN '1d' ELSE concat(' +2.', CAST(o_orderkey % 70 AS STRING)) END AS longitud,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'Sí' WHEN o_orderkey % 5 = 1 THEN ' NO ' WHEN o_orderkey % 5 = 2 THEN 'maybe' END AS gratuita, CASE WHEN o_orderkey % 41 = 0 THEN 'Sí' WHEN o_orderkey % 2 = 0 THEN 'no' END AS permanent,
+  CASE WHEN o_orderkey % 8 = 0 THEN 'ftp://x.example/a' WHEN o_orderkey % 8 = 1 THEN 'https://a.example/1' END AS urlactivitat, CASE WHEN o_orderkey % 3 = 1 THEN 'http://b.example/2' ELSE 'none' END AS url,
+  CASE WHEN o_orderkey % 10 = 0 THEN 'https://t.example/x' ELSE 'mailto:a' END AS linkbotoentrades, concat('<p>a</p><img src="x', CAST(o_orderkey % 9 AS STRING), '">b') AS descripcio_html, 'https://img.example/1' AS imatges
+FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS last_ship FROM lineitem GROUP BY l_orderkey) ship ON l_orderkey = o_orderkey
+"""
+_SQL["feed_records"] = """
+SELECT event_id AS pos, CAST(event_id AS STRING) AS event_id, CASE WHEN event_id % 3 = 0 THEN event_type END AS v_venue_name, concat('N', event_type) AS v_name, CASE WHEN event_id % 4 = 0 THEN '' WHEN event_id % 4 = 1 THEN 'ES' END AS v_country,
+  CASE WHEN event_id % 8 = 2 THEN 'FR' END AS v_venue_country, 'PT' AS country_code, CASE WHEN event_id % 5 = 0 THEN 'Girona' END AS v_state, CASE WHEN event_id % 2 = 0 THEN 'Lleida' END AS v_state_name,
+  CASE WHEN event_id % 6 = 0 THEN 'Olot' END AS v_city_name, CASE WHEN event_id % 7 = 0 THEN 'Reus' END AS v_venue_city, CASE WHEN event_id % 9 = 0 THEN CAST(42 AS DOUBLE) END AS v_lat, CASE WHEN event_id % 2 = 1 THEN CAST(41 AS DOUBLE) END AS v_venue_lat,
+  {event_day} AS first_day, CASE WHEN event_id % 10 = 0 THEN '2024-02-01' END AS last_day FROM events
+"""
+RECORD_SQL = ("agenda", "feed_records")
+
+
 def relation_sql(name: str, engine: str) -> str:
     day, time = _DAY[engine].format, _TIME[engine].format
     return _SQL[name].format(day_start=day("o_orderdate"), day_end=day("last_ship"), event_day=day("ts"), event_time=time("ts"))
@@ -121,6 +145,7 @@ def relation_sql(name: str, engine: str) -> str:
 _TABLES = {
     "plans": ["orders", "lineitem", "documents", "customer", "nation", "region"], "categories": ["part"], "plan_categories": ["lineitem", "part"],
     "sources": ["supplier"], "plan_sources": ["lineitem"], "images": ["lineitem"], "feed": ["events"],
+    "agenda": ["orders", "lineitem", "customer", "nation", "region"], "feed_records": ["events"],
 }
 
 

@@ -47,7 +47,7 @@ def test_snapshot_swaps_at_once(spark, tmp_path):
     snapshot.write_snapshot(spark, empty | {"categories": seeded_categories(spark)}, root, files=1)
     first = snapshot.read_snapshot(spark, root)["categories"].count()
     snapshot.write_snapshot(spark, empty, root)
-    assert first == 9 and snapshot.read_snapshot(spark, root)["categories"].count() == 0
+    assert first == 18 and snapshot.read_snapshot(spark, root)["categories"].count() == 0
 
 
 def test_sitemap_sink(spark, tmp_path):
