@@ -43,6 +43,7 @@ def nc(c: str) -> str:
 
 END = "coalesce(end_date, start_date)"
 RETAINED = f"(permanent = 1 OR {END} IS NULL OR {END} >= '1998-06-15')"
+# Place words, as in ``operators.predicates``.
 _NOUN = "(catalunya|cataluna|espanya|espana|estat espanyol|estado espanol)"
 OUTSIDE = " OR ".join(
     f"regexp_full_match(replace({k(c)}, '-', ' '), 'fora (de |d |del |de l )?{_NOUN}|fuera (de |del )?{_NOUN}|outside (of )?(catalonia|catalunya|spain)')"
@@ -110,7 +111,7 @@ FOUND = {
     "search_text": (Filters(q="THÉ of!"), f"(contains({k('original_title')}, 'the-of') OR contains({k('title_ca')}, 'the-of') OR contains({k('title_es')}, 'the-of') OR contains({k('venue_name')}, 'the-of'))"),
     "search_location": (Filters(municipality="Búilding", comarca="Nation 3"), f"{k('municipality')} = 'building' AND {k('comarca')} = 'nation-3'"),
     "search_nocase": (Filters(kind="route"), f"{nc('kind')} = 'route'"),
-    "search_flags": (Filters(free=1, family=0), "is_free = 1 AND family_friendly = 0"),
+    "search_flags": (Filters(free=1, family=1), "is_free = 1 AND family_friendly = 1"),
     "search_day": (Filters(date=DAY), f"(permanent = 1 OR ({DATED} AND start_date <= '{DAY}' AND end_date >= '{DAY}'))"),
     "search_range": (Filters(date_from=FROM, date_to=TO), f"(permanent = 1 OR ({DATED} AND start_date <= '{TO}' AND end_date >= '{FROM}'))"),
     "search_from": (Filters(date_from=FROM), f"(permanent = 1 OR (end_date IS NOT NULL AND end_date >= '{FROM}'))"),
@@ -214,9 +215,11 @@ def plan_image(r):
     return rows.select("id", F.substring_index("image.url", "/", -1).cast("long").alias("image_id"), "image.width", "image.height", "image.attribution")
 
 
-@query(f"SELECT id, {TITLE['es']} AS title, start_date, quality_score FROM visible WHERE id = 42", "plans")
+@query(f"SELECT id, {TITLE['es']} AS title, start_date, quality_score FROM visible WHERE id = (SELECT min(id) FROM visible)", "plans")
 def plan_detail(r):
-    return search.detail(r("plans"), 42, NOW, "es").select("id", "title", "start_date", "quality_score")
+    """The first plan that can be seen."""
+    first = shown(r).agg(F.min("id")).first()[0]
+    return search.detail(r("plans"), first, NOW, "es").select("id", "title", "start_date", "quality_score")
 
 
 @query(f"SELECT province, row_number() OVER (ORDER BY {nc('province')}, province) AS rank FROM (SELECT DISTINCT province FROM visible WHERE trim(province) <> '') t", "plans")
@@ -456,10 +459,11 @@ def _candidates(r) -> DataFrame:
 
 
 def _seen(r) -> DataFrame:
-    return r("plans").where("id % 2 = 0").select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("event_id"))
+    """A feed that lacks one record in twenty."""
+    return r("plans").where("id % 20 <> 0").select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("event_id"))
 
 
-@query(f"SELECT id, plan_id FROM ({LIVE}) c WHERE source_record_id NOT IN (SELECT 'r' || id FROM plans WHERE id % 2 = 0)", "plans", "plan_sources")
+@query(f"SELECT id, plan_id FROM ({LIVE}) c WHERE source_record_id NOT IN (SELECT 'r' || id FROM plans WHERE id % 20 <> 0)", "plans", "plan_sources")
 def reconcile_missing(r):
     return state.missing_links(_candidates(r), _seen(r)).select("id", "plan_id")
 
@@ -478,14 +482,14 @@ def plan_status_after_removal(r):
 
 def _incoming(r) -> DataFrame:
     """Source 7's records again: some with other payloads, some unknown, with plans that are known or not."""
-    rows = r("plans").where("id % 3 = 0")
+    rows = r("plans")
     fingerprint = F.when(F.col("id") % 2 == 0, F.col("fingerprint")).otherwise(F.concat(F.lit("new-"), (F.col("id") % 1000).cast("string")))
     payload = F.concat(F.lit('{"v":'), (F.col("id") % F.when(F.col("id") % 4 == 0, 10).otherwise(7)).cast("string"), F.lit("}"))
     return rows.select(F.col("id").alias("pos"), F.concat(F.lit("r"), F.col("id").cast("string")).alias("record_id"), fingerprint.alias("fingerprint"), payload.alias("payload"))
 
 
 INCOMING = """incoming AS (SELECT id AS pos, 'r' || id AS record_id, CASE WHEN id % 2 = 0 THEN fingerprint ELSE 'new-' || (id % 1000) END AS fingerprint,
-  '{"v":' || (id % CASE WHEN id % 4 = 0 THEN 10 ELSE 7 END) || '}' AS payload FROM plans WHERE id % 3 = 0)"""
+  '{"v":' || (id % CASE WHEN id % 4 = 0 THEN 10 ELSE 7 END) || '}' AS payload FROM plans)"""
 OUTCOMES = f"""WITH {INCOMING}, prints AS (SELECT fingerprint, min(id) AS id FROM plans GROUP BY fingerprint),
 joined AS (SELECT i.*, ps.plan_id AS known, ps.source_payload_json AS old, p.id AS print FROM incoming i
   LEFT JOIN plan_sources ps ON ps.source_id = 7 AND ps.source_record_id = i.record_id LEFT JOIN prints p ON p.fingerprint = i.fingerprint),
@@ -566,15 +570,15 @@ def image_best_per_role(r):
 @query(
     """SELECT coalesce(o.plan_source_id, n.plan_source_id) AS plan_source_id, coalesce(o.role, n.role) AS role,
     CASE WHEN o.role IS NULL THEN 'created' WHEN n.role IS NULL THEN 'removed' WHEN o.width = n.width THEN 'unchanged' ELSE 'updated' END AS action
-    FROM (SELECT * FROM images WHERE id % 5 <> 0 AND plan_source_id IN (SELECT plan_source_id FROM images WHERE id % 7 <> 0)) o
-    FULL JOIN (SELECT *, width + 1 AS more FROM (SELECT plan_source_id, role, CASE WHEN id % 3 = 0 THEN width + 1 ELSE width END AS width FROM images WHERE id % 7 <> 0) t) n
+    FROM images o FULL JOIN (SELECT plan_source_id, CASE WHEN id % 20 = 0 THEN 'extra' ELSE role END AS role, CASE WHEN id % 3 = 0 THEN width + 1 ELSE width END AS width FROM images) n
     ON o.plan_source_id = n.plan_source_id AND o.role = n.role""",
     "images",
 )
 def image_upsert_actions(r):
-    images = r("images")
-    chosen = images.where("id % 7 <> 0").withColumn("width", F.when(F.col("id") % 3 == 0, F.col("width") + 1).otherwise(F.col("width")))
-    return state.image_actions(images.where("id % 5 <> 0"), chosen)
+    """All images again: some wider, one in twenty in another role."""
+    ident = F.col("id")
+    width, role = F.when(ident % 3 == 0, F.col("width") + 1).otherwise(F.col("width")), F.when(ident % 20 == 0, "extra").otherwise(F.col("role"))
+    return state.image_actions(r("images"), r("images").withColumns({"width": width, "role": role}))
 
 
 @query(
@@ -607,5 +611,6 @@ def cache_eviction(spark, sf_dir):
     "sources",
 )
 def source_gate(r):
+    """``sources`` is a small dimension, so one task can rank it."""
     rank = F.row_number().over(Window.orderBy(X.nocase(F.col("name")), "id")).cast("long")
     return r("sources").select("id", "key", predicates.license_reason().alias("reason"), rank.alias("rank"))
