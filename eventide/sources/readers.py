@@ -14,6 +14,8 @@ from ..plans.schemas import AGENDA, AGENDA_FIELDS, FEED, TABLES
 
 PAGE_SIZE = 1000
 MAX_COMPRESSED, MAX_INFLATED = 25 << 20, 150 << 20
+#: Seconds that an answer can ask to wait, at most.
+MAX_WAIT = 10.0
 
 
 def read_agenda(spark: SparkSession, path: str) -> DataFrame:
@@ -32,13 +34,34 @@ def dataset_timestamp(seconds) -> object:
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+def _inflated(batches):
+    """(content) of whole files to (value, large): text, unpacked if the first bytes say gzip, or that it is too large."""
+    import zlib
+
+    import pyarrow as pa
+
+    for batch in batches:
+        values, large = [], []
+        for content in batch.column(0).to_pylist():
+            packed = content[:2] == b"\x1f\x8b"
+            too_large = len(content) > (MAX_COMPRESSED if packed else MAX_INFLATED)
+            if packed and not too_large:
+                content = zlib.decompressobj(31).decompress(content, MAX_INFLATED + 1)
+                too_large = len(content) > MAX_INFLATED
+            large.append(too_large)
+            values.append(None if too_large else content.decode("utf-8", "replace").strip())
+        yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(large, pa.bool_())], ["value", "large"])
+
+
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """A complete feed, JSON or gzip: an array or an object with ``events``; empty or foreign members fail the read."""
-    sizes = spark.read.format("binaryFile").load(path).select("path", "length")
-    large = sizes.where(F.col("length") > F.when(F.lower("path").endswith(".gz"), MAX_COMPRESSED).otherwise(MAX_INFLATED))
-    if large.head(1):
+    """A complete feed, JSON or gzip by its first bytes: an array or an object with ``events``.
+
+    Too large files, packed or unpacked, and empty or foreign members fail the read.
+    """
+    text = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_inflated, "value string, large boolean")
+    if text.where("large").head(1):
         raise ValueError("the feed is too large")
-    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
+    text = text.select("value")
     member = F.from_json(F.when(F.col("value").startswith("["), F.col("value")).otherwise(F.get_json_object("value", "$.events")), _feed_array(), {"mode": "FAILFAST"})
     events = text.select(member.alias("events")).select(F.posexplode("events").alias("pos", "e"))
     if not events.head(1) or events.where("e is null").head(1):
@@ -77,38 +100,66 @@ def read_catalogue(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in TABLES.items()}
 
 
+def fetched(url: str, tries: int, timeout: int, missing: object = None):
+    """The JSON at a URL; ``missing`` for 404.  429 waits as the answer says, ten seconds at most, and counts as a try."""
+    import time
+    from urllib.error import HTTPError
+    from urllib.request import urlopen
+
+    for turn in range(tries):
+        wait = 0.0
+        try:
+            with urlopen(url, timeout=timeout) as answer:
+                return json.load(answer)
+        except HTTPError as e:
+            if e.code == 404 and missing is not None:
+                return missing
+            if turn + 1 == tries:
+                raise
+            if e.code == 429:
+                asked = e.headers.get("retry-after") or "1"
+                wait = min(float(asked) if asked.isdigit() else 1.0, MAX_WAIT)
+        except OSError:
+            if turn + 1 == tries:
+                raise
+        time.sleep(wait)
+    return missing
+
+
 class _Page(InputPartition):
-    def __init__(self, offset: int):
-        self.offset = offset
+    def __init__(self, offset: int, last: bool):
+        self.offset, self.last = offset, last
 
 
 class _PagedReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.url, self.rows, self.size = options["url"], int(options["rows"]), int(options.get("pagesize", PAGE_SIZE))
+        self.url, self.rows, self.size = options["url"], int(options.get("rows", 0)), int(options.get("pagesize", PAGE_SIZE))
         self.order, self.where, self.tries = options.get("order", "codi"), options.get("where", ""), int(options.get("tries", 3))
+        self.metadata, self.dataset = options.get("metadata"), options.get("dataset")
 
     def partitions(self):
-        return [_Page(i) for i in range(0, self.rows, self.size)]
+        if self.metadata:
+            found = fetched(self.metadata, self.tries, 30)
+            if not isinstance(found, dict) or found.get("id") != self.dataset or not isinstance(found.get("columns"), list):
+                raise ValueError("the metadata is not that of the dataset")
+        starts = range(0, max(1, self.rows), self.size)
+        return [_Page(i, i == starts[-1]) for i in starts]
 
     def read(self, partition: _Page):
+        """A page; the last one goes on until a page is not full, so that new rows are not missed."""
         from urllib.parse import urlencode
-        from urllib.request import urlopen
 
-        query = {"$limit": self.size, "$offset": partition.offset, "$order": self.order} | ({"$where": self.where} if self.where else {})
-        for turn in range(self.tries):
-            try:
-                with urlopen(f"{self.url}?{urlencode(query)}", timeout=30) as answer:
-                    records = json.load(answer)
-                break
-            except OSError:
-                if turn + 1 == self.tries:
-                    raise
-        for r in records:
-            yield tuple(None if r.get(f) is None else str(r[f]) for f in AGENDA_FIELDS)
+        offset, more = partition.offset, True
+        while more:
+            query = {"$limit": self.size, "$offset": offset, "$order": self.order} | ({"$where": self.where} if self.where else {})
+            records = fetched(f"{self.url}?{urlencode(query)}", self.tries, 30)
+            for r in records:
+                yield tuple(None if r.get(f) is None else str(r[f]) for f in AGENDA_FIELDS)
+            offset, more = offset + self.size, partition.last and len(records) == self.size
 
 
 class PagedAgenda(DataSource):
-    """A paged open-data endpoint, one partition for each page: options url, rows, pageSize, order, where."""
+    """A paged open-data endpoint, one partition for each page: options url, rows (as known), pageSize, order, where, metadata and dataset."""
 
     @classmethod
     def name(cls) -> str:
@@ -119,3 +170,37 @@ class PagedAgenda(DataSource):
 
     def reader(self, schema) -> _PagedReader:
         return _PagedReader(dict(self.options))
+
+
+class _Events(InputPartition):
+    def __init__(self, ids: list[str]):
+        self.ids = ids
+
+
+class _ImagesReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.url, self.ids = options["url"], [i for i in options["ids"].split(",") if i]
+        self.chunk, self.tries = int(options.get("chunk", 50)), int(options.get("tries", 3))
+
+    def partitions(self):
+        return [_Events(self.ids[i : i + self.chunk]) for i in range(0, len(self.ids), self.chunk)]
+
+    def read(self, partition: _Events):
+        for event_id in partition.ids:
+            found = fetched(self.url.replace("{id}", event_id), self.tries, 15, {})
+            for i in found.get("images") or []:
+                yield (event_id, i.get("url"), i.get("ratio"), i.get("width"), i.get("height"), int(bool(i.get("fallback"))), i.get("attribution") or None)
+
+
+class EventImages(DataSource):
+    """The image lists of events at an endpoint: options url (with {id}), ids (joined by commas), chunk, tries; unknown events have none."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "event_images"
+
+    def schema(self) -> str:
+        return "event_id string, url string, ratio string, width int, height int, is_fallback int, attribution string"
+
+    def reader(self, schema) -> _ImagesReader:
+        return _ImagesReader(dict(self.options))

@@ -15,25 +15,37 @@ def _files(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def _pointers(spark: SparkSession, root: str) -> list[str]:
+    fs, folder = _files(spark, f"{root}/pointers")
+    return sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
 def write_snapshot(spark: SparkSession, state: dict[str, DataFrame], root: str, files: int | None = None) -> str:
-    """Writes all relations to a new folder below ``root``, then moves the pointer to it.
+    """Writes all relations to a new folder below ``root``, then adds a pointer to it, which takes one rename.
 
-    A run that fails before the last step leaves the old snapshot in place.  ``files`` compacts
-    each relation to that many files.
+    The newest pointer counts, so there is a snapshot at any time; a run that fails before the last step
+    leaves the old one in place.  ``files`` compacts each relation to that many files.
     """
     name = f"snapshot-{uuid.uuid4().hex}"
     for relation, frame in state.items():
         (frame.coalesce(files) if files else frame).write.parquet(f"{root}/{name}/{relation}")
-    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").text(f"{root}/next")
-    fs, pointer = _files(spark, f"{root}/current")
-    fs.delete(pointer, True)
-    fs.rename(_files(spark, f"{root}/next")[1], pointer)
+    last = _pointers(spark, root)
+    number = int(last[-1].partition("-")[0]) + 1 if last else 1
+    fs, pointer = _files(spark, f"{root}/pointers/{number:012d}-{name}")
+    fs.mkdirs(pointer.getParent())
+    _, draft = _files(spark, f"{root}/{name}/pointer")
+    fs.create(draft, True).close()
+    if not fs.rename(draft, pointer):
+        raise OSError(f"{pointer} could not be written")
     return f"{root}/{name}"
 
 
 def read_snapshot(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    name = spark.read.text(f"{root}/current").first()[0]
-    return read_catalogue(spark, f"{root}/{name}")
+    """The relations of the newest snapshot."""
+    last = _pointers(spark, root)
+    if not last:
+        raise FileNotFoundError(f"there is no snapshot in {root}")
+    return read_catalogue(spark, f"{root}/{last[-1].partition('-')[2]}")
 
 
 def write_sitemap(entries: DataFrame, path: str) -> None:

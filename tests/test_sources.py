@@ -1,9 +1,15 @@
 import gzip
 import json
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
+from urllib.parse import parse_qs, urlparse
 
 import pytest
+from pyspark.sql import functions as F
 
-from eventide.operators import normalize, search
+from eventide.config import Settings
+from eventide.operators import normalize, present, search, state
+from eventide.plans import versions
 from eventide.plans.schemas import AGENDA_FIELDS, TABLES, seeded_categories
 from eventide.sources import readers, snapshot
 from eventide.streaming.ingest import stream_agenda
@@ -64,3 +70,122 @@ def test_stream_of_files(spark, tmp_path):
     query = stream_agenda(spark, str(tmp_path / "in"), str(tmp_path / "ck"), lambda df, i: seen.extend(r["codi"] for r in df.collect()))
     query.awaitTermination(60)
     assert seen == ["1"]
+
+
+class Endpoint(BaseHTTPRequestHandler):
+    rows = 25
+    asked: dict = {}
+
+    def do_GET(self):
+        url = urlparse(self.path)
+        code, body, headers = 200, [], {}
+        if url.path == "/meta":
+            body = {"id": "set", "columns": []}
+        elif url.path == "/wrong":
+            body = {"id": "other"}
+        elif url.path.startswith("/event/"):
+            name = url.path.rpartition("/")[2]
+            turn = Endpoint.asked[name] = Endpoint.asked.get(name, 0) + 1
+            if name == "gone":
+                code = 404
+            elif name == "busy" and turn == 1:
+                code, headers = 429, {"retry-after": "0"}
+            body = {"images": [{"url": f"https://i/{name}", "ratio": "16_9", "width": 640, "height": 360}]}
+        else:
+            q = parse_qs(url.query)
+            first, size = int(q["$offset"][0]), int(q["$limit"][0])
+            body = [{"codi": i, "denominaci": f"d{i}"} for i in range(first, min(Endpoint.rows, first + size))]
+        raw = json.dumps(body).encode()
+        self.send_response(code)
+        for k, v in headers.items():
+            self.send_header(k, v)
+        self.send_header("content-length", str(len(raw)))
+        self.end_headers()
+        self.wfile.write(raw)
+
+    def log_message(self, *a):
+        pass
+
+
+@pytest.fixture
+def endpoint():
+    server = HTTPServer(("127.0.0.1", 0), Endpoint)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_paged_agenda_reads_all_pages_and_checks_the_metadata(spark, endpoint):
+    spark.dataSource.register(readers.PagedAgenda)
+    read = lambda **o: spark.read.format("paged_agenda").options(url=f"{endpoint}/rows", pageSize=10, **o).load()
+    for options in ({}, {"rows": 25}, {"rows": 12, "metadata": f"{endpoint}/meta", "dataset": "set"}):
+        assert sorted(int(r["codi"]) for r in read(**options).collect()) == list(range(25))
+    with pytest.raises(Exception, match="metadata"):
+        read(metadata=f"{endpoint}/wrong", dataset="set").collect()
+
+
+def test_event_images_take_missing_events_and_busy_answers(spark, endpoint):
+    spark.dataSource.register(readers.EventImages)
+    rows = spark.read.format("event_images").options(url=f"{endpoint}/event/{{id}}", ids="a,gone,busy", chunk=2).load().collect()
+    assert sorted((r["event_id"], r["url"], r["is_fallback"]) for r in rows) == [("a", "https://i/a", 0), ("busy", "https://i/busy", 0)]
+
+
+def test_feed_is_sniffed_and_capped(spark, tmp_path, monkeypatch):
+    event = {"eventId": "e1", "eventName": "N", "venue": {"name": "V"}}
+    (tmp_path / "packed.json").write_bytes(gzip.compress(json.dumps([event]).encode()))
+    assert readers.read_feed(spark, str(tmp_path / "packed.json")).first()["event_id"] == "e1"
+    (tmp_path / "plain.gz.json").write_text(json.dumps({"events": [event]}))
+    assert readers.read_feed(spark, str(tmp_path / "plain.gz.json")).first()["venue_name"] == "V"
+    (tmp_path / "bomb.gz").write_bytes(gzip.compress(b" " * (readers.MAX_INFLATED + 5)))
+    with pytest.raises(ValueError, match="too large"):
+        readers.read_feed(spark, str(tmp_path / "bomb.gz"))
+
+
+def test_event_image_files_and_dataset_time(spark, tmp_path):
+    (tmp_path / "i.json").write_text(json.dumps({"event_id": "e", "images": [{"url": "https://i/1", "width": 5, "attribution": ""}, {"url": "https://i/2", "fallback": True}]}))
+    rows = readers.read_event_images(spark, str(tmp_path / "i.json")).collect()
+    assert [(r["url"], r["width"], r["is_fallback"], r["attribution"]) for r in rows] == [("https://i/1", 5, 0, None), ("https://i/2", None, 1, None)]
+    assert spark.range(1).select(readers.dataset_timestamp(F.lit(1755424800)).alias("t")).first()["t"] == "2025-08-17T10:00:00.000Z"
+    cutoff = spark.createDataFrame([("a", "2026-01-02", None), ("b", None, "2026-01-02"), ("c", "2025-01-01", "2026-02-02"), ("d", None, None)], "codi string, data_fi string, data_inici string").withColumn("permanent", F.when(F.col("codi") == "d", "Sí"))
+    assert sorted(r["codi"] for r in readers.current_agenda(cutoff, "2026-01-01").collect()) == ["a", "b", "d"]
+
+
+def test_a_failed_snapshot_leaves_the_old_one(spark, tmp_path):
+    empty = {n: spark.createDataFrame([], s) for n, s in TABLES.items()}
+    root = str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        snapshot.read_snapshot(spark, root)
+    snapshot.write_snapshot(spark, empty | {"categories": seeded_categories(spark)}, root)
+    broken = empty | {"plans": spark.range(1).select(F.raise_error(F.lit("no")).cast("long").alias("id"))}
+    with pytest.raises(Exception, match="no"):
+        snapshot.write_snapshot(spark, broken, root)
+    assert snapshot.read_snapshot(spark, root)["categories"].count() == 18
+
+
+def test_versions_are_applied_once(spark):
+    st, ledger = versions.migrate(spark, {"categories": spark.createDataFrame([(40, "natura", "x", "y", "g", "i")], TABLES["categories"])}, None, "t1")
+    assert set(st) == set(TABLES) and [tuple(r) for r in ledger.orderBy("name").collect()] == [("001_relations", "t1"), ("002_categories", "t1")]
+    rows = {r["slug"]: (r["id"], r["name_ca"]) for r in st["categories"].collect()}
+    assert len(rows) == 18 and rows["natura"] == (40, "Natura") and len({i for i, _ in rows.values()}) == 18
+    again, second = versions.migrate(spark, st, ledger, "t2")
+    assert again is st and second.count() == 2
+
+
+def test_settings():
+    s = Settings.of({"PAGE_SIZE": "50x", "RETENTION_DAYS": "0", "INACTIVE_DAYS": "0", "LOOKAHEAD_DAYS": "-3", "IMAGES_ENABLED": "yes", "LANGUAGE": ""})
+    assert (s.page_size, s.retention_days, s.inactive_days, s.lookahead_days, s.images_enabled, s.language) == (50, 0, 7, 90, False, "ca")
+
+
+def test_unknown_dependencies_stop_a_purge(spark):
+    st = {n: spark.createDataFrame([], s) for n, s in TABLES.items()}
+    state.check_dependencies(st)
+    with pytest.raises(ValueError, match="notes"):
+        state.check_dependencies(st | {"notes": spark.createDataFrame([], "plan_id long")})
+    with pytest.raises(ValueError, match="inactive_at"):
+        state.check_dependencies(st | {"plans": st["plans"].drop("inactive_at")})
+
+
+def test_labels_of_cards(spark):
+    row = spark.sql("SELECT array(named_struct('slug', 'b'), named_struct('slug', 'a')) AS categories, 'event' AS kind, named_struct('url', 'u') AS image, true AS image_reuse_allowed, 'p' AS image_url, '2026-08-17T10' AS source_updated_at, '2020' AS imported_at, '2026-03-01' AS d")
+    got = row.select(present.primary_category().alias("c"), present.shown_image().alias("i"), present.attribution_date().alias("a"), present.long_date(F.col("d"), "es").alias("d")).first()
+    assert tuple(got) == ("b", "u", "2026-08-17", "1 de marzo de 2026")
