@@ -32,10 +32,15 @@ def expired(cutoff: str) -> Column:
     return (F.col("permanent") != 1) & effective_end().isNotNull() & (effective_end() < cutoff)
 
 
+#: What a marked place can begin with, before it is folded; other texts, which are nearly all, need no folding.
+_BEGINS = r"^[\x00-\x7f&&[^A-Za-z0-9]]*(?:[fFoO]|[^\x00-\x7f])"
+
+
 def outside_territory(columns=LOCATION) -> Column:
     out = F.lit(False)
     for name in columns:
-        out = out | F.coalesce(key(F.col(name), " ").rlike(OUTSIDE), F.lit(False))
+        marked = F.when(F.col(name).rlike(_BEGINS), key(F.col(name), " ").rlike(OUTSIDE))
+        out = out | F.coalesce(marked, F.lit(False))
     return out
 
 
