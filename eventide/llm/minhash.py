@@ -6,11 +6,12 @@ similarity to every one of them; pairs beyond the bound are no candidates.  In a
 are compared with a centre, first the one with the smallest share of shingles of its own; a
 member takes the centre that it meets in most buckets, so a round compares each node once.
 Confirmed links are contracted, and buckets that still hold several components go on with other
-centres.  What is then still open is not compared by bucket, since unlike documents with one
-common part can fill a bucket: of two similar sets, each has one of the other's shingles among its
-rarest quarter, so members are joined on their rarest shingles alone.  A pair inside one component
-needs no comparison, so no link between different texts is lost and no bucket is expanded into
-all its pairs.  Signatures rule out most pairs; every link is confirmed on the full sets.
+centres.  What is then still open between different components is compared pair by pair in
+buckets of up to BUCKET members.  Unlike documents with one common part can fill larger ones, so these are
+not compared by bucket: of two similar sets, each has one of the other's shingles among its
+rarest quarter, so their members are joined on their rarest shingles alone.  A pair inside one
+component needs no comparison, so no link between different texts is lost and no large bucket is
+expanded into all its pairs.  Signatures rule out most pairs; every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from .components import connected_components
 WORDS, PERCENT = 5, 75
 #: Bands and minima of a band; a pair at 0.75 shares no band once in 190,000 times.
 BANDS, ROWS = 32, 4
-#: Rounds with centres before what is left is joined on rare shingles.
+#: Rounds with centres before what is left is compared.
 ROUNDS = 2
+#: Members of a bucket whose open pairs are compared one by one; those of larger ones are joined on rare shingles.
+BUCKET = 8192
 #: Bits of a candidate's sketch, one for each of as many other minima, and the similarity that they must suggest;
 #: a pair at 0.75 falls below it (4.8 standard deviations) about once in 500,000 times.
 SKETCH_BITS, SUGGESTED = 1024, 0.65
@@ -43,7 +46,7 @@ _D = _RANDOM.randint(0, 1 << 62, SKETCH_BITS).astype(np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
-SETS = pa.schema([("node", pa.binary()), ("sketch", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
+SETS = pa.schema([("node", pa.binary()), ("keys", pa.list_(pa.int32())), ("sketch", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
 
 
 def shingle_set(text: bytes, size: int = WORDS) -> np.ndarray:
@@ -104,7 +107,12 @@ def _sets(_, nodes, texts):
     """Sets of the texts that have the digest of their class; others share only the doc_id."""
     sets = [shingle_set(t) for t in texts]
     rows = [(n, s) for n, s in zip(nodes, sets, strict=True) if set_digest(s) == n]
-    return {"node": [n for n, _ in rows], "sketch": [sketch(s) for _, s in rows], "shingles": [s.view(np.int64) for _, s in rows]}
+    return {
+        "node": [n for n, _ in rows],
+        "keys": [band_keys(minima(s)).astype(np.int32) for _, s in rows],
+        "sketch": [sketch(s) for _, s in rows],
+        "shingles": [s.view(np.int64) for _, s in rows],
+    }
 
 
 def _likely(a: str, b: str):
@@ -113,6 +121,11 @@ def _likely(a: str, b: str):
     return apart <= int((1 - SUGGESTED) * SKETCH_BITS / 2)
 
 
+def _first_common(a: str, b: str):
+    """The first band whose keys are equal; a pair is compared in that bucket alone."""
+    return F.coalesce(*(F.when(F.col(a)[i] == F.col(b)[i], i) for i in range(BANDS)))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs (u, v) whose sketches suggest it and whose sets are similar enough: 100 * intersection >= PERCENT * union."""
     left = sets.select(F.col("node").alias("u"), F.col("sketch").alias("su"), F.col("shingles").alias("s"))
@@ -155,7 +168,7 @@ def _rare_pairs(open_: DataFrame, sets: DataFrame) -> DataFrame:
 def _resolve(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) that connect every component.
 
-    ``members``: bucket, node, n, r, sketch.  A root is a node of the same component; a round
+    ``members``: bucket, band, node, n, r, sketch, keys.  A root is a node of the same component; a round
     moves roots to ones that are smaller in one order of all roots, so that no cycle can arise.
     """
     labels = members.select("node", F.col("node").alias("root")).distinct()
@@ -169,8 +182,18 @@ def _resolve(members: DataFrame, sets: DataFrame) -> DataFrame:
         buckets = by_root.groupBy("bucket").agg(F.count("*").alias("roots"), F.min_by(F.struct("one.*", "root", order.alias("order")), order).alias("centre")).where("roots > 1")
         live = rooted.join(written(buckets.select("bucket", "centre"), "buckets"), "bucket")
         if k == ROUNDS:
-            found = _verified(_rare_pairs(written(live.select("node", "root", "n").distinct(), "open"), sets), sets)
-            return links.union(written(found, "links")) if links is not None else found
+            sizes = live.groupBy("bucket").agg(F.count("*").alias("size"))
+            sized = live.join(sizes, "bucket").select("bucket", "band", "node", "n", "r", "root", "sketch", "keys", "size")
+            left = sized.where(F.col("size") <= BUCKET).drop("size")
+            right = left.select("bucket", F.col("node").alias("v"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("root").alias("to"), F.col("sketch").alias("other"), F.col("keys").alias("others"))
+            apart = (F.col("node") < F.col("v")) & (F.col("root") != F.col("to"))
+            pairs = left.join(right, "bucket").where(apart & _possible("n", "r", "m", "q") & _likely("sketch", "other") & (_first_common("keys", "others") == F.col("band")))
+            pairs = pairs.select(F.col("node").alias("u"), "v")
+            if sizes.where(F.col("size") > BUCKET).head(1):
+                wide = written(sized.where(F.col("size") > BUCKET).select("node", "root", "n").distinct(), "wide")
+                pairs = pairs.union(_rare_pairs(wide, sets)).distinct()
+            found = written(_verified(pairs, sets), "links")
+            return links.union(found) if links is not None else found
         centre = {c: F.col(f"centre.{c}") for c in ("node", "n", "r", "sketch", "root", "order")}
         rows = live.select("node", "n", "r", "sketch", "root", centre["node"].alias("v"), centre["n"].alias("m"), centre["r"].alias("q"), centre["sketch"].alias("other"), centre["root"].alias("to"), centre["order"].alias("order"))
         met = rows.where((F.col("root") != F.col("to")) & _possible("n", "r", "m", "q") & _likely("sketch", "other")).groupBy("node", "root", "v", "to", "order").agg(F.count("*").alias("c"))
@@ -194,7 +217,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = signed.where("n_shingles > 0")
     classes = written(full.groupBy("node").agg(F.min("doc_id").alias("least")), "classes")
     first = (full["node"] == classes["node"]) & full["doc_id"].eqNullSafe(classes["least"])
-    bands = full.join(classes, first, "left_semi").select(F.explode("bands").alias("bucket"), "node")
+    bands = full.join(classes, first, "left_semi").select(F.posexplode("bands").alias("band", "bucket"), "node")
     shared = written(bands.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "shared")
     members = written(bands.join(shared, "bucket", "left_semi").distinct(), "members")
     chosen = written(members.select("node").distinct().join(classes, "node").select(F.col("least").alias("doc_id"), "node"), "chosen")
@@ -206,7 +229,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sets = written(sets.dropDuplicates(["node"]), "sets")
     # Dealt once by node and kept; a lost part is made anew from the stored table.
     sets = sets.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").persist()
-    counted = _shared_counts(sets).join(sets.select("node", F.size("shingles").alias("n"), "sketch"), "node").where(F.col("r") * 100 >= F.col("n") * PERCENT)
+    counted = _shared_counts(sets).join(sets.select("node", F.size("shingles").alias("n"), "sketch", "keys"), "node").where(F.col("r") * 100 >= F.col("n") * PERCENT)
     links = written(_resolve(written(members.join(counted, "node"), "members"), sets), "links")
     sets.unpersist()
     stars = connected_components(links).select(F.col("u").alias("node"), F.col("v").alias("root"))

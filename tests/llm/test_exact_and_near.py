@@ -146,6 +146,15 @@ def test_open_buckets_are_compared_in_the_end(spark, monkeypatch):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == brute_near(rows)
 
 
+@pytest.mark.parametrize("most", [0, 4])
+def test_large_buckets_are_joined_on_rare_shingles(spark, monkeypatch, most):
+    monkeypatch.setattr(minhash, "BUCKET", most)
+    monkeypatch.setattr(minhash, "ROUNDS", 0)
+    rows = EDGES + near_rows()
+    got = minhash.near_duplicates(documents(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == brute_near(rows)
+
+
 def test_drop_near_duplicates_joins_on_text(spark):
     rows = [(i, t) for i, t in near_rows()]
     kept = minhash.drop_near_duplicates(documents(spark, rows))
