@@ -58,6 +58,23 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+class Scratch:
+    """Tables of one operator's run that nothing reads any more once its result is stored."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        self.tables.append(written(df, label))
+        return self.tables[-1]
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes these tables, or all."""
+        for df in tables or self.tables:
+            dropped(df)
+        self.tables = [t for t in self.tables if tables and not any(t is x for x in tables)]
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, after its session has been told to send at most BATCH_BYTES to Python at once.
 

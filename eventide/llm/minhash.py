@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, mix64, table, written
+from .common import Scratch, map_texts, mix64, table, written
 from .components import connected_components
 
 #: Words of a shingle, and the similarity in percent from which two sets are linked.
@@ -141,31 +141,31 @@ def _possible(n: str, r: str, m: str, q: str):
     return common * 100 >= (F.col(n) + F.col(m) - common) * PERCENT
 
 
-def _shared_counts(sets: DataFrame) -> DataFrame:
+def _shared_counts(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, r): how many shingles of a node stand in other nodes too; hash collisions only add."""
     each = sets.select("node", F.explode("shingles").alias("s")).select("node", F.hash("s").alias("s"))
-    common = written(each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s"), "common")
+    common = scratch.written(each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s"), "common")
     return each.join(common, "s", "left_semi").groupBy("node").agg(F.count("*").alias("r"))
 
 
-def _rare_pairs(open_: DataFrame, sets: DataFrame) -> DataFrame:
+def _rare_pairs(open_: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (u, v) of ``open_`` (node, root, n) with different roots that share one of the rarest shingles of each.
 
     In one order of all shingles, the rarest first, sets of which common shingles make up PERCENT
     have one in common among the first 100 - PERCENT percent and one more of each.
     """
     each = sets.join(open_.select("node"), "node", "left_semi").select("node", F.explode("shingles").alias("s"))
-    known = written(each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "rare")
+    known = scratch.written(each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "rare")
     held = each.join(known, "s").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("x")).join(open_, "node")
     #: Shingles that no other one has come first of all, and need no comparison.
     first = F.floor(F.col("n") * (100 - PERCENT) / 100).cast("int") + 1 - (F.col("n") - F.size("x"))
-    rare = written(held.where(first > 0).select("node", "root", "n", F.explode(F.slice("x", F.lit(1), first)).alias("x")).select("x.s", "node", "root", "n"), "rare")
+    rare = scratch.written(held.where(first > 0).select("node", "root", "n", F.explode(F.slice("x", F.lit(1), first)).alias("x")).select("x.s", "node", "root", "n"), "rare")
     right = rare.select("s", F.col("node").alias("v"), F.col("root").alias("to"), F.col("n").alias("m"))
     size = (F.col("n") * 100 >= F.col("m") * PERCENT) & (F.col("m") * 100 >= F.col("n") * PERCENT)
     return rare.join(right, "s").where((F.col("node") < F.col("v")) & (F.col("root") != F.col("to")) & size).select(F.col("node").alias("u"), "v").distinct()
 
 
-def _resolve(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _resolve(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (u, v) that connect every component.
 
     ``members``: bucket, band, node, n, r, sketch, keys.  A root is a node of the same component; a round
@@ -180,7 +180,7 @@ def _resolve(members: DataFrame, sets: DataFrame) -> DataFrame:
         own = F.when(F.lit(k) == 0, 1 - F.col("one.r") / F.col("one.n")).otherwise(0.0)
         order = F.struct(own.alias("own"), F.xxhash64("root", F.lit(k)).alias("h"))
         buckets = by_root.groupBy("bucket").agg(F.count("*").alias("roots"), F.min_by(F.struct("one.*", "root", order.alias("order")), order).alias("centre")).where("roots > 1")
-        live = rooted.join(written(buckets.select("bucket", "centre"), "buckets"), "bucket")
+        live = rooted.join(scratch.written(buckets.select("bucket", "centre"), "buckets"), "bucket")
         if k == ROUNDS:
             sizes = live.groupBy("bucket").agg(F.count("*").alias("size"))
             sized = live.join(sizes, "bucket").select("bucket", "band", "node", "n", "r", "root", "sketch", "keys", "size")
@@ -190,19 +190,19 @@ def _resolve(members: DataFrame, sets: DataFrame) -> DataFrame:
             pairs = left.join(right, "bucket").where(apart & _possible("n", "r", "m", "q") & _likely("sketch", "other") & (_first_common("keys", "others") == F.col("band")))
             pairs = pairs.select(F.col("node").alias("u"), "v")
             if sizes.where(F.col("size") > BUCKET).head(1):
-                wide = written(sized.where(F.col("size") > BUCKET).select("node", "root", "n").distinct(), "wide")
-                pairs = pairs.union(_rare_pairs(wide, sets)).distinct()
-            found = written(_verified(pairs, sets), "links")
+                wide = scratch.written(sized.where(F.col("size") > BUCKET).select("node", "root", "n").distinct(), "wide")
+                pairs = pairs.union(_rare_pairs(wide, sets, scratch)).distinct()
+            found = scratch.written(_verified(pairs, sets), "links")
             return links.union(found) if links is not None else found
         centre = {c: F.col(f"centre.{c}") for c in ("node", "n", "r", "sketch", "root", "order")}
         rows = live.select("node", "n", "r", "sketch", "root", centre["node"].alias("v"), centre["n"].alias("m"), centre["r"].alias("q"), centre["sketch"].alias("other"), centre["root"].alias("to"), centre["order"].alias("order"))
         met = rows.where((F.col("root") != F.col("to")) & _possible("n", "r", "m", "q") & _likely("sketch", "other")).groupBy("node", "root", "v", "to", "order").agg(F.count("*").alias("c"))
         pairs = met.groupBy("node", "root").agg(F.max_by(F.struct("v", "to"), F.struct("c", "order")).alias("x")).select(F.col("node").alias("u"), "x.v", "root", "x.to")
-        pairs = written(pairs, "pairs")
-        found = written(_verified(pairs.select("u", "v"), sets).join(pairs, ["u", "v"]), "links")
+        pairs = scratch.written(pairs, "pairs")
+        found = scratch.written(_verified(pairs.select("u", "v"), sets).join(pairs, ["u", "v"]), "links")
         links = found.select("u", "v") if links is None else links.union(found.select("u", "v"))
         moved = found.groupBy("root").agg(F.min_by("to", F.xxhash64("to", F.lit(k))).alias("to"))
-        labels = written(labels.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+        labels = scratch.written(labels.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -213,29 +213,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     other.  Rows with equal sets are always linked, rows with equal ids only through their sets.
     """
     spark = docs.sparkSession
+    scratch = Scratch()
     signed = written(map_texts(docs, _signed, SIGNED), "signed")
     full = signed.where("n_shingles > 0")
-    classes = written(full.groupBy("node").agg(F.min("doc_id").alias("least")), "classes")
+    classes = scratch.written(full.groupBy("node").agg(F.min("doc_id").alias("least")), "classes")
     first = (full["node"] == classes["node"]) & full["doc_id"].eqNullSafe(classes["least"])
     bands = full.join(classes, first, "left_semi").select(F.posexplode("bands").alias("band", "bucket"), "node")
-    shared = written(bands.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "shared")
-    members = written(bands.join(shared, "bucket", "left_semi").distinct(), "members")
-    chosen = written(members.select("node").distinct().join(classes, "node").select(F.col("least").alias("doc_id"), "node"), "chosen")
+    shared = scratch.written(bands.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "shared")
+    members = scratch.written(bands.join(shared, "bucket", "left_semi").distinct(), "members")
+    chosen = scratch.written(members.select("node").distinct().join(classes, "node").select(F.col("least").alias("doc_id"), "node"), "chosen")
     # What is chosen grows with the input, so the texts go to it in the same way at every size.
     chosen = chosen.withColumnRenamed("doc_id", "__id").hint("merge")
     texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "text")
-    sets = written(map_texts(texts, _sets, SETS, keys=["node"]), "sets")
+    sets = scratch.written(map_texts(texts, _sets, SETS, keys=["node"]), "sets")
     if sets.count() > chosen.count():
-        sets = written(sets.dropDuplicates(["node"]), "sets")
+        sets = scratch.written(sets.dropDuplicates(["node"]), "sets")
     # Dealt once by node and kept; a lost part is made anew from the stored table.
     sets = sets.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").persist()
-    counted = _shared_counts(sets).join(sets.select("node", F.size("shingles").alias("n"), "sketch", "keys"), "node").where(F.col("r") * 100 >= F.col("n") * PERCENT)
-    links = written(_resolve(written(members.join(counted, "node"), "members"), sets), "links")
+    counted = _shared_counts(sets, scratch).join(sets.select("node", F.size("shingles").alias("n"), "sketch", "keys"), "node").where(F.col("r") * 100 >= F.col("n") * PERCENT)
+    links = scratch.written(_resolve(scratch.written(members.join(counted, "node"), "members"), sets, scratch), "links")
     sets.unpersist()
-    stars = connected_components(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    stars = connected_components(links)
+    scratch.tables.append(stars)
+    stars = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
     rooted = classes.join(stars, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    roots = rooted.join(least, "root").select("node", "component_id")
+    roots = written(rooted.join(least, "root").select("node", "component_id"), "roots")
+    scratch.drop()
     return signed.select("doc_id", "n_shingles", "node", "text_hash").join(roots, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash"
     )

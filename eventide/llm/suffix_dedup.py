@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import dropped, map_texts, mix64, table, written
+from .common import Scratch, map_texts, mix64, table, written
 
 LENGTH = 400
 ANCHOR = 48
@@ -188,14 +188,14 @@ def _joined_edges(edges: list[tuple[int, int, int, int, int]]) -> list[tuple[int
     return out
 
 
-def reranked(pairs: DataFrame) -> DataFrame:
+def reranked(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, i, rank, alone) of a stored table (id, i, a, b): the place of each row's pair (a, b) among all pairs in order.
 
     Rows are sorted by pair and position, so equal pairs may fill several partitions.
     """
     keys = ["a", "b", "id", "i"]
     ordered = pairs.repartitionByRange(*keys).sortWithinPartitions(*keys).select("a", "b", "id", "i", F.spark_partition_id().alias("part"))
-    placed = written(ordered.mapInArrow(_places, from_arrow_schema(RANKED)), "placed")
+    placed = scratch.written(ordered.mapInArrow(_places, from_arrow_schema(RANKED)), "placed")
     edges = placed.where("edge is not null").select("part", F.col("edge")[0], F.col("edge")[1], F.col("edge")[2], "head").collect()
     shape = "part int, offset long, begin long, before boolean, behind boolean, final long"
     last = {e[0]: e[3] for e in sorted(map(tuple, edges), key=lambda e: (e[0], e[3]))}
@@ -206,13 +206,13 @@ def reranked(pairs: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(joined), "part").select("id", "i", rank.alias("rank"), alone.alias("alone"))
 
 
-def core_ranks(parts: DataFrame) -> DataFrame:
+def core_ranks(parts: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, core): equal for parts (id, blocks) with equal cores; parts whose core stands once are left out."""
     pieces = parts.select("id", F.col("blocks").alias("ranks"))
     for _ in range(DOUBLINGS):
         two = F.transform(F.sequence(F.lit(0), F.size("ranks") - 1, F.lit(2)), lambda x: F.struct(F.col("ranks")[x].alias("a"), F.col("ranks")[x + 1].alias("b")))
-        pairs = written(pieces.select("id", F.posexplode(two).alias("i", "p")).select("id", "i", "p.a", "p.b"), "pairs")
-        found = reranked(pairs)
+        pairs = scratch.written(pieces.select("id", F.posexplode(two).alias("i", "p")).select("id", "i", "p.a", "p.b"), "pairs")
+        found = reranked(pairs, scratch)
         whole = found.groupBy("id").agg(F.max("alone").alias("alone"), F.array_sort(F.collect_list(F.struct("i", "rank"))).alias("r"))
         pieces = whole.where("not alone").select("id", F.transform("r", lambda x: x["rank"]).alias("ranks"))
     return pieces.select("id", F.col("ranks")[0].alias("core"))
@@ -291,23 +291,24 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     A null text counts as empty; texts of fewer than LENGTH bytes keep everything.  Equal texts of
     at least LENGTH bytes lose all bytes in every row, also where whole rows are repeated.
     """
-    runs = written(map_texts(docs, _rank_runs, RUNS), "runs")
-    shared = written(runs.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "ranks")
-    alive = written(runs.join(shared, "h", "left_semi"), "runs")
-    dropped(runs)
+    scratch = Scratch()
+    runs = scratch.written(map_texts(docs, _rank_runs, RUNS), "runs")
+    shared = scratch.written(runs.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "ranks")
+    alive = scratch.written(runs.join(shared, "h", "left_semi"), "runs")
+    scratch.drop(runs)
     firsts = [F.first(c).alias(c) for c in ("k1", "k2", "s", "n", "d")]
-    kinds = written(alive.groupBy("h", "v").agg(F.count("*").alias("c"), *firsts), "kinds")
+    kinds = scratch.written(alive.groupBy("h", "v").agg(F.count("*").alias("c"), *firsts), "kinds")
     settled = alive.join(kinds.where("c > 1").select("h", "v"), ["h", "v"], "left_semi").select("k1", "k2", "s", "n")
     several = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).where("kinds > 1 and least = 1").select("h")
     units = kinds.join(several, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "n", "d", "c")).alias("runs"))
     texts = map_texts(docs, _pack_texts, TEXTS, setup=lambda: zstandard.ZstdCompressor(level=1))
     parts = texts.select("k1", "k2", "body").join(units, ["k1", "k2"]).select("k1", "k2", "body", "runs").mapInArrow(_split_runs, from_arrow_schema(PARTS))
-    parts = written(parts.withColumn("id", F.monotonically_increasing_id()), "parts")
-    ranked = written(parts.drop("blocks").join(core_ranks(parts.select("id", "blocks")), "id").select(*MEMBERS), "ranked")
+    parts = scratch.written(parts.withColumn("id", F.monotonically_increasing_id()), "parts")
+    ranked = scratch.written(parts.drop("blocks").join(core_ranks(parts.select("id", "blocks"), scratch), "id").select(*MEMBERS), "ranked")
     cores = ranked.groupBy("core").agg(F.count("*").alias("m"), F.max(F.col("single").cast("int")).alias("open")).where("open = 1").select("core", "m")
-    grouped = written(ranked.join(cores, "core").select(*MEMBERS, "m"), "grouped")
-    dropped(parts)
-    dropped(ranked)
+    grouped = scratch.written(ranked.join(cores, "core").select(*MEMBERS, "m"), "grouped")
+    scratch.drop(parts)
+    scratch.drop(ranked)
     small = grouped.where(F.col("m") <= GROUP).drop("m").repartition("core").sortWithinPartitions("core").mapInArrow(_compare, from_arrow_schema(FOUND))
     middle = F.length("left")
     strings = grouped.where(F.col("m") > GROUP).select("core", "k1", "k2", "at", "single", F.concat("left", "right").alias("both"), middle.alias("middle"), F.explode(F.sequence("low", "high")).alias("x"))
@@ -315,7 +316,8 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     twice = strings.groupBy("core", "x", "string").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     large = strings.where("single").join(twice, ["core", "x", "string"], "left_semi").select("k1", "k2", "s", F.lit(1).alias("n"))
     found = settled.union(small.select("k1", "k2", "s", "n")).union(large)
-    spans = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "n")).alias("found"))
+    spans = written(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "n")).alias("found")), "spans")
+    scratch.drop()
     return texts.join(spans, ["k1", "k2"], "left").select("doc_id", "body", "found").mapInArrow(_remove, from_arrow_schema(RESULT))
 
 

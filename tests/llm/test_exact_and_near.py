@@ -183,7 +183,7 @@ def test_unlike_sets_with_a_common_part_are_no_pairs(spark):
             sets.append((node, [0] * 16, sorted(shingles)))
             open_.append((node, node, len(shingles)))
     sets = spark.createDataFrame(sets, "node binary, sketch array<long>, shingles array<long>")
-    pairs = minhash._rare_pairs(spark.createDataFrame(open_, "node binary, root binary, n int"), sets)
+    pairs = minhash._rare_pairs(spark.createDataFrame(open_, "node binary, root binary, n int"), sets, minhash.Scratch())
     assert sorted((bytes(p["u"]).decode(), bytes(p["v"]).decode()) for p in pairs.collect()) == sorted((f"{i}-0", f"{i}-1") for i in range(2_500))
 
 

@@ -54,13 +54,13 @@ def test_ranks_equal_those_of_one_sorted_list(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     try:
         pairs = suffix_dedup.written(spark.createDataFrame(rows, "id long, i int, a long, b long"), "test")
-        got = {(x["id"], x["i"]): (x["rank"], x["alone"]) for x in suffix_dedup.reranked(pairs).collect()}
+        got = {(x["id"], x["i"]): (x["rank"], x["alone"]) for x in suffix_dedup.reranked(pairs, suffix_dedup.Scratch()).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     order = sorted((a, b) for _, _, a, b in rows)
     first, n = {p: order.index(p) for p in set(order)}, Counter(order)
     assert got == {(i, k): (first[a, b], n[a, b] == 1) for i, k, a, b in rows}
-    assert suffix_dedup.reranked(suffix_dedup.written(pairs.limit(0), "test")).count() == 0
+    assert suffix_dedup.reranked(suffix_dedup.written(pairs.limit(0), "test"), suffix_dedup.Scratch()).count() == 0
 
 
 def test_edges_of_partitions():
