@@ -225,3 +225,18 @@ def scan_licenses(docs: DataFrame, **options) -> DataFrame:
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def license_base_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the licence scan that SQL can express too."""
+    return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+u AS (SELECT row, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS i FROM d),
+x AS (SELECT row, i, w, lead(w) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM u WINDOW p AS (PARTITION BY row ORDER BY i)),
+h AS (SELECT row, i, CASE WHEN w = 'mit' AND w2 = 'license' THEN 'mit' WHEN w = 'apache' AND w2 = 'license' THEN 'apache' WHEN w = 'general' AND w2 = 'public' AND w3 = 'license' THEN 'gpl' END AS label FROM x),
+f AS (SELECT row, count(*) AS n, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM h WHERE label IS NOT NULL GROUP BY row)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, first_word, last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN f USING (row)
+"""

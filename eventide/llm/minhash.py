@@ -253,4 +253,19 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+u AS (SELECT row, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d WHERE len(words) >= 5),
+x AS (SELECT row, concat_ws(' ', w, lead(w) OVER p, lead(w, 2) OVER p, lead(w, 3) OVER p, lead(w, 4) OVER p) AS s, lead(w, 4) OVER p AS last FROM u WINDOW p AS (PARTITION BY row ORDER BY i)),
+s AS (SELECT DISTINCT row, s FROM x WHERE last IS NOT NULL UNION ALL SELECT row, array_to_string(words, ' ') FROM d WHERE len(words) BETWEEN 1 AND 4),
+n AS (SELECT row, count(*) AS n FROM s GROUP BY row),
+c AS (SELECT a.row AS a, b.row AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.row < b.row GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.row = a JOIN n y ON y.row = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT row AS a, row AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+m AS (SELECT r.a AS row, min(doc_id) AS component_id FROM r JOIN d ON d.row = r.b GROUP BY r.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN m USING (row) LEFT JOIN n USING (row)
+"""

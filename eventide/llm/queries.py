@@ -13,6 +13,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_quality": quality.op9_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "license_base_phrases": license_scan.license_base_phrases,
 }
 
-ORACLES = {"op10_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op10_exact_dedup": exact_dedup.ORACLE, "op5_minhash": minhash.ORACLE, "license_base_phrases": license_scan.ORACLE}

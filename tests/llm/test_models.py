@@ -185,6 +185,25 @@ def test_quality_on_held_out_documents(spark):
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) >= 0.95 * len(held)
 
 
+def test_quality_fit_equals_plain_sums(spark):
+    """The fit through Spark, against densities computed anew from the labelled texts."""
+    rows, labels = corpus(150)
+    docs = documents(spark, rows + [(1000, None), (1001, "")])
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, spark.createDataFrame(labels, LABELS)).collect()}
+    x = {i: np.array(quality.statistics((t or "").encode())) for i, t in [*rows, (1000, None), (1001, "")]}
+    learn = {i: q for i, q, _, _ in labels if crc(i) % 3 != 1}
+    group = [np.array([x[i] for i, q in learn.items() if q == k]) for k in (0, 1)]
+    spread = [(g - g.mean(0)).T @ (g - g.mean(0)) for g in group]
+    within, logs = (spread[0] + spread[1]) / len(learn), []
+    for k in (0, 1):
+        c = (1 - quality.POOLED) * spread[k] / len(group[k]) + quality.POOLED * within
+        c = (1 - quality.DIAGONAL) * c + quality.DIAGONAL * np.diag(np.diag(c)) + 1e-6 * np.eye(len(c))
+        prior = np.log((len(group[k]) + 0.5) / (len(learn) + 1))
+        logs.append({i: prior - 0.5 * (v - group[k].mean(0)) @ np.linalg.solve(c, v - group[k].mean(0)) - 0.5 * np.linalg.slogdet(c)[1] for i, v in x.items()})
+    for i in x:
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(logs[1][i] - logs[0][i], -quality.MOST, quality.MOST)))) < 1e-6
+
+
 def test_discriminant_equals_normal_densities():
     r = np.random.RandomState(1)
     x = [r.randn(200, 3), r.randn(100, 3) * 2 + 1]
