@@ -323,3 +323,20 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+#: Strings are compared by 64-bit hashes; texts as hexadecimal digits, two for each byte.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT row, unnest(range(0, len(x) // 2 - 399)) AS i, x FROM d WHERE len(x) >= 800),
+h AS (SELECT row, i, hash(substr(x, CAST(2 * i + 1 AS BIGINT), 800)) AS h FROM p),
+t AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+f AS (SELECT row, i, coalesce(i > lag(i) OVER o + 400, true) AS opens FROM h SEMI JOIN t USING (h) WINDOW o AS (PARTITION BY row ORDER BY i)),
+g AS (SELECT row, i, sum(CAST(opens AS INT)) OVER (PARTITION BY row ORDER BY i) AS k FROM f),
+s AS (SELECT row, k, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY row, k),
+e AS (SELECT row, a, b, coalesce(lag(b) OVER (PARTITION BY row ORDER BY a), 0) AS before FROM s),
+r AS (SELECT row, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS stop FROM e GROUP BY row),
+q AS (SELECT e.row, string_agg(substr(x, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS kept FROM e JOIN d ON d.row = e.row GROUP BY e.row)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(x, CAST(2 * coalesce(stop, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN r ON r.row = d.row LEFT JOIN q ON q.row = d.row
+"""
