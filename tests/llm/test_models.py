@@ -253,6 +253,20 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(documents(spark, [])).count() == 0
 
 
+def test_whole_licences_are_covered_by_one_chain():
+    scanner, r = license_scan.Scanner(), random.Random(3)
+    for k, (label, text) in enumerate(license_scan.TEMPLATES):
+        words_ = text.split()
+        if len(words_) < 60:
+            continue
+        edited = [w for w in words_ if r.random() > 0.02]
+        at = r.randrange(len(edited))
+        edited[at:at] = ["really", "truly"]
+        found = scanner.scan(" ".join([prose(k, 30), *edited, prose(k + 50, 30)]).encode())
+        whole = [s for s in found[7] if s["label"] == label and s["covered"] >= 0.85 * len(text.encode().translate(license_scan.WORD_BYTES).split())]
+        assert label in found[5].split(",") and whole, label
+
+
 @settings(max_examples=120, deadline=None)
 @given(st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=7), min_size=1, max_size=3), st.lists(st.integers(0, 3), max_size=14))
 def test_automaton_gives_the_longest_matches(sequences, text):
