@@ -51,11 +51,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Removes the files of a table that ``written`` made and that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        removed(df.sparkSession, folder)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Removes a folder in any store that Spark reaches."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Scratch:

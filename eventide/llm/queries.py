@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import decontaminate, exact_dedup, html_extract, license_scan, minhash, packing, passage_chains, quality, suffix_dedup, toxicity
+from . import decontaminate, exact_dedup, html_extract, license_scan, minhash, packing, passage_chains, quality, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -13,7 +13,8 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_quality": quality.op9_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_warc": warc.op11_warc,
     "license_base_phrases": license_scan.license_base_phrases,
 }
 
-ORACLES = {"op10_exact_dedup": exact_dedup.ORACLE, "op5_minhash": minhash.ORACLE, "op8_suffix_dedup": suffix_dedup.ORACLE, "license_base_phrases": license_scan.ORACLE}
+ORACLES = {"op10_exact_dedup": exact_dedup.ORACLE, "op5_minhash": minhash.ORACLE, "op8_suffix_dedup": suffix_dedup.ORACLE, "op11_warc": warc.ORACLE, "license_base_phrases": license_scan.ORACLE}
