@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import decontaminate, exact_dedup, html_extract, license_scan, minhash, packing, passage_chains, quality, suffix_dedup, toxicity, warc, whitening
+from . import decontaminate, exact_dedup, html_extract, license_scan, minhash, packing, passage_chains, quality, spelling, suffix_dedup, toxicity, warc, whitening
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_warc": warc.op11_warc,
     "op12_whitening": whitening.op12_whitening,
+    "op13_spelling": spelling.op13_spelling,
     "license_base_phrases": license_scan.license_base_phrases,
 }
 
