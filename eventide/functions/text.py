@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,8 +117,20 @@ def _decimal_references(c: Column) -> Column:
 
 
 def _character(code: Column) -> Column:
-    """A code point as text: its UTF-32 bytes, decoded."""
-    return F.decode(F.unhex(F.lpad(F.hex(code.try_cast("bigint")), 8, "0")), "UTF-32")
+    """A code point as text: its UTF-32 bytes, decoded; null for what is none, see ``html_fault``."""
+    number = code.try_cast("bigint")
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(_is_character(number), number)), 8, "0")), "UTF-32")
+
+
+def _is_character(number: Column) -> Column:
+    return F.coalesce(number.between(0, 0x10FFFF) & ~number.between(0xD800, 0xDFFF), F.lit(False))
+
+
+def html_fault(*columns: Column) -> Column:
+    """Why a text can't be decoded: a reference to a number that is no character; null if there is none."""
+    codes = F.regexp_extract_all(F.regexp_replace(F.concat_ws(" ", *columns), "(?i)&amp;", "&"), F.lit(r"&#(\d+);"), F.lit(1))
+    wrong = F.filter(codes, lambda x: ~_is_character(x.try_cast("bigint")))
+    return F.when(F.size(wrong) > 0, F.concat(F.lit("no such character: "), F.substring(F.element_at(wrong, 1), 1, 40)))
 
 
 def humanize(slug: Column) -> Column:
@@ -152,6 +167,57 @@ def canonical_json(c: Column) -> Column:
     return F.to_json(F.try_parse_json(c))
 
 
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+')
+
+
+def cut_keys(text: str, keys: frozenset[str]) -> str:
+    """JSON text without members of these names, however deep; all other values stay as they are written."""
+    out, open_ = [], []  # of each open object or array: whether it is an object, and whether it has a member yet
+    depth, key, skip = 0, None, False
+    for found in _TOKEN.finditer(text):
+        token = found[0]
+        if skip:
+            depth += (token in "{[") - (token in "}]")
+            if depth > 0 or (depth == 0 and token != ","):
+                continue
+            skip = False
+        if token in "}]":
+            out.append(token)
+            open_.pop()
+        elif token == ",":
+            key = None
+        elif token != ":":
+            if open_ and open_[-1][0] and key is None:
+                key = json.loads(token)
+                if key in keys:
+                    skip, depth, key = True, 0, None
+                    continue
+                out.append(("," if open_[-1][1] else "") + token + ":")
+                open_[-1][1] = True
+                continue
+            if open_ and not open_[-1][0]:
+                out.append("," if open_[-1][1] else "")
+                open_[-1][1] = True
+            out.append(token)
+            if token in "{[":
+                open_.append([token == "{", False])
+                key = None
+    return "".join(out)
+
+
+def without_keys(c: Column, keys: tuple[str, ...]) -> Column:
+    """``canonical_json`` without members of these names at any depth; only text that has such a name goes to Python."""
+    names = frozenset(keys)
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else cut_keys(t, names))
+
+    whole = canonical_json(c)
+    marked = whole.rlike('"(?:' + "|".join(map(re.escape, keys)) + ')":')
+    return F.when(marked, cut(F.when(marked, whole))).otherwise(whole)
+
+
 def safe_url(c: Column) -> Column:
     """The URL if it is one of http or https, else null."""
     return F.when(F.lower(F.try_parse_url(F.trim(c), F.lit("PROTOCOL"))).isin("http", "https"), F.trim(c))

@@ -11,7 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.session import settled
 from ..functions.text import key, nocase, nonempty, title_key
+from .ordering import ranked_within
 
 # Provinces of the territory, their folded names and postal prefixes, and its bounds.
 PROVINCES = {"barcelona": "Barcelona", "girona": "Girona", "gerona": "Girona", "lleida": "Lleida", "lerida": "Lleida", "tarragona": "Tarragona"}
@@ -35,35 +37,54 @@ class Recurring:
     active_share: float = 0.60
 
 
-def source_bucket(accepted=("trium", "mfx-es"), brand: str | None = None) -> Column:
+@dataclass(frozen=True)
+class Policy:
+    """Which feed records count: those of an official seller, of this brand and of these sources; ids that never do; what is recurring inventory."""
+
+    brand: str
+    accepted: tuple[str, ...] = ("trium", "mfx-es")
+    denied: tuple[str, ...] = ()
+    recurring: Recurring = Recurring()
+
+
+def source_bucket(policy: Policy) -> Column:
     """accepted, universe, mfx-external or other, of source, brand_name and official_seller."""
-    good = F.col("source").isin(*accepted) & (F.col("official_seller") == True)  # noqa: E712
-    if brand is not None:
-        good = good & (F.col("brand_name") == brand)
+    good = F.col("source").isin(*policy.accepted) & (F.col("official_seller") == True) & (F.col("brand_name") == policy.brand)  # noqa: E712
     return F.when(F.coalesce(good, F.lit(False)), "accepted").when(F.col("source") == "universe", "universe").when(F.col("source") == "mfx-external", "mfx-external").otherwise("other")
 
 
+def dated(c: Column) -> Column:
+    """A text in the form of a date, else null; the calendar isn't asked."""
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c)
+
+
 def horizon_class(first: str, last: str) -> Column:
-    """invalid, out or accepted: of rows that are not over before ``first`` and start by ``last``; form alone is checked."""
-    start, end = F.col("start_date"), F.coalesce("end_date", "start_date")
-    good = lambda c: F.coalesce(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False))
-    return F.when(~good(start) | ~good(end) | (end < start), "invalid").when((end >= first) & (start <= last), "accepted").otherwise("out")
+    """invalid, out or accepted: of rows that are not over before ``first`` and start by ``last``; an end that is no date counts as none."""
+    start = dated(F.col("start_date"))
+    end = F.coalesce(dated(F.col("end_date")), start)
+    return F.when(start.isNull() | (end < start), "invalid").when((end >= first) & (start <= last), "accepted").otherwise("out")
 
 
 def _number(c: Column) -> Column:
-    """As a number; null and blank count as 0, other text as not a number (null)."""
-    return F.when(c.isNull() | (F.trim(c) == ""), 0.0).otherwise(F.trim(c).try_cast("double"))
+    """As a number; null and blank count as 0, what is no number is null."""
+    value = F.trim(c).try_cast("double")
+    return F.when(c.isNull() | (F.trim(c) == ""), 0.0).otherwise(F.when(~F.isnan(value), value))
 
 
 def territory(country: Column, province: Column, postal: Column, latitude: Column, longitude: Column) -> Column:
-    """Struct of confirmed and province.  Coordinates outside the bounds contradict; missing ones count as 0, 0."""
+    """Struct of confirmed, province, latitude and longitude.
+
+    Coordinates outside the bounds contradict; missing ones count as 0, 0; if one is no number, both are null and neither contradicts.
+    """
     known = F.create_map(*[F.lit(x) for kv in PROVINCES.items() for x in kv])
     prefixes = F.create_map(*[F.lit(x) for kv in PREFIXES.items() for x in kv])
     named, posted = F.try_element_at(known, key(province)), F.try_element_at(prefixes, F.substring(F.trim(postal), 1, 2))
     y, x = _number(latitude.cast("string")), _number(longitude.cast("string"))
     contradicted = F.coalesce(~(y.between(*LATITUDES) & x.between(*LONGITUDES)), F.lit(False)) & y.isNotNull() & x.isNotNull()
     place = F.coalesce(named, posted)
-    return F.struct((F.coalesce(F.upper(country) == "ES", F.lit(False)) & place.isNotNull() & ~contradicted).alias("confirmed"), place.alias("province"))
+    both = y.isNotNull() & x.isNotNull()
+    confirmed = F.coalesce(F.upper(country) == "ES", F.lit(False)) & place.isNotNull() & ~contradicted
+    return F.struct(confirmed.alias("confirmed"), place.alias("province"), F.when(both, y).alias("latitude"), F.when(both, x).alias("longitude"))
 
 
 def keyed(feed: DataFrame) -> DataFrame:
@@ -91,6 +112,12 @@ def without_recurring(feed: DataFrame, found: DataFrame) -> DataFrame:
     return keyed(feed).join(found.select("title_k", "venue_k", "place_k"), ["title_k", "venue_k", "place_k"], "left_anti").drop("title_k", "venue_k", "place_k")
 
 
+def with_groups(feed: DataFrame) -> DataFrame:
+    """Rows with ``group_id``, the first ``pos`` among those of the same title, venue, place and day."""
+    rows, by = keyed(feed), ["title_k", "venue_k", "place_k", "start_date"]
+    return rows.join(rows.groupBy(*by).agg(F.min("pos").alias("group_id")), by).drop("title_k", "venue_k", "place_k")
+
+
 def daily_sessions(feed: DataFrame) -> DataFrame:
     """One row for each title, venue, place and day: the first record's place, latest end and the distinct start times."""
     return keyed(feed).groupBy("title_k", "venue_k", "place_k", "start_date").agg(
@@ -124,38 +151,92 @@ def near(tolerance: float = 0.002) -> Column:
     return F.coalesce(close("latitude") & close("longitude"), F.lit(False))
 
 
-def cross_source_matches(incoming: DataFrame, plans: DataFrame) -> DataFrame:
-    """For each incoming plan with candidates: the first confirmed plan, and the possible ones before it.
+#: Points of one cell that one task compares with candidates; a fuller cell has several shares.
+SHARE = 2_000
+#: What candidates have in common with an incoming plan.
+SAME = ["start_date", "town", "title_k"]
 
-    ``plans`` are those of the other source, by id.  Candidates have the same day, municipality
-    (ASCII case aside) and title key; venue, address or nearness confirms one.
+
+def _placed(plans: DataFrame) -> DataFrame:
+    """id, SAME and the signs by which a plan is known again: venue, place and coordinates."""
+    c = F.col
+    keys = {"town": nocase(c("municipality")), "title_k": title_key(c("original_title")), "venue": key(c("venue_name")), "place": key(c("address"))}
+    return plans.where(c("start_date").isNotNull() & (c("municipality") != "")).withColumns(keys).select("id", *SAME, "venue", "place", "latitude", "longitude")
+
+
+def _shared_out(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """``left`` joined with ``right`` (other columns than ``on`` differ); keys with more than SHARE left rows are dealt into shares, each with all of the key's right rows."""
+    hot = left.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > SHARE).select(*on, F.ceil(F.col("n") / SHARE).cast("int").alias("shares"))
+    hot = settled(hot)
+    own = [c for c in left.columns if c not in on]
+    one = left.join(hot, on, "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64(*own), F.col("shares")).cast("int"), F.lit(0))).drop("shares")
+    all_ = right.join(hot, on, "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("shares") - 1, F.lit(0))))).drop("shares")
+    return one.join(all_, [*on, "share"]).drop("share")
+
+
+def _nearest(left: DataFrame, right: DataFrame, tolerance: float) -> DataFrame:
+    """(id, sure): the smallest candidate within the tolerance.
+
+    Equal points count once on either side; cells are a little wider than the tolerance, so that what
+    is near lies in the same cell or in one beside it, and the exact distance decides.
     """
-    left = incoming.where(F.col("start_date").isNotNull() & (F.col("municipality") != "")).withColumns({"town": nocase(F.col("municipality")), "title_k": title_key(F.col("original_title"))})
-    right = plans.select(
-        F.col("id").alias("c_id"), F.col("start_date"), nocase(F.col("municipality")).alias("town"), title_key(F.col("original_title")).alias("title_k"),
-        key(F.col("venue_name")).alias("c_venue"), key(F.col("address")).alias("c_address"), F.col("latitude").alias("c_latitude"), F.col("longitude").alias("c_longitude"),
-    )
-    same = lambda n, c: (F.col(c) != "") & (F.col(c) == key(F.col(n)))
-    pairs = left.join(right, ["start_date", "town", "title_k"]).withColumn("sure", same("venue_name", "c_venue") | same("address", "c_address") | near())
-    first = pairs.groupBy("id").agg(F.min(F.when(F.col("sure"), F.col("c_id"))).alias("confirmed"), F.array_sort(F.collect_list(F.when(~F.col("sure"), F.col("c_id")))).alias("unsure"))
-    return first.select("id", "confirmed", F.filter("unsure", lambda x: F.col("confirmed").isNull() | (x < F.col("confirmed"))).alias("possible"))
+    cell = lambda n: F.floor(F.col(n) / (tolerance * 1.01))
+    here, there = left.select(*SAME, "latitude", "longitude").where("latitude IS NOT NULL AND longitude IS NOT NULL").distinct(), right.where("latitude IS NOT NULL AND longitude IS NOT NULL")
+    here = here.withColumns({"y": cell("latitude"), "x": cell("longitude")})
+    there = there.groupBy(*SAME, F.col("latitude").alias("c_latitude"), F.col("longitude").alias("c_longitude")).agg(F.min("id").alias("c_id"))
+    around = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
+    there = there.withColumn("d", F.explode(around)).withColumns({"y": cell("c_latitude") + F.col("d.dy"), "x": cell("c_longitude") + F.col("d.dx")}).drop("d")
+    found = _shared_out(here, there, [*SAME, "y", "x"]).where(near(tolerance)).groupBy(*SAME, "latitude", "longitude").agg(F.min("c_id").alias("sure"))
+    return left.join(found, [*SAME, "latitude", "longitude"]).select("id", "sure")
+
 
+def cross_source_matches(incoming: DataFrame, plans: DataFrame, tolerance: float = 0.002) -> DataFrame:
+    """For each incoming plan with candidates: confirmed, the first plan that is surely the same, and n_possible, how many candidates come before it.
 
-def funnel(feed: DataFrame, first: str, last: str, denied: list[str], brand: str | None = None) -> DataFrame:
+    ``plans`` are those of the other source, by id.  Candidates have the same day, municipality
+    (ASCII case aside) and title key; venue, address or nearness confirms one.  Without a confirmed one
+    all candidates are possible; ``possible_matches`` lists them.
+
+    Each sign is an equality of its own and gives a minimum, so plans are never compared pair by pair
+    unless they are in neighbouring cells of the grid; a crowded cell is dealt into shares.
+    """
+    left, right = settled(_placed(incoming)), settled(_placed(plans))
+    sure = _nearest(left, right, tolerance)
+    for sign in ("venue", "place"):
+        first = right.where(F.col(sign) != "").groupBy(*SAME, sign).agg(F.min("id").alias("sure"))
+        sure = sure.union(left.join(first, [*SAME, sign]).select("id", "sure"))
+    confirmed = sure.groupBy("id").agg(F.min("sure").alias("confirmed"))
+    totals = right.groupBy(*SAME).agg(F.count("*").alias("n"))
+    places = ranked_within(right.select(F.col("id").alias("confirmed"), *SAME), SAME, "confirmed", "earlier").select("confirmed", "earlier")
+    rows = left.select("id", *SAME).join(totals, SAME).join(confirmed, "id", "left").join(places, "confirmed", "left")
+    return rows.select("id", "confirmed", F.coalesce("earlier", "n").cast("long").alias("n_possible"))
+
+
+def possible_matches(matches: DataFrame, incoming: DataFrame, plans: DataFrame) -> DataFrame:
+    """(id, candidate): the candidates that ``cross_source_matches`` counts, as rows; as many as it counts."""
+    left = _placed(incoming).join(matches.where("n_possible > 0").select("id", "confirmed"), "id").select("id", "confirmed", *SAME)
+    pairs = _shared_out(settled(left), _placed(plans).select(F.col("id").alias("candidate"), *SAME), SAME)
+    return pairs.where("confirmed IS NULL OR candidate < confirmed").select("id", "candidate")
+
+
+def funnel(feed: DataFrame, first: str, last: str, policy: Policy) -> DataFrame:
     """Each row with the first ``reason`` that drops it, null if none does; ``seen`` marks rows of an accepted source.
 
-    Order: source, dates, territory, denied ids.  Recurring inventory and variants are found among
-    what is left.
+    Order: source, dates, names (an id and a title), horizon, territory, denied ids.  Recurring inventory and
+    variants are found among what is left.  An end that is no date becomes the start.
     """
+    horizon, unnamed = horizon_class(first, last), (F.coalesce(F.col("event_id").cast("string"), F.lit("")) == "") | (F.coalesce("title", F.lit("")) == "")
     reason = (
-        F.when(source_bucket(brand=brand) != "accepted", F.concat(F.lit("source:"), source_bucket(brand=brand)))
-        .when(horizon_class(first, last) == "invalid", "dates:invalid")
-        .when(horizon_class(first, last) == "out", "dates:out")
+        F.when(source_bucket(policy) != "accepted", F.concat(F.lit("source:"), source_bucket(policy)))
+        .when(horizon == "invalid", "dates:invalid")
+        .when(unnamed, "unnamed")
+        .when(horizon == "out", "dates:out")
         .when(~F.col("place.confirmed"), "territory")
-        .when(F.col("event_id").cast("string").isin(denied), "denied")
+        .when(F.col("event_id").cast("string").isin(list(policy.denied)), "denied")
     )
     placed = feed.withColumn("place", territory(F.col("country"), F.col("state"), F.col("postal_code"), F.col("latitude"), F.col("longitude")))
-    return placed.withColumns({"reason": reason, "seen": source_bucket(brand=brand) == "accepted"})
+    rows = placed.withColumns({"reason": reason, "seen": source_bucket(policy) == "accepted", "bucket": source_bucket(policy)})
+    return rows.withColumns({"end_date": F.coalesce(dated(F.col("end_date")), "start_date"), "latitude": F.col("place.latitude"), "longitude": F.col("place.longitude")})
 
 
 def funnel_counts(rows: DataFrame) -> DataFrame:

@@ -2,23 +2,26 @@
 
 A job takes the state and returns the new one with a report; ``sources.snapshot`` stores it.
 What several results are made of is checkpointed in the folder of ``spark.checkpoint.dir``, which
-keeps plans short and survives lost executors; without such a folder it is computed again.
+keeps plans short and survives lost executors.
 """
 
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from collections.abc import Callable
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clock
-from ..functions.text import canonical_json, nocase
+from ..functions.session import observed, settled
+from ..functions.text import canonical_json, filled, html_fault, nocase
+from ..sources.ledger import COUNTERS as RUN_COUNTERS
+from ..sources.ledger import MOST_DETAILS, Outcome, RunLedger
 from . import feed as feeds
-from . import normalize, search, state
+from . import feed_import, normalize, search, state
 from . import predicates as P
-from .state import settled
 
 State = dict[str, DataFrame]
 
@@ -40,130 +43,135 @@ def iso(now: datetime) -> str:
 
 
 class Importer(ABC):
-    """A source's part of an import; hooks return frames and columns, never rows."""
+    """A source's part of an import.  ``fetch`` and ``normalize`` return frames; the other hooks are columns over normalised rows, never rows.
+
+    A normalised row has ``pos``, ``record`` (the source's record as a struct), the columns of a plan, its
+    fingerprint and category_slugs.
+    """
 
     source: int | str
 
+    @abstractmethod
+    def fetch(self, now: datetime, retention_days: int) -> DataFrame:
+        """The source's records with ``pos``."""
+
     @abstractmethod
     def normalize(self, records: DataFrame) -> DataFrame:
-        """Plans with pos, record_id, payload, fingerprint and category_slugs."""
+        """Normalised rows; records that make no plan are left out, and count as skipped."""
+
+    @abstractmethod
+    def external_id(self) -> Column:
+        """The id of a record; ``payload`` is there already."""
+
+    def source_url(self) -> Column:
+        return F.lit(None).cast("string")
+
+    def source_created_at(self) -> Column:
+        return F.lit(None).cast("string")
+
+    def source_updated_at(self) -> Column:
+        return F.lit(None).cast("string")
+
+    def source_payload(self) -> Column:
+        return canonical_json(F.to_json("record"))
+
+    def error(self) -> Column:
+        """Why a record can't be taken over, null if it can; it is counted and left out, and the others go on."""
+        return F.lit(None).cast("string")
+
+    def issue(self, now: datetime) -> Column:
+        return P.coherence_issue(clock.local_date(now).year)
+
+    def described(self) -> Column:
+        """What the ledger keeps of an invalid record, whose reason is in ``issue``."""
+        return F.struct(F.col("record_id").alias("source_record_id"), F.col("issue").alias("reason"), "start_date", "end_date")
 
     def wanted(self, now: datetime, retention_days: int) -> Column:
         return P.retained(clock.retention_cutoff(now, retention_days)) & ~P.outside_territory()
 
-    def run(self, records: DataFrame, st: State, now: datetime, retention_days: int = 0) -> tuple[State, DataFrame, DataFrame]:
-        """The new state, one row of counters, and the invalid records with their reasons."""
+    def run(self, st: State, now: datetime, retention_days: int = 0, ledger: RunLedger | None = None) -> tuple[State, DataFrame, dict[str, int]]:
+        """The new state, the invalid records (record_id, reason) and the counters.
+
+        With a ``ledger``, the run is written down whether it completes or fails.
+        """
         source_id = approved(st["sources"], self.source)
-        year = clock.local_date(now).year
-        rows = settled(self.normalize(records).withColumn("issue", P.coherence_issue(year)))
-        invalid = rows.where("issue is not null").select("record_id", F.col("issue").alias("reason"))
-        good = rows.where(F.col("issue").isNull() & self.wanted(now, retention_days))
-        outcomes = settled(state.upsert_outcomes(good, st["plan_sources"], st["plans"], source_id))
-        after = state.apply_batch(st, outcomes, source_id, iso(now))
-        labelled = outcomes.select("outcome").union(invalid.select(F.lit("invalid").alias("outcome")))
-        counts = state.run_counts(labelled).crossJoin(F.broadcast(records.agg(F.count("*").alias("_all"))))
-        left_out = F.col("_all") - F.col("inserted") - F.col("updated")
-        return after, counts.withColumns({"fetched": F.col("_all"), "skipped": left_out}).drop("_all"), invalid
+        work = lambda: self._import(st, source_id, now, retention_days)
+        found = ledger.record(source_id, work) if ledger else work()
+        return *found.result, found.counters
+
+    def _import(self, st: State, source_id: int, now: datetime, retention_days: int) -> Outcome:
+        records, n = observed(self.fetch(now, retention_days), fetched=F.count("*"))
+        try:
+            rows = self.normalize(records).withColumn("payload", self.source_payload())
+            hooks = {"record_id": self.external_id(), "source_url": self.source_url(), "source_created_at": self.source_created_at(), "source_updated_at": self.source_updated_at(), "error": self.error(), "issue": self.issue(now)}
+            rows = rows.withColumns(hooks).withColumn("details", F.when(F.col("issue").isNotNull(), F.to_json(self.described())))
+            bad, faulty = F.col("error").isNotNull(), F.col("error").isNull() & F.col("issue").isNotNull()
+            rows, seen = observed(rows, errors=F.count_if(bad), invalid=F.count_if(faulty))
+            good = rows.where(~bad & ~faulty & self.wanted(now, retention_days)).drop("record", "details", "error", "issue")
+            is_ = lambda x: F.count_if(F.col("outcome") == x)
+            outcomes, made = observed(state.upsert_outcomes(good, st["plan_sources"], st["plans"], source_id), inserted=is_("inserted"), updated=is_("updated"))
+            after = state.apply_batch(st, outcomes, source_id, iso(now))
+        except Exception as e:
+            e.counters = n
+            raise
+        n |= seen | made
+        n["skipped"] = n["fetched"] - n["errors"] - n["inserted"] - n["updated"]
+        invalid = rows.where(faulty)
+        first = [r["details"] for r in invalid.orderBy("pos").select("details").head(MOST_DETAILS)]
+        return Outcome({c: n[c] for c in RUN_COUNTERS}, f"[{','.join(first)}]" if first else None, (after, invalid.select("record_id", F.col("issue").alias("reason"))))
 
 
 class AgendaImporter(Importer):
-    def __init__(self, source: int | str = "agenda"):
-        self.source = source
+    """Records of the agenda, as a frame with ``pos`` or as a function of (now, retention_days) that makes one."""
+
+    def __init__(self, records: DataFrame | Callable[[datetime, int], DataFrame], source: int | str = "agenda", updated_at: str | None = None, dataset_url: str | None = None):
+        self.records, self.source, self.updated_at, self.dataset_url = records, source, updated_at, dataset_url
+
+    def fetch(self, now: datetime, retention_days: int) -> DataFrame:
+        return self.records(now, retention_days) if callable(self.records) else self.records
 
     def normalize(self, records: DataFrame) -> DataFrame:
         kept = normalize.without_restricted_images(records)
-        payload = canonical_json(F.to_json(F.struct(*[c for c in kept.columns if c != "pos"])))
-        rows = kept.withColumn("payload", payload).withColumn("record_id", normalize.payload_identity(F.col("codi"), F.col("payload")))
-        return normalize.agenda_plans(rows, ("pos", "record_id", "payload"))
+        rows = kept.withColumn("record", F.struct(*[c for c in kept.columns if c != "pos"]))
+        return normalize.agenda_plans(rows, ("pos", "record")).withColumn("recommended_months", F.lit(None).cast("string"))
+
+    def external_id(self) -> Column:
+        return normalize.payload_identity(F.col("record.codi"), F.col("payload"))
+
+    def source_url(self) -> Column:
+        return F.coalesce(filled(F.col("record.urlactivitat")), F.lit(self.dataset_url))
+
+    def source_created_at(self) -> Column:
+        return filled(F.col("record.data_creacio"))
+
+    def source_updated_at(self) -> Column:
+        return F.lit(self.updated_at).cast("string")
+
+    def error(self) -> Column:
+        return html_fault(*(F.col(f"record.{n}") for n in ("subt_tol", "horari", "entrades")))
 
+    def described(self) -> Column:
+        return F.struct(F.col("record.codi").alias("source_record_id"), F.col("original_title").alias("title"), F.col("issue").alias("reason"), "start_date", "end_date")
 
-def import_agenda(records: DataFrame, st: State, now: datetime, retention_days: int = 0, source: int | str = "agenda"):
-    """Purges what is faulty, expired or outside, then imports the records (with ``pos``)."""
+
+def import_agenda(records, st: State, now: datetime, retention_days: int = 0, source: int | str = "agenda", ledger: RunLedger | None = None):
+    """Purges what is faulty, expired or outside, then imports the records: the new state, the invalid records and the counters."""
     st, _ = state.purge_old(st, now, retention_days)
     st = st | {n: settled(st[n]) for n in ("plans", "plan_sources", "plan_categories")}
-    return AgendaImporter(source).run(records, st, now, retention_days)
-
-
-def feed_parts(feed: DataFrame, st: State, first: str, last: str, other: str = "agenda", denied: tuple[str, ...] = (), brand: str | None = None) -> State:
-    """What an import makes of a feed: rows, inventory, recurring, variants, kept, plans and matches."""
-    rows = settled(feeds.funnel(feed, first, last, list(denied), brand))
-    named = "coalesce(cast(event_id as string), '') <> '' and coalesce(title, '') <> ''"
-    #: Denied rows leave only after inventory and variants are found: they count in a group and can be a main event.
-    candidates = rows.where(f"(reason is null or reason = 'denied') and {named}").drop("province").withColumn("province", F.col("place.province"))
-    inventory = settled(feeds.recurring_inventory(candidates))
-    rest = settled(feeds.without_recurring(candidates, inventory))
-    variants = settled(feeds.product_variants(rest))
-    kept = settled(rest.join(variants.select("event_id"), "event_id", "left_anti").where("reason is null"))
-    plans = settled(normalize.feed_plans(kept))
-    foreign = st["plan_sources"].join(st["sources"].where(F.col("key") == other).select(F.col("id").alias("source_id")), "source_id", "left_semi")
-    others = st["plans"].join(foreign.select(F.col("plan_id").alias("id")), "id", "left_semi")
-    matches = settled(feeds.cross_source_matches(plans.withColumn("id", F.col("fingerprint")), others).withColumnRenamed("id", "fingerprint"))
-    return {"rows": rows, "candidates": candidates, "inventory": inventory, "rest": rest, "variants": variants, "kept": kept, "plans": plans, "matches": matches}
-
-
-def feed_report(feed: DataFrame, st: State, now: datetime, days: int = 90, source: int | str = "feed", other: str = "agenda", denied: tuple[str, ...] = (), brand: str | None = None) -> tuple[DataFrame, State]:
-    """What an import of the feed would do: one row of counters, and the details of inventory, variants, possible merges and removals."""
-    source_id = approved(st["sources"], source)
-    first, last = clock.horizon(now, days)
-    parts = feed_parts(feed, st, first, last, other, denied, brand)
-    rows, rest = parts["rows"], parts["rest"]
-    lost = state.missing_links(state.reconciliation_candidates(st["plan_sources"], st["plans"], source_id, first, last), rows.where("seen").select("event_id"))
-    known = st["plan_sources"].where(F.col("source_id") == source_id).select(F.col("source_record_id").alias("record_id"))
-    #: Groups of other venues can have one fingerprint, so a group is named by its first record.
-    named = parts["plans"].withColumn("first", F.col("event_ids")[0])
-    held = named.select("first", F.explode("event_ids").alias("record_id")).join(known, "record_id", "left_semi").select("first").distinct().withColumn("held", F.lit(True))
-    groups = named.select("first", "fingerprint").join(parts["matches"], "fingerprint", "left").join(held, "first", "left")
-    is_, bucket = (lambda c: F.count_if(F.coalesce(c, F.lit(False)))), feeds.source_bucket(brand=brand)
-    reason, seen = F.col("reason"), F.col("seen")
-    unnamed = (F.coalesce(F.col("event_id").cast("string"), F.lit("")) == "") | (F.coalesce("title", F.lit("")) == "")
-    faulty = seen & ((reason == "dates:invalid") | unnamed)
-    good = seen & ~F.coalesce(faulty, F.lit(False))
-    inside = good & (reason.isNull() | reason.isin("territory", "denied"))
-    counters = rows.agg(
-        F.count("*").alias("records"), is_(seen).alias("accepted"), is_(seen & (F.col("source") == "trium")).alias("accepted_trium"), is_(seen & (F.col("source") == "mfx-es")).alias("accepted_mfx_es"),
-        is_(bucket == "universe").alias("excluded_universe"), is_(bucket == "mfx-external").alias("excluded_mfx_external"), is_(bucket == "other").alias("excluded_other"),
-        is_(inside).alias("within_horizon"), is_(inside & (reason.isNull() | (reason == "denied"))).alias("candidates"), is_(good & (reason == "territory")).alias("outside"),
-        is_(good & (reason == "dates:out")).alias("out_of_horizon"), is_(faulty).alias("invalid"),
-    )
-    left = rest.agg(F.count("*").alias("left"), is_(reason == "denied").alias("denied"))
-    variant = parts["variants"].join(rest.where("reason is null").select("event_id"), "event_id", "left_semi").agg(F.count("*").alias("variants"))
-    merged = groups.agg(
-        is_(F.col("held")).alias("updates"), is_(F.col("held").isNull() & F.col("confirmed").isNull()).alias("new_plans"),
-        is_(F.col("confirmed").isNotNull()).alias("confirmed_merges"), is_(F.size("possible") > 0).alias("possible_merges"),
-    )
-    removed = lost.agg(F.count("*").alias("removals"))
-    out = counters.crossJoin(F.broadcast(left)).crossJoin(F.broadcast(variant)).crossJoin(F.broadcast(merged)).crossJoin(F.broadcast(removed))
-    out = out.withColumn("recurring", F.col("candidates") - F.col("left")).withColumn("unchanged", F.lit(0).cast("long")).drop("left")
-    details = {
-        "recurring": parts["inventory"], "variants": parts["variants"],
-        "possible_merges": parts["matches"].where(F.size("possible") > 0).join(parts["plans"].select("fingerprint", "original_title"), "fingerprint").select("original_title", "possible"),
-        "removals": lost.select("source_record_id", "plan_id"),
-    }
-    return out, details
-
-
-def import_feed(feed: DataFrame, st: State, now: datetime, days: int = 90, source: int | str = "feed", other: str = "agenda", denied: tuple[str, ...] = (), brand: str | None = None, dry_run: bool = False):
-    """Imports a complete feed; returns the state (unchanged in a dry run), the funnel's and the outcomes' counts.
-
-    What the feed no longer has inside the horizon loses its link; ids that were seen but dropped keep it.
-    """
+    return AgendaImporter(records, source).run(st, now, retention_days, ledger)
+
+
+def import_feed(
+    feed: DataFrame | Callable[[], DataFrame], st: State, now: datetime, policy: feeds.Policy, days: int = 90, source: int | str = "feed", other: str = "agenda", dry_run: bool = False, ledger: RunLedger | None = None
+) -> tuple[State, dict[str, int], State]:
+    """Imports a complete feed, see ``feed_import.import_feed``; a feed that can't be read or is incomplete changes nothing but the ledger."""
     source_id = approved(st["sources"], source)
-    first, last = clock.horizon(now, days)
-    parts = feed_parts(feed, st, first, last, other, denied, brand)
-    rows, plans, kept = parts["rows"], parts["plans"], parts["kept"]
-    seen = rows.where("seen").select("event_id")
-    matches = parts["matches"].select("fingerprint", F.col("confirmed").alias("target_id"))
-    records = kept.select("event_id", "pos", canonical_json(F.to_json(F.struct("event_id", "title", "start_date", "end_date", "start_time", "venue_name", "url", "event_status"))).alias("payload"))
-    incoming = plans.join(matches, "fingerprint", "left").withColumn("event_id", F.explode("event_ids")).join(records, "event_id").withColumnRenamed("event_id", "record_id").drop("event_ids")
-    outcomes = settled(state.upsert_outcomes(settled(incoming), st["plan_sources"], st["plans"], source_id))
-    report, counts = feeds.funnel_counts(rows), state.run_counts(outcomes)
-    if dry_run:
-        return st, report, counts
-    after = state.apply_batch(st, outcomes, source_id, iso(now), preserve=True)
-    after |= {n: settled(after[n]) for n in ("plans", "plan_sources")}
-    candidates = state.reconciliation_candidates(after["plan_sources"], after["plans"], source_id, first, last)
-    after = state.remove_links(after, state.missing_links(candidates, seen).select("id", "plan_id"), iso(now))
-    return after, report, counts
+
+    def work() -> Outcome:
+        after, n, details = feed_import.import_feed(feed() if callable(feed) else feed, st, now, policy, source_id, days, other, dry_run)
+        return Outcome(feed_import.run_counters(n), None, (after, n, details))
+
+    return (ledger.record(source_id, work) if ledger and not dry_run else work()).result
 
 
 def sync_images(st: State, offered: DataFrame, now: datetime, source: int | str = "feed", force: bool = False) -> tuple[State, DataFrame]:

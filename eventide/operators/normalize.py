@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_json, coordinate, filled, fold, iso_prefix, key, location_tag, nonempty, safe_url, strip_html, title_key, yes_no
-from .feed import keyed
+from ..functions.text import canonical_json, coordinate, filled, fold, iso_prefix, key, location_tag, nonempty, safe_url, strip_html, title_key, without_keys, yes_no
 
 # Categories of agenda records in order, each with the words in a tag that give it.
 AGENDA_CATEGORIES = {
@@ -56,11 +55,12 @@ def agenda_quality(n_categories: Column) -> Column:
     )
 
 
-def feed_quality(n_categories: Column) -> Column:
+def feed_quality(n_categories: Column, info: str = "original_description", url: str = "ticket_url") -> Column:
+    """Quality of a feed plan; of text and link, what the record has counts, blank or faulty as it may be."""
     c = F.col
     return _points(
         FEED_BASE,
-        [(_has(c("original_description")), 15), (_has(c("municipality")), 10), (c("latitude").isNotNull(), 10), (_has(c("address")), 5), (_has(c("ticket_url")), 10), (n_categories > 0, 5)],
+        [(_has(c(info)), 15), (_has(c("municipality")), 10), (c("latitude").isNotNull(), 10), (_has(c("address")), 5), (_has(c(url)), 10), (n_categories > 0, 5)],
     )
 
 
@@ -91,9 +91,9 @@ def agenda_categories(*tags: Column) -> Column:
     return _rules({slug: any_word(words) for slug, words in AGENDA_CATEGORIES.items()})
 
 
-def feed_categories(*texts: Column) -> Column:
-    text = F.concat_ws(" ", *texts)
-    return _rules({slug: text.rlike(f"(?iu)(?:{pattern})") for slug, pattern in FEED_CATEGORIES.items()})
+def feed_categories(classes: Column) -> Column:
+    """Slugs by patterns on a record's classification, all its fields in one text; its title says nothing."""
+    return _rules({slug: F.coalesce(classes, F.lit("")).rlike(f"(?iu)(?:{pattern})") for slug, pattern in FEED_CATEGORIES.items()})
 
 
 def payload_identity(code: Column, payload: Column) -> Column:
@@ -102,6 +102,13 @@ def payload_identity(code: Column, payload: Column) -> Column:
 
 
 RESTRICTED = ("imatges", "destacada_imatge", "imgapp")
+# The same for feed records, at any depth.
+FEED_RESTRICTED = ("eventImageUrl", "images", "image", "imageUrl")
+
+
+def feed_payload(record: Column) -> Column:
+    """A feed record (variant) as canonical JSON, whole but for image fields at any depth."""
+    return without_keys(F.to_json(record), FEED_RESTRICTED)
 
 
 def without_restricted_images(records: DataFrame) -> DataFrame:
@@ -140,22 +147,28 @@ def agenda_plans(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return rows.withColumns({"quality_score": agenda_quality(F.size("category_slugs")), "fingerprint": agenda_fingerprint()})
 
 
+#: What a feed plan takes from the first record of its group.
+FIRST = ("title", "info", "classes", "price", "province", "municipality", "address", "postal_code", "venue_name", "latitude", "longitude", "url", "event_status")
+
+
 def feed_plans(feed: DataFrame, prefix: str = "feed") -> DataFrame:
-    """Feed rows to plans, one for each title, venue, place and day; the first record by ``pos`` gives what is not gathered."""
+    """Feed rows with ``group_id`` to plans, one for each group; the first record by ``pos`` gives what is not gathered.
+
+    All columns of plans but id and stamps, with group_id, ``records`` (how many) and category_slugs.  Groups
+    whose first title is blank make no plan.
+    """
     c = F.col
-    first = lambda n: F.min_by(n, "pos").alias(n)
-    groups = keyed(feed).where(filled(c("title")).isNotNull()).groupBy("title_k", "venue_k", "place_k", "start_date").agg(
-        *(first(n) for n in ("title", "info", "segment", "province", "municipality", "address", "postal_code", "venue_name", "latitude", "longitude", "url", "event_status")),
-        F.max("end_date").alias("end_date"), F.array_sort(F.collect_set(nonempty(c("start_time")))).alias("hours"),
-        F.array_sort(F.collect_list(F.struct("pos", "event_id"))).alias("records"),
-    )
-    slugs = feed_categories(c("segment"), c("title"))
+    groups = feed.groupBy("group_id").agg(
+        *(F.min_by(n, "pos").alias(n) for n in (*FIRST, "start_date")), F.max("end_date").alias("end_date"), F.array_sort(F.collect_set(nonempty(c("start_time")))).alias("hours"), F.count("*").alias("records"),
+    ).where(filled(c("title")).isNotNull())
+    slugs, text, whole = feed_categories(c("classes")), F.lit(None).cast("string"), F.lit(None).cast("int")
+    town, info = filled(c("municipality")), filled(c("info"))
     rows = groups.select(
-        F.lit("event").alias("kind"), c("title").alias("original_title"), filled(c("info")).alias("original_description"), "start_date", "end_date",
-        nonempty(F.array_join("hours", ", ")).alias("schedule_text"), F.lit(0).alias("permanent"), "province", F.lit(None).cast("string").alias("comarca"),
-        filled(c("municipality")).alias("municipality"), filled(c("address")).alias("address"), "postal_code", filled(c("venue_name")).alias("venue_name"),
-        "latitude", "longitude", safe_url(c("url")).alias("ticket_url"), slugs.alias("category_slugs"),
-        F.when(F.array_contains(slugs, "familia"), 1).alias("family_friendly"),
-        F.when(c("event_status") == "cancelled", "cancelled").otherwise("active").alias("status"), F.transform("records", lambda r: r["event_id"]).alias("event_ids"),
+        "group_id", "records", F.lit("event").alias("kind"), text.alias("original_language"), c("title").alias("original_title"), info.alias("original_description"), c("title").alias("title_ca"), c("title").alias("title_es"),
+        text.alias("subtitle_ca"), text.alias("subtitle_es"), info.alias("description_ca"), info.alias("description_es"), "start_date", "end_date", nonempty(F.array_join("hours", ", ")).alias("schedule_text"),
+        F.lit(0).alias("permanent"), filled(c("price")).alias("price_text"), whole.alias("is_free"), "province", text.alias("comarca"), town.alias("municipality"), town.alias("locality"), filled(c("address")).alias("address"),
+        nonempty(F.trim("postal_code")).alias("postal_code"), filled(c("venue_name")).alias("venue_name"), "latitude", "longitude", text.alias("website_url"), safe_url(c("url")).alias("ticket_url"), text.alias("image_url"),
+        F.lit(0).alias("image_reuse_allowed"), slugs.alias("category_slugs"), F.when(F.array_contains(slugs, "familia"), 1).alias("family_friendly"), whole.alias("indoor"), whole.alias("outdoor"), text.alias("recommended_months"),
+        F.lit(0).alias("featured"), F.when(c("event_status") == "cancelled", "cancelled").otherwise("active").alias("status"), "info", "url",
     )
-    return rows.withColumns({"quality_score": feed_quality(F.size("category_slugs")), "fingerprint": feed_fingerprint(prefix)})
+    return rows.withColumns({"quality_score": feed_quality(F.size("category_slugs"), "info", "url"), "fingerprint": feed_fingerprint(prefix)}).drop("info", "url")

@@ -12,73 +12,82 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock
+from ..functions.session import settled
 from . import predicates as P
+from .ordering import carried, numbered, running_sum
 
 #: Columns that a fill never takes over from a later record.
 NEVER_FILLED = ("id", "fingerprint", "quality_score", "status", "inactive_at", "created_at", "updated_at")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, if the session has a checkpoint folder; else it is computed anew where it is used."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
-
-
 def upsert_outcomes(incoming: DataFrame, provenance: DataFrame, plans: DataFrame, source_id: int) -> DataFrame:
-    """``incoming`` (pos, record_id, fingerprint, payload, optionally target_id) with plan_id, outcome and known.
+    """``incoming`` (pos, record_id, fingerprint, payload, optionally target_id and group_id) with plan_id, outcome and action.
 
     skipped: known with equal payload; updated: known with another payload, or new but attached to
-    a plan with this fingerprint, of the catalogue or of an earlier record of the batch; inserted: the
-    rest.  Of a record_id that comes twice, later rows meet what the earlier left.  New plans get
-    the ids after the largest, in order of arrival.
+    a plan: to ``target_id``, to one with this fingerprint of the catalogue, or of an earlier record of the
+    batch; inserted: the rest.  New plans get the ids after the largest, in order of arrival.  Of a record_id that comes
+    twice, later rows meet what the earlier left.
+
+    Records with one ``group_id``, the pos of the first of them, describe one plan; their record_ids are distinct.
+    The first decides as above; a later one that is not known goes to the plan of the one before it.
+
+    action: insert, overwrite (known, and neither later in its group nor with a target), fill or touch (skipped).
     """
     known = provenance.where(F.col("source_id") == source_id).select(F.col("source_record_id").alias("record_id"), F.col("plan_id").alias("known_plan"), F.col("source_payload_json").alias("old_payload"))
     prints = plans.groupBy("fingerprint").agg(F.min("id").alias("print_plan"))
     rows = incoming.join(known, "record_id", "left").join(prints, "fingerprint", "left")
     if "target_id" not in incoming.columns:
         rows = rows.withColumn("target_id", F.lit(None).cast("long"))
+    grouped = "group_id" in incoming.columns
     by_record = Window.partitionBy("record_id").orderBy("pos")
-    rows = rows.withColumns({"turn": F.row_number().over(by_record), "previous": F.lag("payload").over(by_record)})
-    rows = rows.withColumn("attached", F.coalesce("known_plan", "target_id", "print_plan"))
-    fresh = F.col("attached").isNull() & (F.col("turn") == 1)
-    earlier = F.sum(fresh.cast("int")).over(Window.partitionBy("fingerprint").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("opens", fresh & (F.coalesce(earlier, F.lit(0)) == 0))
+    turn, previous = (F.lit(1), F.lit(None).cast("string")) if grouped else (F.row_number().over(by_record), F.lag("payload").over(by_record))
+    rows = rows.withColumns({"turn": turn, "previous": previous, "leads": F.col("pos") == F.col("group_id") if grouped else F.lit(True)})
+    rows = rows.withColumn("attached", F.coalesce("known_plan", F.when(F.col("leads"), F.coalesce("target_id", "print_plan"))))
+    if grouped:
+        rows = settled(rows)
+    fresh = rows.where("attached IS NULL AND leads AND turn = 1").groupBy("fingerprint").agg(F.min("pos").alias("pos"))
+    ids = numbered(fresh, plans, "pos").select("fingerprint", F.col("id").alias("new_plan"), F.col("pos").alias("opened"))
+    rows = rows.join(ids, "fingerprint", "left").withColumn("opens", F.col("attached").isNull() & F.coalesce(F.col("pos") == F.col("opened"), F.lit(False)))
+    rows = rows.withColumn("plan_id", F.coalesce("attached", F.when(F.col("leads"), F.col("new_plan"))))
+    if grouped:
+        rows = carried(rows, "group_id", "pos", "plan_id")
+    else:
+        rows = rows.withColumn("plan_id", F.when(F.col("turn") > 1, F.first("plan_id").over(by_record)).otherwise(F.col("plan_id")))
+    there = F.col("known_plan").isNotNull() | (F.col("turn") > 1)
     same = F.when(F.col("turn") > 1, F.col("payload").eqNullSafe(F.col("previous"))).otherwise(F.col("known_plan").isNotNull() & F.col("payload").eqNullSafe(F.col("old_payload")))
-    rows = rows.withColumn("outcome", F.when(same, "skipped").when(F.col("opens"), "inserted").otherwise("updated"))
-    ids = numbered(rows.where("opens").select("fingerprint", "pos"), plans, "pos").select("fingerprint", F.col("id").alias("new_plan"))
-    rows = rows.join(ids, "fingerprint", "left")
-    rows = rows.withColumns({"plan_id": F.coalesce("attached", "new_plan"), "known": F.col("known_plan").isNotNull() | (F.col("turn") > 1)})
-    return rows.drop("turn", "previous", "opens", "known_plan", "old_payload", "print_plan", "attached", "new_plan")
-
-
-def numbered(rows: DataFrame, existing: DataFrame, by: str) -> DataFrame:
-    """``rows`` with dense ``id`` after the largest existing one, in order of ``by``.
-
-    Ranks come from range partitions and their sizes, so no task sorts all rows.
-    """
-    ordered = rows.repartitionByRange(by).sortWithinPartitions(by).withColumn("_part", F.spark_partition_id())
-    ordered = ordered.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(by)))
-    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).select("_part", "_before")
-    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    return ordered.join(F.broadcast(before), "_part").crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_before") + F.col("_n")).drop("_part", "_n", "_before", "_top")
+    outcome = F.when(same, "skipped").when(F.col("opens"), "inserted").otherwise("updated")
+    action = F.when(same, "touch").when(F.col("opens"), "insert").when(there & F.col("leads") & F.col("target_id").isNull(), "overwrite").otherwise("fill")
+    return rows.withColumns({"outcome": outcome, "action": action}).drop("turn", "previous", "opens", "opened", "known_plan", "old_payload", "print_plan", "attached", "new_plan")
 
 
 def fold_fills(rows: DataFrame, group: str, by: str, columns: list[str]) -> DataFrame:
     """One row for each group: of each column the first value that is not null, in order of arrival; the best quality."""
     first = {c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(by))).alias(c) for c in columns if c not in NEVER_FILLED}
-    return rows.groupBy(group).agg(*first.values(), F.max("quality_score").alias("quality_score"), F.max(F.col("status") == "active").alias("any_active"))
+    over = [F.min_by("status", F.when(F.col("action") == "overwrite", F.col(by))).alias("over_status")] if "action" in rows.columns else []
+    return rows.groupBy(group).agg(*first.values(), F.max("quality_score").alias("quality_score"), F.max(F.col("status") == "active").alias("any_active"), *over)
+
+
+def fold_updates(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``fold_fills`` of overwrites and fills by plan (id): what comes before a plan's last overwrite is lost, later fills go on from there."""
+    last = rows.where("action = 'overwrite'").groupBy("id").agg(F.max("pos").alias("_from"))
+    return fold_fills(rows.join(last, "id", "left").where("_from IS NULL OR pos >= _from").drop("_from"), "id", "pos", columns)
 
 
 def fill(plans: DataFrame, folded: DataFrame, now: str) -> DataFrame:
-    """Plans with nulls filled from ``folded`` (by id); an inactive plan with an active record becomes active."""
+    """Plans with nulls filled from ``folded`` (by id); an inactive plan with an active record becomes active.
+
+    Where ``folded`` has an ``over_status``, all its columns replace the plan's.
+    """
     new = folded.select(F.col("id"), *(F.col(c).alias(f"_{c}") for c in folded.columns if c != "id"))
     joined = plans.join(new, "id", "left")
-    hit = F.col("_quality_score").isNotNull()
+    hit = F.col("_quality_score").isNotNull() | F.col("_any_active").isNotNull()
+    over = F.col("_over_status").isNotNull() if "over_status" in folded.columns else F.lit(False)
+    status = F.coalesce("_over_status", "status") if "over_status" in folded.columns else F.col("status")
     active = F.coalesce("_any_active", F.lit(False))
-    out = {c: F.coalesce(c, f"_{c}") for c in plans.columns if f"_{c}" in new.columns and c not in NEVER_FILLED}
+    out = {c: F.when(over, F.col(f"_{c}")).otherwise(F.coalesce(c, f"_{c}")) for c in plans.columns if f"_{c}" in new.columns and c not in NEVER_FILLED}
     out |= {
-        "quality_score": F.greatest("quality_score", "_quality_score"),
-        "status": F.when(active & (F.col("status") == "inactive"), "active").otherwise(F.col("status")),
+        "quality_score": F.when(over, F.col("_quality_score")).otherwise(F.greatest("quality_score", "_quality_score")),
+        "status": F.when(active & (status == "inactive"), "active").otherwise(status),
         "inactive_at": F.when(active, None).otherwise(F.col("inactive_at")),
         "updated_at": F.when(hit, F.lit(now)).otherwise(F.col("updated_at")),
     }
@@ -106,26 +115,21 @@ def reactivate(plans: DataFrame, seen: DataFrame, now: str) -> DataFrame:
     ).select(*plans.columns)
 
 
-def apply_batch(state: dict[str, DataFrame], rows: DataFrame, source_id: int, now: str, preserve: bool = False) -> dict[str, DataFrame]:
+def apply_batch(state: dict[str, DataFrame], rows: DataFrame, source_id: int, now: str) -> dict[str, DataFrame]:
     """State after a batch: ``rows`` are those of ``upsert_outcomes`` with the columns of plans and ``category_slugs``.
 
-    New plans come first; records known with another payload overwrite their plan (the last counts;
-    with ``preserve`` they fill it), records attached to a plan fill it in order of arrival.
+    New plans come first; then each plan takes its overwrites and fills in order of arrival; plans of skipped active records become active.
     """
     plans = state["plans"]
     taken = [c for c in plans.columns if c in rows.columns and c != "id"]
-    new = rows.where("outcome = 'inserted'").select(F.col("plan_id").alias("id"), *taken)
+    new = rows.where("action = 'insert'").select(F.col("plan_id").alias("id"), *taken)
     stamps = {"created_at": F.lit(now), "updated_at": F.lit(now)}
     absent = {c: F.lit(None).cast(plans.schema[c].dataType) for c in plans.columns if c not in new.columns}
     plans = plans.unionByName(new.withColumns(absent | stamps).select(*(F.col(c).cast(plans.schema[c].dataType) for c in plans.columns)))
-    changed = rows.where("outcome = 'updated'").drop("id").withColumn("id", F.col("plan_id"))
-    filling = changed if preserve else changed.where(~F.col("known"))
-    plans = fill(plans, fold_fills(filling, "id", "pos", [c for c in taken if c not in NEVER_FILLED]), now)
-    if not preserve:
-        last = changed.where("known").withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.col("pos").desc()))).where("_n = 1")
-        plans = overwrite(plans, last.select("id", *taken), now)
-    plans = reactivate(plans, rows.where((F.col("outcome") == "skipped") & (F.col("status") == "active")).select(F.col("plan_id").alias("id")), now)
-    slugs = rows.where("outcome <> 'skipped'").select("plan_id", F.explode("category_slugs").alias("slug"))
+    changed = rows.where("action IN ('overwrite', 'fill')").drop("id").withColumn("id", F.col("plan_id"))
+    plans = fill(plans, fold_updates(changed, taken), now)
+    plans = reactivate(plans, rows.where((F.col("action") == "touch") & (F.col("status") == "active")).select(F.col("plan_id").alias("id")), now)
+    slugs = rows.where("action <> 'touch'").select("plan_id", F.explode("category_slugs").alias("slug"))
     return state | {
         "plans": plans,
         "plan_sources": merge_provenance(state["plan_sources"], rows, source_id, now),
@@ -133,10 +137,21 @@ def apply_batch(state: dict[str, DataFrame], rows: DataFrame, source_id: int, no
     }
 
 
+#: Columns of provenance that a record brings along, if its source has them.
+BROUGHT = ("source_url", "source_created_at", "source_updated_at")
+
+
 def merge_provenance(provenance: DataFrame, rows: DataFrame, source_id: int, now: str) -> DataFrame:
-    """Provenance after a batch of ``upsert_outcomes``: new links, new payloads, and last-seen times of all."""
+    """Provenance after a batch of ``upsert_outcomes``: new links, what changed payloads bring, and last-seen times of all.
+
+    A link with an equal payload takes over the source's time of update only.
+    """
+    brought = [c for c in BROUGHT if c in rows.columns]
     last = rows.withColumn("_r", F.row_number().over(Window.partitionBy("record_id").orderBy(F.col("pos").desc()))).where("_r = 1")
-    new = last.select(F.col("record_id").alias("source_record_id"), F.lit(source_id).cast("long").alias("source_id"), F.col("plan_id").alias("_plan"), F.col("payload").alias("_payload"), "pos", F.lit(True).alias("_hit"))
+    new = last.select(
+        F.col("record_id").alias("source_record_id"), F.lit(source_id).cast("long").alias("source_id"), F.col("plan_id").alias("_plan"), F.col("payload").alias("_payload"), "pos", F.lit(True).alias("_hit"),
+        *(F.col(c).cast("string").alias(f"_{c}") for c in brought),
+    )
     both = provenance.join(new.drop("pos"), ["source_id", "source_record_id"], "left")
     hit = F.coalesce("_hit", F.lit(False))
     changed = hit & ~F.col("_payload").eqNullSafe(F.col("source_payload_json"))
@@ -146,9 +161,10 @@ def merge_provenance(provenance: DataFrame, rows: DataFrame, source_id: int, now
             "source_payload_json": F.when(changed, F.col("_payload")).otherwise(F.col("source_payload_json")),
             "last_seen_at": F.when(hit, F.lit(now)).otherwise(F.col("last_seen_at")),
         }
+        | {c: F.when(hit if c == "source_updated_at" else changed, F.col(f"_{c}")).otherwise(F.col(c)) for c in brought}
     ).select(*provenance.columns)
     fresh = new.join(provenance.select("source_id", "source_record_id"), ["source_id", "source_record_id"], "left_anti")
-    fresh = numbered(fresh, provenance, "pos").withColumns({"plan_id": F.col("_plan"), "source_payload_json": F.col("_payload"), "imported_at": F.lit(now), "last_seen_at": F.lit(now)})
+    fresh = numbered(fresh, provenance, "pos").withColumns({"plan_id": F.col("_plan"), "source_payload_json": F.col("_payload"), "imported_at": F.lit(now), "last_seen_at": F.lit(now)} | {c: F.col(f"_{c}") for c in brought})
     missing = [c for c in provenance.columns if c not in fresh.columns]
     fresh = fresh.withColumns({c: F.lit(None).cast(provenance.schema[c].dataType) for c in missing}) if missing else fresh
     return kept.unionByName(fresh.select(*provenance.columns))
@@ -199,9 +215,9 @@ def purge_old(state: dict[str, DataFrame], now: datetime, retention_days: int =
 
 
 def reconciliation_candidates(provenance: DataFrame, plans: DataFrame, source_id: int, today: str, last: str) -> DataFrame:
-    """Links of the source to active plans that overlap today to the last day."""
+    """Links of the source to plans, active or not, that overlap today to the last day."""
     end = F.coalesce("end_date", "start_date")
-    live = plans.where((F.col("status") == "active") & (end >= today) & (F.col("start_date") <= last)).select(F.col("id").alias("plan_id"))
+    live = plans.where((end >= today) & (F.col("start_date") <= last)).select(F.col("id").alias("plan_id"))
     return provenance.where(F.col("source_id") == source_id).join(live, "plan_id", "left_semi")
 
 
@@ -328,20 +344,11 @@ def cache_evictions(files: DataFrame, now: str, ttl_hours: int, max_bytes: int,
     old = F.to_timestamp("fetched_at") < F.to_timestamp(F.lit(now)) - F.expr(f"INTERVAL {ttl_hours} HOURS")
     state = F.when(F.col("_valid").isNull(), "orphan").when(old, "expired")
     rows = known.select("image_id", "size", "fetched_at", state.alias("gone"))
-    kept = _running_sum(rows.where("gone is null"), "size", [F.col("fetched_at").desc(), F.col("image_id").desc()], "newer")
+    kept = running_sum(rows.where("gone is null"), "size", [F.col("fetched_at").desc(), F.col("image_id").desc()], "newer")
     kept = kept.withColumn("action", F.when(F.col("newer") > max_bytes, "evicted").otherwise("kept"))
     return kept.select("image_id", "size", "fetched_at", "action").union(rows.where("gone is not null").select("image_id", "size", "fetched_at", F.col("gone").alias("action")))
 
 
-def _running_sum(rows: DataFrame, value: str, order: list[Column], name: str) -> DataFrame:
-    """``rows`` with the sum of ``value`` up to each row: within range partitions, plus the sums of those before."""
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    ordered = ordered.withColumn("_own", F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    sums = ordered.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    before = sums.withColumn("_before", F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).select("_part", "_before")
-    return ordered.join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
-
-
 def cache_summary(actions: DataFrame) -> DataFrame:
     """One row of what ``cache_evictions`` did: orphaned, expired, evicted, and the bytes that stay."""
     is_ = lambda x: F.count_if(F.col("action") == x)

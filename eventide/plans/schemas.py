@@ -26,7 +26,7 @@ IMAGES = (
     "id long, plan_source_id long, role string, url string, ratio string, width int, height int, is_fallback int, attribution string, "
     "last_seen_at string, created_at string, updated_at string"
 )
-RUNS = "id long, source_id long, started_at string, finished_at string, status string, fetched long, inserted long, updated long, skipped long, invalid long, errors long, invalid_details string"
+RUNS = "id long, source_id long, started_at string, finished_at string, status string, fetched long, inserted long, updated long, skipped long, invalid long, errors long, invalid_details string, error_message string"
 
 TABLES = {"plans": PLANS, "plan_sources": PLAN_SOURCES, "sources": SOURCES, "categories": CATEGORIES, "plan_categories": PLAN_CATEGORIES, "images": IMAGES, "import_runs": RUNS}
 
@@ -35,16 +35,6 @@ AGENDA_FIELDS = (
     "codi_postal espai latitud longitud entrades gratuita permanent destacada urlactivitat enllac1_url url linkbotoentrades data_creacio imatges destacada_imatge imgapp descripcio_html"
 ).split()
 AGENDA = ", ".join(f"{f} string" for f in AGENDA_FIELDS)
-VENUE = (
-    "struct<venueId: string, venueName: string, name: string, countryCode: string, venueCountryCode: string, state: string, stateName: string, venueState: string, city: string, "
-    "cityName: string, venueCity: string, postalCode: string, venuePostalCode: string, venueZipCode: string, address: string, addressLine1: string, venueStreet: string, "
-    "latitude: double, lat: double, venueLatitude: double, longitude: double, lon: double, lng: double, venueLongitude: double>"
-)
-FEED = (
-    "eventId string, eventName string, source string, brandName string, officialSeller boolean, eventStartLocalDate string, eventEndLocalDate string, eventStartLocalTime string, "
-    f"primaryEventUrl string, segmentName string, eventInfo string, eventStatus string, countryCode string, venue {VENUE}"
-)
-
 # All categories with their names, group and icon.
 CATEGORY_ROWS = [
     ("festes", "Festes", "Fiestas", "cultura", "party-popper"),

@@ -384,7 +384,8 @@ def payload_identity(spark, sf_dir):
 
 # ---- feed ------------------------------------------------------------------------------------
 
-BUCKET = "CASE WHEN source IN ('trium', 'mfx-es') AND official_seller THEN 'accepted' WHEN source = 'universe' THEN 'universe' WHEN source = 'mfx-external' THEN 'mfx-external' ELSE 'other' END"
+BRAND = "Box"
+BUCKET = "CASE WHEN source IN ('trium', 'mfx-es') AND official_seller AND coalesce(brand_name = 'Box', false) THEN 'accepted' WHEN source = 'universe' THEN 'universe' WHEN source = 'mfx-external' THEN 'mfx-external' ELSE 'other' END"
 HORIZON = "CASE WHEN end_date < start_date THEN 'invalid' WHEN end_date >= '2024-01-05' AND start_date <= '2024-01-25' THEN 'accepted' ELSE 'out' END"
 PLACE = f"CASE WHEN {k('state')} IN ('girona', 'gerona') OR substr(postal_code, 1, 2) = '17' THEN 'Girona' END"
 CONFIRMED = f"upper(country) = 'ES' AND ({PLACE}) IS NOT NULL AND coalesce(latitude, 0) BETWEEN 40.45 AND 42.95 AND longitude BETWEEN 0 AND 3.45"
@@ -394,13 +395,13 @@ REASON = f"""CASE WHEN {BUCKET} <> 'accepted' THEN 'source:' || {BUCKET} WHEN {H
 
 @query(f"SELECT coalesce({REASON}, 'kept') AS reason, count(*) AS n FROM feed GROUP BY 1", "feed")
 def feed_funnel(r):
-    return feeds.funnel_counts(feeds.funnel(r("feed"), "2024-01-05", "2024-01-25", ["17", "1234"]))
+    return feeds.funnel_counts(feeds.funnel(r("feed"), "2024-01-05", "2024-01-25", feeds.Policy(BRAND, denied=("17", "1234"))))
 
 
 @query(f"SELECT event_id, {BUCKET} AS bucket, {HORIZON} AS horizon, CAST({CONFIRMED} AS INT) AS confirmed, {PLACE} AS province FROM feed", "feed")
 def feed_policies(r):
     place = feeds.territory(F.col("country"), F.col("state"), F.col("postal_code"), F.col("latitude"), F.col("longitude"))
-    return r("feed").withColumn("p", place).select("event_id", feeds.source_bucket().alias("bucket"), feeds.horizon_class("2024-01-05", "2024-01-25").alias("horizon"), F.col("p.confirmed").cast("int").alias("confirmed"), "p.province")
+    return r("feed").withColumn("p", place).select("event_id", feeds.source_bucket(feeds.Policy(BRAND)).alias("bucket"), feeds.horizon_class("2024-01-05", "2024-01-25").alias("horizon"), F.col("p.confirmed").cast("int").alias("confirmed"), "p.province")
 
 
 KEYS = f"{tk('title')} AS title_k, coalesce(nullif(venue_id, ''), {k('venue_name')}) AS venue_k, {k('municipality')} AS place_k"
@@ -446,12 +447,12 @@ def product_variants(r):
 def cross_source_match(r):
     plans = r("plans")
     rows = feeds.cross_source_matches(plans.where("id % 2 = 0"), plans.where("id % 2 = 1"))
-    return rows.select("id", "confirmed", F.size("possible").cast("long").alias("possible"))
+    return rows.select("id", "confirmed", F.col("n_possible").alias("possible"))
 
 
 # ---- state -----------------------------------------------------------------------------------
 
-LIVE = f"SELECT ps.* FROM plan_sources ps JOIN plans p ON p.id = ps.plan_id WHERE ps.source_id = 7 AND p.status = 'active' AND {END} >= '{TODAY}' AND start_date <= '{LAST}'"
+LIVE = f"SELECT ps.* FROM plan_sources ps JOIN plans p ON p.id = ps.plan_id WHERE ps.source_id = 7 AND {END} >= '{TODAY}' AND start_date <= '{LAST}'"
 
 
 def _candidates(r) -> DataFrame:

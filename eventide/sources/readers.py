@@ -7,10 +7,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import ArrayType, StructType
 
 from ..functions.text import first_nonempty
-from ..plans.schemas import AGENDA, AGENDA_FIELDS, FEED, TABLES
+from ..plans.schemas import AGENDA, AGENDA_FIELDS, TABLES
 
 PAGE_SIZE = 1000
 MAX_COMPRESSED, MAX_INFLATED = 25 << 20, 150 << 20
@@ -54,37 +53,46 @@ def _inflated(batches):
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """A complete feed, JSON or gzip by its first bytes: an array or an object with ``events``.
+    """A complete feed, JSON or gzip by its first bytes: an array or an object with ``events``; see ``flatten_feed``.
 
     Too large files, packed or unpacked, and empty or foreign members fail the read.
     """
     text = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_inflated, "value string, large boolean")
     if text.where("large").head(1):
         raise ValueError("the feed is too large")
-    text = text.select("value")
-    member = F.from_json(F.when(F.col("value").startswith("["), F.col("value")).otherwise(F.get_json_object("value", "$.events")), _feed_array(), {"mode": "FAILFAST"})
-    events = text.select(member.alias("events")).select(F.posexplode("events").alias("pos", "e"))
-    if not events.head(1) or events.where("e is null").head(1):
+    members = F.when(F.col("value").startswith("["), F.col("value")).otherwise(F.get_json_object("value", "$.events"))
+    events = text.select(F.from_json(members, "array<variant>", {"mode": "FAILFAST"}).alias("events")).select(F.posexplode("events").alias("pos", "record"))
+    foreign = ~F.coalesce(F.to_json("record").startswith("{"), F.lit(False))
+    if not events.head(1) or events.where(foreign).head(1):
         raise ValueError("the feed is empty or has members that are no events")
-    return flatten_feed(events.select("pos", "e.*"))
+    return flatten_feed(events)
 
 
-def _feed_array() -> ArrayType:
-    return ArrayType(StructType.fromDDL(FEED))
+# The fields of a record that tell its classification.
+CLASSES = ("classificationSegment", "classificationGenre", "classificationSubGenre", "classificationType", "classificationSubType", "segmentName", "genreName", "subGenreName", "classification")
 
 
 def flatten_feed(records: DataFrame) -> DataFrame:
-    """Feed records with the first defined of each field's aliases, under the names that the feed operators use."""
-    v = lambda *names: F.coalesce(*(F.col(f"venue.{n}") for n in names))
-    c = F.col
+    """(pos, record), records being variants, with the first defined of each field's aliases under the names that the feed operators use.
+
+    A record keeps all that it has; fields of other kinds than expected are read as text, or are null; coordinates that are no numbers are not-a-number.
+    """
+    get = lambda name, kind="string": F.try_variant_get("record", f"$.{name}", kind)
+    first = lambda *names: F.coalesce(*(get(n) for n in names))
+    venue = lambda *names: first(*(f"venue.{n}" for n in names))
+    #: Only what is a string in the record counts as text there.
+    string = lambda name: F.when(F.to_json(get(name, "variant")).startswith('"'), get(name))
+    members = lambda name: F.coalesce(F.array_join(F.map_values(get(name, "map<string, string>")), " "), F.array_join(get(name, "array<string>"), " "), get(name))
+    number = lambda c: F.when(F.trim(c) != "", F.coalesce(F.trim(c).try_cast("double"), F.lit(float("nan"))))
+    country = first_nonempty(venue("countryCode", "venueCountryCode"), get("countryCode"))
     return records.select(
-        "pos", c("eventId").alias("event_id"), c("eventName").alias("title"), "source", c("brandName").alias("brand_name"), c("officialSeller").alias("official_seller"),
-        c("eventStartLocalDate").alias("start_date"), F.coalesce("eventEndLocalDate", "eventStartLocalDate").alias("end_date"), c("eventStartLocalTime").alias("start_time"),
-        c("primaryEventUrl").alias("url"), c("segmentName").alias("segment"), c("eventInfo").alias("info"), c("eventStatus").alias("event_status"),
-        v("venueId").alias("venue_id"), v("venueName", "name").alias("venue_name"), F.coalesce(v("countryCode", "venueCountryCode"), c("countryCode")).alias("country"),
-        v("state", "stateName", "venueState").alias("state"), v("city", "cityName", "venueCity").alias("municipality"),
-        v("postalCode", "venuePostalCode", "venueZipCode").alias("postal_code"), v("address", "addressLine1", "venueStreet").alias("address"),
-        v("latitude", "lat", "venueLatitude").alias("latitude"), v("longitude", "lon", "lng", "venueLongitude").alias("longitude"),
+        "pos", "record", get("eventId").alias("event_id"), get("eventName").alias("title"), get("source").alias("source"), get("brandName").alias("brand_name"),
+        (F.to_json(get("officialSeller", "variant")) == "true").alias("official_seller"), get("eventStartLocalDate").alias("start_date"), first("eventEndLocalDate", "eventStartLocalDate").alias("end_date"),
+        get("eventStartLocalTime").alias("start_time"), get("primaryEventUrl").alias("url"), F.concat_ws(" ", *(members(n) for n in CLASSES)).alias("classes"), string("eventInfo").alias("info"),
+        first_nonempty(string("priceRange"), string("priceRanges")).alias("price"), get("eventStatus").alias("event_status"), venue("venueId").alias("venue_id"), venue("venueName", "name").alias("venue_name"),
+        country.alias("country"), venue("state", "stateName", "venueState", "venueStateCode", "province").alias("state"), venue("city", "cityName", "venueCity").alias("municipality"),
+        venue("postalCode", "venuePostalCode", "venueZipCode").alias("postal_code"), F.coalesce(get("venue.address.line1"), string("venue.address"), venue("addressLine1", "venueStreet")).alias("address"),
+        number(venue("latitude", "lat", "venueLatitude")).alias("latitude"), number(venue("longitude", "lon", "lng", "venueLongitude")).alias("longitude"),
     )
 
 

@@ -101,7 +101,7 @@ JOIN (SELECT 0 AS k, 'card' AS role UNION ALL SELECT 1 AS k, 'detail' AS role) r
 SELECT event_id AS pos, CAST(event_id AS STRING) AS event_id,
   CASE WHEN event_id % 50 = 7 THEN concat(event_type, ' | Paquetes VIP') WHEN event_id % 50 = 9 THEN concat('Upgrade ', event_type) ELSE concat('El ', event_type) END AS title,
   CASE WHEN event_id % 6 = 0 THEN 'universe' WHEN event_id % 6 = 1 THEN 'mfx-external' WHEN event_id % 31 = 0 THEN 'else' WHEN event_id % 2 = 0 THEN 'trium' ELSE 'mfx-es' END AS source,
-  event_id % 17 <> 0 AS official_seller,
+  event_id % 17 <> 0 AS official_seller, CASE WHEN event_id % 23 = 0 THEN 'Other' WHEN event_id % 29 <> 0 THEN 'Box' END AS brand_name,
   CASE WHEN event_id % 4 = 0 THEN CAST(CASE WHEN user_id % 10 < 4 THEN user_id % 10 ELSE user_id END AS STRING) ELSE '' END AS venue_id,
   concat('Sala ', CAST(CASE WHEN user_id % 10 < 4 THEN user_id % 10 ELSE user_id END AS STRING)) AS venue_name,
   'Girona' AS municipality, CASE WHEN event_id % 8 = 3 THEN 'Gerona' WHEN event_id % 8 = 5 THEN 'Elsewhere' ELSE 'Girona' END AS state,
