@@ -5,6 +5,9 @@ from __future__ import annotations
 from datetime import date, datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 ZONE = ZoneInfo("Europe/Madrid")
 
 
@@ -45,3 +48,31 @@ def quick_range(kind: str, today: date) -> tuple[str, str]:
     else:
         raise ValueError(f"unknown range: {kind}")
     return tuple((today + timedelta(d)).isoformat() for d in days)
+
+
+# ---- the same of a column of instants or days ------------------------------------------------
+
+
+def local_day(at: Column) -> Column:
+    """The local date of an instant (a timestamp in a session in UTC)."""
+    return F.to_date(F.from_utc_timestamp(at, ZONE.key))
+
+
+def retention_day(at: Column, days: int = 0) -> Column:
+    return F.date_format(F.date_sub(local_day(at), days), "yyyy-MM-dd")
+
+
+def horizon_days(at: Column, days: int = 90) -> tuple[Column, Column]:
+    today = local_day(at)
+    return F.date_format(today, "yyyy-MM-dd"), F.date_format(F.date_add(today, days), "yyyy-MM-dd")
+
+
+def inactive_instant(at: Column, days: int = 7) -> Column:
+    return F.date_format(at - F.expr(f"INTERVAL {24 * days} HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def quick_days(kind: str, today: Column) -> tuple[Column, Column]:
+    """``quick_range`` of a column of dates."""
+    to_sunday = 6 - F.weekday(today)
+    days = {"today": (F.lit(0), F.lit(0)), "tomorrow": (F.lit(1), F.lit(1)), "next7": (F.lit(0), F.lit(6)), "weekend": (F.greatest(F.lit(0), to_sunday - 2), to_sunday)}
+    return tuple(F.date_format(F.date_add(today, d), "yyyy-MM-dd") for d in days[kind])

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.session import settled
 
 
-def numbered(rows: DataFrame, existing: DataFrame, by: str) -> DataFrame:
-    """``rows`` with dense ``id`` after the largest existing one, in order of ``by``.
+def numbered(rows: DataFrame, existing: DataFrame | int, by: str) -> DataFrame:
+    """``rows`` with dense ``id`` after the largest existing one (or after a number), in order of ``by``.
 
     Ranks come from range partitions and their sizes, so no task sorts all rows.
     """
@@ -17,7 +17,7 @@ def numbered(rows: DataFrame, existing: DataFrame, by: str) -> DataFrame:
     ordered = ordered.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(by)))
     sizes = ordered.groupBy("_part").agg(F.count("*").alias("_size"))
     before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).select("_part", "_before")
-    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    top = rows.sparkSession.range(1).select(F.lit(existing).alias("_top")) if isinstance(existing, int) else existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     return ordered.join(F.broadcast(before), "_part").crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_before") + F.col("_n")).drop("_part", "_n", "_before", "_top")
 
 

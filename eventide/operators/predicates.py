@@ -137,8 +137,17 @@ def media_url(host: str) -> Column:
     return F.coalesce((F.lower(part("PROTOCOL")) == "https") & (F.lower(part("HOST")) == host) & part("USERINFO").isNull(), F.lit(False))
 
 
-def combobox(query: str, aliases: dict[str, str] | None = None) -> Column:
-    """The folded query stands in municipality, comarca and province, joined; aliases rename a whole query."""
+def place_text() -> Column:
+    """Municipality, comarca and province, joined and folded."""
+    return F.trim(fold(F.concat_ws(" ", "municipality", "comarca", "province")))
+
+
+def place_query(query: str, aliases: dict[str, str] | None = None) -> str:
+    """A folded query for ``place_text``; aliases rename a whole query."""
     wanted = python_key(query).replace("-", " ")
-    wanted = (aliases or {}).get(wanted, wanted)
-    return F.trim(fold(F.concat_ws(" ", "municipality", "comarca", "province"))).contains(wanted)
+    return (aliases or {}).get(wanted, wanted)
+
+
+def combobox(query: str, aliases: dict[str, str] | None = None) -> Column:
+    """The folded query stands in municipality, comarca and province, joined."""
+    return place_text().contains(place_query(query, aliases))

@@ -5,13 +5,18 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from datetime import date, datetime
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.session import settled
 from ..functions.text import first_nonempty, nocase, xml_escape
 from . import predicates as P
 
+if TYPE_CHECKING:
+    from ..sources.search_index import SearchIndex
+
 #: Rows of a page (a few hundred at most by ``Filters``) are small enough to send everywhere.
 MAX_LIMIT, MAX_PAGE = 100, 200
 SORTS = ("date", "quality", "title")
@@ -118,10 +123,15 @@ def localized(lang: str) -> dict[str, Column]:
     }
 
 
-def matching(plans: DataFrame, filters: Filters, now: datetime, links: DataFrame | None = None, categories: DataFrame | None = None, retention_days: int = 0) -> DataFrame:
-    """Visible plans that pass the filters.  ``links`` and ``categories`` are only read for a category filter."""
+def matching(plans: DataFrame, filters: Filters, now: datetime, links: DataFrame | None = None, categories: DataFrame | None = None, retention_days: int = 0, index: SearchIndex | None = None) -> DataFrame:
+    """Visible plans that pass the filters.  ``links`` and ``categories`` are only read for a category filter.
+
+    With the ``index`` of a snapshot, a text query reads its postings instead of the plans' texts.
+    """
     where = P.visible(now, retention_days)
-    if filters.q is not None:
+    if filters.q is not None and index is not None:
+        plans = plans.join(index.search(filters.q), "id", "left_semi")
+    elif filters.q is not None:
         where = where & P.text_search(filters.q)
     for name in ("municipality", "comarca"):
         if getattr(filters, name) is not None:
@@ -199,18 +209,18 @@ def envelope(found: DataFrame, filters: Filters) -> DataFrame:
 def category_lists(rows: DataFrame, links: DataFrame, categories: DataFrame, lang: str = "ca") -> DataFrame:
     """``rows`` with ``categories``: structs by slug, an empty array if there are none."""
     other = "ca" if lang == "es" else "es"
-    named = categories.select(F.col("id").alias("category_id"), "slug", first_nonempty(F.col(f"name_{lang}"), F.col(f"name_{other}")).alias("name"), "group_name", "icon")
+    named = categories.select(F.col("id").alias("category_id"), "slug", first_nonempty(F.col(f"name_{lang}"), F.col(f"name_{other}")).alias("name"), "name_ca", "name_es", "group_name", "icon")
     mine = links.join(rows.select(F.col("id").alias("plan_id")), "plan_id", "left_semi").join(named, "category_id")
-    lists = mine.groupBy(F.col("plan_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("slug", "name", "group_name", "icon"))).alias("categories"))
+    lists = mine.groupBy(F.col("plan_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("slug", "name", "name_ca", "name_es", "group_name", "icon"))).alias("categories"))
     empty = F.array().cast(lists.schema["categories"].dataType)
     return rows.join(lists, "id", "left").withColumn("categories", F.coalesce("categories", empty))
 
 
 def source_lists(rows: DataFrame, provenance: DataFrame, sources: DataFrame) -> DataFrame:
     """``rows`` with ``sources``: by name, latest update and latest import first."""
-    mine = provenance.join(rows.select(F.col("id").alias("plan_id")), "plan_id", "left_semi").join(sources.select(F.col("id").alias("source_id"), "key", "name", "publisher", "attribution_text"), "source_id")
+    mine = provenance.join(rows.select(F.col("id").alias("plan_id")), "plan_id", "left_semi").join(sources.select(F.col("id").alias("source_id"), "key", "name", "publisher", "attribution_text", "license_name", "license_url"), "source_id")
     rank = F.row_number().over(Window.partitionBy("plan_id").orderBy("name", F.col("source_updated_at").desc(), F.col("imported_at").desc(), "id"))
-    one = F.struct(rank.alias("n"), "key", "name", "publisher", "attribution_text", "source_url", "source_updated_at", "imported_at")
+    one = F.struct(rank.alias("n"), "key", "name", "publisher", "attribution_text", "license_name", "license_url", "source_url", "source_updated_at", "imported_at")
     lists = mine.select("plan_id", one.alias("s")).groupBy(F.col("plan_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s.dropFields("n")).alias("sources"))
     return rows.join(lists, "id", "left")
 
@@ -246,6 +256,42 @@ def detail(plans: DataFrame, plan_id: int, now: datetime, lang: str = "ca", rete
     return public(row.withColumns(localized(lang))).drop("fingerprint", "is_free", "family_friendly")
 
 
+State = dict[str, DataFrame]
+
+
+def _around(rows: DataFrame, st: State) -> State:
+    """What hangs on a page's plans; the page has MAX_LIMIT rows at most, so its ids go to all tasks."""
+    ids = F.broadcast(rows.select(F.col("id").alias("plan_id")))
+    return st | {"plan_categories": st["plan_categories"].join(ids, "plan_id", "left_semi"), "plan_sources": st["plan_sources"].join(ids, "plan_id", "left_semi")}
+
+
+def _image(rows: DataFrame, st: State, role: str, controlled: str, enabled: bool) -> DataFrame:
+    links = F.broadcast(st["plan_sources"].select(F.col("id").alias("plan_source_id")))
+    images = st["images"].join(links, "plan_source_id", "left_semi")
+    return with_images(rows, best_images(images, st["plan_sources"], st["sources"], role, controlled), enabled)
+
+
+def listing(st: State, filters: Filters, now: datetime, controlled: str, images: bool = True, retention_days: int = 0, index: SearchIndex | None = None) -> tuple[DataFrame, DataFrame]:
+    """A list as a reader gets it: the page's plans in order with categories and card image, and the envelope.
+
+    The page is cut first; categories and images are then looked up for its plans alone.
+    """
+    found = matching(st["plans"], filters, now, st["plan_categories"], st["categories"], retention_days, index)
+    rows = settled(page(found, filters))
+    near = _around(rows, st)
+    rows = category_lists(rows, near["plan_categories"], st["categories"], filters.lang)
+    return _image(rows, near, "card", controlled, images).orderBy("rank"), envelope(found, filters)
+
+
+def detailed(st: State, plan_id: int, now: datetime, controlled: str, lang: str = "ca", images: bool = True, retention_days: int = 0) -> DataFrame:
+    """A plan as a reader gets it: with categories, sources and detail image; no row if it may not be seen."""
+    row = settled(detail(st["plans"], plan_id, now, lang, retention_days))
+    near = _around(row, st)
+    row = category_lists(row, near["plan_categories"], st["categories"], lang)
+    row = source_lists(row, near["plan_sources"], st["sources"])
+    return _image(row, near, "detail", controlled, images)
+
+
 def provinces(shown: DataFrame) -> DataFrame:
     return shown.where(F.trim("province") != "").select("province").distinct().orderBy(nocase(F.col("province")), "province")
 

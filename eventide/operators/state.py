@@ -20,13 +20,13 @@ from .ordering import carried, numbered, running_sum
 NEVER_FILLED = ("id", "fingerprint", "quality_score", "status", "inactive_at", "created_at", "updated_at")
 
 
-def upsert_outcomes(incoming: DataFrame, provenance: DataFrame, plans: DataFrame, source_id: int) -> DataFrame:
+def upsert_outcomes(incoming: DataFrame, provenance: DataFrame, plans: DataFrame, source_id: int, top: int | None = None) -> DataFrame:
     """``incoming`` (pos, record_id, fingerprint, payload, optionally target_id and group_id) with plan_id, outcome and action.
 
     skipped: known with equal payload; updated: known with another payload, or new but attached to
     a plan: to ``target_id``, to one with this fingerprint of the catalogue, or of an earlier record of the
-    batch; inserted: the rest.  New plans get the ids after the largest, in order of arrival.  Of a record_id that comes
-    twice, later rows meet what the earlier left.
+    batch; inserted: the rest.  New plans get the ids after the largest (or after ``top``, where ``plans`` are but some of
+    all), in order of arrival.  Of a record_id that comes twice, later rows meet what the earlier left.
 
     Records with one ``group_id``, the pos of the first of them, describe one plan; their record_ids are distinct.
     The first decides as above; a later one that is not known goes to the plan of the one before it.
@@ -46,7 +46,7 @@ def upsert_outcomes(incoming: DataFrame, provenance: DataFrame, plans: DataFrame
     if grouped:
         rows = settled(rows)
     fresh = rows.where("attached IS NULL AND leads AND turn = 1").groupBy("fingerprint").agg(F.min("pos").alias("pos"))
-    ids = numbered(fresh, plans, "pos").select("fingerprint", F.col("id").alias("new_plan"), F.col("pos").alias("opened"))
+    ids = numbered(fresh, plans if top is None else top, "pos").select("fingerprint", F.col("id").alias("new_plan"), F.col("pos").alias("opened"))
     rows = rows.join(ids, "fingerprint", "left").withColumn("opens", F.col("attached").isNull() & F.coalesce(F.col("pos") == F.col("opened"), F.lit(False)))
     rows = rows.withColumn("plan_id", F.coalesce("attached", F.when(F.col("leads"), F.col("new_plan"))))
     if grouped:
@@ -115,10 +115,11 @@ def reactivate(plans: DataFrame, seen: DataFrame, now: str) -> DataFrame:
     ).select(*plans.columns)
 
 
-def apply_batch(state: dict[str, DataFrame], rows: DataFrame, source_id: int, now: str) -> dict[str, DataFrame]:
+def apply_batch(state: dict[str, DataFrame], rows: DataFrame, source_id: int, now: str, top_link: int | None = None) -> dict[str, DataFrame]:
     """State after a batch: ``rows`` are those of ``upsert_outcomes`` with the columns of plans and ``category_slugs``.
 
     New plans come first; then each plan takes its overwrites and fills in order of arrival; plans of skipped active records become active.
+    ``top_link`` is the largest id of a link, where the state has but some of them.
     """
     plans = state["plans"]
     taken = [c for c in plans.columns if c in rows.columns and c != "id"]
@@ -132,7 +133,7 @@ def apply_batch(state: dict[str, DataFrame], rows: DataFrame, source_id: int, no
     slugs = rows.where("action <> 'touch'").select("plan_id", F.explode("category_slugs").alias("slug"))
     return state | {
         "plans": plans,
-        "plan_sources": merge_provenance(state["plan_sources"], rows, source_id, now),
+        "plan_sources": merge_provenance(state["plan_sources"], rows, source_id, now, top_link),
         "plan_categories": link_categories(state["plan_categories"], slugs, state["categories"]),
     }
 
@@ -141,7 +142,7 @@ def apply_batch(state: dict[str, DataFrame], rows: DataFrame, source_id: int, no
 BROUGHT = ("source_url", "source_created_at", "source_updated_at")
 
 
-def merge_provenance(provenance: DataFrame, rows: DataFrame, source_id: int, now: str) -> DataFrame:
+def merge_provenance(provenance: DataFrame, rows: DataFrame, source_id: int, now: str, top: int | None = None) -> DataFrame:
     """Provenance after a batch of ``upsert_outcomes``: new links, what changed payloads bring, and last-seen times of all.
 
     A link with an equal payload takes over the source's time of update only.
@@ -164,7 +165,7 @@ def merge_provenance(provenance: DataFrame, rows: DataFrame, source_id: int, now
         | {c: F.when(hit if c == "source_updated_at" else changed, F.col(f"_{c}")).otherwise(F.col(c)) for c in brought}
     ).select(*provenance.columns)
     fresh = new.join(provenance.select("source_id", "source_record_id"), ["source_id", "source_record_id"], "left_anti")
-    fresh = numbered(fresh, provenance, "pos").withColumns({"plan_id": F.col("_plan"), "source_payload_json": F.col("_payload"), "imported_at": F.lit(now), "last_seen_at": F.lit(now)} | {c: F.col(f"_{c}") for c in brought})
+    fresh = numbered(fresh, provenance if top is None else top, "pos").withColumns({"plan_id": F.col("_plan"), "source_payload_json": F.col("_payload"), "imported_at": F.lit(now), "last_seen_at": F.lit(now)} | {c: F.col(f"_{c}") for c in brought})
     missing = [c for c in provenance.columns if c not in fresh.columns]
     fresh = fresh.withColumns({c: F.lit(None).cast(provenance.schema[c].dataType) for c in missing}) if missing else fresh
     return kept.unionByName(fresh.select(*provenance.columns))

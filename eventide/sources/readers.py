@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringStartsWith,
+)
 
 from ..functions.text import first_nonempty
 from ..plans.schemas import AGENDA, AGENDA_FIELDS, TABLES
@@ -108,9 +111,23 @@ def read_catalogue(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in TABLES.items()}
 
 
-def fetched(url: str, tries: int, timeout: int, missing: object = None):
+class Patience:
+    """Seconds that waits may take together; what would go beyond fails."""
+
+    def __init__(self, seconds: float = float("inf")):
+        self.left = seconds
+
+    def wait(self, seconds: float) -> None:
+        import time
+
+        if seconds > self.left:
+            raise TimeoutError("the source asks for more patience than there is left")
+        self.left -= seconds
+        time.sleep(seconds)
+
+
+def fetched(url: str, tries: int, timeout: int, missing: object = None, patience: Patience | None = None):
     """The JSON at a URL; ``missing`` for 404.  429 waits as the answer says, ten seconds at most, and counts as a try."""
-    import time
     from urllib.error import HTTPError
     from urllib.request import urlopen
 
@@ -130,7 +147,7 @@ def fetched(url: str, tries: int, timeout: int, missing: object = None):
         except OSError:
             if turn + 1 == tries:
                 raise
-        time.sleep(wait)
+        (patience or Patience()).wait(wait)
     return missing
 
 
@@ -166,8 +183,59 @@ class _PagedReader(DataSourceReader):
             offset, more = offset + self.size, partition.last and len(records) == self.size
 
 
+#: Fields whose values compare as text at the endpoint too.
+_TEXTS = frozenset(AGENDA_FIELDS) - {"latitud", "longitud"}
+
+
+def _quoted(value: object) -> str:
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def soql(condition: Filter) -> str | None:
+    """A Spark predicate in the endpoint's language, null if it has no such form."""
+    if isinstance(condition, Not):
+        inner = soql(condition.child)
+        return inner and f"NOT ({inner})"
+    (name, *deeper), value = condition.attribute, getattr(condition, "value", None)
+    if deeper or name not in _TEXTS:
+        return None
+    signs = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+    if type(condition) in signs and isinstance(value, str):
+        return f"{name} {signs[type(condition)]} {_quoted(value)}"
+    if isinstance(condition, In) and condition.value and all(isinstance(v, str) for v in condition.value):
+        return f"{name} IN ({', '.join(map(_quoted, condition.value))})"
+    if isinstance(condition, StringStartsWith):
+        return f"starts_with({name}, {_quoted(value)})"
+    return {IsNull: f"{name} IS NULL", IsNotNull: f"{name} IS NOT NULL"}.get(type(condition))
+
+
+class _PushingReader(_PagedReader):
+    def pushFilters(self, filters):
+        """All that the endpoint can take narrows its ``$where``; Spark looks at every filter again, as texts may compare otherwise there."""
+        found = [c for c in map(soql, filters) if c]
+        self.where = " AND ".join(f"({c})" for c in [self.where, *found] if c)
+        yield from filters
+
+
+def current_where(cutoff: str) -> str:
+    """``current_agenda`` in the endpoint's language; Spark hands on no disjunctions, so it is given as an option."""
+    at = _quoted(f"{cutoff}T00:00:00.000")
+    return f"data_fi >= {at} OR (data_fi IS NULL AND data_inici >= {at}) OR permanent = 'Sí'"
+
+
+def agenda_pages(spark: SparkSession, url: str, cutoff: str | None = None, **options) -> DataFrame:
+    """The records at a paged endpoint, whose own filter gets what an import wants and what the query asks for besides."""
+    spark.dataSource.register(PagedAgenda)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    where = {"where": current_where(cutoff)} if cutoff else {}
+    return spark.read.format("paged_agenda").options(url=url, pushdown="true", **where, **options).load()
+
+
 class PagedAgenda(DataSource):
-    """A paged open-data endpoint, one partition for each page: options url, rows (as known), pageSize, order, where, metadata and dataset."""
+    """A paged open-data endpoint, one partition for each page: options url, rows (as known), pageSize, order, where, metadata and dataset.
+
+    With pushdown = true (which needs the session's setting for it, see ``agenda_pages``), filters go to the endpoint.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -177,38 +245,31 @@ class PagedAgenda(DataSource):
         return AGENDA
 
     def reader(self, schema) -> _PagedReader:
-        return _PagedReader(dict(self.options))
-
-
-class _Events(InputPartition):
-    def __init__(self, ids: list[str]):
-        self.ids = ids
+        options = dict(self.options)
+        return _PushingReader(options) if options.get("pushdown") == "true" else _PagedReader(options)
 
 
-class _ImagesReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.url, self.ids = options["url"], [i for i in options["ids"].split(",") if i]
-        self.chunk, self.tries = int(options.get("chunk", 50)), int(options.get("tries", 3))
+IMAGES = "event_id string, url string, ratio string, width int, height int, is_fallback int, attribution string"
 
-    def partitions(self):
-        return [_Events(self.ids[i : i + self.chunk]) for i in range(0, len(self.ids), self.chunk)]
 
-    def read(self, partition: _Events):
-        for event_id in partition.ids:
-            found = fetched(self.url.replace("{id}", event_id), self.tries, 15, {})
-            for i in found.get("images") or []:
-                yield (event_id, i.get("url"), i.get("ratio"), i.get("width"), i.get("height"), int(bool(i.get("fallback"))), i.get("attribution") or None)
+def event_images(due: DataFrame, url: str, partitions: int = 64, tries: int = 3, patience: float = 120.0) -> DataFrame:
+    """The image lists at ``url`` (with {id}) of the events in ``due`` (event_id): a table function over its partitions.
 
+    Unknown events have none.  The events of a partition are asked for one after another, and wait ``patience`` seconds
+    together at most; ids never pass the driver.
+    """
 
-class EventImages(DataSource):
-    """The image lists of events at an endpoint: options url (with {id}), ids (joined by commas), chunk, tries; unknown events have none."""
+    @F.udtf(returnType=IMAGES)
+    class Fetch:
+        def __init__(self):
+            self.patience = Patience(patience)
 
-    @classmethod
-    def name(cls) -> str:
-        return "event_images"
-
-    def schema(self) -> str:
-        return "event_id string, url string, ratio string, width int, height int, is_fallback int, attribution string"
+        def eval(self, row):
+            event_id = row["event_id"]
+            found = fetched(url.replace("{id}", quote(event_id, safe="")), tries, 15, {}, self.patience)
+            for i in (found if isinstance(found, list) else found.get("images") or []):
+                yield event_id, i.get("url"), i.get("ratio"), i.get("width"), i.get("height"), int(bool(i.get("fallback"))), i.get("attribution") or None
 
-    def reader(self, schema) -> _ImagesReader:
-        return _ImagesReader(dict(self.options))
+    ids = due.select(F.col("event_id").cast("string").alias("event_id")).where("event_id IS NOT NULL").distinct()
+    spread = ids.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(partitions)))
+    return Fetch(spread.asTable().partitionBy("part"))

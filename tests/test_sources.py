@@ -1,5 +1,7 @@
 import gzip
 import json
+import re
+import sqlite3
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
@@ -8,12 +10,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventide.config import Settings
-from eventide.operators import normalize, present, search, state
+from eventide.operators import normalize, predicates, present, search, state
 from eventide.plans import versions
 from eventide.plans.schemas import AGENDA_FIELDS, TABLES, seeded_categories
 from eventide.sources import readers, snapshot
+from eventide.sources.buckets import BucketStore
+from eventide.sources.sitemap import write_sitemap
 from eventide.streaming.ingest import stream_agenda
 
+from .test_catalogue import NOW, plans
+
 RECORD = {
     "codi": "1", "denominaci": "Concert d’estiu", "descripcio": "text", "data_inici": "2026-08-17T00:00", "municipi": "agenda:ubicacions/girona/baix-emporda/palafrugell",
     "gratuita": "Sí", "tags_categor_es": "agenda:categories/concerts,familiar", "latitud": "41.9", "longitud": "3.1", "urlactivitat": "ftp://x", "url": "https://a.example/", "imatges": "x",
@@ -58,9 +64,27 @@ def test_snapshot_swaps_at_once(spark, tmp_path):
 
 def test_sitemap_sink(spark, tmp_path):
     shown = spark.createDataFrame([(5, "event"), (6, "place")], "id long, kind string")
-    snapshot.write_sitemap(search.sitemap_entries(shown, "https://s.example"), str(tmp_path / "out"))
-    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    folder = tmp_path / "out"
+    write_sitemap(search.sitemap_entries(shown, "https://s.example"), f"file://{folder}")
+    text = "".join(p.read_text() for p in sorted(folder.glob("*.xml")))
     assert text.count("<url>") == 4 and text.index("<?xml") == 0 and text.rstrip().endswith("</urlset>")
+    assert [p.name for p in folder.glob("*.xml")] == ["sitemap.xml"]
+    many = spark.range(25, numPartitions=3).select(F.col("id").alias("position"), F.concat(F.lit("<url><loc>"), F.col("id").cast("string"), F.lit("</loc></url>")).alias("line"))
+    write_sitemap(many, f"file://{folder}", "https://s.example", most=10)
+    index = (folder / "sitemap.xml").read_text()
+    named = re.findall(r"https://s.example/(sitemap-[^<]+)", index)
+    shown = [int(i) for n in named for i in re.findall(r"<loc>(\d+)</loc>", (folder / n).read_text())]
+    assert "<sitemapindex" in index and shown == list(range(25)) and len(list(folder.glob("*.xml"))) == len(named) + 1
+
+
+def test_a_failed_sitemap_leaves_the_old_one(spark, tmp_path):
+    rows = spark.range(2000, numPartitions=4).select(F.col("id").alias("position"), F.lit("<url/>").alias("line"))
+    write_sitemap(rows, f"file://{tmp_path}")
+    before = {p.name: p.read_bytes() for p in tmp_path.glob("*.xml")}
+    broken = rows.withColumn("line", F.when(F.col("position") == 1990, F.raise_error(F.lit("killed"))).otherwise("<other/>"))
+    with pytest.raises(Exception, match="killed"):
+        write_sitemap(broken, f"file://{tmp_path}")
+    assert {p.name: p.read_bytes() for p in tmp_path.glob("*.xml")} == before
 
 
 def test_stream_of_files(spark, tmp_path):
@@ -72,8 +96,20 @@ def test_stream_of_files(spark, tmp_path):
     assert seen == ["1"]
 
 
+def answers(where: str, row: dict) -> bool:
+    """A row by a conjunction in the endpoint's language, evaluated by SQLite."""
+    if not where:
+        return True
+    names = sorted(set(re.findall(r"\b(codi|denominaci|data_fi|data_inici|permanent)\b", where)))
+    select = ", ".join(f":{n} AS {n}" for n in names) or "1"
+    db = sqlite3.connect(":memory:")
+    db.create_function("starts_with", 2, lambda a, b: a is not None and a.startswith(b))
+    return bool(db.execute(f"SELECT count(*) FROM (SELECT {select}) WHERE {where}", {n: None if row.get(n) is None else str(row[n]) for n in names}).fetchone()[0])
+
+
 class Endpoint(BaseHTTPRequestHandler):
     rows = 25
+    where = ""
     asked: dict = {}
 
     def do_GET(self):
@@ -88,13 +124,15 @@ class Endpoint(BaseHTTPRequestHandler):
             turn = Endpoint.asked[name] = Endpoint.asked.get(name, 0) + 1
             if name == "gone":
                 code = 404
-            elif name == "busy" and turn == 1:
-                code, headers = 429, {"retry-after": "0"}
+            elif name == "slow" or (name == "busy" and turn == 1):
+                code, headers = 429, {"retry-after": "0" if name == "busy" else "2"}
             body = {"images": [{"url": f"https://i/{name}", "ratio": "16_9", "width": 640, "height": 360}]}
         else:
             q = parse_qs(url.query)
             first, size = int(q["$offset"][0]), int(q["$limit"][0])
-            body = [{"codi": i, "denominaci": f"d{i}"} for i in range(first, min(Endpoint.rows, first + size))]
+            every = [{"codi": i, "denominaci": f"d{i:02}", "data_fi": f"2026-01-{i + 1:02}"} for i in range(Endpoint.rows)]
+            Endpoint.where = q.get("$where", [""])[0]
+            body = [r for r in every if answers(Endpoint.where, r)][first : first + size]
         raw = json.dumps(body).encode()
         self.send_response(code)
         for k, v in headers.items():
@@ -124,10 +162,69 @@ def test_paged_agenda_reads_all_pages_and_checks_the_metadata(spark, endpoint):
         read(metadata=f"{endpoint}/wrong", dataset="set").collect()
 
 
+def test_filters_go_to_the_endpoint(spark, endpoint):
+    read = lambda cutoff=None: readers.agenda_pages(spark, f"{endpoint}/rows", cutoff, pageSize=10)
+    rows = [(r["codi"], r["denominaci"], r["data_fi"]) for r in read().collect()]
+    asked = {
+        "denominaci >= 'd05' AND data_fi < '2026-01-20'": "(denominaci IS NOT NULL) AND (data_fi IS NOT NULL) AND (denominaci >= 'd05') AND (data_fi < '2026-01-20')",
+        "codi IN ('3', '7') AND denominaci LIKE 'd0%'": "(denominaci IS NOT NULL) AND (codi IN ('3', '7')) AND (starts_with(denominaci, 'd0'))",
+        "denominaci <> 'd''x' AND length(denominaci) > 2": "(denominaci IS NOT NULL) AND (NOT (denominaci = 'd''x'))",
+        "permanent IS NULL AND latitud IS NULL": "(permanent IS NULL)",
+    }
+    for condition, sent in asked.items():
+        got = [(r["codi"], r["denominaci"], r["data_fi"]) for r in read().where(condition).collect()]
+        want = [(r["codi"], r["denominaci"], r["data_fi"]) for r in spark.createDataFrame(rows, "codi string, denominaci string, data_fi string").withColumns({"permanent": F.lit(None).cast("string"), "latitud": F.lit(None).cast("string")}).where(condition).collect()]
+        assert sorted(got) == sorted(want) and sorted(Endpoint.where.split(" AND ")) == sorted(sent.split(" AND "))
+    assert len(read("2026-01-20").where("denominaci <> 'd24'").collect()) == 4 and Endpoint.where.startswith("(data_fi >= '2026-01-20T00:00:00.000' OR (data_fi IS NULL")
+
+
 def test_event_images_take_missing_events_and_busy_answers(spark, endpoint):
-    spark.dataSource.register(readers.EventImages)
-    rows = spark.read.format("event_images").options(url=f"{endpoint}/event/{{id}}", ids="a,gone,busy", chunk=2).load().collect()
+    due = spark.createDataFrame([("a",), ("gone",), ("busy",), ("a",), (None,)], "event_id string")
+    rows = readers.event_images(due, f"{endpoint}/event/{{id}}", partitions=2).collect()
     assert sorted((r["event_id"], r["url"], r["is_fallback"]) for r in rows) == [("a", "https://i/a", 0), ("busy", "https://i/busy", 0)]
+    with pytest.raises(Exception, match="patience"):
+        readers.event_images(due.where("event_id = 'a'").select(F.lit("slow").alias("event_id")), f"{endpoint}/event/{{id}}", patience=3).collect()
+
+
+def test_search_by_index_equals_the_scan(spark, tmp_path):
+    titles = ["Festa Major", "Concert de Jazz", "jazz", "El JAZZ-concert", "Fira", "", None, "ab", "Aplec a l'ermita", "Jazz\nnit"]
+    rows = [{"title_ca": t, "original_title": t, "venue_name": "Teatre Àgora" if i % 3 == 0 else None, "municipality": "Sant Cugat" if i % 2 else "Vic", "province": "Girona / Est"} for i, t in enumerate(titles)]
+    st = {n: spark.createDataFrame([], s) for n, s in TABLES.items()} | {"plans": plans(spark, *rows)}
+    snapshot.write_snapshot(spark, st, str(tmp_path), index=True)
+    index, stored = snapshot.read_index(spark, str(tmp_path)), snapshot.read_snapshot(spark, str(tmp_path))["plans"]
+    ids = lambda df: sorted(r["id"] for r in df.select("id").collect())
+    for q in ("jazz", "JÀZZ c", "a", "ab", "ra", "agora", "st", "zzz", "!", "major", "jazz nit", "t de j"):
+        assert ids(index.search(q)) == ids(stored.where(predicates.text_search(q)))
+        assert ids(search.matching(stored, search.Filters(q=q), NOW, index=index)) == ids(search.matching(stored, search.Filters(q=q), NOW))
+    for q in ("vic", "sant cugat", "na / e", "x", "GIRONA"):
+        assert ids(index.places(q)) == ids(stored.where(predicates.combobox(q)))
+    plan = index.candidates("text", "major")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and re.search(r"PushedFilters: \[In\(gram|PushedFilters: \[.*gram", plan)
+
+
+def test_an_upsert_leaves_other_buckets_alone(spark, tmp_path):
+    st = {n: spark.createDataFrame([], s) for n, s in TABLES.items()}
+    some = plans(spark, *({"title_ca": f"t{i}"} for i in range(40)))
+    link = "id long, plan_id long, source_id long, source_record_id string, source_payload_json string"
+    links = spark.createDataFrame([(i, i, 1, f"r{i}", "{}") for i in range(1, 41)], link)
+    st |= {"plans": some, "plan_sources": st["plan_sources"].unionByName(links, allowMissingColumns=True), "categories": seeded_categories(spark)}
+    store = BucketStore.create(spark, st, str(tmp_path), buckets=8)
+    files = lambda: {str(p): (p.stat().st_mtime_ns, p.stat().st_size) for p in tmp_path.rglob("*.parquet")}
+    before, paths = files(), {n: dict(p) for n, p in store.paths.items()}
+    plan = {"fingerprint": "new", "status": "active", "quality_score": 50, "original_title": "New"}
+    incoming = spark.createDataFrame([(1, "r7", "f7", '{"v":1}', "Changed", "active", 50, ["musica"]), (2, "r99", "new", "{}", "New", "active", 50, [])], "pos long, record_id string, fingerprint string, payload string, original_title string, status string, quality_score int, category_slugs array<string>")
+    new, outcomes = store.upsert(incoming, 1, "2026-08-17")
+    assert sorted((r["record_id"], r["outcome"], r["plan_id"]) for r in outcomes.collect()) == [("r7", "updated", 7), ("r99", "inserted", 41)]
+    assert all(files()[f] == at for f, at in before.items())
+    moved = {n: [b for b in new.paths[n] if new.paths[n][b] != paths[n].get(b)] for n in new.paths}
+    assert len(moved["plans"]) <= 2 and len(moved["plan_sources"]) <= 2 and len(moved["plan_categories"]) <= 1 and not moved["images"] and not moved["categories"]
+    full = state.apply_batch(st, state.upsert_outcomes(incoming, st["plan_sources"], st["plans"], 1), 1, "2026-08-17")
+    got = new.read()
+    for name in ("plans", "plan_sources", "plan_categories"):
+        assert sorted(map(str, got[name].collect())) == sorted(map(str, full[name].select(*got[name].columns).collect()))
+    assert plan and len(new.vacuum()) == 0
+    again = BucketStore.create(spark, got, str(tmp_path), buckets=8)
+    assert len(again.vacuum()) == 2 and again.read()["plans"].count() == 41
 
 
 def test_feed_is_sniffed_and_capped(spark, tmp_path, monkeypatch):
