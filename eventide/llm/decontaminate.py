@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import keep_rows, map_texts, table
+from .common import Scratch, dropped, keep_rows, map_texts, table, written
 from .license_scan import WORD_BYTES
 
 #: Characters of a q-gram; they fill one 64-bit number.
@@ -23,10 +25,12 @@ Q = 8
 WINDOW, STRIDE = 160, 80
 #: Edits for each character that a match may have.
 RATE = 0.1
-#: Bytes of benchmark text that one pass over the documents looks for at most.
-BLOCK_BYTES = 8 << 20
-#: log2 of the filter's bits.
-FILTER = 20
+#: Bytes of benchmark text in a block, of which a worker makes one index; that has about 40 bytes for each, and takes 230 while it is made.
+BLOCK_BYTES = 1 << 20
+#: Blocks that one pass over the documents looks for.
+PASS_BLOCKS = 4
+#: log2 of the filter's places: at least, and at most, where it has eight for each q-gram.
+FILTER, FILTER_MOST = 20, 25
 #: A q-gram that stands more often is left out where the bound can spare it; so many are always needed.
 FREQUENT, NEEDED = 256, 4
 #: A q-gram that more patterns have at the same place is counted for groups of them.
@@ -144,7 +148,8 @@ class Index:
         self.keys, self.starts = np.unique(keys[order], return_index=True)
         self.starts = np.append(self.starts, len(keys))
         self.owner, self.place = owner[order].astype(np.int32), place[order].astype(np.int16)
-        self.filter = np.zeros(1 << FILTER, bool)
+        self.shift = np.uint64(64 - min(max(FILTER, (8 * len(self.keys)).bit_length()), FILTER_MOST))
+        self.filter = np.zeros(1 << (64 - int(self.shift)), bool)
         self.filter[self._slot(self.keys)] = True
 
     def _spare(self, keys: np.ndarray, owner: np.ndarray, place: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,9 +200,8 @@ class Index:
         parts = [(keys[alone], owner[alone], place[alone]), *added]
         return tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
 
-    @staticmethod
-    def _slot(keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER)
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
 
     def _hits(self, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Sorted numbers of (owner, band) and how many q-grams are shared there; a bounded number of hits at a time."""
@@ -305,14 +309,48 @@ class Index:
         return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int):
-    """The items in blocks of about ``block_bytes``, each small enough to send to all executors."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(block, item_id, text, times): the items in blocks of about ``block_bytes``; a repeated item is one with a number of times."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL").groupBy("item_id", "text").agg(F.count("*").alias("times"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    for b in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
-        yield Index(sorted(((r[0], r[1].encode()) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
+    return items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-total // block_bytes)))).cast("int"))
+
+
+class _Passes:
+    """Groups of blocks.  The driver sends the texts of one group's items at a time; workers build the indexes, each once."""
+
+    def __init__(self, benchmark: DataFrame, block_bytes: int):
+        self.context, self.scratch = benchmark.sparkSession.sparkContext, Scratch()
+        self.items = self.scratch.written(item_blocks(benchmark, block_bytes), "leak-items")
+        blocks = sorted(r["block"] for r in self.items.select("block").distinct().collect())
+        self.groups = [blocks[i : i + PASS_BLOCKS] for i in range(0, len(blocks), PASS_BLOCKS)]
+        self.sent: list = []
+
+    def __iter__(self):
+        """For each pass a function of normalised texts: (index, its matches of each text)."""
+        for group in self.groups:
+            self.sent = [self.context.broadcast([tuple(r) for r in self.items.where(F.col("block") == b).select("item_id", "text", "times").collect()]) for b in group]
+
+            def found(texts: list[bytes], sent=tuple(self.sent)) -> list[tuple[Index, list[dict]]]:
+                return [(index, index.matches(texts)) for index in map(_built, sent)]
+
+            yield found
+
+    def over(self) -> None:
+        """The pass is stored: tasks need its blocks no more."""
+        for b in self.sent:
+            b.destroy()
+        self.sent = []
+
+
+def _built(sent: Broadcast) -> Index:
+    """A block's index, made once in a worker; it stays as long as the broadcast."""
+    if not hasattr(sent, "index"):
+        held = sorted(sent.value, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        sent.index = Index([(i, t.encode()) for i, t, _ in held])
+        sent.index.times = [n for *_, n in held]
+        del sent._value
+    return sent.index
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -320,31 +358,43 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
 
     The span counts bytes of the normalised text.  Null and empty texts and items match nothing;
     items shorter than a q-gram must stand there exactly, as whole words.  Repeated rows and ids
-    of documents repeat in the result.  An empty benchmark gives no rows.  An item that is repeated
+    of documents repeat in the result.  An empty benchmark, or an empty table of documents, gives no rows.  An item that is repeated
     under one item_id counts each time.  Texts may be of any length; items that share an opening
-    cost no more than those that don't until a text has what distinguishes them.
+    cost no more than those that don't until a text has what distinguishes them.  Only doc_id and text (item_id and text) are read.
+
+    The documents are read once for each PASS_BLOCKS blocks of benchmark text, and every pass is stored.
     """
-    out = None
-    for index in _blocks(benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    passes, parts = _Passes(benchmark, block_bytes), []
+    for find in passes:
 
-        def run(_, ids, texts, shared=shared):
-            index = shared.value
+        def run(_, ids, texts, find=find):
             rows = []
-            for doc, found in zip(ids, index.matches([normalised(t) for t in texts]), strict=True):
-                rows += [(doc, index.items[at], index.counts[at], *x) for at, x in sorted(found.items())]
+            for index, every in find([normalised(t) for t in texts]):
+                for doc, found in zip(ids, every, strict=True):
+                    rows += [(doc, index.items[at], index.counts[at], *x) for at, x in sorted(found.items()) for _ in range(index.times[at])]
             return {f.name: [r[i] for r in rows] for i, f in enumerate(MATCHES)}
 
-        part = map_texts(docs, run, MATCHES)
-        out = part if out is None else out.union(part)
+        parts.append(written(map_texts(docs, run, MATCHES), "leaks"))
+        passes.over()
+    passes.scratch.drop()
+    if not parts:
+        return docs.sparkSession.createDataFrame([], from_arrow_schema(MATCHES))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
     return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    for index in _blocks(benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        docs = keep_rows(docs, lambda texts, shared=shared: [not x for x in shared.value.matches([normalised(t) for t in texts])])
+    """The rows of ``docs`` that hold no benchmark item, with all their columns; what a pass keeps is stored for the next one."""
+    passes, last = _Passes(benchmark, block_bytes), None
+    for find in passes:
+        kept = written(keep_rows(docs, lambda texts, find=find: [not any(x) for x in zip(*(every for _, every in find([normalised(t) for t in texts])))]), "unleaked")
+        passes.over()
+        if last is not None:
+            dropped(last)
+        docs = last = kept
+    passes.scratch.drop()
     return docs
 
 
