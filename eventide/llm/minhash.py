@@ -6,23 +6,25 @@ similarity to every one of them; pairs beyond the bound are no candidates.  In a
 are compared with a centre, first the one with the smallest share of shingles of its own; a
 member takes the centre that it meets in most buckets, so a round compares each node once.
 Confirmed links are contracted, and buckets that still hold several components go on with other
-centres.  What is then still open between different components is compared pair by pair in
-buckets of up to BUCKET members.  Unlike documents with one common part can fill larger ones, so these are
-not compared by bucket: of two similar sets, each has one of the other's shingles among its
-rarest quarter, so their members are joined on their rarest shingles alone.  A pair inside one
-component needs no comparison, so no link between different texts is lost and no large bucket is
-expanded into all its pairs.  Signatures rule out most pairs; every link is confirmed on the full sets.
+centres.  The members of what is then still open are dealt into tiles of about TILE, and tiles of a
+bucket are compared two by two: a small bucket has one tile, a large one many, which are spread over all
+tasks.  In a pair of tiles, bounds and sketches are compared as arrays, and only what they suggest becomes a row.
+A pair inside one component needs no comparison, and no link between different texts is lost.
+Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import Scratch, map_texts, mix64, table, written
+from .common import Scratch, map_texts, mix64, small_batches, table, written
 from .components import connected_components
 
 #: Words of a shingle, and the similarity in percent from which two sets are linked.
@@ -31,8 +33,8 @@ WORDS, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 #: Rounds with centres before what is left is compared.
 ROUNDS = 2
-#: Members of a bucket whose open pairs are compared one by one; those of larger ones are joined on rare shingles.
-BUCKET = 8192
+#: Members of a tile, about; a task compares two tiles of a bucket at a time.
+TILE = 512
 #: Bits of a candidate's sketch, one for each of as many other minima, and the similarity that they must suggest;
 #: a pair at 0.75 falls below it (4.8 standard deviations) about once in 500,000 times.
 SKETCH_BITS, SUGGESTED = 1024, 0.65
@@ -46,7 +48,8 @@ _D = _RANDOM.randint(0, 1 << 62, SKETCH_BITS).astype(np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
-SETS = pa.schema([("node", pa.binary()), ("keys", pa.list_(pa.int32())), ("sketch", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
+PAIRS = pa.schema([("u", pa.binary()), ("v", pa.binary())])
+SETS = pa.schema([("node", pa.binary()), ("sketch", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
 
 
 def shingle_set(text: bytes, size: int = WORDS) -> np.ndarray:
@@ -109,7 +112,6 @@ def _sets(_, nodes, texts):
     rows = [(n, s) for n, s in zip(nodes, sets, strict=True) if set_digest(s) == n]
     return {
         "node": [n for n, _ in rows],
-        "keys": [band_keys(minima(s)).astype(np.int32) for _, s in rows],
         "sketch": [sketch(s) for _, s in rows],
         "shingles": [s.view(np.int64) for _, s in rows],
     }
@@ -121,11 +123,6 @@ def _likely(a: str, b: str):
     return apart <= int((1 - SUGGESTED) * SKETCH_BITS / 2)
 
 
-def _first_common(a: str, b: str):
-    """The first band whose keys are equal; a pair is compared in that bucket alone."""
-    return F.coalesce(*(F.when(F.col(a)[i] == F.col(b)[i], i) for i in range(BANDS)))
-
-
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs (u, v) whose sketches suggest it and whose sets are similar enough: 100 * intersection >= PERCENT * union."""
     left = sets.select(F.col("node").alias("u"), F.col("sketch").alias("su"), F.col("shingles").alias("s"))
@@ -148,27 +145,78 @@ def _shared_counts(sets: DataFrame, scratch: Scratch) -> DataFrame:
     return each.join(common, "s", "left_semi").groupBy("node").agg(F.count("*").alias("r"))
 
 
-def _rare_pairs(open_: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (u, v) of ``open_`` (node, root, n) with different roots that share one of the rarest shingles of each.
-
-    In one order of all shingles, the rarest first, sets of which common shingles make up PERCENT
-    have one in common among the first 100 - PERCENT percent and one more of each.
+def tile_pairs(held: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of one pair of tiles that ``_possible`` and ``_likely`` leave: of different tiles, or of one."""
+    n, r, root, bits, tile = (held[c] for c in ("n", "r", "root", "sketch", "tile"))
+    left = np.flatnonzero(tile == tile[0])
+    right = left if len(left) == len(tile) else np.flatnonzero(tile != tile[0])
+    most, found = int((1 - SUGGESTED) * SKETCH_BITS / 2), []
+    for at in range(0, len(left), 64):
+        a = left[at : at + 64, None]
+        common = np.minimum(np.minimum(n[a], r[a]), np.minimum(n[right], r[right]))
+        open_ = (root[a] != root[right]).any(2) & (common * 100 >= (n[a] + n[right] - common) * PERCENT)
+        if right is left:
+            open_ &= a < right
+        i, j = np.nonzero(open_)
+        i, j = a[i, 0], right[j]
+        for k in range(0, len(i), 1 << 15):
+            x, y = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+            near = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= most
+            found.append((x[near], y[near]))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    """Values of 16 bytes as pairs of numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 2)
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows to the pairs (u < v) of each pair of tiles; one pair of tiles is in memory at a time, besides a batch."""
+    kept: list[pa.RecordBatch] = []
+
+    def pairs(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        held = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in ("n", "r", "tile")}
+        held |= {"root": _words(rows.column("root")), "sketch": rows.column("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(rows.num_rows, -1)}
+        i, j = tile_pairs(held)
+        nodes = rows.column("node").to_pylist()
+        both = [sorted((nodes[x], nodes[y])) for x, y in zip(i.tolist(), j.tolist())]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in both], pa.binary()) for k in (0, 1)], schema=PAIRS)
+
+    last = None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("bucket", "a", "b")], 1)
+        cuts = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1).tolist(), len(keys)]
+        for low, high in zip(cuts, cuts[1:]):
+            if high == low:
+                continue
+            if last is not None and (keys[low] != last).any():
+                yield pairs(kept)
+                kept = []
+            last = keys[low]
+            kept.append(batch.slice(low, high - low))
+    if kept:
+        yield pairs(kept)
+
+
+def _open_pairs(live: DataFrame) -> DataFrame:
+    """Pairs (u, v) of different roots that share a bucket of ``live`` (bucket, node, n, r, root, sketch) and may be similar enough.
+
+    The same way for buckets of all sizes: each member goes to all tiles of its bucket, one pair of tiles a key.
     """
-    each = sets.join(open_.select("node"), "node", "left_semi").select("node", F.explode("shingles").alias("s"))
-    known = scratch.written(each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "rare")
-    held = each.join(known, "s").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("x")).join(open_, "node")
-    #: Shingles that no other one has come first of all, and need no comparison.
-    first = F.floor(F.col("n") * (100 - PERCENT) / 100).cast("int") + 1 - (F.col("n") - F.size("x"))
-    rare = scratch.written(held.where(first > 0).select("node", "root", "n", F.explode(F.slice("x", F.lit(1), first)).alias("x")).select("x.s", "node", "root", "n"), "rare")
-    right = rare.select("s", F.col("node").alias("v"), F.col("root").alias("to"), F.col("n").alias("m"))
-    size = (F.col("n") * 100 >= F.col("m") * PERCENT) & (F.col("m") * 100 >= F.col("n") * PERCENT)
-    return rare.join(right, "s").where((F.col("node") < F.col("v")) & (F.col("root") != F.col("to")) & size).select(F.col("node").alias("u"), "v").distinct()
+    sizes = live.groupBy("bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    dealt = live.join(sizes, "bucket").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+    sent = dealt.select("bucket", "node", "n", "r", "root", "sketch", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    sent = sent.select("bucket", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "node", "n", "r", "root", "sketch")
+    spread = small_batches(sent).repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
+    return spread.mapInArrow(_tiles, from_arrow_schema(PAIRS)).distinct()
 
 
 def _resolve(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (u, v) that connect every component.
 
-    ``members``: bucket, band, node, n, r, sketch, keys.  A root is a node of the same component; a round
+    ``members``: bucket, node, n, r, sketch.  A root is a node of the same component; a round
     moves roots to ones that are smaller in one order of all roots, so that no cycle can arise.
     """
     labels = members.select("node", F.col("node").alias("root")).distinct()
@@ -182,16 +230,7 @@ def _resolve(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame
         buckets = by_root.groupBy("bucket").agg(F.count("*").alias("roots"), F.min_by(F.struct("one.*", "root", order.alias("order")), order).alias("centre")).where("roots > 1")
         live = rooted.join(scratch.written(buckets.select("bucket", "centre"), "buckets"), "bucket")
         if k == ROUNDS:
-            sizes = live.groupBy("bucket").agg(F.count("*").alias("size"))
-            sized = live.join(sizes, "bucket").select("bucket", "band", "node", "n", "r", "root", "sketch", "keys", "size")
-            left = sized.where(F.col("size") <= BUCKET).drop("size")
-            right = left.select("bucket", F.col("node").alias("v"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("root").alias("to"), F.col("sketch").alias("other"), F.col("keys").alias("others"))
-            apart = (F.col("node") < F.col("v")) & (F.col("root") != F.col("to"))
-            pairs = left.join(right, "bucket").where(apart & _possible("n", "r", "m", "q") & _likely("sketch", "other") & (_first_common("keys", "others") == F.col("band")))
-            pairs = pairs.select(F.col("node").alias("u"), "v")
-            if sizes.where(F.col("size") > BUCKET).head(1):
-                wide = scratch.written(sized.where(F.col("size") > BUCKET).select("node", "root", "n").distinct(), "wide")
-                pairs = pairs.union(_rare_pairs(wide, sets, scratch)).distinct()
+            pairs = scratch.written(_open_pairs(live), "pairs")
             found = scratch.written(_verified(pairs, sets), "links")
             return links.union(found) if links is not None else found
         centre = {c: F.col(f"centre.{c}") for c in ("node", "n", "r", "sketch", "root", "order")}
@@ -218,7 +257,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = signed.where("n_shingles > 0")
     classes = scratch.written(full.groupBy("node").agg(F.min("doc_id").alias("least")), "classes")
     first = (full["node"] == classes["node"]) & full["doc_id"].eqNullSafe(classes["least"])
-    bands = full.join(classes, first, "left_semi").select(F.posexplode("bands").alias("band", "bucket"), "node")
+    bands = full.join(classes, first, "left_semi").select(F.explode("bands").alias("bucket"), "node")
     shared = scratch.written(bands.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "shared")
     members = scratch.written(bands.join(shared, "bucket", "left_semi").distinct(), "members")
     chosen = scratch.written(members.select("node").distinct().join(classes, "node").select(F.col("least").alias("doc_id"), "node"), "chosen")
@@ -230,7 +269,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sets = scratch.written(sets.dropDuplicates(["node"]), "sets")
     # Dealt once by node and kept; a lost part is made anew from the stored table.
     sets = sets.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").persist()
-    counted = _shared_counts(sets, scratch).join(sets.select("node", F.size("shingles").alias("n"), "sketch", "keys"), "node").where(F.col("r") * 100 >= F.col("n") * PERCENT)
+    counted = _shared_counts(sets, scratch).join(sets.select("node", F.size("shingles").alias("n"), "sketch"), "node").where(F.col("r") * 100 >= F.col("n") * PERCENT)
     links = scratch.written(_resolve(scratch.written(members.join(counted, "node"), "members"), sets, scratch), "links")
     sets.unpersist()
     stars = connected_components(links)

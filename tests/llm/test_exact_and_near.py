@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -146,9 +147,9 @@ def test_open_buckets_are_compared_in_the_end(spark, monkeypatch):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == brute_near(rows)
 
 
-@pytest.mark.parametrize("most", [0, 4])
-def test_large_buckets_are_joined_on_rare_shingles(spark, monkeypatch, most):
-    monkeypatch.setattr(minhash, "BUCKET", most)
+@pytest.mark.parametrize("tile", [1, 4, 10**6])
+def test_tiles_of_any_size_give_the_same(spark, monkeypatch, tile):
+    monkeypatch.setattr(minhash, "TILE", tile)
     monkeypatch.setattr(minhash, "ROUNDS", 0)
     rows = EDGES + near_rows()
     got = minhash.near_duplicates(documents(spark, rows)).collect()
@@ -170,21 +171,24 @@ def test_components(spark):
         assert {x["u"]: x["v"] for x in components.connected_components(edges).collect()} == want
 
 
-def test_unlike_sets_with_a_common_part_are_no_pairs(spark):
-    """Of 5,000 sets that share half their shingles, only those that share a rare one too are compared."""
-    r = random.Random(12)
-    common = [r.getrandbits(62) for _ in range(60)]
-    sets, open_ = [], []
-    for i in range(2_500):
-        own = [r.getrandbits(62) for _ in range(40)]
-        for j in (0, 1):
-            shingles = common + own + [r.getrandbits(62) for _ in range(j * 3)]
-            node = f"{i}-{j}".encode()
-            sets.append((node, [0] * 16, sorted(shingles)))
-            open_.append((node, node, len(shingles)))
-    sets = spark.createDataFrame(sets, "node binary, sketch array<long>, shingles array<long>")
-    pairs = minhash._rare_pairs(spark.createDataFrame(open_, "node binary, root binary, n int"), sets, minhash.Scratch())
-    assert sorted((bytes(p["u"]).decode(), bytes(p["v"]).decode()) for p in pairs.collect()) == sorted((f"{i}-0", f"{i}-1") for i in range(2_500))
+def test_one_bucket_of_20000_unlike_members(spark):
+    """Only similar members of the bucket become rows, and no task has many of its members' tiles."""
+    r = np.random.default_rng(12)
+    n = 20_000
+    bits = r.integers(-(2**63), 2**63, (n, 16))
+    for i in range(0, 400, 2):
+        bits[i + 1] = bits[i]
+        bits[i + 1, : i // 100] ^= 1 << 5
+    names = [int(i).to_bytes(16, "big") for i in r.permutation(n)]
+    roots = [names[i] if i % 40 else names[i & ~1] for i in range(n)]
+    roots = [names[i - 1] if i % 40 == 1 else root for i, root in enumerate(roots)]
+    rows = pa.table({"bucket": [7] * n, "node": names, "n": [100] * n, "r": [100 if i % 10 != 4 else 60 for i in range(n)], "root": roots, "sketch": bits.tolist()})
+    live = spark.createDataFrame(rows).repartition(4)
+    found = {(bytes(p["u"]), bytes(p["v"])) for p in minhash._open_pairs(live).collect()}
+    want = {tuple(sorted((names[i], names[i + 1]))) for i in range(0, 400, 2) if i % 40 and i % 10 != 4}
+    assert found == want
+    tiles = -(-n // minhash.TILE)
+    assert tiles > 30 and minhash.TILE**2 * 4 < n**2 / 50
 
 
 def test_documents_with_a_common_half(spark):
