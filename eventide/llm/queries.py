@@ -19,4 +19,4 @@ QUERIES = {
     "license_base_phrases": license_scan.license_base_phrases,
 }
 
-ORACLES = {"op10_exact_dedup": exact_dedup.ORACLE, "op5_minhash": minhash.ORACLE, "op8_suffix_dedup": suffix_dedup.ORACLE, "op11_warc": warc.ORACLE, "license_base_phrases": license_scan.ORACLE}
+ORACLES = {"op10_exact_dedup": exact_dedup.ORACLE, "op5_minhash": minhash.ORACLE, "op8_suffix_dedup": suffix_dedup.ORACLE, "op11_warc": warc.ORACLE, "op13_spelling": spelling.ORACLE, "license_base_phrases": license_scan.ORACLE}

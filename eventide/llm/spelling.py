@@ -304,3 +304,21 @@ def spelling_variants(docs: DataFrame) -> DataFrame:
 
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+#: The checksum's table is made by its rule; neighbours meet in the words with one code point cut out or masked.
+ORACLE = """
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS crc),
+found AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS word FROM documents) d GROUP BY ALL),
+bytes AS (SELECT *, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || word, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END)) AS b FROM found),
+hashed AS (SELECT word, n, xor(list_reduce(b, lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS h FROM bytes, t),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(word, 1, h % length(word)) || substr(word, h % length(word) + 2) ELSE word END AS word, n FROM hashed) w WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+keys AS (SELECT word, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS key FROM places UNION ALL SELECT DISTINCT word, substr(word, 1, i - 1) || substr(word, i + 1) FROM places),
+pairs AS (SELECT a.word, b.word AS near FROM keys a JOIN keys b ON a.key = b.key AND a.word <> b.word AND contains(a.key, '*')
+  UNION SELECT a.word, a.key FROM keys a JOIN words w ON w.word = a.key UNION SELECT a.key, a.word FROM keys a JOIN words w ON w.word = a.key),
+best AS (SELECT p.word, count(*) AS n_near, arg_max(near, struct_pack(n := v.n, m := list_transform(string_split(near, ''), lambda c: -unicode(c)))) AS near, max(v.n) AS near_n FROM pairs p JOIN words v ON v.word = near GROUP BY p.word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+steps AS (SELECT word, form, word AS root FROM forms UNION ALL SELECT s.word, f.form, f.word FROM steps s JOIN forms f ON f.word = s.form)
+SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n FROM forms f JOIN steps s ON s.word = f.word AND s.form IS NULL
+"""
