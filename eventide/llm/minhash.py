@@ -49,7 +49,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
 PAIRS = pa.schema([("u", pa.binary()), ("v", pa.binary())])
-SETS = pa.schema([("node", pa.binary()), ("sketch", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
+SETS = pa.schema([("node", pa.binary()), ("keys", pa.list_(pa.int32())), ("sketch", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
 
 
 def shingle_set(text: bytes, size: int = WORDS) -> np.ndarray:
@@ -112,6 +112,7 @@ def _sets(_, nodes, texts):
     rows = [(n, s) for n, s in zip(nodes, sets, strict=True) if set_digest(s) == n]
     return {
         "node": [n for n, _ in rows],
+        "keys": [band_keys(minima(s)).astype(np.int32) for _, s in rows],
         "sketch": [sketch(s) for _, s in rows],
         "shingles": [s.view(np.int64) for _, s in rows],
     }
@@ -146,8 +147,11 @@ def _shared_counts(sets: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def tile_pairs(held: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of one pair of tiles that ``_possible`` and ``_likely`` leave: of different tiles, or of one."""
-    n, r, root, bits, tile = (held[c] for c in ("n", "r", "root", "sketch", "tile"))
+    """Places of the pairs of one pair of tiles that ``_possible`` and ``_likely`` leave: of different tiles, or of one.
+
+    A pair that meets in several buckets is found in that of its first common band alone.
+    """
+    n, r, root, bits, tile, keys = (held[c] for c in ("n", "r", "root", "sketch", "tile", "keys"))
     left = np.flatnonzero(tile == tile[0])
     right = left if len(left) == len(tile) else np.flatnonzero(tile != tile[0])
     most, found = int((1 - SUGGESTED) * SKETCH_BITS / 2), []
@@ -162,7 +166,9 @@ def tile_pairs(held: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         for k in range(0, len(i), 1 << 15):
             x, y = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
             near = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= most
-            found.append((x[near], y[near]))
+            x, y = x[near], y[near]
+            here = (keys[x] == keys[y]).argmax(1) == held["band"][x]
+            found.append((x[here], y[here]))
     return tuple(np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
 
 
@@ -177,7 +183,8 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def pairs(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        held = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in ("n", "r", "tile")}
+        held = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in ("n", "r", "tile", "band")}
+        held["keys"] = rows.column("keys").flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
         held |= {"root": _words(rows.column("root")), "sketch": rows.column("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(rows.num_rows, -1)}
         i, j = tile_pairs(held)
         nodes = rows.column("node").to_pylist()
@@ -201,22 +208,22 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open_pairs(live: DataFrame) -> DataFrame:
-    """Pairs (u, v) of different roots that share a bucket of ``live`` (bucket, node, n, r, root, sketch) and may be similar enough.
+    """Pairs (u, v) of different roots that share a bucket of ``live`` (bucket, band, node, n, r, root, sketch, keys) and may be similar enough.
 
     The same way for buckets of all sizes: each member goes to all tiles of its bucket, one pair of tiles a key.
     """
     sizes = live.groupBy("bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     dealt = live.join(sizes, "bucket").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
-    sent = dealt.select("bucket", "node", "n", "r", "root", "sketch", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    sent = sent.select("bucket", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "node", "n", "r", "root", "sketch")
+    sent = dealt.select("bucket", "band", "node", "n", "r", "root", "sketch", "keys", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    sent = sent.select("bucket", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "band", "node", "n", "r", "root", "sketch", "keys")
     spread = small_batches(sent).repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
-    return spread.mapInArrow(_tiles, from_arrow_schema(PAIRS)).distinct()
+    return spread.mapInArrow(_tiles, from_arrow_schema(PAIRS))
 
 
 def _resolve(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (u, v) that connect every component.
 
-    ``members``: bucket, node, n, r, sketch.  A root is a node of the same component; a round
+    ``members``: bucket, band, node, n, r, sketch, keys.  A root is a node of the same component; a round
     moves roots to ones that are smaller in one order of all roots, so that no cycle can arise.
     """
     labels = members.select("node", F.col("node").alias("root")).distinct()
@@ -257,7 +264,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = signed.where("n_shingles > 0")
     classes = scratch.written(full.groupBy("node").agg(F.min("doc_id").alias("least")), "classes")
     first = (full["node"] == classes["node"]) & full["doc_id"].eqNullSafe(classes["least"])
-    bands = full.join(classes, first, "left_semi").select(F.explode("bands").alias("bucket"), "node")
+    bands = full.join(classes, first, "left_semi").select(F.posexplode("bands").alias("band", "bucket"), "node")
     shared = scratch.written(bands.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "shared")
     members = scratch.written(bands.join(shared, "bucket", "left_semi").distinct(), "members")
     chosen = scratch.written(members.select("node").distinct().join(classes, "node").select(F.col("least").alias("doc_id"), "node"), "chosen")
@@ -269,7 +276,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sets = scratch.written(sets.dropDuplicates(["node"]), "sets")
     # Dealt once by node and kept; a lost part is made anew from the stored table.
     sets = sets.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").persist()
-    counted = _shared_counts(sets, scratch).join(sets.select("node", F.size("shingles").alias("n"), "sketch"), "node").where(F.col("r") * 100 >= F.col("n") * PERCENT)
+    counted = _shared_counts(sets, scratch).join(sets.select("node", F.size("shingles").alias("n"), "sketch", "keys"), "node").where(F.col("r") * 100 >= F.col("n") * PERCENT)
     links = scratch.written(_resolve(scratch.written(members.join(counted, "node"), "members"), sets, scratch), "links")
     sets.unpersist()
     stars = connected_components(links)

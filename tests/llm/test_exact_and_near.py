@@ -182,7 +182,7 @@ def test_one_bucket_of_20000_unlike_members(spark):
     names = [int(i).to_bytes(16, "big") for i in r.permutation(n)]
     roots = [names[i] if i % 40 else names[i & ~1] for i in range(n)]
     roots = [names[i - 1] if i % 40 == 1 else root for i, root in enumerate(roots)]
-    rows = pa.table({"bucket": [7] * n, "node": names, "n": [100] * n, "r": [100 if i % 10 != 4 else 60 for i in range(n)], "root": roots, "sketch": bits.tolist()})
+    rows = pa.table({"bucket": [7] * n, "node": names, "n": [100] * n, "r": [100 if i % 10 != 4 else 60 for i in range(n)], "root": roots, "sketch": bits.tolist(), "band": [3] * n, "keys": [[j, i, j, 5, i] for j, i in enumerate(range(n))]})
     live = spark.createDataFrame(rows).repartition(4)
     found = {(bytes(p["u"]), bytes(p["v"])) for p in minhash._open_pairs(live).collect()}
     want = {tuple(sorted((names[i], names[i + 1]))) for i in range(0, 400, 2) if i % 40 and i % 10 != 4}
