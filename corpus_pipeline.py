@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventide.llm.common import table, written
+from eventide.llm.common import dropped, table, written
 from eventide.llm.decontaminate import drop_leaks
 from eventide.llm.exact_dedup import drop_copies
 from eventide.llm.minhash import drop_near_duplicates
@@ -49,7 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    """The rows of the last stage, stored; what the stages before it kept is deleted when the next one is stored."""
+    docs, last = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if last is not None:
+            dropped(last)
+        last = docs
+    return docs

@@ -19,13 +19,15 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, held_out, keep_rows, map_texts, small_batches, table, written
 
 #: Labelled documents that each class's model is fitted on, and the weights; at most.
 FIT_DOCS, WEIGH_DOCS = 1500, 1500
+#: Bytes of text of a class in either half; the last document may go beyond.
+FIT_BYTES = 8 << 20
 #: Letters of the longest context, and what is taken off each count of letters and of continuations.
 CONTEXT, DISCOUNT = 5, 0.75
 #: What is taken off each count of words: what stands in one document alone has no weight of its own.
@@ -241,16 +243,21 @@ def _sample(labels: DataFrame, toxic: int, part: int, most: int) -> DataFrame:
     return mine.select("doc_id", F.lit(toxic).alias("toxic"), F.lit(part).alias("part")).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(most)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, weigh_docs: int = WEIGH_DOCS) -> tuple[Evidence, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, weigh_docs: int = WEIGH_DOCS, fit_bytes: int = FIT_BYTES) -> tuple[Evidence, np.ndarray]:
     """The models and the weights.  Labels of held-out documents are never read.
 
     At most 2 * (fit_docs + weigh_docs) labelled documents are used, half the labels of a class
     for its model and the other half for the weights.  Equal texts count once; of an id with several labels the
-    smallest counts.  Every text is read whole, so what the models hold grows with the lengths of these documents.
+    smallest counts.  Every text is read whole; of each class and half, documents are taken until their texts have
+    ``fit_bytes`` bytes, which bounds what the models hold, and the driver while they are made.
     Without labels of both classes every weight is 0 and every score 0 but for the constant.
     """
     picked = [_sample(labels, k, part, most) for k in (0, 1) for part, most in ((0, fit_docs), (1, weigh_docs))]
     chosen = picked[0].union(picked[1]).union(picked[2]).union(picked[3]).groupBy("doc_id").agg(F.min(F.struct("toxic", "part")).alias("x")).select("doc_id", "x.*")
+    sizes = docs.select("doc_id", F.octet_length("text").alias("size")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "part").agg(F.sum("size").alias("size"))
+    #: A row for each chosen document, so a few thousand at most.
+    before = F.sum("size").over(Window.partitionBy("toxic", "part").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")) - F.col("size")
+    chosen = written(sizes.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < fit_bytes).select("doc_id", "toxic", "part"), "chosen")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     texts = written(texts.groupBy(F.xxhash64("text").alias("h")).agg(F.min_by(F.struct("text", "toxic", "part"), "doc_id").alias("x")).select("x.*"), "labelled")
 
