@@ -301,6 +301,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     (the id stays, not one of its repetitions).  A null doc_id is the smallest of its
     group only if the group has no other; then keep_id is null and the row is kept.  Texts may be of
     any length and share heads of any length.
+    An empty table gives no rows; of the columns only doc_id and text are read, so others may have any names.
     """
     rows = small_batches(docs).select("doc_id", "text").mapInArrow(_digests, from_arrow_schema(ROW))
     return (

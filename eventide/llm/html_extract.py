@@ -475,6 +475,7 @@ def extract_pages(pages: DataFrame, field: ChainField | None = None) -> DataFram
 
     A null or empty page has the text ''.  Nothing is dropped or capped; repeated rows repeat.  Bytes that are
     no UTF-8 become U+FFFD.  Time is proportional to the length of a page, whatever it holds.
+    An empty table gives no rows; of the columns only page_id, url and html are read, so others may have any names.
     """
     shared = pages.sparkSession.sparkContext.broadcast(field or default_field())
 

@@ -257,6 +257,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null texts and texts without words have an empty set and stand alone; so does a null doc_id's
     row unless its set is shared, and a null id is the smallest of a component only if it has no
     other.  Rows with equal sets are always linked, rows with equal ids only through their sets.
+    An empty table gives no rows; of the columns only doc_id and text are read, so others may have any names.
+    Texts may be of any length.
     """
     spark = docs.sparkSession
     scratch = Scratch()

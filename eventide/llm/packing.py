@@ -185,6 +185,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int =
     A null text counts as empty: its document is the end id alone.  Repeated rows are packed as
     often as they stand there.  A null doc_id stays null.  No documents: no rows.  Bytes that are no
     UTF-8 count as U+FFFD.
+    Of the columns only doc_id and text are read, so others may have any names.  Texts may be of any length.
     """
     return pack(written(tokenized_pieces(docs, tokenizer, capacity), "pieces"), capacity)
 

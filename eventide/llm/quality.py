@@ -115,6 +115,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
     Null and empty texts are scored by their statistics, all of which are then 0 or nearly so.
     Without labels of both classes every score is 0.5.  Equal rows get equal scores.
+    An empty table gives no rows; of the columns only doc_id and text (doc_id and quality of labels) are read, so others may have any names.
     """
     features = written(document_statistics(docs), "statistics")
     model = fit(features, labels)

@@ -290,6 +290,8 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty; texts of fewer than LENGTH bytes keep everything.  Equal texts of
     at least LENGTH bytes lose all bytes in every row, also where whole rows are repeated.
+    An empty table gives no rows; of the columns only doc_id and text are read, so others may have any names.
+    Texts may be of any length; they are read by segments.
     """
     scratch = Scratch()
     runs = scratch.written(map_texts(docs, _rank_runs, RUNS), "runs")

@@ -321,6 +321,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     """One row for each row of ``docs``: doc_id, held_out, score, predicted.
 
     Null and empty texts have no evidence and get the score of that.  Equal rows get equal scores.
+    An empty table gives no rows; of the columns only doc_id and text (doc_id and toxic of labels) are read, so others may have any names.
     """
     evidence, weights = fit(docs, labels, **bounds)
     shared = docs.sparkSession.sparkContext.broadcast((evidence, weights))

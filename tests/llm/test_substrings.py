@@ -272,3 +272,36 @@ def test_thousands_of_items_of_one_stem():
     found = index.matches([text])
     assert time.process_time() - began < 20
     assert list(found[0]) == [7]
+
+
+def test_very_long_texts(spark):
+    """A text of a megabyte among short ones, for the operators on passages and benchmark items."""
+    body = prose(71_000, 160_000)
+    piece = " ".join(body.split()[90_000:90_070])
+    rows = [(1, body), (2, f"{prose(72_000, 50)} {piece} {prose(73_000, 50)}"), (3, None), (4, "")]
+    got = passage_chains.fuzzy_passages(documents(spark, rows)).collect()
+    assert {(r["doc_id"], r["owner_id"]) for r in got} == {(1, 2), (2, 1)} and all(r["n_words"] >= 70 for r in got)
+    benchmark = spark.createDataFrame([(9, piece), (10, prose(74_000, 60)), (None, None)], "item_id long, text string")
+    leaks = decontaminate.find_leaks(documents(spark, rows), benchmark).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["errors"]) for r in leaks) == [(1, 9, 0), (2, 9, 0)]
+
+
+def test_an_owner_of_many_documents_is_shared_out(spark, monkeypatch):
+    monkeypatch.setattr(passage_chains, "SHARE", 3)
+    common = prose(75_000, 80)
+    rows = [(i, f"{prose(76_000 + i, 30)} {common} {prose(77_000 + i, 30)}") for i in range(20)]
+    shared = sorted(map(tuple, passage_chains.fuzzy_passages(documents(spark, rows)).collect()))
+    assert {(r[0], r[3]) for r in shared} >= {(i, 0) for i in range(1, 20)} | {(i, 19) for i in range(19)}
+    monkeypatch.setattr(passage_chains, "SHARE", 10**6)
+    assert sorted(map(tuple, passage_chains.fuzzy_passages(documents(spark, rows)).collect())) == shared
+
+
+def test_leaks_over_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PASS_BLOCKS", 2)
+    items = [(i, prose(78_000 + i, 30)) for i in range(12)] + [(3, prose(78_003, 30))]
+    rows = [(i, f"{prose(79_000 + i, 20)} {items[i][1]} {prose(79_500 + i, 20)}" if i % 2 else prose(79_000 + i, 60)) for i in range(12)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(documents(spark, rows), benchmark, block_bytes=300).collect())
+    assert got == sorted([(i, i) for i in range(12) if i % 2] + [(3, 3)])
+    kept = decontaminate.drop_leaks(documents(spark, rows), benchmark, block_bytes=300)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4, 6, 8, 10]
