@@ -15,6 +15,7 @@ from .functions import clock
 from .functions import text as X
 from .operators import feed as feeds
 from .operators import normalize, predicates, present, search, state
+from .operators.ordering import numbered
 from .operators.search import Filters
 from .testdata import NOW, relation, relation_sql
 
@@ -100,6 +101,12 @@ def plain(oracle: str):
     return register
 
 
+def ranked(df: DataFrame, *order) -> DataFrame:
+    """``df`` (with an ``id``) with its rank, so that an order can be compared; no task ranks all rows."""
+    keyed = df.withColumn("_key", F.struct(*order)).withColumnRenamed("id", "_own")
+    return numbered(keyed, 0, "_key").withColumnRenamed("id", "rank").withColumnRenamed("_own", "id").drop("_key")
+
+
 def shown(r) -> DataFrame:
     return r("plans").where(predicates.visible(NOW))
 
@@ -308,12 +315,19 @@ def compact_text(spark, sf_dir):
 
 
 @query(
-    """SELECT id, CASE WHEN latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 THEN round(longitude - 0.009, 6) END AS west,
-    CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN round(latitude + 0.006, 6) END AS north FROM plans""",
+    """SELECT id, round(longitude - 0.009, 6) AS west, round(latitude - 0.006, 6) AS south, round(longitude + 0.009, 6) AS east, round(latitude + 0.006, 6) AS north, 4 AS corners, latitude AS marker_latitude, longitude AS marker_longitude
+    FROM plans WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180
+    UNION ALL SELECT id, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM plans WHERE NOT coalesce(latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180, FALSE)""",
     "plans",
 )
 def map_bbox(r):
-    return r("plans").withColumn("m", present.map_box()).select("id", F.round("m.west", 6).alias("west"), F.round("m.north", 6).alias("north"))
+    """The four sides, and what the map's query says: its corners and the marker."""
+    rows = r("plans").withColumn("m", present.map_box()).withColumn("q", F.url_decode("m.query"))
+    marker = F.split(F.substring_index("q", "&marker=", -1), ",")
+    corners = F.transform(F.split(F.substring_index(F.substring_index("q", "&marker=", 1), "bbox=", -1), ","), lambda x: F.round(x.cast("double"), 6))
+    sides = [F.round(f"m.{n}", 6) for n in ("west", "south", "east", "north")]
+    same = F.when(corners == F.array(*sides), F.size(corners))
+    return rows.select("id", *(s.alias(n) for s, n in zip(sides, ("west", "south", "east", "north"))), same.alias("corners"), marker[0].cast("double").alias("marker_latitude"), marker[1].cast("double").alias("marker_longitude"))
 
 
 @query(
@@ -327,16 +341,22 @@ def card_labels(r):
     return r("plans").select("id", present.date_label().alias("dates"), present.price_label().alias("price"), present.place_label().alias("place"), present.location_label().alias("location"))
 
 
+KNOWN = f"""{TITLE["ca"]} IS NOT NULL AND regexp_full_match(start_date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND nullif(venue_name, '') IS NOT NULL AND coalesce(nullif(municipality, ''), nullif(comarca, ''), nullif(province, '')) IS NOT NULL"""
+LD = ("name", "start_date", "end_date", "description", "url", "venue", "street", "town", "region", "postal")
+
+
 @query(
-    f"""SELECT id, j ->> '$.name' AS name, j ->> '$.location.name' AS venue, j ->> '$.endDate' AS end_date FROM (SELECT id,
-    CASE WHEN {TITLE["ca"]} IS NOT NULL AND regexp_full_match(start_date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND venue_name IS NOT NULL
-      THEN json_object('name', {TITLE["ca"]}, 'endDate', nullif(end_date, ''), 'location', json_object('name', venue_name)) END AS j FROM visible) t""",
+    f"""SELECT id, CASE WHEN known THEN 'Event' END AS kind, {", ".join(f"CASE WHEN known THEN {c} END AS {c}" for c in LD)} FROM (SELECT id, {KNOWN} AS known, {TITLE["ca"]} AS name, start_date, nullif(end_date, '') AS end_date,
+    coalesce(nullif(description_ca, ''), nullif(original_description, ''), nullif(description_es, '')) AS description, website_url AS url, venue_name AS venue, nullif(address, '') AS street, nullif(municipality, '') AS town, nullif(province, '') AS region, nullif(postal_code, '') AS postal FROM visible) t""",
     "plans",
 )
 def json_ld(r):
+    """All fields of a plan's description for machines."""
     texts = search.localized("ca")
     rows = shown(r).select("id", present.json_ld(texts["title"], F.col("website_url"), texts["description"]).alias("j"))
-    return rows.select("id", F.get_json_object("j", "$.name").alias("name"), F.get_json_object("j", "$.location.name").alias("venue"), F.get_json_object("j", "$.endDate").alias("end_date"))
+    paths = ("name", "startDate", "endDate", "description", "url", "location.name", "location.address.streetAddress", "location.address.addressLocality", "location.address.addressRegion", "location.address.postalCode")
+    event = F.parse_json("j")
+    return rows.select("id", F.try_variant_get(event, "$['@type']", "string").alias("kind"), *(F.try_variant_get(event, f"$.{p}", "string").alias(n) for n, p in zip(LD, paths)))
 
 
 @query(
@@ -612,6 +632,6 @@ def cache_eviction(spark, sf_dir):
     "sources",
 )
 def source_gate(r):
-    """``sources`` is a small dimension, so one task can rank it."""
-    rank = F.row_number().over(Window.orderBy(X.nocase(F.col("name")), "id")).cast("long")
-    return r("sources").select("id", "key", predicates.license_reason().alias("reason"), rank.alias("rank"))
+    """The sources in order, each with the reason that keeps it out."""
+    rows = r("sources").withColumn("reason", predicates.license_reason())
+    return ranked(rows.select("id", "key", "reason", "name"), X.nocase(F.col("name")), "id").drop("name")

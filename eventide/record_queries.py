@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import clock
@@ -18,7 +18,7 @@ from .operators import feed as feeds
 from .operators import jobs, normalize, predicates, present, search, state
 from .operators.search import Filters
 from .plans.schemas import AGENDA_FIELDS, CATEGORY_ROWS, TABLES, seeded_categories
-from .queries import FOUND, GOOD_IMAGE, ISSUE, KEYS, LAST, ORDERS, OUTCOMES, OUTSIDE, QUERIES, RETAINED, TITLE, TODAY, _incoming, k, nc, plain, query, shown, tk
+from .queries import FOUND, GOOD_IMAGE, ISSUE, KEYS, LAST, ORDERS, OUTCOMES, OUTSIDE, QUERIES, RETAINED, TITLE, TODAY, _incoming, k, nc, plain, query, ranked, shown, tk
 from .sources import readers
 from .sources.ledger import RunLedger
 from .sources.snapshot import read_snapshot, remove_folder, write_snapshot
@@ -27,11 +27,6 @@ from .testdata import NOW, RECORD_SQL  # noqa: F401
 STAMP = "1998-06-15T12:00:00.000Z"
 
 
-def ranked(df: DataFrame, *order) -> DataFrame:
-    """``df`` with its rank, so that an order can be compared; only for relations of bounded size."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
-
-
 # ---- records ---------------------------------------------------------------------------------
 
 

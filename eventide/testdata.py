@@ -5,6 +5,7 @@ Each relation is one SELECT that Spark and DuckDB both run; only the text of a d
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,7 +71,7 @@ SELECT CAST(row_number() OVER (ORDER BY p_type) AS BIGINT) AS id, lower(p_type)
 FROM (SELECT DISTINCT p_type FROM part) t
 """,
     "plan_categories": """
-SELECT DISTINCT l_orderkey AS plan_id, c.id AS category_id FROM lineitem JOIN part ON p_partkey = l_partkey
+SELECT DISTINCT l_orderkey AS plan_id, c.id AS category_id FROM lineitem JOIN part AS part ON p_partkey = l_partkey
 JOIN (SELECT CAST(row_number() OVER (ORDER BY p_type) AS BIGINT) AS id, p_type FROM (SELECT DISTINCT p_type FROM part) t) c ON c.p_type = part.p_type
 """,
     "sources": """
@@ -150,8 +151,9 @@ _TABLES = {
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A catalogue relation over the tables in ``sf_dir``."""
+    """A catalogue relation over the tables in ``sf_dir``; its views have names of their own."""
     sql = relation_sql(name, "spark")
     for table in _TABLES[name]:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(f"eventide_{table}")
+        sql = re.sub(rf"\b(FROM|JOIN) {table}\b", rf"\1 eventide_{table}", sql)
     return spark.sql(sql)
