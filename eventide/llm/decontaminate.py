@@ -35,8 +35,9 @@ FILTER, FILTER_MOST = 20, 25
 FREQUENT, NEEDED = 256, 4
 #: A q-gram that more patterns have at the same place is counted for groups of them.
 SHARED = 32
-#: Hits that are counted at once, about.
+#: Hits that are counted at once, about, and bytes of text whose q-grams are looked up at once.
 HITS = 1 << 20
+SEGMENT = 1 << 19
 
 MATCHES = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("windows", pa.int64()), ("matched", pa.int64()), ("errors", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
@@ -205,27 +206,28 @@ class Index:
 
     def _hits(self, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Sorted numbers of (owner, band) and how many q-grams are shared there; a bounded number of hits at a time."""
-        g = grams(text)
-        at = np.flatnonzero(self.filter[self._slot(g)])
-        if not len(at) or not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        slot = np.minimum(np.searchsorted(self.keys, g[at]), len(self.keys) - 1)
-        true = self.keys[slot] == g[at]
-        at, slot = at[true], slot[true]
-        n = self.starts[slot + 1] - self.starts[slot]
-        turns = np.cumsum(n) // HITS
-        cuts = [0, *(np.flatnonzero(np.diff(turns)) + 1).tolist(), len(n)]
         found, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for low, high in zip(cuts, cuts[1:]):
-            few, some = n[low:high], slot[low:high]
-            each = np.arange(few.sum()) - np.repeat(np.cumsum(few) - few, few) + np.repeat(self.starts[some], few)
-            owner = self.owner[each].astype(np.int64)
-            diagonal = np.repeat(at[low:high], few) - self.place[each] + WINDOW
-            key, count = np.unique(owner * size + diagonal // self.wide[owner] + 1, return_counts=True)
-            if len(found):
-                key, inverse = np.unique(np.concatenate([found, key]), return_inverse=True)
-                count = np.bincount(inverse, np.concatenate([counts, count])).astype(np.int64)
-            found, counts = key, count
+        if not len(self.keys):
+            return found, counts
+        for base in range(0, len(text) - Q + 1, SEGMENT):
+            g = grams(text[base : base + SEGMENT + Q - 1])
+            at = np.flatnonzero(self.filter[self._slot(g)])
+            slot = np.minimum(np.searchsorted(self.keys, g[at]), len(self.keys) - 1)
+            true = self.keys[slot] == g[at]
+            at, slot = at[true] + base, slot[true]
+            n = self.starts[slot + 1] - self.starts[slot]
+            turns = np.cumsum(n) // HITS
+            cuts = [0, *(np.flatnonzero(np.diff(turns)) + 1).tolist(), len(n)]
+            for low, high in zip(cuts, cuts[1:]):
+                few, some = n[low:high], slot[low:high]
+                each = np.arange(few.sum()) - np.repeat(np.cumsum(few) - few, few) + np.repeat(self.starts[some], few)
+                owner = self.owner[each].astype(np.int64)
+                diagonal = np.repeat(at[low:high], few) - self.place[each] + WINDOW
+                key, count = np.unique(owner * size + diagonal // self.wide[owner] + 1, return_counts=True)
+                if len(found):
+                    key, inverse = np.unique(np.concatenate([found, key]), return_inverse=True)
+                    count = np.bincount(inverse, np.concatenate([counts, count])).astype(np.int64)
+                found, counts = key, count
         return found, counts
 
     def regions(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
