@@ -193,3 +193,11 @@ def test_images_and_cache(spark):
     valid = spark.createDataFrame([(1,), (2,), (3,)], "image_id long")
     got = {r["image_id"]: r["action"] for r in state.cache_evictions(files, "2026-01-02T01:00:00", 48, 15, valid).collect()}
     assert got == {1: "kept", 2: "evicted", 3: "expired", 4: "orphan"}
+
+
+def test_the_least_id_decides_between_equal_images(spark):
+    rows = [(i, 1, "https://i.example/a", "4_3", 640, h, 0) for i, h in ((9, 400), (3, 320), (5, 320), (4, 400))]
+    images = spark.createDataFrame(rows, "id long, o long, url string, ratio string, width int, height int, is_fallback int").repartition(1, "o")
+    for order in ("id", "-id"):
+        best = state.best_image_per_role(images.sortWithinPartitions(F.expr(order)), "o").where("role = 'card'").collect()
+        assert [r["id"] for r in best] == [3]
