@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions import clock
 from eventide.operators import feed, predicates, search, state
+from eventide.operators.ordering import numbered, running_sum
 from eventide.plans.schemas import PLANS
 
 NOW = datetime(2026, 8, 17, 12, tzinfo=timezone.utc)
@@ -201,3 +202,19 @@ def test_the_least_id_decides_between_equal_images(spark):
     for order in ("id", "-id"):
         best = state.best_image_per_role(images.sortWithinPartitions(F.expr(order)), "o").where("role = 'card'").collect()
         assert [r["id"] for r in best] == [3]
+
+
+def test_numbers_and_running_sums_lose_no_row(spark):
+    """Bounds of range partitions come from small samples, so two readings would have different ones."""
+    rows = spark.range(20_000, numPartitions=4).select(F.col("id").alias("pos"), F.lit(1).alias("one"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 8).alias("text"))
+    changed = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.rangeExchange.sampleSizePerPartition": "4"}
+    before = {n: spark.conf.get(n, None) for n in changed}
+    try:
+        for name, value in changed.items():
+            spark.conf.set(name, value)
+        made = numbered(rows, 5, "pos").agg(F.count("*"), F.count_if(F.col("id") != F.col("pos") + 6), F.max(F.length("text"))).first()
+        summed = running_sum(rows, "one", [F.col("pos")], "sum").agg(F.count("*"), F.count_if(F.col("sum") != F.col("pos") + 1), F.max(F.length("text"))).first()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value) if value else spark.conf.unset(name)
+    assert tuple(made) == (20_000, 0, 512) and tuple(summed) == (20_000, 0, 512)
