@@ -17,6 +17,7 @@ from eventide.sources import readers, snapshot
 from eventide.sources.buckets import BucketStore
 from eventide.sources.sitemap import write_sitemap
 from eventide.streaming.ingest import stream_agenda
+from eventide.testdata import relation
 
 from .test_catalogue import NOW, plans
 
@@ -286,3 +287,9 @@ def test_labels_of_cards(spark):
     row = spark.sql("SELECT array(named_struct('slug', 'b'), named_struct('slug', 'a')) AS categories, 'event' AS kind, named_struct('url', 'u') AS image, true AS image_reuse_allowed, 'p' AS image_url, '2026-08-17T10' AS source_updated_at, '2020' AS imported_at, '2026-03-01' AS d")
     got = row.select(present.primary_category().alias("c"), present.shown_image().alias("i"), present.attribution_date().alias("a"), present.long_date(F.col("d"), "es").alias("d")).first()
     assert tuple(got) == ("b", "u", "2026-08-17", "1 de marzo de 2026")
+
+
+def test_texts_are_joined_last(spark):
+    """Nothing moves a document's text on to a further join, so the first join from the top is that of the documents."""
+    plan = relation(spark, "/root/testdata/sf0.001", "plans")._jdf.queryExecution().optimizedPlan().toString()
+    assert "doc_id" in next(line for line in plan.splitlines() if "Join" in line)
