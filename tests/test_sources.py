@@ -15,6 +15,7 @@ from eventide.plans import versions
 from eventide.plans.schemas import AGENDA_FIELDS, TABLES, seeded_categories
 from eventide.sources import readers, snapshot
 from eventide.sources.buckets import BucketStore
+from eventide.sources.search_index import SearchIndex, write_index
 from eventide.sources.sitemap import write_sitemap
 from eventide.streaming.ingest import stream_agenda
 from eventide.testdata import relation
@@ -293,3 +294,14 @@ def test_texts_are_joined_last(spark):
     """Nothing moves a document's text on to a further join, so the first join from the top is that of the documents."""
     plan = relation(spark, "/root/testdata/sf0.001", "plans")._jdf.queryExecution().optimizedPlan().toString()
     assert "doc_id" in next(line for line in plan.splitlines() if "Join" in line)
+
+
+def test_an_index_has_a_repeated_line_once(spark, tmp_path):
+    sizes = []
+    for copies in (1, 50):
+        some = plans(spark, *({"title_ca": "Festa Major", "original_title": "Festa Major", "venue_name": "Sala", "municipality": "Vic"} for _ in range(copies)))
+        write_index(some, str(tmp_path / str(copies)))
+        index = SearchIndex(spark, str(tmp_path / str(copies)))
+        sizes.append(index.postings.count())
+        assert sorted(r["id"] for r in index.search("festa").collect()) == sorted(r["id"] for r in index.places("vic").collect()) == list(range(1, copies + 1))
+    assert sizes[0] == sizes[1]
