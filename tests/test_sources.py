@@ -305,3 +305,11 @@ def test_an_index_has_a_repeated_line_once(spark, tmp_path):
         sizes.append(index.postings.count())
         assert sorted(r["id"] for r in index.search("festa").collect()) == sorted(r["id"] for r in index.places("vic").collect()) == list(range(1, copies + 1))
     assert sizes[0] == sizes[1]
+
+
+def test_plans_of_a_document_lie_together(spark):
+    """So a snapshot's files have a repeated text once."""
+    rows = relation(spark, "/root/testdata/sf0.001", "plans").select("id", "original_description").collect()
+    many = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    documents = [r["id"] % many for r in rows]
+    assert 1 + sum(a != b for a, b in zip(documents, documents[1:])) == len(set(documents)) < len(rows)
