@@ -18,9 +18,13 @@ from ..plans.schemas import TABLES
 from .snapshot import add_pointer, file_system, newest_pointer
 
 #: The key by which a relation is dealt; relations without one are small and lie in one bucket.
-KEYS = {"plans": "id", "plan_sources": "source_record_id", "plan_categories": "plan_id", "images": "plan_source_id", "prints": "fingerprint"}
+KEYS = {"plans": "id", "texts": "id", "plan_sources": "source_record_id", "plan_categories": "plan_id", "images": "plan_source_id", "prints": "fingerprint"}
+#: Long columns of plans, which lie apart by id, so that a batch without them doesn't move them; a plan that has none of them has no row.
+TEXTS = ("original_title", "title_ca", "title_es", "original_description", "description_ca", "description_es")
 #: ``prints`` is derived: the fingerprints of plans, for a match that reads no plan.
-SCHEMAS = TABLES | {"prints": "fingerprint string, id long"}
+SCHEMAS = TABLES | {"plans": ", ".join(f for f in TABLES["plans"].split(", ") if f.split()[0] not in TEXTS), "texts": "id long, " + ", ".join(f"{n} string" for n in TEXTS), "prints": "fingerprint string, id long"}
+#: Rows of a bucket lie by its key; texts lie by a hash, equal ones together, so that a repeated text is stored once.
+ORDER = KEYS | {"texts": "_text"}
 MANIFEST = "relation string, bucket int, path string, top long"
 
 State = dict[str, DataFrame]
@@ -40,13 +44,15 @@ class BucketStore:
             else:
                 self.tops[r["relation"]] = r["top"]
         self.buckets = self.tops.pop("_buckets")
+        if not self.tops.pop("_texts", 0):
+            raise ValueError(f"the store in {root} has the texts of plans within the plans; create it anew")
 
     @classmethod
     def create(cls, spark: SparkSession, st: State, root: str, buckets: int = 64) -> BucketStore:
         """Writes the whole state, which also compacts it."""
         store = object.__new__(cls)
         store.spark, store.root, store.buckets, store.paths, store.tops = spark, root, buckets, {name: {} for name in SCHEMAS}, {}
-        store._commit(st | {"prints": st["plans"].select("fingerprint", "id")}, {name: None for name in SCHEMAS})
+        store._commit(st | store._parts(st["plans"]) | {"prints": st["plans"].select("fingerprint", "id")}, {name: None for name in SCHEMAS})
         return cls(spark, root)
 
     def bucket(self, relation: str, column: str | None = None) -> Column:
@@ -54,7 +60,17 @@ class BucketStore:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int") if key else F.lit(0)
 
     def read(self) -> State:
-        return {name: self._rows(name, None) for name in TABLES}
+        return {name: self._rows(name, None) for name in TABLES} | {"plans": self._plans(None)}
+
+    def _plans(self, only: list[int] | None) -> DataFrame:
+        """Whole plans of these buckets."""
+        columns = self.spark.createDataFrame([], TABLES["plans"]).columns
+        return self._rows("plans", only).join(self._rows("texts", only), "id", "left").select(*columns)
+
+    @staticmethod
+    def _parts(plans: DataFrame) -> State:
+        """``plans`` as they are stored: without texts, and the texts by id."""
+        return {"plans": plans.drop(*TEXTS), "texts": plans.select("id", *TEXTS).where(F.coalesce(*TEXTS).isNotNull())}
 
     def _rows(self, relation: str, only: list[int] | None) -> DataFrame:
         paths = [p for b, p in self.paths[relation].items() if only is None or b in only]
@@ -76,22 +92,25 @@ class BucketStore:
             folder = f"{self.root}/{name}/{relation}"
             schema = self.spark.createDataFrame([], SCHEMAS[relation]).schema
             shaped = frame.select(*(F.col(f.name).cast(f.dataType) for f in schema)).withColumn("_bucket", self.bucket(relation))
-            shaped.repartition("_bucket").sortWithinPartitions("_bucket", *([KEYS[relation]] if relation in KEYS else [])).write.partitionBy("_bucket").parquet(folder)
+            if relation == "texts":
+                shaped = shaped.withColumn("_text", F.xxhash64(*TEXTS))
+            shaped.repartition("_bucket").sortWithinPartitions("_bucket", *([ORDER[relation]] if relation in ORDER else [])).drop("_text").write.partitionBy("_bucket").parquet(folder)
             fs, target = file_system(self.spark, folder)
             found = {int(f.getPath().getName().partition("=")[2]): f.getPath().toString() for f in fs.listStatus(target) if f.getPath().getName().startswith("_bucket=")}
             kept = {} if touched[relation] is None else {b: p for b, p in self.paths[relation].items() if b not in touched[relation]}
             self.paths[relation] = kept | found
-            if "id" in frame.columns and relation != "prints":
+            if "id" in frame.columns and relation not in ("prints", "texts"):
                 self.tops[relation] = max(self.tops.get(relation, 0), shaped.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
         lines = [(relation, b, p, None) for relation, places in self.paths.items() for b, p in places.items()]
-        lines += [(relation, None, None, top) for relation, top in (self.tops | {"_buckets": self.buckets}).items()]
+        lines += [(relation, None, None, top) for relation, top in (self.tops | {"_buckets": self.buckets, "_texts": 1}).items()]
         self.spark.createDataFrame(lines, MANIFEST).coalesce(1).write.parquet(f"{self.root}/{name}/manifest")
         add_pointer(self.spark, self.root, name)
 
     def upsert(self, incoming: DataFrame, source_id: int, now: str) -> tuple[BucketStore, DataFrame]:
         """The store after ``state.upsert_outcomes`` and ``state.apply_batch`` of a batch, and the outcomes.
 
-        Only buckets of the batch's record ids, fingerprints and plans are read and written.
+        Only buckets of the batch's record ids, fingerprints and plans are read and written; texts of plans only
+        if the batch has some.
         """
         incoming = settled(incoming)
         touched = {"plan_sources": self.touched("plan_sources", incoming, "record_id"), "prints": self.touched("prints", incoming, "fingerprint")}
@@ -99,10 +118,13 @@ class BucketStore:
         outcomes = settled(state.upsert_outcomes(incoming, links, prints, source_id, self.tops.get("plans", 0)))
         for relation in ("plans", "plan_categories"):
             touched[relation] = self.touched(relation, outcomes, "plan_id")
-        part = {"plans": self._rows("plans", touched["plans"]), "plan_sources": links, "plan_categories": self._rows("plan_categories", touched["plan_categories"]), "categories": self._rows("categories", None)}
+        worded = any(c in incoming.columns for c in TEXTS)
+        part = {"plans": self._plans(touched["plans"]) if worded else self._rows("plans", touched["plans"]), "plan_sources": links, "plan_categories": self._rows("plan_categories", touched["plan_categories"]), "categories": self._rows("categories", None)}
         after = state.apply_batch(part, outcomes, source_id, now, self.tops.get("plan_sources", 0))
         new = outcomes.where("action = 'insert'").select("fingerprint", F.col("plan_id").alias("id"))
         rows = {name: after[name] for name in ("plans", "plan_sources", "plan_categories")} | {"prints": prints.union(new)}
+        if worded:
+            rows, touched["texts"] = rows | self._parts(after["plans"]), touched["plans"]
         return self.replace(rows, touched), outcomes
 
     def vacuum(self) -> list[str]:

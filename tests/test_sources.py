@@ -313,3 +313,14 @@ def test_plans_of_a_document_lie_together(spark):
     many = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     documents = [r["id"] % many for r in rows]
     assert 1 + sum(a != b for a, b in zip(documents, documents[1:])) == len(set(documents)) < len(rows)
+
+
+def test_a_batch_without_texts_moves_none(spark, tmp_path):
+    st = {n: spark.createDataFrame([], s) for n, s in TABLES.items()} | {"plans": plans(spark, *({"original_description": "long"} for _ in range(20)), {"title_ca": None, "original_title": None})}
+    store = BucketStore.create(spark, st, str(tmp_path), buckets=4)
+    before = {n: dict(p) for n, p in store.paths.items()}
+    rows = [(1, "r1", "f7", "{}", "active", 90, []), (2, "r2", "new", "{}", "active", 50, [])]
+    new, _ = store.upsert(spark.createDataFrame(rows, "pos long, record_id string, fingerprint string, payload string, status string, quality_score int, category_slugs array<string>"), 1, "2026-08-17")
+    assert new.paths["texts"] == before["texts"] and new.paths["plans"] != before["plans"]
+    got = {r["id"]: (r["title_ca"], r["original_description"], r["quality_score"]) for r in new.read()["plans"].collect()}
+    assert got == {i: (f"t{i}", "long", 90 if i == 7 else 80) for i in range(1, 21)} | {21: (None, None, 80), 22: (None, None, 50)}
