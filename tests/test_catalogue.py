@@ -1,3 +1,6 @@
+import random
+import re
+import time
 from datetime import date, datetime, timezone
 
 import pytest
@@ -117,6 +120,34 @@ def test_sessions_and_variants(spark):
     assert {(r["event_id"], r["type"], r["main_event_id"]) for r in feed.product_variants(rows).collect()} == {("e2", "PACKAGE_VARIANT", "e0"), ("e4", "PRODUCT_VARIANT", "e0")}
 
 
+def test_variants_of_a_crowded_place(spark):
+    """20,000 add-ons and 20,000 main events of one place and day: no add-on meets all events."""
+    rows = spark.range(40_000, numPartitions=4).select(
+        F.col("id").alias("pos"), F.concat(F.lit("e"), "id").alias("event_id"), F.when(F.col("id") % 2 == 0, "Upgrade Concert").otherwise(F.concat(F.lit("Concert "), (F.col("id") % 20).cast("string"))).alias("title"),
+        F.lit("").alias("venue_id"), F.lit("Sala").alias("venue_name"), F.lit("Girona").alias("municipality"), F.lit("2026-09-01").alias("start_date"), F.lit("2026-09-01").alias("end_date"), F.lit("20:00").alias("start_time"),
+    )
+    began = time.monotonic()
+    found = {(r["event_id"], r["main_event_id"]) for r in feed.product_variants(rows).collect()}
+    assert found == {(f"e{i}", "e1" if i == 0 else "e0") for i in range(0, 40_000, 2)}
+    assert time.monotonic() - began < 30
+
+
+def test_variants_equal_brute_force(spark):
+    r = random.Random(3)
+    titles = ["Concert", "Concert Gran", "Ball", "Upgrade Concert", "Upgrade Upgrade Concert", "Upgrade Ball", "Ball | Paquetes VIP", "Upgrade Concert | Paquete VIP", "Upgrade", "Gran", " | Paquetes VIP"]
+    made = [(r.choice(titles), r.choice(["Sala", "Teatre", ""]), r.choice(["2026-09-01", "2026-09-02", None]), r.choice(["20:00", "", None])) for _ in range(150)]
+    title_k = lambda t: "-".join(re.findall("[a-z0-9]+", t.lower()))
+    want = set()
+    for i, (title, *place, hour) in enumerate(made):
+        mains = [(j, title_k(t), h) for j, (t, *p, h) in enumerate(made) if p == place and p[0] and j != i]
+        package = title_k(re.sub(r"(?i)\s*\|\s*paquetes?\s+vip\s*$", "", title))
+        base = title_k(title.replace("Upgrade", " ")) if title.startswith("Upgrade") else ""
+        hits = [("PACKAGE_VARIANT", j) for j, k, h in mains if "VIP" in title and h == hour and k == package]
+        hits += [("PRODUCT_VARIANT", j) for j, k, _ in mains if base and (k in base or base in k)]
+        want |= {(f"e{i}", kind, f"e{j}") for kind, j in sorted(hits)[:1]}
+    assert {tuple(x) for x in feed.product_variants(sessions(spark, made)).collect()} == want and len(want) > 30
+
+
 @pytest.mark.parametrize(
     ("start", "end", "expected"),
     [("2026-08-18", "2026-08-18", "accepted"), ("2026-08-01", "2026-08-18", "accepted"), ("2026-08-01", "2026-08-17", "out"), ("2026-11-16", None, "accepted"), ("2026-11-17", None, "out"), ("x", None, "invalid"), ("2026-09-02", "2026-09-01", "invalid")],
