@@ -1,16 +1,19 @@
 import json
+import re
 from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
+from eventide import import_queries
 from eventide.functions.sql import register_functions
 from eventide.operators import feed as feeds
-from eventide.operators import jobs, predicates
+from eventide.operators import jobs, normalize, predicates
 from eventide.operators.feed import Policy
 from eventide.plans.schemas import AGENDA_FIELDS, TABLES, seeded_categories
 from eventide.sources import readers, snapshot
 from eventide.sources.ledger import RunLedger
+from eventide.testdata import relation
 
 from .test_catalogue import NOW, plans
 
@@ -156,6 +159,12 @@ def test_a_crowd_of_equal_plans_is_shared_out(spark):
         assert (rows[i]["confirmed"], rows[i]["n_possible"]) == (want, want - 5000 if want else 20_000)
 
 
+def test_tags_are_folded_once_for_all_categories(spark):
+    rows = spark.createDataFrame([("Ámbits/Jazz", "agenda:categories/Museus"), (None, None)], "a string, b string").select(normalize.agenda_categories(F.col("a"), F.col("b")).alias("x"))
+    assert [r["x"] for r in rows.collect()] == [["musica", "museus"], []]
+    assert rows._jdf.queryExecution().analyzed().toString().count("translate(") == 1
+
+
 def test_image_sync(spark, empty, tmp_path):
     st = stored(spark, jobs.import_feed(feed(spark, tmp_path, "f.json", {}), empty, NOW, POLICY)[0], tmp_path / "a")
     offered = spark.createDataFrame([("e0", "https://i/1", "16_9", 640, 360, 0, None), ("e0", "https://i/2", "16_9", 1136, 639, 0, "by")], "event_id string, url string, ratio string, width int, height int, is_fallback int, attribution string")
