@@ -165,6 +165,14 @@ def test_tags_are_folded_once_for_all_categories(spark):
     assert rows._jdf.queryExecution().analyzed().toString().count("translate(") == 1
 
 
+def test_the_funnel_is_code_that_the_jvm_compiles(spark, capsys):
+    """HotSpot interprets a method of more than 8,000 bytes."""
+    r = lambda name: relation(spark, "/root/testdata/sf0.001", name)
+    feeds.funnel(import_queries.feed_full(r).withColumn("province", F.lit(None).cast("string")), "2024-01-02", "2024-02-01", import_queries.POLICY).explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000
+
+
 def test_image_sync(spark, empty, tmp_path):
     st = stored(spark, jobs.import_feed(feed(spark, tmp_path, "f.json", {}), empty, NOW, POLICY)[0], tmp_path / "a")
     offered = spark.createDataFrame([("e0", "https://i/1", "16_9", 640, 360, 0, None), ("e0", "https://i/2", "16_9", 1136, 639, 0, "by")], "event_id string, url string, ratio string, width int, height int, is_fallback int, attribution string")
