@@ -151,6 +151,42 @@ def test_passages_whose_parts_have_other_owners(spark):
     assert {x for pair in found for x in pair} == {x for pair in pairs for x in pair}
 
 
+def test_passages_whose_seeds_all_have_other_owners(spark, monkeypatch):
+    """Edited passages of lines that each stand in a smaller and a larger document too, never together; tiles of all sizes find them."""
+    rows, groups = [], []
+    for g in range(4):
+        lines = [prose(90_000 + 10 * g + i, 12) for i in range(5)]
+        group = [1000 + 10 * g + j for j in range(4)]
+        for doc in group:
+            rows.append((doc, " ".join([prose(91_000 + doc, 40), *(f"{line} w{doc}x{i}" for i, line in enumerate(lines)), prose(93_000 + doc, 40)])))
+        for i, line in enumerate(lines):
+            rows += [(10 * g + i, f"{prose(95_000 + 10 * g + i, 30)} {line} {prose(96_000 + 10 * g + i, 30)}"), (9000 + 10 * g + i, f"{prose(97_000 + 10 * g + i, 30)} {line} {prose(98_000 + 10 * g + i, 30)}")]
+        groups.append(group)
+    for tile in (512, 2):
+        monkeypatch.setattr(passage_chains, "TILE", tile)
+        got = passage_chains.fuzzy_passages(documents(spark, rows)).collect()
+        assert {frozenset((r["doc_id"], r["owner_id"])) for r in got if r["n_words"] >= 60} == {frozenset((a, b)) for group in groups for a in group for b in group if a < b}
+        assert all(r["similarity"] >= 0.75 for r in got)
+
+
+def test_shifted_passages_whose_seeds_all_have_other_owners(spark):
+    """With words left out between the lines no diagonal has half of the words; both places of a pair that share lines at unlike places are compared."""
+    lines = [prose(99_000 + i, 12) for i in range(5)]
+    rows = [(100, " ".join([prose(99_100, 40), *lines, prose(99_101, 40)])), (101, " ".join([prose(99_102, 40), *(f"{line} w{i}" for i, line in enumerate(lines)), prose(99_103, 40)]))]
+    rows += [(doc + i, f"{prose(99_200 + doc + i, 30)} {line} {prose(99_800 + doc + i, 30)}") for doc in (1, 301) for i, line in enumerate(lines)]
+    got = passage_chains.fuzzy_passages(documents(spark, rows)).collect()
+    assert {frozenset((r["doc_id"], r["owner_id"])) for r in got if r["n_words"] >= 58} == {frozenset((100, 101))}
+
+
+def test_copies_have_the_first_as_owner(spark):
+    text, other = prose(99_900, 90), prose(99_901, 50)
+    rows = [(5, text), (2, text.upper()), (None, text), (7, f"{other} {text}"), (7, f"{other} {text}"), (8, prose(99_902, 20)), (9, prose(99_902, 20))]
+    got = passage_chains.fuzzy_passages(documents(spark, rows)).collect()
+    assert sorted(tuple(r)[:7] for r in got if r["owner_id"] is None and r["doc_id"] != 7) == [(2, 0, 90, None, 0, 90, 0), (5, 0, 90, None, 0, 90, 0)]
+    assert [tuple(r)[:7] for r in got if r["doc_id"] == 7] == [(7, 50, 90, None, 0, 90, 0)] and [tuple(r)[:7] for r in got if r["owner_id"] == 7] == [(None, 0, 90, 7, 50, 90, 0)]
+    assert len(got) == 4
+
+
 def similarity(x, y):
     """By plain edit distance of words."""
     row = list(range(len(y) + 1))
