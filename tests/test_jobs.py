@@ -159,6 +159,21 @@ def test_a_crowd_of_equal_plans_is_shared_out(spark):
         assert (rows[i]["confirmed"], rows[i]["n_possible"]) == (want, want - 5000 if want else 20_000)
 
 
+def test_long_titles_do_not_move_with_a_match(spark):
+    """Titles of 20,000 characters that differ in the last one; points at all distances around the tolerance."""
+    long, spot = "ball " * 4000, "id long, original_title string, start_date string, municipality string, venue_name string, address string, latitude double, longitude double"
+    plan = lambda i, title, lat=None, lon=None: (i, title, "2026-08-20", "Olot", None, None, lat, lon)
+    rows = spark.createDataFrame([plan(1, long + "a", 42.0, 2.0), plan(2, long + "b", 42.0, 2.0), plan(3, None)], spot)
+    others = spark.createDataFrame([plan(11, long + "A", 42.0, 2.0), plan(12, None)], spot)
+    assert max(len(v) for r in feeds._placed(rows).collect() for v in r if isinstance(v, (str, bytes, bytearray))) <= 64
+    assert sorted(map(tuple, feeds.cross_source_matches(rows, others).collect())) == [(1, 11, 0), (3, None, 1)]
+    steps = [(i, j) for i in range(-5, 6) for j in range(-5, 6)]
+    near = spark.createDataFrame([plan(n, "Ball", 42.0007 + n % 7 * 0.00131, -0.0003 + n % 7 * 0.00171) for n in range(7)], spot)
+    points = [(100 + n, 42.0 + i * 0.0011, j * 0.0011) for n, (i, j) in enumerate(steps)]
+    got = {r["id"]: r["confirmed"] for r in feeds.cross_source_matches(near, spark.createDataFrame([plan(n, "Ball", a, b) for n, a, b in points], spot)).collect()}
+    assert got == {r["id"]: min((n for n, a, b in points if abs(a - r["latitude"]) <= 0.002 and abs(b - r["longitude"]) <= 0.002), default=None) for r in near.collect()}
+
+
 def test_tags_are_folded_once_for_all_categories(spark):
     rows = spark.createDataFrame([("Ámbits/Jazz", "agenda:categories/Museus"), (None, None)], "a string, b string").select(normalize.agenda_categories(F.col("a"), F.col("b")).alias("x"))
     assert [r["x"] for r in rows.collect()] == [["musica", "museus"], []]
