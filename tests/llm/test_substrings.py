@@ -198,6 +198,26 @@ def similarity(x, y):
     return 1 - row[-1] / max(len(x), len(y))
 
 
+def test_places_of_a_repeated_word_are_few():
+    """Of a word or a phrase that stands many times in a row, places grow with the length of the passage only, not with every word."""
+    for words in (["the"], ["one", "two", "three"]):
+        hashes = passage_chains.word_hashes(" ".join(words * (3_000 // len(words))).encode())
+        grams, at = passage_chains.seeds(hashes)
+        assert len(at) < 6 * 3_000 / passage_chains.LONG and len(set(zip(grams.tolist(), at.tolist()))) == len(at)
+        short = at[at % 2 == 0] // 2
+        assert short.min() < len(words) and short.max() > 3_000 - passage_chains.K - len(words)
+
+
+def test_repeated_words_are_matched_from_end_to_end(spark):
+    """Runs of one word, of unlike lengths and in other words, give every document but the one with the longest a passage as long as its run, and few rows."""
+    runs = {i: 150 + 35 * i for i in range(12)}
+    rows = [(i, f"{prose(500 + i, 50 + 7 * i)} {'the ' * n}{prose(600 + i, 60)}") for i, n in runs.items()]
+    got = passage_chains.fuzzy_passages(documents(spark, rows)).collect()
+    longest = {i: max(max((r.n_words for r in got if r.doc_id == i), default=0), max((r.owner_words for r in got if r.owner_id == i), default=0)) for i in runs}
+    assert all(longest[i] >= n for i, n in runs.items() if i != 11) and longest[11] >= runs[10]
+    assert len(got) <= 4 * len({(r.doc_id, r.owner_id) for r in got})
+
+
 def test_edited_passages_are_found(spark):
     """Of passages with one word in nine changed, or some changed, left out and put in, nearly all have a row."""
     r, rows, kinds = random.Random(5), [], {}
