@@ -1,12 +1,14 @@
 import hashlib
 import random
+import re
 import time
 from collections import Counter
+from pathlib import Path
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from eventide.llm import decontaminate, passage_chains, suffix_dedup
+from eventide.llm import common, decontaminate, passage_chains, suffix_dedup
 
 from .helpers import EDGES, documents, prose
 
@@ -361,3 +363,28 @@ def test_leaks_over_several_passes(spark, monkeypatch):
     assert got == sorted([(i, i) for i in range(12) if i % 2] + [(3, 3)])
     kept = decontaminate.drop_leaks(documents(spark, rows), benchmark, block_bytes=300)
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4, 6, 8, 10]
+
+
+def test_only_texts_and_passages_stay(spark):
+    """What a step alone needs, shuffle files too, is gone when the step is over."""
+    folder = Path(common.shared_dir(spark).removeprefix("file://"), "eventide")
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    moved = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", blocks.getAllFiles().mkString(" ")))
+    before, left = set(folder.glob("*")), moved()
+    found = passage_chains.fuzzy_passages(documents(spark, [(i, prose(40 + i, 30) + " " + prose(9, 60) + " " + prose(60 + i, 30)) for i in range(5)]))
+    until = time.time() + 20
+    while moved() - left and time.time() < until:
+        time.sleep(0.2)
+    assert not moved() - left
+    assert {re.match("[a-z]+", f.name)[0] for f in set(folder.glob("*")) - before} == {"texts", "passages"}
+    #: The first and the last are each other's owners, and both are those of the three others.
+    assert found.count() == 8
+
+
+def test_a_table_in_buckets_is_joined_where_it_lies(spark):
+    rows = spark.range(100).selectExpr("id", "id % 7 AS v")
+    held = common.bucketed(rows, "id", "held")
+    joined = held.hint("merge").join(rows.groupBy("id").count(), "id")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and joined.count() == 100
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("held_")]
