@@ -324,3 +324,22 @@ def test_a_batch_without_texts_moves_none(spark, tmp_path):
     assert new.paths["texts"] == before["texts"] and new.paths["plans"] != before["plans"]
     got = {r["id"]: (r["title_ca"], r["original_description"], r["quality_score"]) for r in new.read()["plans"].collect()}
     assert got == {i: (f"t{i}", "long", 90 if i == 7 else 80) for i in range(1, 21)} | {21: (None, None, 80), 22: (None, None, 50)}
+
+
+def test_a_long_text_is_stored_once(spark, tmp_path):
+    long, title, other = "long " * 40, "t" * 65, "other " * 40
+    given = [{"original_description": long, "description_es": long, "title_ca": title if i % 2 else "t" * 64} for i in range(30)]
+    st = {n: spark.createDataFrame([], s) for n, s in TABLES.items()} | {"plans": plans(spark, *given, {"original_description": None, "title_ca": ""})}
+    store = BucketStore.create(spark, st, str(tmp_path), buckets=4)
+    bodies = lambda s: sorted(r["body"] for r in s._rows("bodies", None).collect())
+    before = dict(store.paths["bodies"])
+    assert bodies(store) == [long, title]
+    held = lambda df: sorted(map(str, df.collect()))
+    assert held(store.read()["plans"]) == held(st["plans"].select(*store.read()["plans"].columns))
+    rows = [(1, "r1", "f7", "{}", "active", 90, [], other, title), (2, "r2", "new", "{}", "active", 50, [], None, long)]
+    batch = spark.createDataFrame(rows, "pos long, record_id string, fingerprint string, payload string, status string, quality_score int, category_slugs array<string>, title_es string, original_title string")
+    new, outcomes = store.upsert(batch, 1, "2026-08-17")
+    assert bodies(new) == [long, other, title] and new.paths["bodies"] != before
+    full = state.apply_batch(st, outcomes, 1, "2026-08-17")["plans"]
+    assert held(new.read()["plans"]) == held(full.select(*new.read()["plans"].columns))
+    assert new.read(texts=False)["plans"].count() == 32 and "title_ca" not in new.read(texts=False)["plans"].columns
